@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS
 
-_MODULES = ("core",)
+_MODULES = ("core", "ingest")
 
 
 def load_all():

@@ -37,6 +37,13 @@ CORRUPT_MOD, CORRUPT_REM = 50, 7
 MISSING_ENDPOINT_MOD, MISSING_ENDPOINT_REM = 50, 9
 UNKNOWN_SERVICE_MOD, UNKNOWN_SERVICE_REM = 40, 3
 UNKNOWN_SERVICE_ID = "svc-unregistered"
+ROUTE_ROWS = (
+    # first path segment -> service id (unlisted segments fall back)
+    ("purchase", "svc-0"),
+    ("signup", "svc-1"),
+    ("view", "svc-2"),
+    ("click", "svc-3"),
+)
 # -----------------------------------------------------------------------------
 
 
@@ -50,6 +57,10 @@ def services(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema=S.SERVICES)
 
 
+def routes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(ROUTE_ROWS), "path_segment string, service_id string")
+
+
 def props_k(props="props") -> Column:
     return F.get_json_object(F.col(props), "$.k").cast("int")
 
@@ -125,4 +136,6 @@ def api_log_envelopes(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
     corrupt = F.pmod(eid, F.lit(CORRUPT_MOD)) == CORRUPT_REM
     value = F.when(corrupt, F.substring(F.col("value"), 1, 40)).otherwise(F.col("value"))
-    return env.select(eid.alias("event_id"), F.col("delivery"), F.col("key"), value.alias("value"))
+    # ``seq`` plays the role of the topic offset: it identifies a delivery
+    # even when its bytes cannot be parsed.
+    return env.select(eid.alias("seq"), F.col("delivery"), F.col("key"), value.alias("value"))
