@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS
 
-_MODULES = ("core", "ingest")
+_MODULES = ("core", "ingest", "alerting")
 
 
 def load_all():
