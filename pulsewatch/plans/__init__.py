@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS
 
-_MODULES = ("core", "ingest", "alerting")
+_MODULES = ("core", "ingest", "alerting", "features")
 
 
 def load_all():
