@@ -130,3 +130,15 @@ def heuristic_priority(df: DataFrame) -> DataFrame:
         .when(pay, F.concat(F.col("_base"), F.lit(" escalated for payment/auth service")))
         .otherwise(F.lit("Base heuristic priority")),
     ).drop("_base")
+
+
+def rolling_failure_probability(df: DataFrame, rows: int = S.FAILURE_RECENT_ROWS,
+                                chunk_rows: int | None = None) -> DataFrame:
+    """K18 evaluated at every row: the heuristic over the ``rows`` rows ending
+    at this one (``failure_probability``), for back-testing the heuristic."""
+    from ..operators import sequence as SQ
+    seq = SQ.sequenced(df, before=rows - 1, chunk_rows=chunk_rows if chunk_rows else SQ.DEFAULT_CHUNK_ROWS)
+    w = SQ.halo_window().rowsBetween(-(rows - 1), 0)
+    p = F.least(F.lit(1.0), 0.5 * F.avg(_d("error_rate")).over(w)
+                + 0.5 * F.avg((_d("response_time_p99") > S.ALERT_P99_MS).cast("double")).over(w))
+    return SQ.finish(seq.withColumn("failure_probability", F.round(p, 9)))

@@ -23,6 +23,21 @@ def _dbl(c: str) -> Column:
     return F.col(c).cast("double")
 
 
+def as_numeric(metrics: DataFrame) -> DataFrame:
+    """Metric columns as doubles, resources imputed (B10), cyclical time."""
+    return QY.impute_resources(metrics).select(
+        "service_id", "window_start",
+        _dbl("rpm").alias("rpm"),
+        _dbl("request_count").alias("request_count"),
+        _dbl("response_time_mean").alias("response_time_mean"),
+        _dbl("response_time_p95").alias("response_time_p95"),
+        _dbl("response_time_p99").alias("response_time_p99"),
+        _dbl("error_rate").alias("error_rate"),
+        "cpu_usage_pct", "memory_usage_pct",
+        *X.cyclical(F.col("window_start")),
+    )
+
+
 def build_features(metrics: DataFrame, lags=S.FEATURE_LAGS, rolling: int = S.FEATURE_ROLLING,
                    dense: bool = False, window_size: str | None = None,
                    chunk_rows: int | None = SQ.DEFAULT_CHUNK_ROWS) -> DataFrame:
@@ -36,17 +51,7 @@ def build_features(metrics: DataFrame, lags=S.FEATURE_LAGS, rolling: int = S.FEA
     if dense:
         ws = window_size or "1m"
         metrics = M.fill_gaps(metrics, ws).drop("is_gap")
-    base = QY.impute_resources(metrics).select(
-        "service_id", "window_start",
-        _dbl("rpm").alias("rpm"),
-        _dbl("request_count").alias("request_count"),
-        _dbl("response_time_mean").alias("response_time_mean"),
-        _dbl("response_time_p95").alias("response_time_p95"),
-        _dbl("response_time_p99").alias("response_time_p99"),
-        _dbl("error_rate").alias("error_rate"),
-        "cpu_usage_pct", "memory_usage_pct",
-        *X.cyclical(F.col("window_start")),
-    )
+    base = as_numeric(metrics)
     seq = SQ.sequenced(base, before=max(max(lags), rolling - 1), chunk_rows=chunk_rows)
     w = SQ.halo_window()
     out = seq.select(
