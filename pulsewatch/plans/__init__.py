@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS
 
-_MODULES = ("core", "ingest", "alerting", "features", "scoring")
+_MODULES = ("core", "ingest", "alerting", "features", "scoring", "dashboards")
 
 
 def load_all():

@@ -139,3 +139,30 @@ def api_log_envelopes(events: DataFrame) -> DataFrame:
     # ``seq`` plays the role of the topic offset: it identifies a delivery
     # even when its bytes cannot be parsed.
     return env.select(eid.alias("seq"), F.col("delivery"), F.col("key"), value.alias("value"))
+
+
+# ---- FIXED VALUES: incident episodes planted from error events --------------------
+# A 500 error opens an anomaly episode, a 404 a failure episode, for the
+# request's service, starting at the request's minute.
+ANOMALY_MAX_MINUTES, ANOMALY_MULTIPLIERS = 10, 3       # duration 1 + k % 10, multiplier 1 + k % 3
+FAILURE_MAX_MINUTES = 5                                # duration 1 + k % 5
+FAILURE_ERROR_RATE_FLOOR, FAILURE_P99_FLOOR_MS = 0.25, 2500.0
+
+
+def anomaly_episodes(events: DataFrame) -> DataFrame:
+    k = props_k()
+    return events.filter((F.col("event_type") == "error") & (F.pmod(k, F.lit(4)) == 0)).select(
+        service_of_user().alias("service_id"),
+        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("start"),
+        (1 + F.pmod(k, F.lit(ANOMALY_MAX_MINUTES))).cast("int").alias("duration_minutes"),
+        (1 + F.pmod(k, F.lit(ANOMALY_MULTIPLIERS))).cast("double").alias("latency_multiplier"))
+
+
+def failure_episodes(events: DataFrame) -> DataFrame:
+    k = props_k()
+    return events.filter((F.col("event_type") == "error") & (F.pmod(k, F.lit(4)) == 1)).select(
+        service_of_user().alias("service_id"),
+        F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("start"),
+        (1 + F.pmod(k, F.lit(FAILURE_MAX_MINUTES))).cast("int").alias("duration_minutes"),
+        F.lit(FAILURE_ERROR_RATE_FLOOR).alias("error_rate_floor"),
+        F.lit(FAILURE_P99_FLOOR_MS).alias("p99_floor_ms"))
