@@ -170,13 +170,18 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 METRIC_KEY = ("service_id", "window_size", "window_start")
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` exists on its file system (any Hadoop URI)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    if not os.path.exists(path) and not path.startswith(("s3", "gs", "abfs", "hdfs")):
-        return None
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no table yet
+    if not table_exists(spark, path):
         return None
+    return spark.read.parquet(path)
 
 
 def _touched(df: DataFrame, existing: DataFrame) -> DataFrame:
