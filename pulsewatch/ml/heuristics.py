@@ -50,12 +50,14 @@ def health_score(df: DataFrame, stability: Column | None = None) -> DataFrame:
 
 def traffic_stability(metrics: DataFrame, rows: int = 60) -> DataFrame:
     """Optional stability ``1 - min(1, stddev/mean)`` of rpm over the last
-    ``rows`` rows per service (D7); one window, partitioned by service."""
-    w = Window.partitionBy("service_id").orderBy("window_start").rowsBetween(-(rows - 1), 0)
+    ``rows`` rows per service (D7); chunked per service (``operators.sequence``)."""
+    from ..operators import sequence as SQ
+    seq = SQ.sequenced(metrics, before=rows - 1)
+    w = SQ.halo_window().rowsBetween(-(rows - 1), 0)
     m = F.avg(_d("rpm")).over(w)
     sd = F.stddev_samp(_d("rpm")).over(w)
-    return metrics.withColumn("traffic_stability",
-                              F.when(m > 0, 1.0 - F.least(F.lit(1.0), F.coalesce(sd, F.lit(0.0)) / m)))
+    return SQ.finish(seq.withColumn("traffic_stability",
+                                    F.when(m > 0, 1.0 - F.least(F.lit(1.0), F.coalesce(sd, F.lit(0.0)) / m))))
 
 
 def quick_health(df: DataFrame) -> Column:

@@ -21,6 +21,7 @@ from .. import schemas as S
 from ..functions import exprs as X
 from ..ml import heuristics as H
 from ..sources import io as IO
+from . import sequence as SQ
 
 
 def trigger_of(p99: Column, err: Column, p99_ms=S.ALERT_P99_MS, error_rate=S.ALERT_ERROR_RATE) -> Column:
@@ -46,7 +47,8 @@ def alert_lifecycle(metrics: DataFrame, window_size: str = "1m", p99_ms: float =
 
     ``until`` is the last evaluated window start (default: the newest window in
     the data); alerts still breaching then have ``closed_at`` null.
-    One shuffle by service for the island numbering, one aggregation by island.
+    Island numbering uses the bucketed row index (no per-service window); one
+    aggregation by island.
     """
     step_us = S.WINDOW_MINUTES[window_size] * 60_000_000
     m = metrics.filter(F.col("window_size") == window_size)
@@ -58,8 +60,10 @@ def alert_lifecycle(metrics: DataFrame, window_size: str = "1m", p99_ms: float =
     trig = trigger_of(F.col("response_time_p99"), F.col("error_rate"), p99_ms, error_rate)
     bad = m.select("service_id", "window_start", "response_time_p99", "error_rate",
                    trig.alias("trigger")).filter(F.col("trigger").isNotNull())
-    w = Window.partitionBy("service_id").orderBy("window_start")
-    bad = bad.withColumn("_island", F.unix_micros("window_start") - F.row_number().over(w) * F.lit(step_us))
+    # global per-service position among breaching rows, from (service, day)
+    # buckets + offsets: no window ever holds a whole service
+    bad = SQ.row_index(bad, "service_id", "window_start")
+    bad = bad.withColumn("_island", F.unix_micros("window_start") - F.col("_idx") * F.lit(step_us)).drop("_idx")
 
     def first_fire(t: str):
         on = F.col("trigger") == t
@@ -188,12 +192,21 @@ def alert_frequency(df: DataFrame, hours: int = 24, ts: str = "window_start",
     windows cluster by service, so they share one shuffle.
     """
     span = hours * 3600 * 1_000_000 - 1
-    w_range = Window.partitionBy("service_id").orderBy(F.unix_micros(ts)).rangeBetween(-span, 0)
-    w_peer = Window.partitionBy("service_id", ts)
-    w_peer_ord = Window.partitionBy("service_id", ts).orderBy(order)
+    # Time chunks of ``hours`` with a one-chunk halo: rows of chunk c are
+    # copied into chunk c + 1 as context, so every frame (t - hours, t] lies
+    # inside one (service, chunk) partition; a busy service spreads over its
+    # chunks instead of one task.  Copies are dropped after the window.
+    chunk = F.floor(F.unix_micros(ts) / F.lit(hours * 3600 * 1_000_000)).cast("long")
+    x = df.select("*", F.inline(F.array(F.struct(chunk.alias("_chunk"), F.lit(False).alias("_ctx")),
+                                        F.struct((chunk + 1).alias("_chunk"), F.lit(True).alias("_ctx")))))
+    part = ["service_id", "_chunk"]
+    w_range = Window.partitionBy(*part).orderBy(F.unix_micros(ts)).rangeBetween(-span, 0)
+    w_peer = Window.partitionBy(*part, ts)
+    w_peer_ord = Window.partitionBy(*part, ts).orderBy(order)
     later_peers = F.count(F.lit(1)).over(w_peer) - F.row_number().over(w_peer_ord)
     freq = F.count(F.lit(1)).over(w_range) - later_peers - 1
-    return df.withColumn("alert_frequency_24h", F.greatest(freq, F.lit(0)).cast("int"))
+    out = x.withColumn("alert_frequency_24h", F.greatest(freq, F.lit(0)).cast("int"))
+    return out.filter(~F.col("_ctx")).drop("_chunk", "_ctx")
 
 
 def label_priority(df: DataFrame) -> DataFrame:

@@ -194,8 +194,12 @@ def load_metrics_if_absent(df: DataFrame, path: str) -> DataFrame:
     """Insert-if-absent (A9): staged rows deduplicated on the key, rows whose key
     already exists are dropped (existing row kept).  Returns the rows written."""
     spark = df.sparkSession
-    w = Window.partitionBy(*METRIC_KEY).orderBy(F.col("computed_at").asc_nulls_last())
-    staged = df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # first staged row per key: a hash aggregate (partial per task), so many
+    # copies of one key never meet unreduced in one task
+    cols = [c for c in df.columns if c not in METRIC_KEY]
+    staged = df.groupBy(*METRIC_KEY).agg(
+        F.min_by(F.struct(*cols), F.coalesce(F.col("computed_at"), F.lit("9999-12-31").cast("timestamp")))
+        .alias("_r")).select(*METRIC_KEY, "_r.*")
     existing = _existing(spark, path)
     if existing is not None:
         staged = staged.join(_touched(staged, existing).select(*METRIC_KEY), list(METRIC_KEY), "left_anti")
