@@ -187,3 +187,91 @@ def run_row(spark: SparkSession, meta: dict, artifact_path: str) -> DataFrame:
         dt.datetime.fromisoformat(meta["trained_at"]).replace(tzinfo=None), meta["training_rows"],
         json.dumps(meta["hyperparameters"]), json.dumps(meta["metrics"]), artifact_path, False)],
         schema=S.MODEL_RUNS)
+
+
+# ---- K22 / K23 scoring and training jobs ------------------------------------------------------
+
+def _prediction_rows(df: DataFrame, module: str, version, value, horizon=None, confidence=None) -> DataFrame:
+    return df.select(
+        "service_id", F.lit(module).alias("module"),
+        (version if not isinstance(version, str) else F.lit(version)).alias("model_version"),
+        F.col("generated_at"),
+        (horizon if horizon is not None else F.lit(None)).cast("int").alias("horizon_minutes"),
+        F.to_json(value).alias("value"),
+        (confidence if confidence is not None else F.lit(None)).cast("decimal(5,4)").alias("confidence"))
+
+
+def heuristic_predictions(metrics: DataFrame, window_size: str = "1m", horizon: int = 60) -> DataFrame:
+    """K22 without models: health, anomaly, failure and traffic predictions for
+    the latest window of every service, as ``predictions`` rows (A10, C15).
+    ``generated_at`` is the end of the scored window (replayable)."""
+    from . import heuristics as H
+    from ..operators import metrics as M
+    v = S.HEURISTIC_MODEL_VERSION
+    latest = M.latest_per_service(metrics, window_size).withColumn("generated_at", F.col("window_end"))
+    h = H.health_score(latest)
+    health = _prediction_rows(h, "health", v, F.struct(F.col("health_score").alias("score"),
+                                                       F.col("health_status").alias("status"), "components"))
+    a = H.heuristic_anomaly(latest)
+    anomaly = _prediction_rows(a, "anomaly", v, F.struct("anomaly_score", "is_anomaly", "contamination"))
+    f = H.heuristic_failure(metrics.filter(F.col("window_size") == window_size)) \
+        .join(latest.select("service_id", "generated_at"), "service_id")
+    failure = _prediction_rows(f, "failure", v, F.struct("failure_probability", "risk_level",
+                                                         F.lit(30).alias("horizon_minutes")), horizon=F.lit(30))
+    t = H.naive_forecast(latest)
+    traffic = _prediction_rows(t, "traffic", v, F.struct(F.lit(horizon).alias("horizon_minutes"), "predicted_rpm"),
+                               horizon=F.lit(horizon))
+    return health.unionByName(anomaly).unionByName(failure).unionByName(traffic)
+
+
+def score_failure(spark: SparkSession, features: DataFrame, store: str, min_rows: int,
+                  metrics: DataFrame, window_size: str) -> DataFrame:
+    """K22 failure: the stored model scores services with a complete inference
+    row (G8); the rest fall back to the heuristic (D9).  No model -> all heuristic."""
+    from . import heuristics as H
+    from ..functions import exprs as X
+    loaded = load_model(spark, store, "failure")
+    heur = H.heuristic_failure(metrics.filter(F.col("window_size") == window_size)) \
+        .select("service_id", F.col("failure_probability").alias("p"), F.lit(0.5).alias("t"),
+                F.lit(S.HEURISTIC_MODEL_VERSION).alias("model_version"), F.col("as_of").alias("generated_at"))
+    if loaded is None:
+        scored = heur
+    else:
+        model, meta = loaded
+        t = float(meta["hyperparameters"].get("decision_threshold", 0.5))
+        ready, rejected = FE.latest_features(features, min_rows=min_rows)
+        by_model = model.transform(ready).select(
+            "service_id", vector_to_array("probability")[1].alias("p"), F.lit(t).alias("t"),
+            F.lit(meta["model_version"]).alias("model_version"), F.col("window_start").alias("generated_at"))
+        scored = by_model.unionByName(heur.join(rejected.select("service_id"), "service_id", "left_semi"))
+    scored = scored.withColumn("risk_level", X.risk_level(F.col("p"), F.col("t")))
+    return _prediction_rows(scored, "failure", F.col("model_version"),
+                            F.struct(F.col("p").alias("failure_probability"), "risk_level"),
+                            horizon=F.lit(30), confidence=F.round(F.col("p"), 4))
+
+
+def train(spark: SparkSession, features: DataFrame, store: str, modules=("traffic", "failure"),
+          horizons=S.TRAFFIC_HORIZONS, **params) -> DataFrame:
+    """Train the requested modules, save each (A12) and return their run
+    rows (A11) with the newest run per module marked active."""
+    from ..operators import maintain as MT
+    runs = None
+    n_rows = features.count()
+    for module in modules:
+        if module == "traffic":
+            models, rep = train_traffic(features, horizons=horizons, **params.get("traffic", {}))
+            h = max(models)
+            metrics = {f"rmse_{r['horizon']}": float(r["rmse"]) for r in rep.collect()}
+            meta = save_model(models[h], store, "traffic", metrics, {"horizon": h}, n_rows, "GBTRegressor", spark)
+        elif module == "failure":
+            model, sweep, rep = train_failure(features, **params.get("failure", {}))
+            r = rep.first().asDict()
+            best = sweep.filter("is_best").select("threshold").first()
+            hp = {"decision_threshold": float(best["threshold"]) if best else 0.5}
+            meta = save_model(model, store, "failure", {k: float(v) for k, v in r.items() if v is not None}, hp,
+                              n_rows, "GBTClassifier", spark)
+        else:
+            raise ValueError(f"module {module!r} is trained by its own job")
+        row = run_row(spark, meta, f"{store}/{module}")
+        runs = row if runs is None else runs.unionByName(row)
+    return MT.active_runs(runs)

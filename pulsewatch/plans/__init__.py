@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, PLANS
 
-_MODULES = ("core", "ingest", "alerting", "features", "scoring", "dashboards", "tables", "models", "streams")
+_MODULES = ("core", "ingest", "alerting", "features", "scoring", "dashboards", "tables", "models", "streams", "serving")
 
 
 def load_all():
