@@ -101,7 +101,7 @@ c AS (
 ),
 ctx AS (
   SELECT service_id, window_start, triggering_metric, trigger_order, service_name,
-         hour(window_start) AS hour_of_day,
+         CAST(hour(window_start) AS INTEGER) AS hour_of_day,
          100.0 * (0.6 * greatest(0.0, 1.0 - CAST(error_rate AS DOUBLE))
                   + 0.4 * greatest(0.0, 1.0 - least(1.0, CAST(response_time_p99 AS DOUBLE) / 5000.0)))
            AS current_health_score,

@@ -107,7 +107,7 @@ freq AS (SELECT a.id, (SELECT count(*) FROM ord b WHERE b.service_id = a.service
 hl AS ({HEALTH_SQL_BODY.format(src='latest_h')}),
 hs AS (SELECT service_id, 100.0 * ((0.3 * c_error + 0.3 * c_latency + 0.2 * c_traffic) / (0.3 + 0.3 + 0.2)) AS health FROM hl),
 ctx AS (
-  SELECT o.id, o.service_id, o.triggering_metric, o.severity, o.opened_at, hour(o.opened_at) AS hour_of_day,
+  SELECT o.id, o.service_id, o.triggering_metric, o.severity, o.opened_at, CAST(hour(o.opened_at) AS INTEGER) AS hour_of_day,
          CAST(fr.f AS INTEGER) AS alert_frequency_24h, hs.health AS current_health_score,
          o.severity = 'critical' AS fail, coalesce({PAY}, false) AS pay
   FROM open_top o JOIN freq fr ON o.id = fr.id LEFT JOIN hs ON o.service_id = hs.service_id
