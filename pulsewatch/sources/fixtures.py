@@ -134,11 +134,14 @@ def api_log_envelopes(events: DataFrame) -> DataFrame:
                   natural_key=[F.col("event_id").cast("string")],
                   occurred_at=F.col("request_timestamp"), key=F.col("service_id"))
     eid = F.col("event_id")
-    corrupt = F.pmod(eid, F.lit(CORRUPT_MOD)) == CORRUPT_REM
-    value = F.when(corrupt, F.substring(F.col("value"), 1, 40)).otherwise(F.col("value"))
     # ``seq`` plays the role of the topic offset: it identifies a delivery
-    # even when its bytes cannot be parsed.
-    return env.select(eid.alias("seq"), F.col("delivery"), F.col("key"), value.alias("value"))
+    # even when its bytes cannot be parsed.  The envelope text is produced once
+    # (``inline`` boundary) before the corruption rule reads it twice.
+    env = env.select(F.inline(F.array(F.struct(eid.alias("seq"), F.col("delivery"), F.col("key"),
+                                                 F.col("value")))))
+    value = F.when(F.pmod(F.col("seq"), F.lit(CORRUPT_MOD)) == CORRUPT_REM,
+                   F.substring(F.col("value"), 1, 40)).otherwise(F.col("value"))
+    return env.select("seq", "delivery", "key", value.alias("value"))
 
 
 # ---- FIXED VALUES: incident episodes planted from error events --------------------

@@ -50,9 +50,11 @@ def unwrap(df: DataFrame, payload_schema: T.StructType = S.API_LOG_PAYLOAD,
     """Parse envelope JSON; unreadable text or wrong types land in ``_corrupt_record``."""
     schema = S.envelope_schema(payload_schema).add(CORRUPT_COL, T.StringType())
     parsed = F.from_json(F.col(value_col), schema,
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL,
-                          "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX"})
-    return df.withColumn("_env", parsed).select("*", "_env.*").drop("_env")
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL})
+    # ``inline`` expands the parsed struct in one Generate node: without it the
+    # optimizer inlines the parse into every extracted field (one JSON parse
+    # per field per row).
+    return df.select("*", F.inline(F.array(parsed)))
 
 
 def event_id(event_type: str, natural_key: list[Column]) -> Column:
