@@ -81,7 +81,7 @@ def classification_report(df: DataFrame, label: str = "y", pred: str = "yhat") -
         .withColumn("f1", _fbeta(F.col("precision"), F.col("recall"), 1.0))
 
 
-def rank_auc(df: DataFrame, label: str = "y", score: str = "p", buckets: int = 1024) -> DataFrame:
+def rank_auc(df: DataFrame, label: str = "y", score: str = "p", buckets: int = 256) -> DataFrame:
     """Exact ROC-AUC with tied scores counted one half (K7).
 
     AUC = (sum over positives of negatives scored lower + half the tied

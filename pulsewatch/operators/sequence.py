@@ -37,11 +37,13 @@ def row_index(df: DataFrame, key: str = "service_id", ts: str = "window_start",
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn("_idx", F.row_number().over(w) - 1)
     b = df.withColumn("_bucket", F.date_trunc("day", F.col(ts)))
-    counts = b.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    wc = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_base"))
     wb = Window.partitionBy(key, "_bucket").orderBy(*order)
     indexed = b.withColumn("_rn", F.row_number().over(wb))
+    # bucket sizes come from the numbered rows themselves, so both branches
+    # share one shuffle (the exchange is reused) and the input is read once
+    counts = indexed.groupBy(key, "_bucket").agg(F.max("_rn").alias("_n"))
+    wc = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_base"))
     return indexed.join(offsets, [key, "_bucket"]) \
         .withColumn("_idx", F.col("_base") + F.col("_rn") - 1).drop("_bucket", "_rn", "_base")
 

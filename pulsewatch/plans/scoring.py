@@ -15,6 +15,7 @@ from .alerting import CANDIDATES_SQL, FREQ_SQL, LABEL_SQL, candidates
 from .core import metrics_of
 from .features import FAILURE_SQL, HORIZONS, LOOKAHEAD, RUN, SIZE, rnd, srnd
 from .registry import plan
+from ..session import cut_lineage
 
 GRID = EV.threshold_grid()
 
@@ -84,10 +85,25 @@ scored AS (
 
 
 def scored(spark, sf_dir):
-    lab = FE.failure_labels(FE.as_numeric(metrics_of(spark, sf_dir, SIZE)),
-                            RUN, LOOKAHEAD)
-    return H.rolling_failure_probability(lab).select(
-        "service_id", "window_start", F.col("failure_probability").alias("p"), F.col("failure_target").alias("y"))
+    """Rolling failure heuristic (30 rows back) next to the failure label
+    (5-row streaks, 15 rows ahead): one chunked sequence serves both frames."""
+    from ..functions import exprs as X
+    from ..operators import sequence as SQ
+    m = FE.as_numeric(metrics_of(spark, sf_dir, SIZE))
+    back = S.FAILURE_RECENT_ROWS
+    seq = SQ.sequenced(m.withColumn("_bad", X.is_breach().cast("int")),
+                       before=back - 1, after=RUN - 1 + LOOKAHEAD)
+    w = SQ.halo_window()
+    roll = w.rowsBetween(-(back - 1), 0)
+    ahead = w.rowsBetween(0, RUN - 1)
+    p = F.least(F.lit(1.0), 0.5 * F.avg("error_rate").over(roll)
+                + 0.5 * F.avg((F.col("response_time_p99") > S.ALERT_P99_MS).cast("double")).over(roll))
+    s = seq.withColumn("p", F.round(p, 9)).withColumn(
+        "_start", ((F.min("_bad").over(ahead) == 1) & (F.count(F.lit(1)).over(ahead) == RUN)).cast("int"))
+    s = s.withColumn("y", F.coalesce(F.max("_start").over(w.rowsBetween(1, LOOKAHEAD)), F.lit(0)).cast("int"))
+    # metric-sized (one row per service window) and read by several branches:
+    # materialise once in the shared checkpoint folder
+    return cut_lineage(SQ.finish(s).select("service_id", "window_start", "p", "y"))
 
 
 @plan("risk_levels", sql=f"""
