@@ -240,13 +240,22 @@ def score_failure(spark: SparkSession, features: DataFrame, store: str, min_rows
         model, meta = loaded
         t = float(meta["hyperparameters"].get("decision_threshold", 0.5))
         ready, rejected = FE.latest_features(features, min_rows=min_rows)
+        top = top_contributions(model)           # K24: 5 importances of the fitted model
+        contrib = F.array(*[F.struct(F.lit(c["feature"]).alias("feature"),
+                                     F.lit(c["contribution"]).alias("contribution")) for c in top])
         by_model = model.transform(ready).select(
             "service_id", vector_to_array("probability")[1].alias("p"), F.lit(t).alias("t"),
-            F.lit(meta["model_version"]).alias("model_version"), F.col("window_start").alias("generated_at"))
-        scored = by_model.unionByName(heur.join(rejected.select("service_id"), "service_id", "left_semi"))
+            F.lit(meta["model_version"]).alias("model_version"), F.col("window_start").alias("generated_at"),
+            contrib.alias("contributing_features"))
+        heur_rows = heur.join(rejected.select("service_id"), "service_id", "left_semi") \
+            .withColumn("contributing_features", F.lit(None).cast(by_model.schema["contributing_features"].dataType))
+        scored = by_model.unionByName(heur_rows)
+    if "contributing_features" not in scored.columns:
+        scored = scored.withColumn("contributing_features",
+                                   F.lit(None).cast("array<struct<feature:string,contribution:double>>"))
     scored = scored.withColumn("risk_level", X.risk_level(F.col("p"), F.col("t")))
     return _prediction_rows(scored, "failure", F.col("model_version"),
-                            F.struct(F.col("p").alias("failure_probability"), "risk_level"),
+                            F.struct(F.col("p").alias("failure_probability"), "risk_level", "contributing_features"),
                             horizon=F.lit(30), confidence=F.round(F.col("p"), 4))
 
 

@@ -119,4 +119,5 @@ def score_models(spark, sf_dir):
     IO.write_predictions(preds, f"{store}/predictions")
     return spark.read.parquet(f"{store}/predictions").select(
         "service_id", "module", "model_version", "horizon_minutes",
-        F.get_json_object("value", "$.risk_level").alias("risk_level"))
+        F.get_json_object("value", "$.risk_level").alias("risk_level"),
+        F.get_json_object("value", "$.contributing_features[0].feature").alias("top_feature"))

@@ -196,3 +196,49 @@ def active_model_runs(spark, sf_dir):
         F.col("rows_to_date").cast("int").alias("training_rows"))
     runs = runs.withColumn("model_version", F.date_format("trained_at", "yyyyMMdd'T'HHmmss'Z'"))
     return MT.active_runs(runs).filter("is_active").select("module", "model_version", "trained_at", "training_rows")
+
+
+@plan("api_logs_table", sql=f"""
+WITH {Q.API_LOGS}
+SELECT CAST(request_timestamp AS DATE) AS date, service_id, count(*) AS requests,
+       CAST(sum(response_time_ms) AS BIGINT) AS total_ms
+FROM api_logs GROUP BY 1, 2""")
+def api_logs_table(spark, sf_dir):
+    """A5: api_logs written partitioned by request date and scanned back whole."""
+    path = scratch_path(spark, f"api-logs-{uuid.uuid4().hex}")
+    IO.write_api_logs(logs(spark, sf_dir).drop("event_id"), path, mode="overwrite")
+    back = spark.read.parquet(path)
+    return back.groupBy("date", "service_id").agg(F.count(F.lit(1)).alias("requests"),
+                                                 F.sum("response_time_ms").cast("long").alias("total_ms"))
+
+
+@plan("load_summary", sql=f"""
+WITH {Q.API_LOGS},
+m AS ({Q.metrics('1m')} UNION ALL {Q.metrics('5m')} UNION ALL {Q.metrics('1h')})
+SELECT window_size, count(*) AS rows, count(DISTINCT service_id) AS services FROM m GROUP BY window_size""")
+def load_summary(spark, sf_dir):
+    """rows and distinct services loaded, per window size."""
+    m = M.aggregate_windows(logs(spark, sf_dir))
+    return m.groupBy("window_size").agg(F.count(F.lit(1)).alias("rows"),
+                                        F.countDistinct("service_id").alias("services"))
+
+
+@plan("service_insert", sql=f"""
+WITH {Q.API_LOGS}, {FEED}, {Q.SERVICES}
+SELECT id, capture_telemetry FROM services
+UNION ALL
+SELECT DISTINCT service_id, true FROM feed WHERE service_id NOT IN (SELECT id FROM services)""")
+def service_insert(spark, sf_dir):
+    """M1: services first seen on the feed are inserted with defaults; known
+    ids stay untouched (a rerun inserts nothing)."""
+    feed = FX.api_log_payloads(FX.read_table(spark, sf_dir, "events"))
+    seen = feed.select(F.col("service_id").alias("id")).distinct()
+    new = seen.select(
+        "id", F.col("id").alias("name"), F.lit("http://unknown").alias("base_url"),
+        F.lit(None).cast("string").alias("owner"), F.lit("development").alias("environment"),
+        F.lit("discovered on the api-logs feed").alias("description"), F.lit(True).alias("capture_telemetry"),
+        F.lit(None).cast("string").alias("created_by"), F.lit(FX.SERVICES_CREATED_AT).alias("created_at"),
+        F.lit(FX.SERVICES_CREATED_AT).alias("updated_at"))
+    once = MT.insert_services(FX.services(spark), new)
+    twice = MT.insert_services(once, new)
+    return twice.select("id", "capture_telemetry")
