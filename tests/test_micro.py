@@ -252,3 +252,64 @@ def test_chrono_split_on_timestamp_boundary(spark):
     df2 = spark.createDataFrame([("s", mins(k // 3)) for k in range(10)], "service_id string, window_start timestamp")
     train2, test2 = FE.chrono_split(df2)      # cut at row 8 falls inside minute 2 -> whole minute tests
     assert train2.count() == 6 and test2.count() == 4
+
+
+def test_user_id_and_status_defaults(spark):
+    df = spark.createDataFrame([("0F8FAD5B-D9CB-469F-A165-70867728950E", None), ("42", 404)],
+                               "user_id string, status_code short")
+    out = QY.default_status(QY.parse_user_id(df)).collect()
+    assert out[0].user_id == "0f8fad5b-d9cb-469f-a165-70867728950e" and out[0].status_code == 0
+    assert out[1].user_id is None and out[1].status_code == 404
+
+
+def test_metrics_table_scan_and_csv(spark, tmp_path):
+    from pulsewatch.sources import io as IO
+    m = metric_rows(spark, [("a", k, 100 + k, 0.01) for k in range(5)] + [("b", 2, 50, 0.0)])
+    path = str(tmp_path / "metrics")
+    IO.write_metrics(m, path)
+    got = IO.load_metrics(spark, path, "1m", since=mins(1), until=mins(4), service_id="a")
+    assert sorted(r.window_start for r in got.collect()) == [mins(1), mins(2), mins(3)]
+    assert got.columns == list(S.METRIC_COLUMNS)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "PushedFilters" in plan
+    csv = str(tmp_path / "csv")
+    IO.write_metrics_csv(m, csv)
+    back = IO.read_metrics_csv(spark, csv)
+    assert sorted(back.collect()) == sorted(m.select(*S.METRIC_COLUMNS).collect())
+
+
+def test_history_and_snapshot(spark):
+    m = metric_rows(spark, [("a", k, 100 + k, 0.01) for k in range(5)] + [("b", 2, 50, 0.0)])
+    h = M.history(m, "a", mins(1), mins(3))
+    assert [r.window_start for r in h.collect()] == [mins(1), mins(2)]
+    snap = M.snapshot(m.filter(F.col("service_id") == "b")).first()
+    assert snap.timestamp == mins(2) and snap.response_time_p99 == 50.0 and snap.cpu_usage_pct is None
+
+
+def test_upsert_is_idempotent(spark, tmp_path):
+    from pulsewatch.sources import io as IO
+    path = str(tmp_path / "up")
+    old = metric_rows(spark, [("a", k, 100, 0.01) for k in range(3)]) \
+        .withColumn("computed_at", F.lit(mins(0)).cast("timestamp"))
+    new = metric_rows(spark, [("a", k, 900, 0.5) for k in range(1, 4)]) \
+        .withColumn("computed_at", F.lit(mins(10)).cast("timestamp"))
+    IO.write_metrics(old, path)
+    IO.upsert_metrics(new, path)
+    IO.upsert_metrics(new, path)
+    got = {r.window_start: float(r.response_time_p99) for r in IO.load_metrics(spark, path).collect()}
+    assert got == {mins(0): 100.0, mins(1): 900.0, mins(2): 900.0, mins(3): 900.0}
+    IO.load_metrics_if_absent(old, path)
+    assert IO.load_metrics(spark, path).count() == 4
+
+
+def test_isolation_forest_deterministic(spark):
+    from pulsewatch.ml import iforest as IF
+    import random
+    rnd = random.Random(3)
+    rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(400)] + [(1000, 8.0, 8.0)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    f1 = IF.fit(df, ["x", "y"], ["k"], n_trees=20)
+    f2 = IF.fit(df.repartition(7), ["x", "y"], ["k"], n_trees=20)
+    assert sorted(f1.collect()) == sorted(f2.collect())
+    s = IF.score(df, f1, ["x", "y"]).orderBy(F.col("iso_score").desc()).first()
+    assert s.k == 1000
