@@ -184,3 +184,14 @@ def latest_prediction_stream(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy("service_id", "module").agg(
         F.max_by(F.struct("generated_at", "model_version", "value"), F.col("generated_at")).alias("latest")) \
         .select("service_id", "module", "latest.*")
+
+
+def start(df: DataFrame, sink_path: str, checkpoint: str, trigger: str | None = "1 minute",
+          mode: str = "append", partition_by: tuple = ()):
+    """Run a job on the product's cadence (``processingTime`` trigger,
+    default one minute) or drain what is available (``trigger=None``), with
+    its checkpoint in shared storage and an idempotent per-batch sink."""
+    w = df.writeStream.outputMode(mode).foreachBatch(batch_sink(sink_path, partition_by)) \
+        .option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)
+    return w.start()
