@@ -12,7 +12,6 @@ from ..sources import fixtures as FX
 from . import sqlparts as Q
 from .registry import plan
 
-METRIC_OUT = [c for c in S.METRIC_COLUMNS] + []
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

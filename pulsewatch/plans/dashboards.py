@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..operators import alerts as AL
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import views as V
@@ -16,7 +15,7 @@ from ..sources import fixtures as FX
 from ..sources import io as IO
 from . import sqlparts as Q
 from .alerting import LIFECYCLE_SQL, lifecycle
-from .core import HEALTH_SELECT, HEALTH_SQL_BODY, logs, metrics_of
+from .core import HEALTH_SQL_BODY, logs, metrics_of
 from .registry import plan
 
 LATEST_1M = """latest AS (SELECT * FROM metrics

@@ -13,7 +13,7 @@ from ..operators import metrics as M
 from . import sqlparts as Q
 from .alerting import CANDIDATES_SQL, FREQ_SQL, LABEL_SQL, candidates
 from .core import metrics_of
-from .features import FAILURE_SQL, HORIZONS, LOOKAHEAD, RUN, SIZE, rnd, srnd
+from .features import FAILURE_SQL, HORIZONS, LOOKAHEAD, RUN, SIZE
 from .registry import plan
 from ..session import cut_lineage
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..ml import heuristics as H
 from ..ml import models as ML
-from ..operators import features as FE
 from ..operators import views as V
 from ..session import scratch_path
 from ..sources import io as IO

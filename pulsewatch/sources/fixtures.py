@@ -1,7 +1,7 @@
 """Map the driver's ``events`` table to the product's ``api_logs`` fact.
 
 The mapping is a narrow projection (no shuffle).  The same rules are written
-as SQL in ``pulsewatch.plans.oracle`` so that DuckDB can check every plan.
+as SQL in ``pulsewatch.plans.sqlparts`` so that DuckDB can check every plan.
 
 FIXED VALUES: the service dimension rows and planting rules below are the
 test-data contract of this repository (see FIXTURES.md); the fallback row is

@@ -8,7 +8,6 @@ predicates of every read prune partitions before any file is opened.
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F

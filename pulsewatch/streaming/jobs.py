@@ -29,7 +29,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
 from ..functions import exprs as X
-from ..operators import metrics as M
 from ..operators import quality as QY
 from ..sources import io as IO
 
