@@ -125,6 +125,20 @@ def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees:
         sweep = sweep.unionByName(r)
     sweep = sweep.withColumn("f1", F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")))
                              .otherwise(F.lit(0.0)))
+    # K9: first grid value with the best F1 (the default when no label is positive)
+    from pyspark.sql import Window
+    has_pos = F.max(F.col("tp") + F.col("fn")).over(Window.partitionBy()) > 0     # <= 6 rows
+    rank = F.row_number().over(Window.orderBy(F.col("f1").desc(), F.col("contamination")))
+    sweep = sweep.withColumn("is_best", F.when(has_pos, rank == 1)
+                             .otherwise(F.col("contamination") == S.ANOMALY_CONTAMINATION_DEFAULT))
+    # 0..1 anomaly score; raw = score_samples (= -iso), floor = offset - 0.1, ceiling 0
+    from . import heuristics as H
+    cut_default = cuts.select(F.col(f"c{list(grid).index(S.ANOMALY_CONTAMINATION_DEFAULT)}").alias("_cut")) \
+        if S.ANOMALY_CONTAMINATION_DEFAULT in grid else None
+    if cut_default is not None:
+        scored = scored.crossJoin(F.broadcast(cut_default)).withColumn(
+            "anomaly_score", H.normalised_anomaly(-F.col("iso_score"), -F.col("_cut") - 0.1, 0.0)) \
+            .withColumn("is_anomaly_pred", F.col("iso_score") >= F.col("_cut")).drop("_cut")
     return forest, scored, sweep
 
 

@@ -313,3 +313,23 @@ def test_isolation_forest_deterministic(spark):
     assert sorted(f1.collect()) == sorted(f2.collect())
     s = IF.score(df, f1, ["x", "y"]).orderBy(F.col("iso_score").desc()).first()
     assert s.k == 1000
+
+
+def test_anomaly_training_sweep_and_score(spark):
+    import random
+    from pulsewatch.ml import models as ML
+    rnd = random.Random(5)
+    rows = []
+    for k in range(300):
+        p99 = 5000.0 if k % 37 == 0 else 200 + rnd.random() * 50
+        rows.append(("a", k, round(p99, 2), 0.01))
+    m = metric_rows(spark, rows)
+    feats = FE.build_features(m, lags=(1, 2, 3), rolling=3)
+    labels = spark.createDataFrame([("a", mins(k), k % 37 == 0, False) for k in range(300)], S.ANOMALY_LABELS)
+    forest, scored, sweep = ML.train_anomaly(feats, labels=labels, n_trees=30)
+    got = sweep.collect()
+    assert len(got) == len(S.CONTAMINATION_GRID) and sum(r.is_best for r in got) == 1
+    s = scored.collect()
+    assert all(0.0 <= r.anomaly_score <= 1.0 for r in s)
+    top = sorted(s, key=lambda r: -r.iso_score)[:5]
+    assert sum(r.is_anomaly for r in top) >= 3
