@@ -30,13 +30,17 @@ DEFAULT_CHUNK_ROWS = 100_000
 
 
 def row_index(df: DataFrame, key: str = "service_id", ts: str = "window_start",
-              tiebreak: tuple = (), bucketed: bool = True) -> DataFrame:
-    """Add ``_idx``: 0-based position of the row in its key's ``ts`` order."""
+              tiebreak: tuple = (), bucketed: bool = True, bucket: str = "day") -> DataFrame:
+    """Add ``_idx``: 0-based position of the row in its key's ``ts`` order.
+
+    ``bucket`` is the ``date_trunc`` unit of the numbering partitions: a day
+    holds at most 1 440 one-minute windows per key; use ``"hour"`` (or finer)
+    for tables with many rows per key and day."""
     order = [F.col(ts)] + [F.col(c) for c in tiebreak]
     if not bucketed:
         w = Window.partitionBy(key).orderBy(*order)
         return df.withColumn("_idx", F.row_number().over(w) - 1)
-    b = df.withColumn("_bucket", F.date_trunc("day", F.col(ts)))
+    b = df.withColumn("_bucket", F.date_trunc(bucket, F.col(ts)))
     wb = Window.partitionBy(key, "_bucket").orderBy(*order)
     indexed = b.withColumn("_rn", F.row_number().over(wb))
     # bucket sizes come from the numbered rows themselves, so both branches
