@@ -153,10 +153,10 @@ def alert_message(trigger, p99, err, p99_ms: float = S.ALERT_P99_MS,
                   error_rate: float = S.ALERT_ERROR_RATE) -> Column:
     """Alert text (C9); java.util.Formatter rounding, as in the product."""
     return (F.when(_c(trigger) == "latency",
-                   F.format_string("P99 latency %.0f ms exceeds threshold %.0f ms",
+                   F.format_string(S.ALERT_MESSAGE_LATENCY,
                                    _c(p99).cast("double"), F.lit(float(p99_ms))))
             .when(_c(trigger) == "error_rate",
-                  F.format_string("Error rate %.2f%% exceeds threshold %.0f%%",
+                  F.format_string(S.ALERT_MESSAGE_ERROR_RATE,
                                   _c(err).cast("double") * 100, F.lit(float(error_rate) * 100))))
 
 

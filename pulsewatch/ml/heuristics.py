@@ -128,9 +128,9 @@ def heuristic_priority(df: DataFrame) -> DataFrame:
         "priority", F.when(fail, "critical").when(pay, X.escalate(F.col("_base"))).otherwise(F.col("_base"))
     ).withColumn(
         "rationale",
-        F.when(fail, F.lit("Coincident failure prediction — auto-critical"))
-        .when(pay, F.concat(F.col("_base"), F.lit(" escalated for payment/auth service")))
-        .otherwise(F.lit("Base heuristic priority")),
+        F.when(fail, F.lit(S.RATIONALE_FAILURE))
+        .when(pay, F.concat(F.col("_base"), F.lit(S.RATIONALE_ESCALATED)))
+        .otherwise(F.lit(S.RATIONALE_BASE)),
     ).drop("_base")
 
 

@@ -51,6 +51,11 @@ TRAFFIC_MIN_HISTORY, FAILURE_MIN_HISTORY = 24, 30
 HISTORY_HOURS = 26
 FAILURE_RECENT_ROWS = 30
 HEURISTIC_MODEL_VERSION = "stub-0.0.0"
+ALERT_MESSAGE_LATENCY = "P99 latency %.0f ms exceeds threshold %.0f ms"
+ALERT_MESSAGE_ERROR_RATE = "Error rate %.2f%% exceeds threshold %.0f%%"
+RATIONALE_FAILURE = "Coincident failure prediction — auto-critical"
+RATIONALE_ESCALATED = " escalated for payment/auth service"
+RATIONALE_BASE = "Base heuristic priority"
 FALLBACK_SERVICE_ID = "00000000-0000-0000-0000-00000000feed"
 
 # Feature matrix column order (models persist this order).
