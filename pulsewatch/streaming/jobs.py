@@ -194,3 +194,12 @@ def start(df: DataFrame, sink_path: str, checkpoint: str, trigger: str | None =
         .option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)
     return w.start()
+
+
+def health_events(health: DataFrame) -> DataFrame:
+    """Health scores as ``service-health`` envelopes keyed by service id."""
+    payload = F.struct("service_id", F.col("window_start").alias("timestamp"),
+                       F.col("health_score").alias("score"), F.col("health_status").alias("status"), "components")
+    return IO.wrap(health.withColumn("payload", payload), "service_health", "ml-service",
+                   natural_key=[F.col("service_id"), F.col("window_start").cast("string")],
+                   occurred_at=F.col("window_start"), key=F.col("service_id")).select("key", "value")
