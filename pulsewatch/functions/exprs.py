@@ -74,6 +74,16 @@ def half_up_ratio(num, den, scale: int, precision: int) -> Column:
     return (q * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal({precision},{scale})")
 
 
+def half_up_sql(num: str, den: str, scale: int, precision: int) -> str:
+    """SQL text of ``half_up_ratio`` for column expressions given as SQL (one
+    parse on the JVM instead of one call per operator)."""
+    p = 10 ** scale
+    a = f"(CAST({num} AS BIGINT) * {2 * p} + CAST({den} AS BIGINT))"
+    b = f"(CAST({den} AS BIGINT) * 2)"
+    q = f"CAST(CAST({a} - pmod({a}, {b}) AS DECIMAL(38,0)) / CAST({b} AS DECIMAL(20,0)) AS DECIMAL(20,0))"
+    return f"CAST({q} * {Decimal(1).scaleb(-scale)}BD AS DECIMAL({precision},{scale}))"
+
+
 def dec2(x) -> Column:
     """Round a double to 2 places then store as decimal(10,2)."""
     return F.round(_c(x), 2).cast("decimal(10,2)")

@@ -24,12 +24,11 @@ from .. import schemas as S
 from ..functions import exprs as X
 
 
-def _window_pairs(ts: Column, sizes) -> Column:
-    return F.array(*[
-        F.struct(F.lit(s).alias("window_size"),
-                 X.floor_time(ts, S.WINDOW_MINUTES[s]).alias("window_start"))
-        for s in sizes
-    ])
+def _window_pairs_sql(ts: str, sizes) -> str:
+    us = f"unix_micros({ts})"
+    pairs = [f"named_struct('window_size', '{s}', 'window_start', "
+             f"timestamp_micros({us} - pmod({us}, {S.WINDOW_MINUTES[s] * 60_000_000}L)))" for s in sizes]
+    return f"inline(array({', '.join(pairs)}))"
 
 
 def aggregate_windows(api_logs: DataFrame, sizes=S.WINDOW_SIZES, exact: bool = True,
@@ -37,40 +36,36 @@ def aggregate_windows(api_logs: DataFrame, sizes=S.WINDOW_SIZES, exact: bool = T
     """api_logs -> metrics rows for each window size in ``sizes``.
 
     Half-open ``[start, start + size)`` UTC windows; silent services emit no row.
+    Projections are SQL expressions (one JVM round trip per column).
     """
-    logs = api_logs.select(
+    logs = api_logs.selectExpr(
         "service_id",
-        F.col("response_time_ms").cast("int").alias("rt"),
-        X.is_error("status_code").cast("int").alias("err"),
-        F.inline(_window_pairs(F.col("request_timestamp"), sizes)),
+        "CAST(response_time_ms AS INT) AS rt",
+        "CAST(coalesce(status_code, 0) >= 400 AS INT) AS err",
+        _window_pairs_sql("request_timestamp", sizes),
     )
-    pct = (F.percentile(F.col("rt"), F.array(F.lit(0.95), F.lit(0.99))) if exact
-           else F.percentile_approx(F.col("rt"), F.array(F.lit(0.95), F.lit(0.99)), 10000).cast("array<double>"))
+    pct = ("percentile(rt, array(0.95D, 0.99D))" if exact
+           else "CAST(percentile_approx(rt, array(0.95D, 0.99D), 10000) AS ARRAY<DOUBLE>)")
     agg = logs.groupBy("service_id", "window_size", "window_start").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("rt").alias("rt_sum"),
-        F.count("rt").alias("rt_n"),
-        F.sum("err").alias("n_err"),
-        pct.alias("pct"),
-    )
-    minutes = F.coalesce(*[F.when(F.col("window_size") == s, F.lit(S.WINDOW_MINUTES[s]))
-                           for s in sizes], F.lit(1))
-    return agg.select(
+        F.expr("count(1)").alias("n"), F.expr("sum(rt)").alias("rt_sum"), F.expr("count(rt)").alias("rt_n"),
+        F.expr("sum(err)").alias("n_err"), F.expr(pct).alias("pct"))
+    minutes = "CASE window_size " + " ".join(f"WHEN '{s}' THEN {S.WINDOW_MINUTES[s]}" for s in sizes) + " ELSE 1 END"
+    out = agg.selectExpr(
         "service_id",
         "window_start",
-        (F.col("window_start") + F.make_dt_interval(mins=minutes)).alias("window_end"),
+        f"window_start + make_dt_interval(0, 0, {minutes}, 0) AS window_end",
         "window_size",
-        F.col("n").cast("int").alias("request_count"),
-        X.half_up_ratio(F.col("n"), minutes, 2, 10).alias("rpm"),
-        X.half_up_ratio(F.col("rt_sum"), F.col("rt_n"), 2, 10).alias("response_time_mean"),
-        X.dec2(F.col("pct")[0]).alias("response_time_p95"),
-        X.dec2(F.col("pct")[1]).alias("response_time_p99"),
-        X.half_up_ratio(F.col("n_err"), F.col("n"), 4, 5).alias("error_rate"),
-        X.half_up_ratio(F.col("n") - F.col("n_err"), F.col("n"), 4, 5).alias("success_rate"),
-        F.lit(None).cast("decimal(5,2)").alias("cpu_usage_pct"),
-        F.lit(None).cast("decimal(5,2)").alias("memory_usage_pct"),
-        (computed_at if computed_at is not None else F.current_timestamp()).alias("computed_at"),
+        "CAST(n AS INT) AS request_count",
+        f"{X.half_up_sql('n', minutes, 2, 10)} AS rpm",
+        f"{X.half_up_sql('rt_sum', 'rt_n', 2, 10)} AS response_time_mean",
+        "CAST(round(pct[0], 2) AS DECIMAL(10,2)) AS response_time_p95",
+        "CAST(round(pct[1], 2) AS DECIMAL(10,2)) AS response_time_p99",
+        f"{X.half_up_sql('n_err', 'n', 4, 5)} AS error_rate",
+        f"{X.half_up_sql('n - n_err', 'n', 4, 5)} AS success_rate",
+        "CAST(NULL AS DECIMAL(5,2)) AS cpu_usage_pct",
+        "CAST(NULL AS DECIMAL(5,2)) AS memory_usage_pct",
     )
+    return out.withColumn("computed_at", computed_at if computed_at is not None else F.current_timestamp())
 
 
 def window_metrics(api_logs: DataFrame, size: str = "1m", exact: bool = True) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions import exprs as X
 
 # ---- FIXED VALUES ------------------------------------------------------------
 N_SERVICES = 5
@@ -71,31 +70,34 @@ def service_of_user(user_id="user_id") -> Column:
 
 def api_logs(events: DataFrame) -> DataFrame:
     """events -> api_logs (one row per request), columns of ``schemas.API_LOGS``
-    plus ``event_id`` kept as the ingest order key."""
-    k = props_k()
-    et = F.col("event_type")
-    ts = F.col("ts").cast("timestamp")
-    status = (F.when((et == "error") & (F.pmod(k, F.lit(4)) == 0), 500)
-              .when((et == "error") & (F.pmod(k, F.lit(4)) == 1), 404)
-              .when(et == "signup", 201).otherwise(200)).cast("short")
-    endpoint = F.concat(F.lit("/"), et, F.lit("/"), F.pmod(F.col("user_id"), F.lit(N_ENDPOINTS)).cast("string"))
-    out = events.select(
-        F.col("event_id"),
-        service_of_user().alias("service_id"),
-        endpoint.alias("endpoint"),
-        F.when(et.isin("purchase", "signup"), "POST").otherwise("GET").alias("http_method"),
-        status.alias("status_code"),
-        F.floor(F.col("value") * 20).cast("int").alias("response_time_ms"),
-        F.lit(None).cast("string").alias("user_agent"),
-        F.lit(None).cast("string").alias("client_ip"),
-        F.col("user_id").cast("string").alias("user_id"),
-        F.lit(None).cast("int").alias("request_bytes"),
-        F.lit(None).cast("int").alias("response_bytes"),
-        ts.alias("request_timestamp"),
-        ts.alias("ingested_at"),
+    plus ``event_id`` kept as the ingest order key.  One SQL projection."""
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    ts = "CAST(ts AS TIMESTAMP)"
+    iso = (f"concat(date_format(date_trunc('second', {ts}), \"yyyy-MM-dd'T'HH:mm\"), "
+           f"CASE WHEN second({ts}) = 0 THEN '' ELSE date_format(date_trunc('second', {ts}), ':ss') END, 'Z')")
+    svc = f"concat('svc-', CAST(pmod(user_id, {N_SERVICES}) AS STRING))"
+    endpoint = f"concat('/', event_type, '/', CAST(pmod(user_id, {N_ENDPOINTS}) AS STRING))"
+    status = (f"CAST(CASE WHEN event_type = 'error' AND pmod({k}, 4) = 0 THEN 500 "
+              f"WHEN event_type = 'error' AND pmod({k}, 4) = 1 THEN 404 "
+              f"WHEN event_type = 'signup' THEN 201 ELSE 200 END AS SMALLINT)")
+    key = (f"sha2(concat_ws('|', {svc}, {endpoint}, {iso}, CAST({status} AS STRING), "
+           f"CAST(user_id AS STRING)), 256)")
+    return events.selectExpr(
+        "event_id",
+        f"{svc} AS service_id",
+        f"{endpoint} AS endpoint",
+        "CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS http_method",
+        f"{status} AS status_code",
+        "CAST(floor(value * 20) AS INT) AS response_time_ms",
+        "CAST(NULL AS STRING) AS user_agent",
+        "CAST(NULL AS STRING) AS client_ip",
+        "CAST(user_id AS STRING) AS user_id",
+        "CAST(NULL AS INT) AS request_bytes",
+        "CAST(NULL AS INT) AS response_bytes",
+        f"{ts} AS request_timestamp",
+        f"{ts} AS ingested_at",
+        f"{key} AS dedup_key",
     )
-    return out.withColumn("dedup_key", X.dedup_key("service_id", "endpoint", "request_timestamp",
-                                                    "status_code", "user_id"))
 
 
 def api_log_payloads(events: DataFrame) -> DataFrame:
