@@ -24,17 +24,18 @@ def _dbl(c: str) -> Column:
 
 
 def as_numeric(metrics: DataFrame) -> DataFrame:
-    """Metric columns as doubles, resources imputed (B10), cyclical time."""
-    return QY.impute_resources(metrics).select(
+    """Metric columns as doubles, resources imputed (B10), cyclical time (C3);
+    one SQL projection."""
+    res = [f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if c in metrics.columns else f"0.0D AS {c}"
+           for c in ("cpu_usage_pct", "memory_usage_pct")]
+    h, d = "CAST(hour(window_start) AS DOUBLE)", "CAST(weekday(window_start) AS DOUBLE)"
+    return metrics.selectExpr(
         "service_id", "window_start",
-        _dbl("rpm").alias("rpm"),
-        _dbl("request_count").alias("request_count"),
-        _dbl("response_time_mean").alias("response_time_mean"),
-        _dbl("response_time_p95").alias("response_time_p95"),
-        _dbl("response_time_p99").alias("response_time_p99"),
-        _dbl("error_rate").alias("error_rate"),
-        "cpu_usage_pct", "memory_usage_pct",
-        *X.cyclical(F.col("window_start")),
+        *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("rpm", "request_count", "response_time_mean",
+                                                 "response_time_p95", "response_time_p99", "error_rate")],
+        *res,
+        f"sin(2 * pi() * {h} / 24.0D) AS hour_sin", f"cos(2 * pi() * {h} / 24.0D) AS hour_cos",
+        f"sin(2 * pi() * {d} / 7.0D) AS dow_sin", f"cos(2 * pi() * {d} / 7.0D) AS dow_cos",
     )
 
 

@@ -58,14 +58,12 @@ def with_halo(indexed: DataFrame, before: int, after: int = 0,
     if chunk_rows is None:
         return indexed.withColumn("_chunk", F.lit(0)).withColumn("_ctx", F.lit(False))
     c = max(int(chunk_rows), before + after + 1)
-    pos = F.pmod(F.col("_idx"), F.lit(c))
-    own = F.floor(F.col("_idx") / c).cast("long")
-    targets = F.filter(F.array(
-        F.struct(own.alias("_chunk"), F.lit(False).alias("_ctx")),
-        F.when(pos >= c - before, F.struct((own + 1).alias("_chunk"), F.lit(True).alias("_ctx"))),
-        F.when((pos < after) & (own > 0), F.struct((own - 1).alias("_chunk"), F.lit(True).alias("_ctx"))),
-    ), lambda x: x.isNotNull())
-    return indexed.select("*", F.inline(targets))
+    own = f"CAST(floor(_idx / {c}) AS BIGINT)"
+    pos = f"pmod(_idx, {c})"
+    own_t = f"named_struct('_chunk', {own}, '_ctx', false)"
+    nxt = f"CASE WHEN {pos} >= {c - before} THEN named_struct('_chunk', {own} + 1, '_ctx', true) END"
+    prv = f"CASE WHEN {pos} < {after} AND {own} > 0 THEN named_struct('_chunk', {own} - 1, '_ctx', true) END"
+    return indexed.selectExpr("*", f"inline(filter(array({own_t}, {nxt}, {prv}), x -> x IS NOT NULL))")
 
 
 def halo_window(key: str = "service_id") -> Window:
