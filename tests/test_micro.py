@@ -333,3 +333,34 @@ def test_anomaly_training_sweep_and_score(spark):
     assert all(0.0 <= r.anomaly_score <= 1.0 for r in s)
     top = sorted(s, key=lambda r: -r.iso_score)[:5]
     assert sum(r.is_anomaly for r in top) >= 3
+
+
+def test_bad_events_routing(spark):
+    from pulsewatch.sources import io as IO
+    good = ('{"event_id":"e","event_type":"api_log","event_version":"1","occurred_at":"2024-01-01T10:00:00Z",'
+            '"producer":"gw","payload":{"service_id":"s","endpoint":"/a","http_method":"GET","status_code":200,'
+            '"response_time_ms":5,"timestamp":"2024-01-01T10:00:01.5Z"%s}%s}')
+    cases = {
+        "ok": good % ("", ""),
+        "extra_field": good % (', "new_field": 1', ', "also_new": true'),
+        "text": "not json at all",
+        "wrong_type": good.replace('"status_code":200', '"status_code":"abc"') % ("", ""),
+        "null_payload": '{"event_id":"e","event_version":"1","payload":null}',
+        "no_endpoint": good.replace('"endpoint":"/a",', '') % ("", ""),
+        "no_service": good.replace('"service_id":"s",', '') % ("", ""),
+        "no_method": good.replace('"http_method":"GET",', '') % ("", ""),
+        "no_timestamp": good.replace(',"timestamp":"2024-01-01T10:00:01.5Z"', '') % ("", ""),
+        "version_2": good.replace('"event_version":"1"', '"event_version":"2"') % ("", ""),
+    }
+    raw = spark.createDataFrame(list(cases.items()), "name string, value string")
+    ok, dlq = QY.split_valid(IO.unwrap(raw))
+    routed = {r.name: None for r in ok.collect()}
+    routed.update({r.name: r.error for r in dlq.collect()})
+    assert routed["ok"] is None and routed["extra_field"] is None
+    assert routed["text"] == "malformed envelope" and routed["wrong_type"] == "malformed envelope"
+    for k in ("null_payload", "no_endpoint", "no_service", "no_method", "no_timestamp"):
+        assert routed[k] == "payload missing required fields", k
+    assert routed["version_2"].startswith("unsupported event_version")
+    row = QY.payload_rows(ok.filter(F.col("name") == "ok")).first()
+    assert row.request_timestamp == dt.datetime(2024, 1, 1, 10, 0, 1, 500000) and row.status_code == 200
+    assert set(dlq.columns) >= {"original", "error", "routedAt"}
