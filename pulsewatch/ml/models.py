@@ -305,3 +305,15 @@ def train(spark: SparkSession, features: DataFrame, store: str, modules=("traffi
         row = run_row(spark, meta, f"{store}/{module}")
         runs = row if runs is None else runs.unionByName(row)
     return MT.active_runs(runs)
+
+
+def score(spark: SparkSession, module: str, metrics: DataFrame, store: str | None = None,
+          features: DataFrame | None = None, window_size: str = "1m",
+          min_rows: int = S.FEATURE_MIN_ROWS) -> DataFrame:
+    """Prediction rows for one module.  A stored model is used when the
+    store has one (failure); otherwise, and for services without a complete
+    inference row, the module's heuristic answers (D9)."""
+    if module == "failure" and store is not None and features is not None:
+        return score_failure(spark, features, store, min_rows, metrics, window_size)
+    rows = heuristic_predictions(metrics, window_size)
+    return rows.filter(F.col("module") == module)

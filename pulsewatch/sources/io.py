@@ -249,3 +249,21 @@ def model_version(now: dt.datetime | None = None) -> str:
     """Version string ``yyyyMMddTHHmmssZ``."""
     now = now or dt.datetime.now(dt.timezone.utc)
     return now.strftime("%Y%m%dT%H%M%SZ")
+
+
+def repair_windows(api_logs: DataFrame, path: str, since, until, sizes=S.WINDOW_SIZES) -> DataFrame:
+    """Late rows never reach streamed windows; recompute the windows that
+    cover ``[since, until)`` from the stored logs and upsert them (F4).  Only
+    the touched (size, month) partitions are rewritten.  Returns the rows."""
+    from ..operators import metrics as M
+    lo = F.lit(since).cast("timestamp")
+    hi = F.lit(until).cast("timestamp")
+    # widen to whole windows of the largest size so no window is recomputed partially
+    step = max(S.WINDOW_MINUTES[s] for s in sizes)
+    lo_w = F.timestamp_micros(F.unix_micros(lo) - F.pmod(F.unix_micros(lo), F.lit(step * 60_000_000)))
+    hi_w = F.timestamp_micros(F.unix_micros(hi) - F.pmod(F.unix_micros(hi), F.lit(step * 60_000_000))
+                              + F.lit(step * 60_000_000))
+    logs = api_logs.filter((F.col("request_timestamp") >= lo_w) & (F.col("request_timestamp") < hi_w))
+    fresh = M.aggregate_windows(logs, sizes=sizes)
+    upsert_metrics(fresh, path)
+    return fresh

@@ -364,3 +364,28 @@ def test_bad_events_routing(spark):
     row = QY.payload_rows(ok.filter(F.col("name") == "ok")).first()
     assert row.request_timestamp == dt.datetime(2024, 1, 1, 10, 0, 1, 500000) and row.status_code == 200
     assert set(dlq.columns) >= {"original", "error", "routedAt"}
+
+
+def test_repair_late_windows(spark, tmp_path):
+    from pulsewatch.sources import io as IO
+    def logs(rows):
+        return spark.createDataFrame(
+            [("s", "/x", "GET", 200, rt, None, None, None, None, None, t, None, None) for t, rt in rows], S.API_LOGS)
+    on_time = logs([(mins(0), 10), (mins(1), 20), (mins(61), 30)])
+    late = logs([(mins(1) + dt.timedelta(seconds=5), 40)])
+    path = str(tmp_path / "m")
+    IO.write_metrics(M.aggregate_windows(on_time), path)
+    IO.repair_windows(on_time.unionByName(late), path, mins(1), mins(2))
+    m1 = {r.window_start: r.request_count for r in IO.load_metrics(spark, path, "1m").collect()}
+    h1 = {r.window_start: r.request_count for r in IO.load_metrics(spark, path, "1h").collect()}
+    assert m1 == {mins(0): 1, mins(1): 2, mins(61): 1}
+    assert h1 == {mins(0): 3, mins(60): 1}
+
+
+def test_score_dispatch_falls_back(spark, tmp_path):
+    from pulsewatch.ml import models as ML
+    m = metric_rows(spark, [("a", k, 2500, 0.01) for k in range(40)])
+    f = FE.build_features(m, lags=(1, 2, 3), rolling=3)
+    rows = ML.score(spark, "failure", m, store=str(tmp_path / "empty"), features=f, min_rows=10).collect()
+    assert len(rows) == 1 and rows[0].model_version == S.HEURISTIC_MODEL_VERSION
+    assert ML.score(spark, "health", m).count() == 1
