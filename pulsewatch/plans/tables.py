@@ -242,3 +242,25 @@ def service_insert(spark, sf_dir):
     once = MT.insert_services(FX.services(spark), new)
     twice = MT.insert_services(once, new)
     return twice.select("id", "capture_telemetry")
+
+
+REPAIR_SINCE, REPAIR_UNTIL = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
+
+
+@plan("metrics_repair", sql=f"""
+WITH {Q.API_LOGS},
+early AS (SELECT * FROM api_logs WHERE status_code < 400),
+p1 AS ({Q.metrics('1h', src='early')}),
+p2 AS ({Q.metrics('1h')})
+SELECT * FROM p1 WHERE window_start < TIMESTAMP '{REPAIR_SINCE}' OR window_start >= TIMESTAMP '{REPAIR_UNTIL}'
+UNION ALL
+SELECT * FROM p2 WHERE window_start >= TIMESTAMP '{REPAIR_SINCE}' AND window_start < TIMESTAMP '{REPAIR_UNTIL}'""")
+def metrics_repair(spark, sf_dir):
+    """The table holds windows computed before late rows arrived; a
+    repair recomputes the windows of a time range from all stored logs and
+    upserts them.  Returns the whole table after the repair."""
+    p1, _ = _passes(spark, sf_dir)
+    path = scratch_path(spark, f"metrics-repair-{uuid.uuid4().hex}")
+    IO.write_metrics(p1, path)
+    IO.repair_windows(logs(spark, sf_dir), path, REPAIR_SINCE, REPAIR_UNTIL, sizes=("1h",))
+    return IO.load_metrics(spark, path, window_size="1h")

@@ -261,8 +261,9 @@ def repair_windows(api_logs: DataFrame, path: str, since, until, sizes=S.WINDOW_
     # widen to whole windows of the largest size so no window is recomputed partially
     step = max(S.WINDOW_MINUTES[s] for s in sizes)
     lo_w = F.timestamp_micros(F.unix_micros(lo) - F.pmod(F.unix_micros(lo), F.lit(step * 60_000_000)))
-    hi_w = F.timestamp_micros(F.unix_micros(hi) - F.pmod(F.unix_micros(hi), F.lit(step * 60_000_000))
-                              + F.lit(step * 60_000_000))
+    # ceiling of ``until`` (half-open: a window starting exactly at ``until`` is outside)
+    last = F.unix_micros(hi) - 1
+    hi_w = F.timestamp_micros(last - F.pmod(last, F.lit(step * 60_000_000)) + F.lit(step * 60_000_000))
     logs = api_logs.filter((F.col("request_timestamp") >= lo_w) & (F.col("request_timestamp") < hi_w))
     fresh = M.aggregate_windows(logs, sizes=sizes)
     upsert_metrics(fresh, path)

@@ -380,6 +380,11 @@ def test_repair_late_windows(spark, tmp_path):
     h1 = {r.window_start: r.request_count for r in IO.load_metrics(spark, path, "1h").collect()}
     assert m1 == {mins(0): 1, mins(1): 2, mins(61): 1}
     assert h1 == {mins(0): 3, mins(60): 1}
+    # a window starting exactly at ``until`` is not recomputed
+    later = logs([(mins(60) + dt.timedelta(seconds=1), 99)])
+    IO.repair_windows(on_time.unionByName(late).unionByName(later), path, mins(0), mins(60), sizes=("1h",))
+    h2 = {r.window_start: r.request_count for r in IO.load_metrics(spark, path, "1h").collect()}
+    assert h2 == {mins(0): 3, mins(60): 1}
 
 
 def test_score_dispatch_falls_back(spark, tmp_path):
