@@ -51,6 +51,15 @@ def split_valid(parsed: DataFrame, value_col: str = "value") -> tuple[DataFrame,
     return ok, dlq
 
 
+def tag_route(parsed: DataFrame) -> DataFrame:
+    """One-pass routing: ``route`` ('ok' / 'dlq') and ``error`` on every row.
+    Writing the result partitioned by ``route`` stores both branches in a
+    single job from a single parse."""
+    err = route_error()
+    return parsed.withColumn("error", err) \
+        .withColumn("route", F.when(F.col("error").isNull(), F.lit("ok")).otherwise(F.lit("dlq")))
+
+
 def payload_rows(valid: DataFrame, keep: tuple = ()) -> DataFrame:
     """Flatten valid envelopes into api_logs columns."""
     return valid.select(

@@ -119,11 +119,15 @@ def asof_prediction(probes: DataFrame, predictions: DataFrame, at: str = "at",
     p = probes.select(*keys, probe_id, at, F.explode(F.array(pb, pb - 1)).alias("_b"))
     q = predictions.select(*keys, F.floor(F.unix_seconds("generated_at") / span).alias("_b"),
                            F.struct("generated_at", "model_version", "value").alias("_pred"))
-    cand = p.join(q, list(keys) + ["_b"]).filter(
-        (F.col("_pred.generated_at") <= F.col(at))
-        & (F.col("_pred.generated_at") > F.col(at) - F.make_dt_interval(mins=F.lit(max_age_minutes))))
-    best = cand.groupBy(probe_id).agg(F.max_by("_pred", F.col("_pred.generated_at")).alias("_best"))
-    out = probes.join(best, probe_id, "left")
+    p = p.alias("p")
+    q = q.alias("q")
+    cond = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in (*keys, "_b")] + [
+        F.col("q._pred.generated_at") <= F.col(f"p.{at}"),
+        F.col("q._pred.generated_at") > F.col(f"p.{at}") - F.make_dt_interval(mins=F.lit(max_age_minutes))]
+    # left outer join with the age window in the ON clause: probes without a
+    # candidate keep a null row, so one aggregate finishes the lookup
+    cand = p.join(q, cond, "left").select(*[F.col(f"p.{c}").alias(c) for c in probes.columns], "q._pred")
+    out = cand.groupBy(*probes.columns).agg(F.max_by("_pred", F.col("_pred.generated_at")).alias("_best"))
     return out.select(
         *probes.columns,
         F.col("_best.generated_at").alias("generated_at"),

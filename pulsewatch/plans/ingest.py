@@ -82,10 +82,8 @@ SELECT event_id, delivery,
 FROM feed""")
 def dlq_split(spark, sf_dir):
     """Every delivery routed to the table or the dead-letter queue."""
-    ok, dlq = QY.split_valid(parsed_feed(spark, sf_dir))
-    a = ok.select(F.col("seq").alias("event_id"), "delivery", F.lit("ok").alias("route"), F.lit(None).cast("string").alias("error"))
-    b = dlq.select(F.col("seq").alias("event_id"), "delivery", F.lit("dlq").alias("route"), "error")
-    return a.unionByName(b)
+    tagged = QY.tag_route(parsed_feed(spark, sf_dir))
+    return tagged.select(F.col("seq").alias("event_id"), "delivery", "route", "error")
 
 
 @plan("dedup_key", sql=f"""
