@@ -21,8 +21,9 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(df: DataFrame, out: str, ckpt: str, mode: str = "append", partition_by: tuple = ()) -> None:
-    q = (df.writeStream.outputMode(mode).foreachBatch(J.batch_sink(out, partition_by))
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    with J.state_partitions(df.sparkSession):
+        q = (df.writeStream.outputMode(mode).foreachBatch(J.batch_sink(out, partition_by))
+             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
 
 

@@ -185,6 +185,27 @@ def latest_prediction_stream(predictions: DataFrame) -> DataFrame:
         .select("service_id", "module", "latest.*")
 
 
+class state_partitions:
+    """Context manager: start streaming queries with ``n`` state partitions
+    (default: the cluster's default parallelism).  The number of state
+    partitions is fixed in the checkpoint when a query first starts, so it is
+    sized to the cluster here instead of the batch default of 200; the
+    session value is restored afterwards."""
+
+    def __init__(self, spark, n: int | None = None):
+        self.spark = spark
+        self.n = n or max(1, spark.sparkContext.defaultParallelism)
+
+    def __enter__(self):
+        self.old = self.spark.conf.get("spark.sql.shuffle.partitions")
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.n))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set("spark.sql.shuffle.partitions", self.old)
+        return False
+
+
 def start(df: DataFrame, sink_path: str, checkpoint: str, trigger: str | None = "1 minute",
           mode: str = "append", partition_by: tuple = ()):
     """Run a job on the product's cadence (``processingTime`` trigger,
