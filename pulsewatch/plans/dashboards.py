@@ -213,3 +213,19 @@ def anomaly_label_join(spark, sf_dir):
     scored = H.heuristic_anomaly(m).select("service_id", "window_start",
                                            F.col("is_anomaly").alias("flagged"))
     return FE.join_labels(scored, labels).select("service_id", "window_start", "is_anomaly", "flagged")
+
+
+HISTORY_SINCE, HISTORY_UNTIL = "2024-01-01 00:00:00", "2024-02-01 00:00:00"   # the whole month of data
+
+
+@plan("history_range", sql=f"""
+{Q.with_metrics('1h')}
+SELECT service_id, window_start, window_end, request_count, response_time_p99, error_rate FROM metrics
+WHERE window_start >= TIMESTAMP '{HISTORY_SINCE}' AND window_start < TIMESTAMP '{HISTORY_UNTIL}'""")
+def history_range(spark, sf_dir):
+    """Each service's hourly history in a half-open range, ordered
+    by window start (the per-service read, run for every service)."""
+    m = metrics_of(spark, sf_dir, "1h")
+    r = M.in_range(m.filter(F.col("window_size") == "1h"), HISTORY_SINCE, HISTORY_UNTIL)
+    return r.orderBy("service_id", "window_start").select(
+        "service_id", "window_start", "window_end", "request_count", "response_time_p99", "error_rate")
