@@ -131,8 +131,18 @@ def fill_gaps(metrics: DataFrame, window_size: str = "1m") -> DataFrame:
     step = S.WINDOW_MINUTES[window_size]
     df = metrics.filter(F.col("window_size") == window_size)
     spans = df.groupBy("service_id").agg(F.min("window_start").alias("lo"), F.max("window_start").alias("hi"))
-    grid = spans.select("service_id", F.explode(F.sequence("lo", "hi", F.make_dt_interval(mins=F.lit(step))))
-                        .alias("window_start"))
+    # cut each span into calendar months and spread the (service, month)
+    # pieces over tasks before generating the grid, so no single task
+    # generates a long history (window sizes divide a month evenly)
+    months = spans.select("service_id", "lo", "hi", F.explode(F.sequence(
+        F.date_trunc("month", "lo"), F.date_trunc("month", "hi"), F.expr("INTERVAL 1 MONTH"))).alias("_m"))
+    n_pieces = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    pieces = months.repartition(n_pieces, "service_id", "_m").select(
+        "service_id",
+        F.greatest("lo", "_m").alias("_a"),
+        F.least("hi", F.col("_m") + F.expr("INTERVAL 1 MONTH") - F.make_dt_interval(mins=F.lit(step))).alias("_b"))
+    grid = pieces.select("service_id", F.explode(F.sequence("_a", "_b", F.make_dt_interval(mins=F.lit(step))))
+                         .alias("window_start"))
     filled = grid.join(df, ["service_id", "window_start"], "left")
     return filled.select(
         "service_id", "window_start",

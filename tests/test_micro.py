@@ -394,3 +394,13 @@ def test_score_dispatch_falls_back(spark, tmp_path):
     rows = ML.score(spark, "failure", m, store=str(tmp_path / "empty"), features=f, min_rows=10).collect()
     assert len(rows) == 1 and rows[0].model_version == S.HEURISTIC_MODEL_VERSION
     assert ML.score(spark, "health", m).count() == 1
+
+
+def test_fill_gaps_across_month_boundary(spark):
+    base = dt.datetime(2024, 1, 31, 22, 0)
+    hours = [0, 1, 3, 4]                       # 2024-02-01 00:00 is silent
+    data = [("s", base + dt.timedelta(hours=h), base + dt.timedelta(hours=h + 1), "1h", 5, Decimal("0.08"),
+             None, None, None, Decimal("0.0000"), Decimal("1.0000"), None, None, None) for h in hours]
+    m = spark.createDataFrame(data, S.METRICS)
+    got = sorted((r.window_start, r.is_gap, r.request_count) for r in M.fill_gaps(m, "1h").collect())
+    assert got == [(base + dt.timedelta(hours=h), h == 2, 0 if h == 2 else 5) for h in range(5)]
