@@ -15,7 +15,7 @@ from ..sources import fixtures as FX
 from ..sources import io as IO
 from . import sqlparts as Q
 from .core import logs, metrics_of
-from .ingest import FEED
+from .ingest import FEED, VALID, sql_dedup_key
 from .registry import plan
 
 RETENTION_OWNER, RETENTION_SINCE = "commerce", "2024-01-20 00:00:00"
@@ -264,3 +264,23 @@ def metrics_repair(spark, sf_dir):
     IO.write_metrics(p1, path)
     IO.repair_windows(logs(spark, sf_dir), path, REPAIR_SINCE, REPAIR_UNTIL, sizes=("1h",))
     return IO.load_metrics(spark, path, window_size="1h")
+
+
+@plan("api_logs_ingest", sql=f"""
+WITH {Q.API_LOGS}, {FEED}, {VALID},
+keyed AS (SELECT *, {sql_dedup_key()} AS dedup_key FROM valid),
+firsts AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY event_id, delivery) = 1)
+SELECT CAST(request_timestamp AS DATE) AS date, service_id, count(*) AS requests FROM firsts GROUP BY 1, 2""")
+def api_logs_ingest(spark, sf_dir):
+    """Parse the delivered feed, route, key, keep first deliveries
+    and append to the date-partitioned table -- twice (a replayed load adds
+    nothing).  Returns request counts per date and service."""
+    from ..operators import quality as QY
+    from .ingest import parsed_feed
+    ok, _ = QY.split_valid(parsed_feed(spark, sf_dir))
+    rows = QY.with_dedup_key(QY.payload_rows(ok, keep=(F.col("seq").alias("event_id"), "delivery")))
+    path = scratch_path(spark, f"api-logs-ingest-{uuid.uuid4().hex}")
+    IO.append_api_logs(rows, path, order=("event_id", "delivery"))
+    IO.append_api_logs(rows, path, order=("event_id", "delivery"))
+    back = spark.read.parquet(path)
+    return back.groupBy("date", "service_id").agg(F.count(F.lit(1)).alias("requests"))

@@ -268,3 +268,25 @@ def repair_windows(api_logs: DataFrame, path: str, since, until, sizes=S.WINDOW_
     fresh = M.aggregate_windows(logs, sizes=sizes)
     upsert_metrics(fresh, path)
     return fresh
+
+
+def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFrame:
+    """A5/B5 batch ingest: keep the first delivery per dedup key, drop keys the
+    table already holds, append partitioned by date.  Returns the new rows.
+
+    The dedup key contains the request time cut to seconds, so a duplicate
+    always falls on the same request date: the existing-key check reads only
+    the date partitions the batch touches (a static partition filter built
+    from the batch's distinct dates -- one value per calendar day, a bounded
+    list), never the whole history.
+    """
+    from ..operators import quality as QY
+    spark = df.sparkSession
+    staged = QY.dedup_first(df, order=order).withColumn("date", F.to_date("request_timestamp"))
+    if table_exists(spark, path):
+        days = [r[0] for r in df.select(F.to_date("request_timestamp")).distinct().collect()]
+        held = spark.read.parquet(path).filter(F.col("date").isin(days)).select("date", "dedup_key")
+        staged = staged.join(held, ["date", "dedup_key"], "left_anti")
+    staged = staged.drop("date")
+    write_api_logs(staged, path, mode="append")
+    return staged

@@ -404,3 +404,22 @@ def test_fill_gaps_across_month_boundary(spark):
     m = spark.createDataFrame(data, S.METRICS)
     got = sorted((r.window_start, r.is_gap, r.request_count) for r in M.fill_gaps(m, "1h").collect())
     assert got == [(base + dt.timedelta(hours=h), h == 2, 0 if h == 2 else 5) for h in range(5)]
+
+
+def test_append_api_logs_dedups_within_touched_dates(spark, tmp_path):
+    from pulsewatch.sources import io as IO
+    def rows(items):   # ingest order = position in the list
+        return spark.createDataFrame(
+            [("s", "/x", "GET", 200, rt, None, None, "u", None, None, t, t + dt.timedelta(milliseconds=i), k)
+             for i, (k, t, rt) in enumerate(items)], S.API_LOGS)
+    path = str(tmp_path / "logs")
+    day1, day2 = dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 1, 2, 10)
+    first = rows([("k1", day1, 1), ("k2", day2, 2), ("k2", day2, 3)])
+    assert IO.append_api_logs(first, path).count() == 2
+    again = rows([("k2", day2, 9), ("k3", day2, 4)])
+    IO.append_api_logs(again, path)
+    got = {r.dedup_key: r.response_time_ms for r in spark.read.parquet(path).collect()}
+    assert got == {"k1": 1, "k2": 2, "k3": 4}
+    held = spark.read.parquet(path).filter(F.col("date").isin([dt.date(2024, 1, 2)]))
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-02" in plan
