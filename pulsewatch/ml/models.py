@@ -151,12 +151,19 @@ def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees:
 
 # ---- K14 / K15 priority ------------------------------------------------------------------
 
+def priority_feature(c: str):
+    """Model input column of an alert context; a missing health score reads as
+    75 and missing flags / counts as 0 (C13), so scoring never meets a null."""
+    default = S.ALERT_HEALTH_DEFAULT if c == "current_health_score" else 0.0
+    return F.coalesce(F.col(c).cast("double"), F.lit(float(default))).alias(c)
+
+
 def train_priority(alerts: DataFrame, n_trees: int = 200, max_depth: int = 12, seed: int = 42
                    ) -> tuple[PipelineModel, DataFrame]:
     """Random forest over the 8 alert-context features with balanced class
     weights n / (k * n_class); labels indexed alphabetically (same order as a
     label encoder).  Returns (model, macro report on the test split)."""
-    df = alerts.select(*[F.col(c).cast("double").alias(c) for c in S.ALERT_FEATURES], "priority", "window_start")
+    df = alerts.select(*[priority_feature(c) for c in S.ALERT_FEATURES], "priority", "window_start")
     train, test = FE.chrono_split(cut_lineage(df))
     train, test = cut_lineage(train), cut_lineage(test)
     cls = train.groupBy("priority").agg(F.count(F.lit(1)).alias("_nc"))
