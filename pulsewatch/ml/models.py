@@ -324,3 +324,19 @@ def score(spark: SparkSession, module: str, metrics: DataFrame, store: str | Non
         return score_failure(spark, features, store, min_rows, metrics, window_size)
     rows = heuristic_predictions(metrics, window_size)
     return rows.filter(F.col("module") == module)
+
+
+def score_priority(model: PipelineModel, contexts: DataFrame) -> DataFrame:
+    """Priority and confidence (the winning class probability) for
+    alert contexts, from a fitted ``train_priority`` pipeline."""
+    labels = model.stages[0].labels
+    x = contexts.select("*", *[priority_feature(c).alias(f"_f_{c}") for c in S.ALERT_FEATURES])
+    asm_in = {c: f"_f_{c}" for c in S.ALERT_FEATURES}
+    # the pipeline's assembler reads the plain names: swap the defaulted copies in
+    for c, tmp in asm_in.items():
+        x = x.drop(c).withColumnRenamed(tmp, c)
+    x = x.withColumn("priority", F.lit(labels[0]))           # indexer input; not used for prediction
+    pred = IndexToString(inputCol="prediction", outputCol="predicted_priority", labels=labels) \
+        .transform(model.transform(x))
+    return pred.withColumn("confidence", F.array_max(vector_to_array("probability"))) \
+        .drop("label", "features", "rawPrediction", "probability", "prediction")

@@ -40,3 +40,13 @@ def test_failure_model_store_round_trip(spark, tmp_path):
     assert ML.load_model(spark, str(tmp_path / "none"), "failure") is None
     top = ML.top_contributions(model)
     assert len(top) == 5 and top[0]["contribution"] >= top[-1]["contribution"]
+
+
+def test_priority_scoring(spark):
+    lab = AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED)))
+    model, _ = ML.train_priority(lab, n_trees=10, max_depth=5)
+    ctx = lab.drop("priority").limit(20).withColumn("current_health_score", F.lit(None).cast("double"))
+    out = ML.score_priority(model, ctx).collect()
+    assert len(out) == 20
+    assert all(r.predicted_priority in ("low", "medium", "high", "critical") for r in out)
+    assert all(0.0 <= r.confidence <= 1.0 for r in out)
