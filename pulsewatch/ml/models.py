@@ -340,3 +340,16 @@ def score_priority(model: PipelineModel, contexts: DataFrame) -> DataFrame:
         .transform(model.transform(x))
     return pred.withColumn("confidence", F.array_max(vector_to_array("probability"))) \
         .drop("label", "features", "rawPrediction", "probability", "prediction")
+
+
+def score_traffic(models: dict, features: DataFrame, horizon: int, min_rows: int = S.FEATURE_MIN_ROWS
+                  ) -> DataFrame:
+    """K3/K19 inference: the horizon's model scores each service's latest
+    complete feature row (G8), floored at 0.  Services without one, or a
+    horizon without a model, are left out; ``views.traffic_tile`` then falls
+    back to the naive forecast for them."""
+    if horizon not in models:
+        return features.sparkSession.createDataFrame([], "service_id string, predicted_rpm double")
+    ready, _ = FE.latest_features(features, min_rows=min_rows)
+    return models[horizon].transform(ready).select(
+        "service_id", F.greatest(F.lit(0.0), F.col("prediction")).alias("predicted_rpm"))

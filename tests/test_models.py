@@ -50,3 +50,16 @@ def test_priority_scoring(spark):
     assert len(out) == 20
     assert all(r.predicted_priority in ("low", "medium", "high", "critical") for r in out)
     assert all(0.0 <= r.confidence <= 1.0 for r in out)
+
+
+def test_traffic_model_feeds_tile(spark):
+    from pulsewatch.operators import views as V
+    from pulsewatch.plans.core import metrics_of
+    f = features(spark, SF_MED)
+    models, rep = ML.train_traffic(f, horizons=(1, 24), max_iter=3, max_depth=3)
+    assert rep.count() == 2
+    fc = ML.score_traffic(models, f, 1, min_rows=39)
+    assert fc.count() == 5 and all(r.predicted_rpm >= 0 for r in fc.collect())
+    assert ML.score_traffic(models, f, 6, min_rows=39).count() == 0
+    tile = V.traffic_tile(metrics_of(spark, SF_MED, "1h"), window_size="1h", forecasts=fc, min_history=1)
+    assert tile.filter(F.col("forecast_rpm").isNull()).count() == 0
