@@ -102,19 +102,44 @@ def top_contributions(model: PipelineModel, k: int = 5) -> list[dict]:
 
 # ---- K8-K10 anomaly -----------------------------------------------------------------------
 
+ZCOLS = [f"z{i}" for i in range(len(FEATURES))]
+
+
+def _standardised(scaler: PipelineModel, df: DataFrame) -> DataFrame:
+    z = scaler.transform(df).withColumn("_z", vector_to_array("features"))
+    return z.select("service_id", "window_start", *[F.col("_z")[i].alias(c) for i, c in enumerate(ZCOLS)])
+
+
+def fit_anomaly(features: DataFrame, n_trees: int = 200, max_samples: int = 256
+                ) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """K2 + K8: scaler fitted on the complete feature rows, then the forest on
+    the standardised rows.  Returns (scaler, forest node table, standardised rows)."""
+    df = QY.drop_incomplete(features, FEATURES)
+    scaler = Pipeline(stages=_scaled(FEATURES)).fit(df)
+    z = cut_lineage(_standardised(scaler, df))
+    forest = IF.fit(z, ZCOLS, ["service_id", "window_start"], n_trees=n_trees, max_samples=max_samples)
+    return scaler, forest, z
+
+
+def score_anomaly(scaler: PipelineModel, forest: DataFrame, features: DataFrame, cutoff: float
+                  ) -> DataFrame:
+    """K8/K10 inference: isolation score of new feature rows, flag at or above
+    the contamination cut-off, and the 0..1 score (floor = offset - 0.1)."""
+    from . import heuristics as H
+    scored = IF.score(_standardised(scaler, QY.drop_incomplete(features, FEATURES)), forest, ZCOLS)
+    return scored.withColumn("is_anomaly", F.col("iso_score") >= F.lit(cutoff)) \
+        .withColumn("anomaly_score", H.normalised_anomaly(-F.col("iso_score"), F.lit(-cutoff - 0.1), 0.0))
+
+
 def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees: int = 200,
                   max_samples: int = 256, grid=S.CONTAMINATION_GRID) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Isolation forest on standardised features; contamination chosen by F1
     against labels when given (else the default).  The forest is fitted once:
     contamination only moves the cut-off.  Returns (forest, scored rows, sweep)."""
     df = cut_lineage(QY.drop_incomplete(features, FEATURES))
-    scaler = Pipeline(stages=_scaled(FEATURES)).fit(df)
-    z = scaler.transform(df).withColumn("_z", vector_to_array("features"))
-    zc = [f"z{i}" for i in range(len(FEATURES))]
-    z = cut_lineage(z.select("service_id", "window_start", *[F.col("_z")[i].alias(c) for i, c in enumerate(zc)]))
-    forest = IF.fit(z, zc, ["service_id", "window_start"], n_trees=n_trees, max_samples=max_samples)
+    scaler, forest, z = fit_anomaly(df, n_trees=n_trees, max_samples=max_samples)
     # one vectorised scoring pass, materialised: every contamination value reads it
-    scored = cut_lineage(IF.score(z, forest, zc))
+    scored = cut_lineage(IF.score(z, forest, ZCOLS))
     cuts = scored.agg(*[IF.cutoff(scored, c).alias(f"c{i}") for i, c in enumerate(grid)])
     if labels is not None:
         scored = FE.join_labels(scored, labels)

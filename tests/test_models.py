@@ -63,3 +63,15 @@ def test_traffic_model_feeds_tile(spark):
     assert ML.score_traffic(models, f, 6, min_rows=39).count() == 0
     tile = V.traffic_tile(metrics_of(spark, SF_MED, "1h"), window_size="1h", forecasts=fc, min_history=1)
     assert tile.filter(F.col("forecast_rpm").isNull()).count() == 0
+
+
+def test_anomaly_fit_and_score_new_rows(spark):
+    f = features(spark, SF_MED)
+    scaler, forest, z = ML.fit_anomaly(f, n_trees=20)
+    cut = z.count() and ML.IF.score(z, forest, ML.ZCOLS).agg(
+        F.percentile("iso_score", F.lit(0.95)).alias("c")).first().c
+    out = ML.score_anomaly(scaler, forest, f, cut)
+    rows = out.collect()
+    assert rows and all(0.0 <= r.anomaly_score <= 1.0 for r in rows)
+    share = sum(r.is_anomaly for r in rows) / len(rows)
+    assert 0.02 <= share <= 0.1
