@@ -104,7 +104,8 @@ def rank_auc(df: DataFrame, label: str = "y", score: str = "p", buckets: int = 2
     d = d.join(offs, "b").withColumn("below", F.col("off") + F.coalesce(F.sum("neg").over(wi), F.lit(0)))
     agg = d.agg(F.sum(F.col("pos") * (F.col("below") + 0.5 * F.col("neg"))).alias("u"),
                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return agg.select((F.col("u") / (F.col("P") * F.col("N"))).alias("roc_auc"),
+    # undefined (null) unless both classes are present
+    return agg.select((F.col("u") / F.nullif(F.col("P") * F.col("N"), F.lit(0))).alias("roc_auc"),
                       F.col("P").cast("long").alias("positives"), F.col("N").cast("long").alias("negatives"))
 
 
