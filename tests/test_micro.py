@@ -423,3 +423,11 @@ def test_append_api_logs_dedups_within_touched_dates(spark, tmp_path):
     held = spark.read.parquet(path).filter(F.col("date").isin([dt.date(2024, 1, 2)]))
     plan = held._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-02" in plan
+
+
+def test_auc_undefined_with_one_class(spark):
+    df = spark.createDataFrame([(0.1, 0), (0.7, 0), (0.4, 0)], "p double, y int")
+    r = EV.rank_auc(df).first()
+    assert r.roc_auc is None and r.positives == 0 and r.negatives == 3
+    sw = EV.threshold_sweep(df).collect()
+    assert len(sw) == 12 and all(x.tp == 0 for x in sw)
