@@ -61,9 +61,19 @@ def alerts_lifecycle(spark, sf_dir):
                                            "opened_at", "closed_at")
 
 
-@plan("alert_messages")
+@plan("alert_messages", sql=f"""
+{Q.with_metrics(SIZE)}, {LIFECYCLE_SQL}
+SELECT a.id,
+       CASE WHEN f.trig = 'latency'
+            THEN 'P99 latency ' || CAST(CAST(floor(f.response_time_p99 + 0.5) AS BIGINT) AS VARCHAR)
+                 || ' ms exceeds threshold 2000 ms'
+            ELSE 'Error rate ' || printf('%.2f', CAST(f.error_rate AS DOUBLE) * 100) || '% exceeds threshold 10%'
+       END AS message
+FROM firsts f JOIN alerts_out a
+  ON a.service_id = f.service_id AND a.triggering_metric = f.trig AND a.opened_at = f.window_start""")
 def alert_messages(spark, sf_dir):
-    """Alert text (java.util.Formatter rounding; rows-only check)."""
+    """Alert text with HALF_UP rounding (java.util.Formatter), checked
+    against an exact decimal rounding in SQL."""
     return lifecycle(spark, sf_dir).select("id", "message")
 
 
