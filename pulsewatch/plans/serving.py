@@ -14,7 +14,7 @@ from ..session import scratch_path
 from ..sources import io as IO
 from ..streaming import jobs as J
 from . import sqlparts as Q
-from .alerting import lifecycle
+from .alerting import LIFECYCLE_SQL, lifecycle
 from .core import metrics_of
 from .features import MIN_ROWS, features
 from .registry import plan
@@ -96,7 +96,13 @@ def traffic_stability(spark, sf_dir):
     return s.select("service_id", "window_start", F.round("traffic_stability", 6).alias("traffic_stability"))
 
 
-@plan("tile_alerts_reference")
+@plan("tile_alerts_reference", sql=f"""
+{Q.with_metrics('1h')}, {LIFECYCLE_SQL}
+SELECT id, service_id, triggering_metric, severity,
+       CASE WHEN severity = 'critical' THEN 'critical' ELSE 'low' END AS priority,
+       CASE WHEN severity = 'critical' THEN '{S.RATIONALE_FAILURE}' ELSE '{S.RATIONALE_BASE}' END AS rationale
+FROM (SELECT * FROM alerts_out WHERE closed_at IS NULL
+      ORDER BY opened_at DESC, service_id, triggering_metric, id LIMIT {S.OPEN_ALERTS_DEFAULT_LIMIT}) t""")
 def tile_alerts_reference(spark, sf_dir):
     """L5 with the product's placeholder context (frequency 0, health 60)."""
     from ..sources import fixtures as FX
