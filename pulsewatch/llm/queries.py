@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, token_count
+from . import bpe, simhash, token_count, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_count.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle_words=4, distance=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of the held-out fifth are not used."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
