@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, simhash, token_count, toxicity
+from . import bpe, secrets_crf, simhash, token_count, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def span_digest(spans: str, kinds: tuple[str, ...] | None = None):
+    """kind:start:end of each span, comma-joined, as SQL text over ``spans``."""
+    chosen = spans if kinds is None else f"filter({spans}, s -> s.kind IN ({', '.join(repr(k) for k in kinds)}))"
+    return F.expr(f"array_join(transform({chosen}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')")
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    found = secrets_crf.find_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    base = secrets_crf.KINDS[:3]
+    counts = [F.expr(f"size(filter(secrets, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(span_digest("secrets", base), 256).alias("base_sha256"),
+                        span_digest("secrets").alias("spans"))
