@@ -286,7 +286,7 @@ def train(docs: DataFrame, text_col: str = "text", max_docs: int = 10_000, max_w
         return pd.DataFrame({"name": names, "b": values[:, B], "i": values[:, I], "o": values[:, O]})
 
     got = {r["name"]: np.array([r["b"], r["i"], r["o"]]) for r in
-           bounded.groupBy(F.lit(0)).applyInPandas(fit, "name string, b double, i double, o double").collect()}
+           bounded.withColumn("all", F.lit("all")).groupBy("all").applyInPandas(fit, "name string, b double, i double, o double").collect()}
     if not got:
         return {}, np.zeros((3, 3))
     trans = np.vstack([got.pop(f"trans{i}") for i in range(3)])
