@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, secrets_crf, simhash, token_count, toxicity
+from . import bpe, mixing, secrets_crf, simhash, spotsigs, token_count, toxicity
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,21 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"size(filter(secrets, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(span_digest("secrets", base), 256).alias("base_sha256"),
                         span_digest("secrets").alias("spans"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op10_spotsigs")
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and their likeness."""
+    rows = spotsigs.with_next(documents(spark, sf_dir)).withColumn("edited", spotsigs.edited())
+    rows = spotsigs.with_signatures(rows, F.col("edited"), "edited_sigs")
+    return rows.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint("sigs").alias("fingerprint"), spotsigs.fingerprint("edited_sigs").alias("edited_fingerprint"),
+        spotsigs.likeness("sigs", "edited_sigs").alias("near_edited"), spotsigs.likeness("sigs", "next_sigs").alias("near_next"))
