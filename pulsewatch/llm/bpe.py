@@ -16,8 +16,10 @@ import functools
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -178,7 +180,7 @@ class WordTokenizer(Vocabulary):
         self.pre_tokens = regex.compile(WORD_PATTERN).findall
         self.pieces = re.compile(f"[^{SPACE}]+").findall
         self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str, bytes]] = {}
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
@@ -209,12 +211,13 @@ class WordTokenizer(Vocabulary):
         """The pieces between white space."""
         return text.split() if not ODD_SPACE(text) else self.pieces(text)
 
-    def describe(self, piece: str) -> tuple[int, str, str]:
-        """(tokens, ids in decimal joined by spaces, decoded text) of a piece."""
+    def describe(self, piece: str) -> tuple[int, str, str, bytes]:
+        """(tokens, ids in decimal joined by spaces, decoded text, ids as
+        32-bit integers) of a piece."""
         hit = self.known.get(piece)
         if hit is None:
             ids = self.encode_piece(piece)
-            hit = remember(self.known, piece, (len(ids), " ".join(map(str, ids)), self.decode(ids)))
+            hit = remember(self.known, piece, (len(ids), " ".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes()))
         return hit
 
     def encode(self, text: str) -> list[int]:
@@ -232,11 +235,10 @@ class WordTokenizer(Vocabulary):
     def columns(self, text: str, want: tuple[str, ...]) -> list:
         """The wanted outputs of one text: ids, ids_text, decoded, n_tokens."""
         pieces = self.cut(text)
-        counts, ids_text, decoded = zip(*map(self.describe, pieces)) if pieces else ((), (), ())
-        made = {"n_tokens": sum(counts), "ids_text": " ".join(ids_text), "decoded": " ".join(decoded)}
-        if "ids" in want:
-            made["ids"] = [int(x) for x in made["ids_text"].split()]
-        return [made[w] for w in want]
+        counts, ids_text, decoded, ids = zip(*map(self.describe, pieces)) if pieces else ((), (), (), ())
+        make = {"n_tokens": lambda: sum(counts), "ids_text": lambda: " ".join(ids_text), "decoded": lambda: " ".join(decoded),
+                "ids": lambda: np.frombuffer(b"".join(ids), np.int32)}
+        return [make[w]() for w in want]
 
 
 @functools.lru_cache(maxsize=4)

@@ -84,7 +84,8 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
 
     ``copies`` is a whole number up to ``most``, ``taken`` is copies times
     size.  Random choices come from hashes of ids, so reruns agree.  Null
-    text has size 0 and, like empty text, takes nothing; a null source is a
+    text has size 0 and, like empty text, takes no words and stays as one
+    copy; a null source is a
     source of its own, last in order; rows with the same id are rounded each
     by itself; an empty table gives no rows; other columns are not read.
     """
@@ -103,7 +104,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
     known = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.class") == F.col("p.class"))) \
         .select("id", "r.source", "r.class", "size", "n", "source_size", "target", "whole", "part")
     settled = known.where("part = 0 OR size = 0").select(
-        "id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole")).otherwise(0).alias("copies"))
+        "id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole")).otherwise(1).alias("copies"))
 
     # blocks of about BLOCK documents, dealt by hash
     keyed = known.where("part > 0 AND size > 0") \
@@ -159,3 +160,22 @@ def _told(blocks: DataFrame, told: DataFrame) -> DataFrame:
 def _decided(fold: str, take: str) -> Column:
     return F.expr(f"concat({fold}.done, if({fold}.key IS NULL, cast(array() as array<struct<key:bigint,take:int>>), "
                   f"array(named_struct('key', {fold}.key, 'take', {take}))))")
+
+
+def apply_copies(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Rows of ``df`` as often as ``mixed`` (made from it) says, same columns.
+    Rows that agree in id, source and size share their copies out in the order
+    of their texts."""
+    key = ["__id", "__source", "__size"]
+    counted = mixed.groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "copies") \
+        .agg(F.count("*").alias("n"))
+    counts = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("copies", "n"))).alias("__counts"))
+    rows = df.withColumn("__id", F.col(id_col)).withColumn("__source", F.col(source_col).cast("string")) \
+        .withColumn("__size", F.regexp_count(whole_text(text_col), F.lit(WORD)).cast("long"))
+    rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(whole_text(text_col))))
+    on = (F.col("r.__id").eqNullSafe(F.col("c.__id"))) & (F.col("r.__source").eqNullSafe(F.col("c.__source"))) & (F.col("r.__size") == F.col("c.__size"))
+    joined = rows.alias("r").join(counts.alias("c"), on).select("r.*", "c.__counts")
+    copies = F.expr("""aggregate(__counts, named_struct('left', cast(__place as bigint), 'copies', cast(null as bigint)),
+        (a, x) -> named_struct('left', a.left - x.n, 'copies', coalesce(a.copies, if(a.left <= x.n, x.copies, null))), a -> a.copies)""")
+    return joined.withColumn("__copies", copies).where("__copies > 0") \
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])

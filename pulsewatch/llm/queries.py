@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import ann, bpe, mixing, pii, secrets_crf, simhash, spotsigs, token_count, toxicity
+from . import ann, bpe, licenses, mixing, pii, secrets_crf, simhash, spotsigs, token_count, toxicity
 from .common import documents, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,16 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = table(spark, sf_dir, "embeddings")
     return ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op2_licenses")
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document.  Documents have no paths, so they are filed
+    as source/lang/<hundred of the id>/<id>.txt; the first id of each hundred
+    stands for that folder's LICENSE file."""
+    docs = documents(spark, sf_dir)
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),
+                       F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return licenses.scan(docs.withColumn("path", path), keep=("doc_id",)) \
+        .select("doc_id", "path", "own", "own_score", "licence", "inherited_from")

@@ -207,22 +207,21 @@ def link(points: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, shingle_words: int = 4, distance: int = 4, text_col: str = "text",
-                    id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``df``: the id, ``fp`` and ``component_id``, the
-    smallest id reachable over links of at most ``distance`` bits, itself
-    included.
+                    id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``df``: the id, ``keep``, ``fp``, ``component_id``
+    (the smallest id reachable over links of at most ``distance`` bits, itself
+    included) and ``component`` (the smallest fingerprint of the same set).
 
     Null and empty texts have fingerprint 0 and link like any other.  A null
     id never names a component: the smallest other id does, or null if there
     is none.  Repeated rows stay repeated; an empty table gives no rows; other
     columns are not read.
     """
-    fps = staged(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")),
-                              shingle_words, keep=("id",)), "fingerprints")
-    points = staged(fps.groupBy("fp").agg(F.min("id").alias("first")), "points")
+    fps = staged(fingerprints(df, shingle_words, text_col, keep=(id_col, *keep)), "fingerprints")
+    points = staged(fps.groupBy("fp").agg(F.min(id_col).alias("first")), "points")
     labels = connected_components(link(points.select("fp"), distance))
     named = points.join(labels.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of = named.join(least, "label").select("fp", "component_id")
-    return fps.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = named.join(least, "component").select("fp", "component_id", "component")
+    return fps.join(of, "fp").select(id_col, *keep, "fp", "component_id", "component")
