@@ -192,7 +192,7 @@ def link(points: DataFrame, distance: int = 4) -> DataFrame:
     probes = _exploded(points, probe_rows)
     n_hot = hot.count()
     cold = index if n_hot == 0 else index.join(hot, ["part", "key"], "left_anti")
-    x, y = probes.alias("x"), cold.alias("y")
+    x, y = probes.alias("x").hint("merge"), cold.alias("y").hint("merge")
     pairs = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key"))
                    & (F.col("x.fp") < F.col("y.fp"))
                    & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance)) \
@@ -202,7 +202,8 @@ def link(points: DataFrame, distance: int = 4) -> DataFrame:
     dense = staged(probes.join(hot, ["part", "key"], "left_semi").select("fp").distinct(), "dense")
     near = dense.select("fp", F.explode(F.lit(ball)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     centre = near.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
-    stars = near.join(centre, "mid").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+    # sizes before the explode say nothing about these two: never broadcast them
+    stars = near.hint("merge").join(centre.hint("merge"), "mid").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
     return pairs.unionByName(stars)
 
 
