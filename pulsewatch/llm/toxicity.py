@@ -91,11 +91,10 @@ def sigmoid(x: float) -> float:
 
 
 def train(labelled: DataFrame, bits: int = 20, max_rows: int = 16_384, shard_rows: int = 4_096, epochs: int = 8,
-          alpha: float = 2.0, beta: float = 1.0, l1_per_row: float = 10 / 4_096, positive_weight: float = 5.0) -> dict[int, float]:
+          alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, positive_weight: float = 5.0) -> dict[int, float]:
     """Non-zero weights by coordinate (2^bits: the bias) from rows (id, text,
-    label 0/1).  The L1 term grows with a shard's rows (1 at least), as the
-    gradients it holds against do; rows of the rare label 1 count
-    ``positive_weight`` times.  Rows with a null label are ignored; an id given
+    label 0/1).  Rows of the rare label 1 count ``positive_weight`` times; the
+    L1 term is strong enough to keep what few rows show at zero.  Rows with a null label are ignored; an id given
     several times counts as often.  No rows: no weights."""
     ship(labelled.sparkSession)
     rows = labelled.where("label IN (0, 1)")
@@ -119,7 +118,7 @@ def train(labelled: DataFrame, bits: int = 20, max_rows: int = 16_384, shard_row
         pdf = pdf.sort_values(["pick", "label"], kind="stable")
         sets = [np.frombuffer(x, np.int32).astype(np.int64) for x in pdf["at"]]
         labels = pdf["label"].tolist()
-        model = Ftrl(bits, alpha, beta, max(1.0, l1_per_row * len(sets)), 0.0)
+        model = Ftrl(bits, alpha, beta, l1, 0.0)
         order = np.random.default_rng(11)
         for _ in range(epochs):
             for i in order.permutation(len(sets)):
