@@ -21,8 +21,8 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under one half."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), score_col="__score", predicted_col="__predicted")
+    return scored.where("__predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and n_chars counted again."""
-    found = secrets_crf.find_secrets(docs)
-    masked = found.withColumn("text", secrets_crf.mask("text", "secrets"))
+    found = secrets_crf.find_secrets(docs, out_col="__secrets")
+    masked = found.withColumn("__text", secrets_crf.mask("text", "__secrets"))
     if "n_chars" in docs.columns:
-        changed = F.size("secrets") > 0
-        masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return masked.select(*docs.columns)
+        changed = F.size("__secrets") > 0
+        masked = masked.withColumn("n_chars", F.when(changed, F.length("__text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.withColumn("text", F.col("__text")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

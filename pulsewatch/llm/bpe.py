@@ -17,7 +17,6 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, whole_text
+from .common import map_texts, ship, whole_text
 
 #: White space as Unicode defines it (Python's own class also has U+001C..1F).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -249,25 +248,6 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 OUTPUTS = {"ids": T.ArrayType(T.IntegerType()), "ids_text": T.StringType(),
            "decoded": T.StringType(), "n_tokens": T.LongType()}
-BATCH_CHARS = 2_000_000
-
-
-def _encode_batches(batches: Iterator[pd.DataFrame], path: str, text_col: str, want: tuple[str, ...]):
-    tok = word_tokenizer(path)
-    for pdf in batches:
-        start, size, made = 0, 0, []
-        texts = pdf[text_col].tolist()
-        for i, t in enumerate(texts):
-            made.append(tok.columns(t, want))
-            size += len(t)
-            if size >= BATCH_CHARS or i == len(texts) - 1:  # bounded output batches
-                out = pdf.iloc[start:i + 1].drop(columns=[text_col]).reset_index(drop=True)
-                for k, w in enumerate(want):
-                    out[w] = [m[k] for m in made]
-                yield out
-                start, size, made = i + 1, 0, []
-
-
 def encode(df: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
            want: tuple[str, ...] = ("ids", "n_tokens")) -> DataFrame:
     """Encode every whole text of ``df`` and return ``keep`` plus ``want``
@@ -281,27 +261,22 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[s
     clash = set(keep) & set(want)
     if clash:
         raise ValueError(f"kept columns clash with outputs: {sorted(clash)}")
-    ship(df.sparkSession)
     src = df.select(*[F.col(f"`{c}`") for c in keep], whole_text(text_col).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], *[T.StructField(w, OUTPUTS[w]) for w in want]])
 
-    def run(batches: Iterator[pd.DataFrame]):
-        return _encode_batches(batches, vocab_path, "__text", want)
+    def start():
+        tok = word_tokenizer(vocab_path)
+        return lambda texts: list(zip(*[tok.columns(t, want) for t in texts]))
 
-    return src.mapInPandas(run, schema)
+    return map_texts(src, "__text", [T.StructField(w, OUTPUTS[w]) for w in want], start)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the text that ``ids_col`` (array<int>) decodes to.  A null array and
+    """Add (or replace) the text that ``ids_col`` (array<int>) decodes to.  A null array and
     an empty one give the empty text; unknown and null ids are skipped."""
     ship(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]):
+    def decoded(ids: pd.Series) -> pd.Series:
         tok = word_tokenizer(vocab_path)
-        for pdf in batches:
-            pdf = pdf.copy()
-            pdf[out_col] = [tok.decode([] if ids is None else list(ids)) for ids in pdf[ids_col]]
-            yield pdf
+        return pd.Series([tok.decode([] if x is None else list(x)) for x in ids], dtype="str")
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out_col, F.pandas_udf(decoded, T.StringType())(F.col(ids_col)))

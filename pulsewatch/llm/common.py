@@ -7,8 +7,13 @@ import tempfile
 import uuid
 import zipfile
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import scratch_path
 
@@ -55,3 +60,36 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def whole_text(col: str = "text"):
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+#: Texts handed to a text function at once: bounds its memory and its output batch.
+BATCH_CHARS = 2_000_000
+
+
+def map_texts(df: DataFrame, text_col: str, outputs: list[T.StructField], start: Callable[[], Callable[[list[str]], list[list]]],
+              keep_text: bool = False) -> DataFrame:
+    """Add ``outputs`` made from the texts of ``text_col`` (null read as the
+    empty text) and drop that column unless ``keep_text``.  ``start()`` runs
+    once per task and gives the function from a list of texts to one list per
+    output.  All other columns go through as they are."""
+    ship(df.sparkSession)
+    names = [f.name for f in df.schema.fields if keep_text or f.name != text_col]
+    schema = T.StructType([*[df.schema[n] for n in names], *outputs])
+    kinds = [to_arrow_type(f.dataType) for f in outputs]
+    labels = [*names, *[f.name for f in outputs]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            low, chars = 0, 0
+            for i, t in enumerate(texts):
+                chars += len(t)
+                if chars >= BATCH_CHARS or i == len(texts) - 1:
+                    part = batch.slice(low, i + 1 - low)
+                    made = work(texts[low:i + 1])
+                    arrays = [part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(c, k) for c, k in zip(made, kinds)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=labels)
+                    low, chars = i + 1, 0
+
+    return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, staged, whole_text
+from .common import map_texts, ship, staged, whole_text
 
 # FIXED VALUES: notices by SPDX id.
 NOTICES: tuple[tuple[str, str], ...] = (
@@ -121,19 +121,13 @@ def own_licences(files: DataFrame, text_col: str = "text", least: float = 0.7) -
     ship(spark)
     df, n = frequencies(files, text_col)
     shared = spark.sparkContext.broadcast((df, n, least))
-    src = files.withColumn(text_col, whole_text(text_col))
-    schema = T.StructType([*[f for f in src.schema.fields if f.name != text_col],
-                           T.StructField("own", T.StringType()), T.StructField("own_score", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]):
+    def start():
         match = Matcher(*shared.value)
-        for pdf in batches:
-            hits = [match.best(t) for t in pdf[text_col]]
-            out = pdf.drop(columns=[text_col])
-            out["own"], out["own_score"] = pd.Series([h[0] for h in hits], dtype=object, index=out.index), [h[1] for h in hits]
-            yield out
+        return lambda texts: list(zip(*map(match.best, texts)))
 
-    return src.mapInPandas(run, schema)
+    return map_texts(files.withColumn(text_col, whole_text(text_col)), text_col,
+                     [T.StructField("own", T.StringType()), T.StructField("own_score", T.DoubleType())], start)
 
 
 def scan(files: DataFrame, keep: tuple[str, ...] = (), path_col: str = "path", text_col: str = "text", least: float = 0.7) -> DataFrame:

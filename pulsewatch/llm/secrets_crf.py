@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, staged, whole_text
+from .common import map_texts, ship, staged, whole_text
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -295,7 +295,7 @@ def train(docs: DataFrame, text_col: str = "text", max_docs: int = 10_000, max_w
 
 def find_secrets(df: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray] | None = None, text_col: str = "text",
                  out_col: str = "secrets") -> DataFrame:
-    """Add ``secrets``: array of (start, end, kind) of every whole text, by
+    """Add (or replace) ``secrets``: array of (start, end, kind) of every whole text, by
     start, then kind (assign, access, hex, crf); code points, end exclusive.
 
     Tagged spans that touch a pattern's span are left out (the pattern's
@@ -303,33 +303,26 @@ def find_secrets(df: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray]
     have no spans; rows are independent, repeated rows stay repeated, an empty
     table gives no rows; other columns are kept as they are.
     """
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col} exists")
     spark = df.sparkSession
     ship(spark)
     unary, trans = train(df, text_col) if model is None else model
     shared = spark.sparkContext.broadcast((unary, trans))
     kind = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
                                      T.StructField("kind", T.StringType())]))
-    taggers: list[Tagger] = []
 
-    def scan(text: str) -> list[tuple[int, int, str]]:
-        if not taggers:
-            taggers.append(Tagger(*shared.value))
-        found = base_spans(text)
-        if taggers[0].unary:
-            extra = [(a, b, "crf") for a, b in taggers[0].spans(text) if not any(a < e and s < b for s, e, _ in found)]
-            found = sorted(found + extra, key=lambda s: (s[0], KINDS.index(s[2])))
-        return found
+    def start():
+        tagger = Tagger(*shared.value)
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, kind)])
+        def scan(text: str) -> list[dict]:
+            found = base_spans(text)
+            if tagger.unary:
+                extra = [(a, b, "crf") for a, b in tagger.spans(text) if not any(a < e and s < b for s, e, _ in found)]
+                found = sorted(found + extra, key=lambda s: (s[0], KINDS.index(s[2])))
+            return [{"start": a, "end": b, "kind": k} for a, b, k in found]
 
-    def run(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            pdf[out_col] = [[{"start": a, "end": b, "kind": k} for a, b, k in scan(t or "")] for t in pdf[text_col]]
-            yield pdf
+        return lambda texts: [[scan(t) for t in texts]]
 
-    return df.mapInPandas(run, schema)
+    return map_texts(df.drop(out_col), text_col, [T.StructField(out_col, kind)], start, keep_text=True)
 
 
 def mask(text_col: str = "text", spans_col: str = "secrets", by: str = "[SECRET]"):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, staged, whole_text
+from .common import map_texts, staged, whole_text
 from .components import connected_components
 
 BITS = 64
@@ -63,17 +63,9 @@ def fingerprints(df: DataFrame, shingle_words: int = 4, text_col: str = "text",
                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` plus ``fp`` (signed 64-bit) of every whole text; null text is
     the empty text (fingerprint 0).  One row per row."""
-    ship(df.sparkSession)
     src = df.select(*[F.col(f"`{c}`") for c in keep], whole_text(text_col).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("fp", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]):
-        for pdf in batches:
-            out = pdf.drop(columns=["__text"])
-            out["fp"] = np.array([simhash(t, shingle_words) for t in pdf["__text"]], np.int64)
-            yield out
-
-    return src.mapInPandas(run, schema)
+    return map_texts(src, "__text", [T.StructField("fp", T.LongType())],
+                     lambda: lambda texts: [[simhash(t, shingle_words) for t in texts]])
 
 
 def bit_statistics(points: DataFrame) -> tuple[int, np.ndarray]:

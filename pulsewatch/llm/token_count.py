@@ -15,16 +15,14 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import SPACE, Vocabulary, byte_symbols, remember
-from .common import ship, whole_text
+from .common import map_texts, whole_text
 
 #: Fixed value of the byte-level pre-tokenizer.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -101,16 +99,12 @@ def count_tokens(df: DataFrame, vocab_path: str, text_col: str = "text", keep: t
     clash = set(keep) & {"n_bytes", "n_tokens", "over_limit"}
     if clash:
         raise ValueError(f"kept columns clash with outputs: {sorted(clash)}")
-    ship(df.sparkSession)
     src = df.select(*[F.col(f"`{c}`") for c in keep], F.octet_length(whole_text(text_col)).cast("long").alias("n_bytes"),
                     whole_text(text_col).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]):
+    def start():
         count = token_counter(vocab_path).count
-        for pdf in batches:
-            out = pdf.drop(columns=["__text"])
-            out["n_tokens"] = [count(t) for t in pdf["__text"]]
-            yield out
+        return lambda texts: [[count(t) for t in texts]]
 
-    return src.mapInPandas(run, schema).withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
+    counted = map_texts(src, "__text", [T.StructField("n_tokens", T.LongType())], start)
+    return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

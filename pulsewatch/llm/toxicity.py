@@ -134,14 +134,12 @@ def train(labelled: DataFrame, bits: int = 20, max_rows: int = 16_384, shard_row
 
 def score(df: DataFrame, weights: dict[int, float], bits: int = 20, text_col: str = "text",
           out_col: str = "score") -> DataFrame:
-    """Add ``score`` (0 to 1) of every whole text.
+    """Add (or replace) ``score`` (0 to 1) of every whole text.
 
     Null and empty texts get the score of no features; without weights every
     score is 0.  Repeated rows stay repeated; an empty table gives no rows;
     other columns are kept as they are.
     """
-    if out_col in df.columns:
-        raise ValueError(f"column {out_col} exists")
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((np.array(list(weights), np.int64), np.array(list(weights.values()), np.float64)))
@@ -174,6 +172,9 @@ def learn_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> di
     return train(texts.join(known, "id").select("id", "text", "label"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Every row of ``docs`` plus score and predicted (1 if score >= 0.5)."""
-    return score(docs, learn_from(docs, labels, id_col)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", score_col: str = "score",
+             predicted_col: str = "predicted") -> DataFrame:
+    """Every row of ``docs`` plus (or with these replaced) score and predicted
+    (1 if score >= 0.5)."""
+    return score(docs, learn_from(docs, labels, id_col), out_col=score_col) \
+        .withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
