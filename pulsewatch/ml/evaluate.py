@@ -44,7 +44,7 @@ def threshold_sweep(df: DataFrame, label: str = "y", score: str = "p", beta: flo
     of data with the grid).  Thresholds with no positive prediction are
     skipped for the choice, as in the product.
     """
-    grid = grid or threshold_grid()
+    grid = sorted(grid or threshold_grid())
     s = F.col(score).cast("double")
     k = sum((s >= F.lit(t)).cast("int") for t in grid)
     hist = df.select(k.alias("k"), F.col(label).cast("int").alias("y")) \
@@ -70,6 +70,12 @@ def threshold_sweep(df: DataFrame, label: str = "y", score: str = "p", beta: flo
     return out.join(best, "i", "left").withColumn("is_best", F.coalesce("is_best", F.lit(False))).drop("i")
 
 
+def best_threshold(sweep: DataFrame, default: float = 0.5) -> DataFrame:
+    """One row ``threshold``: the best of a sweep, or ``default`` when no score
+    reaches any threshold (K6)."""
+    return sweep.agg(F.coalesce(F.max(F.when(F.col("is_best"), F.col("threshold"))), F.lit(default)).alias("threshold"))
+
+
 def classification_report(df: DataFrame, label: str = "y", pred: str = "yhat") -> DataFrame:
     """Precision, recall, F1 and counts of a binary prediction (K7)."""
     y, yh = F.col(label).cast("int"), F.col(pred).cast("int")
@@ -113,7 +119,8 @@ def macro_report(df: DataFrame, label: str = "y", pred: str = "yhat", classes=S.
     """Per-class precision / recall / F1 / support and macro averages.
 
     One ``groupBy(y, yhat)`` confusion table (at most k x k rows); a class
-    with no prediction or no support scores 0, like ``zero_division=0``.
+    with no prediction or no support scores 0, like ``zero_division=0``.  The
+    averages are over the classes that occur as a label or a prediction.
     """
     spark = df.sparkSession
     conf = df.groupBy(F.col(label).alias("y"), F.col(pred).alias("yhat")).agg(F.count(F.lit(1)).alias("n"))
@@ -127,7 +134,7 @@ def macro_report(df: DataFrame, label: str = "y", pred: str = "yhat", classes=S.
     per = per.withColumn("precision", p).withColumn("recall", r) \
         .withColumn("f1", _fbeta(F.col("precision"), F.col("recall"), 1.0))
     total = conf.agg(F.sum("n").alias("total"), F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n"))).alias("correct"))
-    macro = per.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+    macro = per.where(F.col("predicted") + F.col("support") > 0).agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                     F.avg("f1").alias("f1"), F.sum("support").alias("support")).crossJoin(total).select(
         F.lit("macro").alias("cls"), F.lit(None).cast("long").alias("tp"), F.lit(None).cast("long").alias("predicted"),
         "support", "precision", "recall", "f1", (F.col("correct") / F.col("total")).alias("accuracy"))

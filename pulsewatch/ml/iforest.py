@@ -95,18 +95,19 @@ def fit(df: DataFrame, feature_cols: list[str], key_cols: list[str], n_trees: in
         .withColumn("psi", F.lit(psi))
 
 
-def _walk(forest: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+def _arrays(forest: pd.DataFrame) -> list[tuple[np.ndarray, ...]]:
+    """(feature, threshold, left, right, path length added at the node) per tree."""
+    if not len(forest):
+        return []
+    return [(t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(),
+             np.array([c_factor(s) for s in t["size"]]))
+            for _, t in forest.sort_values(["tree", "node"]).groupby("tree", sort=True)]
+
+
+def _walk(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
     """Mean path length of each row of x over all trees (vectorised per tree)."""
     total = np.zeros(len(x))
-    trees = forest.sort_values(["tree", "node"]).groupby("tree", sort=True)
-    n_trees = 0
-    for _, t in trees:
-        n_trees += 1
-        feat = t["feature"].to_numpy()
-        thr = t["threshold"].to_numpy()
-        left = t["left"].to_numpy()
-        right = t["right"].to_numpy()
-        size = t["size"].to_numpy()
+    for feat, thr, left, right, ends in trees:
         node = np.zeros(len(x), dtype=int)
         depth = np.zeros(len(x))
         active = feat[node] >= 0
@@ -117,8 +118,8 @@ def _walk(forest: pd.DataFrame, x: np.ndarray) -> np.ndarray:
             node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
             depth[idx] += 1
             active = feat[node] >= 0
-        total += depth + np.array([c_factor(s) for s in size])[node]
-    return total / max(n_trees, 1)
+        total += depth + ends[node]
+    return total / max(len(trees), 1)
 
 
 def score(df: DataFrame, forest: DataFrame, feature_cols: list[str], out: str = "iso_score") -> DataFrame:
@@ -126,8 +127,7 @@ def score(df: DataFrame, forest: DataFrame, feature_cols: list[str], out: str =
     spark = df.sparkSession
     rows = forest.collect()            # bounded: trees x (2 psi - 1) node rows
     psi = rows[0]["psi"] if rows else 256
-    pdf = pd.DataFrame([r.asDict() for r in rows])
-    bc = spark.sparkContext.broadcast(pdf)
+    bc = spark.sparkContext.broadcast(_arrays(pd.DataFrame([r.asDict() for r in rows])))  # arrays built once, here
     cn = c_factor(psi)
 
     @F.pandas_udf(T.DoubleType())
@@ -138,6 +138,39 @@ def score(df: DataFrame, forest: DataFrame, feature_cols: list[str], out: str =
     return df.withColumn(out, iso(*[F.col(c).cast("double") for c in feature_cols]))
 
 
-def cutoff(scored: DataFrame, contamination: float, col: str = "iso_score") -> Column:
-    """Score at the (1 - contamination) quantile: rows at or above are anomalies."""
-    return F.percentile(F.col(col), F.lit(1.0 - contamination))
+def quantiles(df: DataFrame, col: str, shares: list[float], buckets: int = 256) -> DataFrame:
+    """Exact quantiles (linear between ranks) ``q0``, ``q1``, ... in one row,
+    without bringing the values to one task.
+
+    Distinct values with their counts are cut into buckets at approximate
+    quantiles; a bucket's offset comes from a ``buckets``-row table and ranks
+    inside it from a running sum, so no window spans the whole column.
+    """
+    s = F.col(col).cast("double")
+    d = df.select(s.alias("s")).where("s IS NOT NULL").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    cuts = d.agg(F.percentile_approx("s", [i / buckets for i in range(1, buckets)], 10000).alias("cuts"))
+    d = d.crossJoin(F.broadcast(cuts))  # one-row side holding bucket edges
+    d = d.withColumn("b", F.size(F.filter("cuts", lambda c: c < F.col("s")))).drop("cuts")
+    per = d.groupBy("b").agg(F.sum("n").alias("bn"))
+    whole = Window.partitionBy()
+    per = per.select("b", F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"),
+                     F.sum("bn").over(whole).alias("total"))  # <= buckets rows
+    d = d.join(per, "b").withColumn("upto", F.col("off") + F.sum("n").over(
+        Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("s")))
+
+    out = []
+    for i, q in enumerate(shares):
+        place = F.lit(float(q)) * (F.col("total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"q{i}"))
+    return d.agg(*out)
+
+
+def cutoffs(scored: DataFrame, contaminations: list[float], col: str = "iso_score") -> DataFrame:
+    """One row ``c0``, ``c1``, ...: the score at each (1 - contamination)
+    quantile; rows strictly above it are anomalies."""
+    got = quantiles(scored, col, [1.0 - c for c in contaminations])
+    return got.select(*[F.col(f"q{i}").alias(f"c{i}") for i in range(len(contaminations))])

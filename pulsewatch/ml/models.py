@@ -85,7 +85,7 @@ def train_failure(features: DataFrame, max_iter: int = 30, max_depth: int = 8, s
     model = Pipeline(stages=_scaled(FEATURES) + [gbt]).fit(train)
     scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
     sweep = EV.threshold_sweep(scored, "failure_target", "p")
-    best = sweep.filter("is_best").select(F.col("threshold").alias("_t"))
+    best = EV.best_threshold(sweep).select(F.col("threshold").alias("_t"))
     pred = scored.crossJoin(F.broadcast(best)).withColumn("yhat", (F.col("p") >= F.col("_t")).cast("int"))
     report = EV.classification_report(pred, "failure_target", "yhat").crossJoin(
         EV.rank_auc(scored, "failure_target", "p")).withColumn("scale_pos_weight", F.lit(w_pos))
@@ -123,11 +123,11 @@ def fit_anomaly(features: DataFrame, n_trees: int = 200, max_samples: int = 256
 
 def score_anomaly(scaler: PipelineModel, forest: DataFrame, features: DataFrame, cutoff: float
                   ) -> DataFrame:
-    """K8/K10 inference: isolation score of new feature rows, flag at or above
+    """K8/K10 inference: isolation score of new feature rows, flag strictly above
     the contamination cut-off, and the 0..1 score (floor = offset - 0.1)."""
     from . import heuristics as H
     scored = IF.score(_standardised(scaler, QY.drop_incomplete(features, FEATURES)), forest, ZCOLS)
-    return scored.withColumn("is_anomaly", F.col("iso_score") >= F.lit(cutoff)) \
+    return scored.withColumn("is_anomaly", F.col("iso_score") > F.lit(cutoff)) \
         .withColumn("anomaly_score", H.normalised_anomaly(-F.col("iso_score"), F.lit(-cutoff - 0.1), 0.0))
 
 
@@ -140,7 +140,7 @@ def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees:
     scaler, forest, z = fit_anomaly(df, n_trees=n_trees, max_samples=max_samples)
     # one vectorised scoring pass, materialised: every contamination value reads it
     scored = cut_lineage(IF.score(z, forest, ZCOLS))
-    cuts = scored.agg(*[IF.cutoff(scored, c).alias(f"c{i}") for i, c in enumerate(grid)])
+    cuts = IF.cutoffs(scored, list(grid))
     if labels is not None:
         scored = FE.join_labels(scored, labels)
     else:
@@ -148,9 +148,9 @@ def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees:
     sc = scored.crossJoin(F.broadcast(cuts))  # one-row side
     rows = [sc.agg(
         F.lit(c).alias("contamination"),
-        F.sum(((F.col("iso_score") >= F.col(f"c{i}")) & F.col("is_anomaly")).cast("int")).alias("tp"),
-        F.sum(((F.col("iso_score") >= F.col(f"c{i}")) & ~F.col("is_anomaly")).cast("int")).alias("fp"),
-        F.sum(((F.col("iso_score") < F.col(f"c{i}")) & F.col("is_anomaly")).cast("int")).alias("fn"),
+        F.sum(((F.col("iso_score") > F.col(f"c{i}")) & F.col("is_anomaly")).cast("int")).alias("tp"),
+        F.sum(((F.col("iso_score") > F.col(f"c{i}")) & ~F.col("is_anomaly")).cast("int")).alias("fp"),
+        F.sum(((F.col("iso_score") <= F.col(f"c{i}")) & F.col("is_anomaly")).cast("int")).alias("fn"),
         F.first(F.col(f"c{i}")).alias("cutoff")) for i, c in enumerate(grid)]
     sweep = rows[0]
     for r in rows[1:]:
@@ -163,14 +163,14 @@ def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees:
     rank = F.row_number().over(Window.orderBy(F.col("f1").desc(), F.col("contamination")))
     sweep = sweep.withColumn("is_best", F.when(has_pos, rank == 1)
                              .otherwise(F.col("contamination") == S.ANOMALY_CONTAMINATION_DEFAULT))
-    # 0..1 anomaly score; raw = score_samples (= -iso), floor = offset - 0.1, ceiling 0
+    # 0..1 anomaly score; raw = score_samples (= -iso), floor = offset - 0.1, ceiling 0;
+    # rows are flagged and scored at the best contamination's cut-off
     from . import heuristics as H
-    cut_default = cuts.select(F.col(f"c{list(grid).index(S.ANOMALY_CONTAMINATION_DEFAULT)}").alias("_cut")) \
-        if S.ANOMALY_CONTAMINATION_DEFAULT in grid else None
-    if cut_default is not None:
-        scored = scored.crossJoin(F.broadcast(cut_default)).withColumn(
-            "anomaly_score", H.normalised_anomaly(-F.col("iso_score"), -F.col("_cut") - 0.1, 0.0)) \
-            .withColumn("is_anomaly_pred", F.col("iso_score") >= F.col("_cut")).drop("_cut")
+    sweep = cut_lineage(sweep)                                                     # <= 6 rows
+    best = sweep.filter("is_best").select(F.col("cutoff").alias("_cut"))
+    scored = scored.crossJoin(F.broadcast(best)).withColumn(                       # one-row side
+        "anomaly_score", H.normalised_anomaly(-F.col("iso_score"), -F.col("_cut") - 0.1, 0.0)) \
+        .withColumn("is_anomaly_pred", F.col("iso_score") > F.col("_cut")).drop("_cut")
     return forest, scored, sweep
 
 
@@ -328,8 +328,7 @@ def train(spark: SparkSession, features: DataFrame, store: str, modules=("traffi
         elif module == "failure":
             model, sweep, rep = train_failure(features, **params.get("failure", {}))
             r = rep.first().asDict()
-            best = sweep.filter("is_best").select("threshold").first()
-            hp = {"decision_threshold": float(best["threshold"]) if best else 0.5}
+            hp = {"decision_threshold": float(EV.best_threshold(sweep).first()["threshold"])}
             meta = save_model(model, store, "failure", {k: float(v) for k, v in r.items() if v is not None}, hp,
                               n_rows, "GBTClassifier", spark)
         else:

@@ -32,10 +32,12 @@ def create_services(dim: DataFrame, requests: DataFrame, order: str = "request_s
     now = now if now is not None else F.current_timestamp()
     checked = requests.withColumn("_failed", F.filter(F.array(*[
         F.when(~ok, F.lit(n)) for n, ok in QY.rules_services().items()]), lambda x: x.isNotNull()))
-    w = Window.partitionBy("name", "environment").orderBy(order)
-    ranked = checked.withColumn("_rank", F.row_number().over(w))
-    exists = dim.select("name", "environment").withColumn("_exists", F.lit(True))
-    j = ranked.join(exists, ["name", "environment"], "left")
+    exists = dim.select("name", "environment").distinct().withColumn("_exists", F.lit(True))
+    j = checked.join(exists, ["name", "environment"], "left")
+    # only requests that could be accepted compete for a name
+    able = (F.size("_failed") == 0) & F.col("_exists").isNull()
+    w = Window.partitionBy("name", "environment", able).orderBy(order)
+    j = j.withColumn("_rank", F.row_number().over(w))
     reason = (F.when(F.size("_failed") > 0, F.concat(F.lit("invalid: "), F.array_join("_failed", ",")))
               .when(F.col("_exists").isNotNull(), F.lit("conflict: name and environment exist"))
               .when(F.col("_rank") > 1, F.lit("conflict: duplicate in batch")))

@@ -157,11 +157,14 @@ def label_episodes(metrics: DataFrame, anomalies: DataFrame, failures: DataFrame
     Anomaly episodes multiply latency (mean, p95, p99) by their multiplier
     (overlaps multiply); failure episodes raise error rate and p99 to their
     floors and p95 to 0.7 x the p99 floor.  Episodes starting before the
-    data are skipped; minutes past the data are dropped.  Episodes are
-    expanded to their minutes with ``sequence`` (bounded by each episode's
-    duration) and equi-joined, then combined per minute with partial
-    aggregates (``product``, ``max``) -- no interval nested loop.
+    data are skipped; windows past the data are dropped.  An episode covers
+    every window that one of its minutes falls in, each once: it is expanded
+    with ``sequence`` from the window of its first minute to that of its last
+    (bounded by the episode's duration) and equi-joined, then combined per
+    window with partial aggregates (``product``, ``max``) -- no interval
+    nested loop.
     """
+    size = S.WINDOW_MINUTES[window_size]
     m = metrics.filter(F.col("window_size") == window_size)
     bounds = m.agg(F.min("window_start").alias("_lo"), F.max("window_start").alias("_hi"))
 
@@ -169,7 +172,8 @@ def label_episodes(metrics: DataFrame, anomalies: DataFrame, failures: DataFrame
         e = ep.crossJoin(F.broadcast(bounds)).filter(  # one-row side
             (F.col("start") >= F.col("_lo")) & (F.col("start") <= F.col("_hi")))
         last = F.col("start") + F.make_dt_interval(mins=F.col("duration_minutes") - 1)
-        return e.withColumn("window_start", F.explode(F.sequence("start", last, F.make_dt_interval(mins=F.lit(1))))) \
+        return e.withColumn("window_start", F.explode(F.sequence(
+            X.floor_time(F.col("start"), size), X.floor_time(last, size), F.make_dt_interval(mins=F.lit(size))))) \
             .filter(F.col("window_start") <= F.col("_hi"))
 
     an = minutes(anomalies).groupBy("service_id", "window_start").agg(

@@ -153,8 +153,10 @@ def asof_prediction(spark, sf_dir):
                     F.get_json_object("value", "$.anomaly_score").cast("double").alias("anomaly_score"), "status")
 
 
-def _episodes_sql() -> str:
+def _episodes_sql(unit: str = "minute") -> str:
     k = Q.K
+    series = (f"generate_series(date_trunc('{unit}', start), date_trunc('{unit}', start + (d - 1) * INTERVAL '1 minute'), "
+              f"INTERVAL '1 {unit}')")
     return f"""
 bounds AS (SELECT min(window_start) AS lo, max(window_start) AS hi FROM metrics),
 ae AS (SELECT 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service_id, date_trunc('minute', ts) AS start,
@@ -164,15 +166,14 @@ fe AS (SELECT 'svc-' || CAST(user_id % 5 AS VARCHAR) AS service_id, date_trunc('
               1 + {k} % {FX.FAILURE_MAX_MINUTES} AS d
        FROM events WHERE event_type = 'error' AND {k} % 4 = 1),
 am AS (SELECT service_id, ws AS window_start, product(mult) AS mult FROM (
-         SELECT service_id, mult, unnest(generate_series(start, start + (d - 1) * INTERVAL '1 minute', INTERVAL '1 minute')) AS ws
+         SELECT service_id, mult, unnest({series}) AS ws
          FROM ae, bounds WHERE start >= lo AND start <= hi) x, bounds WHERE ws <= hi GROUP BY service_id, ws),
 fm AS (SELECT DISTINCT service_id, ws AS window_start FROM (
-         SELECT service_id, unnest(generate_series(start, start + (d - 1) * INTERVAL '1 minute', INTERVAL '1 minute')) AS ws
+         SELECT service_id, unnest({series}) AS ws
          FROM fe, bounds WHERE start >= lo AND start <= hi) x, bounds WHERE ws <= hi)"""
 
 
-@plan("episode_labels", sql=f"""
-{Q.with_metrics('1m')}, {_episodes_sql()}
+LABELS_SQL = f"""
 SELECT m.service_id, m.window_start, am.mult IS NOT NULL AS is_anomaly, fm.service_id IS NOT NULL AS is_failure_window,
        round(CAST(m.response_time_mean AS DOUBLE) * coalesce(am.mult, 1.0), 6) AS response_time_mean,
        round(CASE WHEN fm.service_id IS NOT NULL
@@ -184,16 +185,31 @@ SELECT m.service_id, m.window_start, am.mult IS NOT NULL AS is_anomaly, fm.servi
        round(CASE WHEN fm.service_id IS NOT NULL THEN greatest(CAST(m.error_rate AS DOUBLE), {FX.FAILURE_ERROR_RATE_FLOOR})
                   ELSE CAST(m.error_rate AS DOUBLE) END, 6) AS error_rate
 FROM metrics m LEFT JOIN am ON m.service_id = am.service_id AND m.window_start = am.window_start
-LEFT JOIN fm ON m.service_id = fm.service_id AND m.window_start = fm.window_start""")
-def episode_labels(spark, sf_dir):
-    """Anomaly / failure episodes overlaid on 1m metric rows (multipliers, floors)."""
+LEFT JOIN fm ON m.service_id = fm.service_id AND m.window_start = fm.window_start"""
+
+
+def _labels(spark, sf_dir, size):
     ev = FX.read_table(spark, sf_dir, "events")
-    lab = V.label_episodes(metrics_of(spark, sf_dir, "1m"), FX.anomaly_episodes(ev), FX.failure_episodes(ev))
+    lab = V.label_episodes(metrics_of(spark, sf_dir, size), FX.anomaly_episodes(ev), FX.failure_episodes(ev), window_size=size)
     return lab.select("service_id", "window_start", "is_anomaly", "is_failure_window",
                       *[F.round(c, 6).alias(c) for c in ("response_time_mean", "response_time_p95",
                                                           "response_time_p99", "error_rate")])
 
 
+@plan("episode_labels", sql=f"""
+{Q.with_metrics('1m')}, {_episodes_sql()} {LABELS_SQL}""")
+def episode_labels(spark, sf_dir):
+    """Anomaly / failure episodes overlaid on 1m metric rows (multipliers, floors)."""
+    return _labels(spark, sf_dir, "1m")
+
+
+@plan("episode_labels_1h", sql=f"""
+{Q.with_metrics('1h')}, {_episodes_sql('hour')} {LABELS_SQL}""")
+def episode_labels_1h(spark, sf_dir):
+    """E10 on hours: an episode labels every hour one of its minutes falls in."""
+    return _labels(spark, sf_dir, "1h")
+
+
 @plan("anomaly_label_join", sql=f"""
 {Q.with_metrics('1m')}, {_episodes_sql()}
 SELECT m.service_id, m.window_start, coalesce(am.mult IS NOT NULL, false) AS is_anomaly,

@@ -162,7 +162,7 @@ def threshold_sweep(spark, sf_dir):
 
 @plan("classification_report", sql=f"""
 {Q.with_metrics(SIZE)}, {FAILURE_SQL}, {ROLL_SQL}, {SWEEP_SQL},
-thr AS (SELECT threshold FROM fb WHERE i IN (SELECT i FROM best)),
+thr AS (SELECT coalesce(max(threshold), 0.5) AS threshold FROM fb WHERE i IN (SELECT i FROM best)),
 c AS (
   SELECT sum(CASE WHEN p >= t.threshold AND y = 1 THEN 1 ELSE 0 END) AS tp,
          sum(CASE WHEN p >= t.threshold AND y = 0 THEN 1 ELSE 0 END) AS fp,
@@ -178,7 +178,7 @@ FROM c""")
 def classification_report(spark, sf_dir):
     """K7: precision / recall / F1 at the swept threshold."""
     s = scored(spark, sf_dir)
-    best = EV.threshold_sweep(s, "y", "p", grid=GRID).filter("is_best").select(F.col("threshold").alias("_t"))
+    best = EV.best_threshold(EV.threshold_sweep(s, "y", "p", grid=GRID)).select(F.col("threshold").alias("_t"))
     pred = s.crossJoin(F.broadcast(best)).withColumn("yhat", (F.col("p") >= F.col("_t")).cast("int"))  # one-row side
     r = EV.classification_report(pred, "y", "yhat")
     return r.select(*[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn", "tn")],
@@ -242,7 +242,7 @@ FROM f
 UNION ALL
 SELECT 'macro', NULL, NULL, CAST(sum(support) AS BIGINT), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
        round((SELECT avg(CASE WHEN y = yhat THEN 1.0 ELSE 0.0 END) FROM yy), 6)
-FROM f""")
+FROM f WHERE predicted + support > 0""")
 def confusion_macro(spark, sf_dir):
     """Macro report of the dashboard's placeholder-context priority against the label."""
     lab = AL.label_priority(AL.alert_frequency(candidates(spark, sf_dir)))

@@ -193,9 +193,15 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def _touched(df: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows of ``existing`` in the (window_size, month) partitions ``df`` touches."""
-    parts = df.select("window_size", _month(F.col("window_start")).alias("month")).distinct()
-    return existing.join(parts, ["window_size", "month"], "left_semi")
+    """Rows of ``existing`` in the (window_size, month) partitions ``df`` touches:
+    a static partition filter from their list (sizes x months of the batch, a
+    bounded few), so no other partition is read."""
+    parts = df.select("window_size", _month(F.col("window_start")).alias("month")).distinct().collect()
+    keep = F.lit(False)
+    for size in sorted({p["window_size"] for p in parts if p["window_size"] is not None}):
+        months = sorted({p["month"] for p in parts if p["window_size"] == size and p["month"] is not None})
+        keep = keep | ((F.col("window_size") == size) & F.col("month").isin(months))
+    return existing.filter(keep)
 
 
 def load_metrics_if_absent(df: DataFrame, path: str) -> DataFrame:
@@ -270,23 +276,50 @@ def repair_windows(api_logs: DataFrame, path: str, since, until, sizes=S.WINDOW_
     return fresh
 
 
+CLIENT_KEY_BUCKETS = 64
+
+
+def client_keys_path(path: str) -> str:
+    """Where the client-supplied keys of the log table at ``path`` are kept."""
+    return path.rstrip("/") + "-client-keys"
+
+
 def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFrame:
     """A5/B5 batch ingest: keep the first delivery per dedup key, drop keys the
     table already holds, append partitioned by date.  Returns the new rows.
 
-    The dedup key contains the request time cut to seconds, so a duplicate
-    always falls on the same request date: the existing-key check reads only
-    the date partitions the batch touches (a static partition filter built
-    from the batch's distinct dates -- one value per calendar day, a bounded
-    list), never the whole history.
+    A computed key contains the request time cut to seconds, so its duplicate
+    always falls on the same request date: that check reads only the date
+    partitions the batch touches (a static partition filter built from the
+    batch's distinct dates -- one value per calendar day, a bounded list).  A
+    key that a client supplied (``client_dedup_key``) may come back on any
+    date: those keys alone are kept in a table beside the logs, bucketed by
+    their hash, and a batch is held against the buckets its own keys fall in.
+
+    The batch is parsed, keyed and reduced once, into the checkpoint folder;
+    the dates, the checks and the write all read that.
     """
     from ..operators import quality as QY
+    from ..session import cut_lineage
     spark = df.sparkSession
-    staged = QY.dedup_first(df, order=order).withColumn("date", F.to_date("request_timestamp"))
+    staged = cut_lineage(QY.dedup_first(df, order=order).withColumn("date", F.to_date("request_timestamp")))
+    supplied = F.col("client_dedup_key").isNotNull() & (F.length(F.trim("client_dedup_key")) > 0) \
+        if "client_dedup_key" in staged.columns else F.lit(False)
+    bucket = F.pmod(F.xxhash64("dedup_key"), F.lit(CLIENT_KEY_BUCKETS)).cast("int").alias("bucket")
+    fresh = staged
     if table_exists(spark, path):
-        days = [r[0] for r in df.select(F.to_date("request_timestamp")).distinct().collect()]
+        days = [r[0] for r in staged.select("date").distinct().collect()]
         held = spark.read.parquet(path).filter(F.col("date").isin(days)).select("date", "dedup_key")
-        staged = staged.join(held, ["date", "dedup_key"], "left_anti")
-    staged = staged.drop("date")
-    write_api_logs(staged, path, mode="append")
-    return staged
+        fresh = fresh.join(held, ["date", "dedup_key"], "left_anti")
+    keys_path = client_keys_path(path)
+    mine = staged.filter(supplied).select("dedup_key", bucket)
+    any_supplied = "client_dedup_key" in staged.columns and not mine.isEmpty()
+    if any_supplied and table_exists(spark, keys_path):
+        touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most CLIENT_KEY_BUCKETS
+        known = spark.read.parquet(keys_path).filter(F.col("bucket").isin(touched)).select("dedup_key")
+        fresh = fresh.join(known, "dedup_key", "left_anti")
+    fresh = cut_lineage(fresh.drop("date"))   # read before the tables below change
+    write_api_logs(fresh, path, mode="append")
+    if any_supplied:
+        fresh.filter(supplied).select("dedup_key", bucket).write.mode("append").partitionBy("bucket").parquet(keys_path)
+    return fresh

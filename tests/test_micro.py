@@ -425,6 +425,72 @@ def test_append_api_logs_dedups_within_touched_dates(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-02" in plan
 
 
+def test_append_api_logs_client_key_on_two_dates(spark, tmp_path):
+    from pulsewatch.sources import io as IO
+    def rows(items):
+        return spark.createDataFrame([(k, c, t, i) for i, (k, c, t) in enumerate(items)],
+                                     "dedup_key string, client_dedup_key string, request_timestamp timestamp, seq int") \
+            .withColumn("service_id", F.lit("s"))
+    path = str(tmp_path / "logs")
+    day1, day2 = dt.datetime(2024, 1, 1, 10), dt.datetime(2024, 1, 2, 10)
+    assert IO.append_api_logs(rows([("c1", "c1", day1), ("h1", None, day1), ("h2", " ", day1)]), path, order=("seq",)).count() == 3
+    again = rows([("c1", "c1", day2), ("h1", None, day1), ("h3", None, day2), ("c2", "c2", day2)])
+    assert {r.dedup_key for r in IO.append_api_logs(again, path, order=("seq",)).collect()} == {"h3", "c2"}
+    assert sorted(r.dedup_key for r in spark.read.parquet(path).collect()) == ["c1", "c2", "h1", "h2", "h3"]
+
+
+def test_create_services_ranks_only_requests_that_can_be_accepted(spark):
+    from pulsewatch.operators import maintain as MT
+    dim = spark.createDataFrame([], S.SERVICES)
+    req = spark.createDataFrame(
+        [("a", "n", None, None, "production", None, None, None, 1), ("b", "n", "http://x", None, "production", None, None, None, 2),
+         ("c", "n", "http://y", None, "production", None, None, None, 3)],
+        "id string, name string, base_url string, owner string, environment string, description string, "
+        "capture_telemetry boolean, created_by string, request_seq int")
+    accepted, conflicts = MT.create_services(dim, req)
+    assert [r.id for r in accepted.collect()] == ["b"]
+    assert {r.request_seq: r.reason for r in conflicts.collect()} == {1: "invalid: base_url_present", 3: "conflict: duplicate in batch"}
+
+
+def test_macro_report_averages_the_classes_that_occur(spark):
+    df = spark.createDataFrame([("low", "low"), ("high", "high"), ("low", "low")], "y string, yhat string")
+    macro = [r for r in EV.macro_report(df).collect() if r.cls == "macro"][0]
+    assert (macro.precision, macro.recall, macro.f1, macro.accuracy) == (1.0, 1.0, 1.0, 1.0)
+    third = spark.createDataFrame([("low", "low"), ("high", "medium")], "y string, yhat string")
+    assert [r.recall for r in EV.macro_report(third).collect() if r.cls == "macro"] == [pytest.approx(1 / 3)]
+
+
+def test_threshold_falls_back_to_one_half(spark):
+    df = spark.createDataFrame([(0.01, 0), (0.02, 1)], "p double, y int")
+    assert EV.best_threshold(EV.threshold_sweep(df)).first().threshold == 0.5
+    up = spark.createDataFrame([(0.2, 0), (0.9, 1)], "p double, y int")
+    assert EV.best_threshold(EV.threshold_sweep(up, grid=[0.6, 0.3, 0.1])).first().threshold == 0.3
+
+
+def test_quantiles_equal_exact_percentile(spark):
+    import random
+    from pulsewatch.ml import iforest as IF
+    rng = random.Random(1)
+    vals = [rng.random() for _ in range(3001)] + [0.25] * 1500
+    df = spark.createDataFrame([(v,) for v in vals], "s double").repartition(5)
+    qs = [0.0, 0.01, 0.5, 0.95, 0.975, 1.0]
+    want = df.agg(*[F.percentile("s", F.lit(q)).alias(f"q{i}") for i, q in enumerate(qs)]).first()
+    assert list(IF.quantiles(df, "s", qs).first()) == pytest.approx(list(want), abs=1e-12)
+
+
+def test_episode_labels_every_overlapped_hour(spark):
+    from pulsewatch.operators import views as V
+    base = dt.datetime(2024, 1, 1)
+    data = [("s", base + dt.timedelta(hours=h), base + dt.timedelta(hours=h + 1), "1h", 5, Decimal("0.08"), Decimal("10.00"),
+             Decimal("10.00"), Decimal("10.00"), Decimal("0.0000"), Decimal("1.0000"), None, None, None) for h in range(5)]
+    an = spark.createDataFrame([("s", base + dt.timedelta(minutes=90), 31, 2.0), ("s", base + dt.timedelta(minutes=100), 3, 3.0)],
+                               "service_id string, start timestamp, duration_minutes int, latency_multiplier double")
+    fl = spark.createDataFrame([], "service_id string, start timestamp, duration_minutes int, error_rate_floor double, p99_floor_ms double")
+    got = {r.window_start.hour: r.response_time_p99 for r in
+           V.label_episodes(spark.createDataFrame(data, S.METRICS), an, fl, window_size="1h").collect()}
+    assert got == {0: 10.0, 1: 60.0, 2: 20.0, 3: 10.0, 4: 10.0}
+
+
 def test_auc_undefined_with_one_class(spark):
     df = spark.createDataFrame([(0.1, 0), (0.7, 0), (0.4, 0)], "p double, y int")
     r = EV.rank_auc(df).first()
