@@ -18,7 +18,7 @@ from .alerting import LIFECYCLE_SQL, lifecycle
 from .core import metrics_of
 from .features import MIN_ROWS, features
 from .registry import plan
-from .streams import _read, _run
+from .streams import BATCHES, _deliver, _source
 
 LATEST = """latest AS (SELECT * FROM metrics
            QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY window_start DESC) = 1)"""
@@ -71,15 +71,15 @@ SELECT service_id, 'anomaly' AS module, window_end AS generated_at,
 FROM metrics
 QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY window_end DESC) = 1""")
 def latest_prediction_view(spark, sf_dir):
-    """Streaming newest prediction per (service, module), complete mode."""
+    """Newest prediction per (service, module), upserted by key over
+    out-of-order deliveries."""
     base = scratch_path(spark, f"stream-latest-{uuid.uuid4().hex}")
-    IO.write_predictions(V.anomaly_predictions(metrics_of(spark, sf_dir, "1m")), f"{base}/predictions")
-    schema = spark.read.parquet(f"{base}/predictions").schema
-    stream = spark.readStream.schema(schema).parquet(f"{base}/predictions")
-    _run(J.latest_prediction_stream(stream), f"{base}/out", f"{base}/_ckpt", mode="complete")
-    out = _read(spark, f"{base}/out")
-    return out.select("service_id", "module", "generated_at",
-                      F.get_json_object("value", "$.anomaly_score").cast("double").alias("anomaly_score"))
+    rows = V.anomaly_predictions(metrics_of(spark, sf_dir, "1m"))
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("service_id", "generated_at"), F.lit(BATCHES)))
+    stream = _source(rows, f"{base}/in")
+    _deliver(rows, "batch", f"{base}/in", lambda: J.start(stream, J.latest_sink(f"{base}/view"), f"{base}/_ckpt", trigger=None))
+    return J.read_latest(spark, f"{base}/view").select(
+        "service_id", "module", "generated_at", F.get_json_object("value", "$.anomaly_score").cast("double").alias("anomaly_score"))
 
 
 @plan("traffic_stability", sql=f"""

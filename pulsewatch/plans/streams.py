@@ -1,75 +1,161 @@
-"""Streaming plans: each runs a Structured Streaming query over the given
-tables with ``trigger(availableNow=True)`` into idempotent batch sinks under
-the shared checkpoint folder, then returns the sink as a DataFrame."""
+"""Streaming plans: the given tables arrive in several out-of-order
+micro-batches.  Every delivery is one ``trigger(availableNow=True)`` run from
+the same checkpoint, so each plan also restarts its query between batches;
+what the sinks hold afterwards is returned."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..session import scratch_path
 from ..sources import fixtures as FX
+from ..sources import io as IO
 from ..streaming import jobs as J
+from . import sqlparts as Q
+from .alerting import LIFECYCLE_SQL
+from .core import metrics_of
+from .ingest import FEED, VALID, sql_dedup_key
 from .registry import plan
 
+BATCHES = 4
+LOG_LATENESS_MINUTES = 10
+DELAY_MINUTES = 8          # logs arrive up to so many minutes late, by event id
+ALERT_LATENESS_MINUTES = 360
+ALERT_DELAY_HOURS = 5      # windows arrive up to so many hours late
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = FX.read_table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
+def _deliver(rows: DataFrame, batch: str, folder: str, run, text: bool = False) -> None:
+    """Append each batch of ``rows`` to ``folder`` and run the query over it."""
+    for b in range(BATCHES):
+        part = rows.where(F.col(batch) == b).drop(batch)
+        if text:
+            # arrival order inside a delivery is the order of its one file
+            part.orderBy("seq", "delivery").select("value").coalesce(1).write.mode("append").text(folder)
+        else:
+            part.write.mode("append").parquet(folder)
+        run().awaitTermination()
 
-def _run(df: DataFrame, out: str, ckpt: str, mode: str = "append", partition_by: tuple = ()) -> None:
-    with J.state_partitions(df.sparkSession):
-        q = (df.writeStream.outputMode(mode).foreachBatch(J.batch_sink(out, partition_by))
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
 
-
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").parquet(path)
+def _source(rows: DataFrame, folder: str) -> DataFrame:
+    """A stream over a folder that holds no delivery yet."""
+    empty = rows.drop("batch").limit(0)
+    empty.write.mode("append").parquet(folder)
+    return rows.sparkSession.readStream.schema(empty.schema).parquet(folder)
 
 
 def run_metrics(spark: SparkSession, sf_dir: str, size: str) -> str:
     base = scratch_path(spark, f"stream-metrics-{uuid.uuid4().hex}")
-    m = J.metrics_stream(FX.api_logs(events_stream(spark, sf_dir)), lateness="10 minutes", size=size)
-    _run(m, f"{base}/out", f"{base}/_ckpt")
-    return f"{base}/out"
+    ev = FX.read_table(spark, sf_dir, "events")
+    # by the minute of arrival: the month in BATCHES parts, with late rows across each cut
+    arrives = F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.pmod(F.col("event_id"), F.lit(DELAY_MINUTES)).cast("int"))
+    ev = ev.withColumn("batch", F.least(F.floor((F.dayofmonth(arrives) - 1) / 8), F.lit(BATCHES - 1)))
+    stream = _source(ev, f"{base}/in")
+    m = J.metrics_stream(FX.api_logs(stream), lateness=f"{LOG_LATENESS_MINUTES} minutes", size=size)
+    sink = J.metrics_sink(f"{base}/metrics", f"{base}/events")
+    _deliver(ev, "batch", f"{base}/in", lambda: J.start(m, sink, f"{base}/_ckpt", trigger=None))
+    return base
 
 
-@plan("stream_metrics")
-def stream_metrics(spark, sf_dir):
-    """1m window metrics from the events stream (append mode,
-    10-minute watermark; the last open windows stay unreported)."""
-    out = run_metrics(spark, sf_dir, "1m")
-    return _read(spark, out).select(*S.METRIC_COLUMNS)
+CLOSED_SQL = f"""closed AS (
+  SELECT * FROM metrics
+  WHERE window_end <= (SELECT date_trunc('milliseconds', max(request_timestamp)) FROM api_logs) - INTERVAL '{LOG_LATENESS_MINUTES} minutes')"""
 
 
-@plan("stream_alerts")
+@plan("stream_metrics", sql=f"""
+{Q.with_metrics('1m')}, {CLOSED_SQL}
+SELECT * FROM closed""")
+def stream_metrics(spark, sf_dir):
+    """1m windows from the events stream, upserted into the
+    partitioned metrics table; windows still open at the last watermark
+    (newest log less ten minutes) stay unreported."""
+    base = run_metrics(spark, sf_dir, "1m")
+    return IO.load_metrics(spark, f"{base}/metrics", "1m")
+
+
+@plan("stream_metric_events", sql=f"""
+{Q.with_metrics('1h')}, {CLOSED_SQL}
+SELECT service_id AS key, service_id, window_start, request_count, 'metric' AS event_type, '1' AS event_version,
+       'analytics-service' AS producer
+FROM closed""")
+def stream_metric_events(spark, sf_dir):
+    """The outgoing metric events of the streamed hourly windows, parsed back."""
+    base = run_metrics(spark, sf_dir, "1h")
+    sent = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/events")
+    payload = "service_id string, window_start timestamp, request_count int"
+    got = sent.select("key", F.from_json("value", f"event_type string, event_version string, producer string, payload struct<{payload}>").alias("e"))
+    return got.select("key", "e.payload.*", "e.event_type", "e.event_version", "e.producer")
+
+
+@plan("stream_alerts", sql=f"""
+{Q.with_metrics('1h')}, {LIFECYCLE_SQL},
+mark AS (SELECT max(window_start) - INTERVAL '{ALERT_LATENESS_MINUTES} minutes' AS at FROM metrics),
+ends AS (SELECT f.service_id, f.trig, f.window_start, i.iend + INTERVAL '1 hour' AS closed_at,
+                CASE WHEN f.trig = 'latency'
+                     THEN 'P99 latency ' || CAST(CAST(floor(f.response_time_p99 + 0.5) AS BIGINT) AS VARCHAR) || ' ms exceeds threshold 2000 ms'
+                     ELSE 'Error rate ' || printf('%.2f', CAST(f.error_rate AS DOUBLE) * 100) || '% exceeds threshold 10%' END AS message
+         FROM firsts f JOIN isl i ON f.service_id = i.service_id AND f.isl = i.isl)
+SELECT a.id, a.service_id, a.triggering_metric, a.severity, e.message, a.opened_at, CAST(NULL AS TIMESTAMP) AS closed_at, 'open' AS event
+FROM alerts_out a JOIN ends e ON a.service_id = e.service_id AND a.triggering_metric = e.trig AND a.opened_at = e.window_start, mark
+WHERE a.opened_at <= mark.at
+UNION ALL
+SELECT a.id, a.service_id, a.triggering_metric, a.severity, e.message, a.opened_at, e.closed_at, 'close'
+FROM alerts_out a JOIN ends e ON a.service_id = e.service_id AND a.triggering_metric = e.trig AND a.opened_at = e.window_start, mark
+WHERE e.closed_at <= mark.at""")
 def stream_alerts(spark, sf_dir):
-    """Hourly metrics stream -> per-service alert state machine."""
-    out = run_metrics(spark, sf_dir, "1h")
-    schema = FX.read_table(spark, sf_dir, "events").sparkSession.read.option("recursiveFileLookup", "true") \
-        .parquet(out).schema
-    metrics = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    """Hourly metric rows, up to five hours out of order, through the
+    per-service alert state machine; events up to the last watermark (newest
+    window less six hours)."""
     base = scratch_path(spark, f"stream-alerts-{uuid.uuid4().hex}")
-    _run(J.alerts_stream(metrics, window_size="1h"), f"{base}/out", f"{base}/_ckpt")
-    return _read(spark, f"{base}/out").select("service_id", "triggering_metric", "severity", "opened_at",
-                                               "closed_at", "event")
-
-
-@plan("stream_ingest")
+    m = metrics_of(spark, sf_dir, "1h").select(*S.METRIC_COLUMNS)
+    late = F.pmod(F.xxhash64("service_id", "window_start"), F.lit(ALERT_DELAY_HOURS + 1)).cast("int")
+    m = m.withColumn("batch", F.least(F.floor((F.dayofmonth(F.col("window_start") + F.make_dt_interval(hours=late)) - 1) / 8), F.lit(BATCHES - 1)))
+    stream = _source(m, f"{base}/in")
+    alerts = J.alerts_stream(stream, window_size="1h", lateness_minutes=ALERT_LATENESS_MINUTES)
+    _deliver(m, "batch", f"{base}/in", lambda: J.start(alerts, J.batch_sink(f"{base}/out"), f"{base}/_ckpt", trigger=None))
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out").select(
+        "id", "service_id", "triggering_metric", "severity", "message", "opened_at", "closed_at", "event")
+
+
+@plan("stream_ingest", sql=f"""
+WITH {Q.API_LOGS}, {FEED}, {VALID}, {Q.SERVICES},
+keyed AS (SELECT *, {sql_dedup_key()} AS dedup_key FROM valid WHERE service_id IN (SELECT id FROM services)),
+firsts AS (SELECT * FROM keyed
+           QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY event_id % {BATCHES}, event_id, delivery) = 1)
+SELECT dedup_key, service_id, endpoint, CAST(status_code AS SMALLINT) AS status_code, response_time_ms,
+       request_timestamp, CAST(request_timestamp AS DATE) AS date
+FROM firsts""")
 def stream_ingest(spark, sf_dir):
-    """Envelope text -> parse -> dead-letter split -> watermark
-    dedup -> api_logs; returns the stored logs."""
+    """Envelope text in out-of-order deliveries -> one parse
+    -> dead letters (unknown services too) and first arrivals per key in the
+    date-partitioned log table, however late they are."""
+    return _ingested(spark, sf_dir)[0]
+
+
+@plan("stream_dead_letters", sql=f"""
+WITH {Q.API_LOGS}, {FEED}, {Q.SERVICES}
+SELECT error, count(*) AS n FROM (
+  SELECT CASE WHEN event_id % {FX.CORRUPT_MOD} = {FX.CORRUPT_REM} THEN 'malformed envelope'
+              WHEN endpoint IS NULL THEN 'payload missing required fields'
+              WHEN service_id NOT IN (SELECT id FROM services) THEN 'unknown service' END AS error
+  FROM feed) t
+WHERE error IS NOT NULL GROUP BY error""")
+def stream_dead_letters(spark, sf_dir):
+    """Dead letters of the streamed ingest by reason."""
+    return _ingested(spark, sf_dir)[1].groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
-    FX.api_log_envelopes(FX.read_table(spark, sf_dir, "events")).select("value") \
-        .write.mode("overwrite").text(f"{base}/topic")
-    from ..sources import io as IO
+    feed = FX.api_log_envelopes(FX.read_table(spark, sf_dir, "events")) \
+        .select("seq", "delivery", "value", F.pmod("seq", F.lit(BATCHES)).alias("batch"))
+    spark.createDataFrame([], "value string").write.mode("append").text(f"{base}/topic")
     raw = IO.read_api_log_events(spark, "text", path=f"{base}/topic")
-    rows, dlq = J.ingest_stream(raw)
-    _run(rows, f"{base}/api_logs", f"{base}/_ckpt_logs")
-    _run(dlq, f"{base}/dlq", f"{base}/_ckpt_dlq")
-    return _read(spark, f"{base}/api_logs").select(
-        "dedup_key", "service_id", "endpoint", "status_code", "response_time_ms", "request_timestamp")
+    sink = J.ingest_sink(f"{base}/api_logs", f"{base}/dlq", FX.services(spark))
+    _deliver(feed, "batch", f"{base}/topic", lambda: J.start(raw, sink, f"{base}/_ckpt", trigger=None), text=True)
+    logs = spark.read.parquet(f"{base}/api_logs").select(
+        "dedup_key", "service_id", "endpoint", "status_code", "response_time_ms", "request_timestamp", "date")
+    return logs, spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/dlq")

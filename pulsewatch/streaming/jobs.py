@@ -1,24 +1,29 @@
 """Structured Streaming jobs (J1-J10): the batch operators, run incrementally.
 
-* ``ingest_stream``: bytes -> envelope parse -> dead-letter branch + valid
-  branch -> dedup key -> ``dropDuplicatesWithinWatermark`` (state keyed by
-  ``dedup_key``, evicted by the watermark) -> api_logs sink.
+* ``ingest_sink``: one ``foreachBatch`` over the raw topic: parsed once, the
+  dead letters and the logs written from it; duplicates are dropped inside
+  the batch and against the stored keys.  No event-time watermark stands in
+  front of the log table, so a log is stored however late it comes.
 * ``metrics_stream``: api_logs -> watermark -> tumbling event-time windows
   (append mode: a window is emitted once, when the watermark passes its end;
-  rows later than the watermark are dropped, as in the product, and repaired
-  by a batch recompute + ``upsert_metrics``).
+  rows later than the watermark are repaired by a batch recompute from the
+  stored logs, ``io.repair_windows``).  ``metrics_sink`` upserts them into the
+  partitioned metrics table and can write the outgoing metric events.
 * ``alerts_stream``: metric windows -> per-service state machine with
-  ``applyInPandasWithState``; an event-time timeout closes the alerts of a
-  service that goes silent.
-* ``latest_prediction_stream``: newest prediction per (service, module).
-
-Sinks are idempotent per micro-batch (``batch_sink``): a replayed batch id
-rewrites its own output directory, so at-least-once delivery with the
-checkpoint gives exactly-once files (J7).
+  ``applyInPandasWithState``; rows wait in the state until the lateness has
+  passed and are taken in time order, an event-time timeout closes the alerts
+  of a service that goes silent.
+* ``latest_prediction_stream``: newest prediction per (service, module) of a
+  micro-batch; ``latest_sink`` merges it into the stored view by key.
+
+Sinks are idempotent per micro-batch: a replayed batch id rewrites its own
+output, meets its own keys or upserts the same rows, so at-least-once delivery
+with the checkpoint gives exactly-once tables (J7).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
@@ -29,7 +34,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas as S
 from ..functions import exprs as X
+from ..operators import alerts as AL
 from ..operators import quality as QY
+from ..session import cut_lineage
 from ..sources import io as IO
 
 
@@ -44,16 +51,27 @@ def batch_sink(path: str, partition_by: tuple = ()) -> Callable[[DataFrame, int]
     return write
 
 
-def ingest_stream(raw: DataFrame, lateness: str = "10 minutes") -> tuple[DataFrame, DataFrame]:
-    """(deduplicated api_logs stream, dead-letter stream)."""
-    parsed = IO.unwrap(raw).withColumn("_error", QY.route_error())
-    dlq = parsed.filter(F.col("_error").isNotNull()).select(
-        F.col("value").alias("original"), F.col("_error").alias("error"),
-        F.current_timestamp().alias("routedAt"))
-    ok = parsed.filter(F.col("_error").isNull())
-    rows = QY.with_dedup_key(QY.payload_rows(ok))
-    rows = rows.withWatermark("request_timestamp", lateness).dropDuplicatesWithinWatermark(["dedup_key"])
-    return rows, dlq
+def ingest_sink(logs_path: str, dlq_path: str, services: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """A1-A5, B1, B3-B5, B8, B9, J2, J10 as a foreachBatch writer over raw events.
+
+    The batch is parsed once into the checkpoint folder; unreadable events,
+    missing fields and (with ``services``) unknown services go to the dead
+    letters, the first arrival per dedup key to the date-partitioned log table
+    unless its key is stored already."""
+    def write(raw: DataFrame, batch_id: int) -> None:
+        arrived = raw.withColumn("_arrival", F.monotonically_increasing_id())
+        tagged = IO.unwrap(arrived).withColumn("_error", QY.route_error())
+        if services is not None:
+            known = services.select(F.col("id").alias("_sid")).distinct().withColumn("_known", F.lit(True))
+            tagged = tagged.join(known, F.col("payload.service_id") == F.col("_sid"), "left").withColumn(
+                "_error", F.coalesce("_error", F.when(F.col("_known").isNull(), F.lit("unknown service")))).drop("_sid", "_known")
+        tagged = cut_lineage(tagged)
+        batch_sink(dlq_path)(tagged.filter(F.col("_error").isNotNull()).select(
+            F.col("value").alias("original"), F.col("_error").alias("error"), F.current_timestamp().alias("routedAt")), batch_id)
+        rows = QY.payload_rows(tagged.filter(F.col("_error").isNull()), keep=("_arrival",))
+        rows = QY.dedup_first(QY.with_dedup_key(QY.default_status(rows)), order=("_arrival",)).drop("_arrival")
+        IO.append_api_logs(rows, logs_path, order=("request_timestamp",))
+    return write
 
 
 def metrics_stream(api_logs: DataFrame, lateness: str = "10 minutes", size: str = "1m",
@@ -89,6 +107,35 @@ def metric_events(metrics: DataFrame) -> DataFrame:
                    occurred_at=F.col("window_end"), key=F.col("service_id")).select("key", "value")
 
 
+def alert_events(alerts: DataFrame) -> DataFrame:
+    """A3: alert rows as envelope JSON keyed by service id."""
+    payload = F.struct(F.col("id").alias("alert_id"), "service_id", "triggering_metric", "severity", "message", "opened_at", "closed_at")
+    return IO.wrap(alerts.withColumn("payload", payload), "alert", "analytics-service",
+                   natural_key=[F.col("id"), F.coalesce(F.col("closed_at").cast("string"), F.lit("open"))],
+                   occurred_at=F.coalesce("closed_at", "opened_at"), key=F.col("service_id")).select("key", "value")
+
+
+def prediction_events(predictions: DataFrame) -> DataFrame:
+    """A3: prediction rows as envelope JSON keyed by service id."""
+    payload = F.struct("service_id", "module", "model_version", "generated_at", "horizon_minutes", "value", "confidence")
+    return IO.wrap(predictions.withColumn("payload", payload), "prediction", "ml-service",
+                   natural_key=[F.col("service_id"), F.col("module"), F.col("generated_at").cast("string"),
+                                F.coalesce(F.col("horizon_minutes").cast("string"), F.lit(""))],
+                   occurred_at=F.col("generated_at"), key=F.col("service_id")).select("key", "value")
+
+
+def metrics_sink(path: str, events_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Upsert the emitted windows into the (size, month) partitioned
+    metrics table; with ``events_path`` also write their outgoing events."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = cut_lineage(df)
+        if not rows.isEmpty():
+            IO.upsert_metrics(rows, path)
+        if events_path is not None:
+            batch_sink(events_path)(metric_events(rows), batch_id)
+    return write
+
+
 # ---- J4 alert state machine ---------------------------------------------------------------
 
 ALERT_EVENT_SCHEMA = T.StructType([
@@ -98,91 +145,140 @@ ALERT_EVENT_SCHEMA = T.StructType([
     T.StructField("opened_at", T.TimestampType()),
     T.StructField("closed_at", T.TimestampType()),
     T.StructField("event", T.StringType()),
+    T.StructField("p99", T.DoubleType()),          # of the window that opened the alert
+    T.StructField("err", T.DoubleType()),
 ])
-# last evaluated window (epoch us), then per trigger: opened_at (epoch us, -1 = none) and severity
+# newest window evaluated and seen (epoch us), the open alert per trigger
+# ({trigger: [opened_us, severity, p99, err]}) and the rows that wait
+# ({us: [p99, err]}), both as JSON: at most lateness / step rows a service
 ALERT_STATE_SCHEMA = T.StructType([
     T.StructField("last_us", T.LongType()),
-    T.StructField("lat_open_us", T.LongType()),
-    T.StructField("lat_sev", T.StringType()),
-    T.StructField("err_open_us", T.LongType()),
-    T.StructField("err_sev", T.StringType()),
+    T.StructField("seen_us", T.LongType()),
+    T.StructField("open", T.StringType()),
+    T.StructField("waiting", T.StringType()),
 ])
 
 
-def _alert_fn(step_us: int, p99_ms: float, error_rate: float):
+def _number(x) -> float:
+    return float(x) if x is not None and x == x else 0.0
+
+
+def evaluate_windows(sid: str, rows: list, last: int | None, opened: dict, upto: int, step_us: int,
+                     p99_ms: float, error_rate: float) -> tuple[list, int | None]:
+    """The open / close rule over ``rows`` (us, p99, err) in time order, then
+    over the silence up to ``upto``.  ``opened`` is changed in place; returns
+    (events, newest window evaluated)."""
+    out = []
+
     def ts(us: int) -> pd.Timestamp:
         return pd.Timestamp(us, unit="us")
 
+    def close_all(at_us: int) -> None:
+        for trig in sorted(opened):
+            o, sev, p, e = opened[trig]
+            out.append((sid, trig, sev, ts(o), ts(at_us), "close", p, e))
+        opened.clear()
+
+    for us, p, e in rows:
+        if last is not None and us > last + step_us:
+            close_all(last + step_us)                 # a silent window closes everything
+        trig = "latency" if p > p99_ms else ("error_rate" if e > error_rate else None)
+        if trig is None:
+            close_all(us)
+        elif trig not in opened:
+            high = 2 * (p99_ms if trig == "latency" else error_rate)
+            sev = "critical" if (p if trig == "latency" else e) > high else "high"
+            opened[trig] = [us, sev, p, e]
+            out.append((sid, trig, sev, ts(us), None, "open", p, e))
+        last = us
+    if opened and last is not None and upto >= last + step_us:
+        close_all(last + step_us)
+    return out, last
+
+
+def _alert_fn(step_us: int, lateness_us: int, p99_ms: float, error_rate: float):
     def fn(key, pdfs, state: GroupState):
-        sid = key[0]
         if state.exists:
-            last, lat_o, lat_s, err_o, err_s = state.get
+            last, seen, opened, waiting = state.get
+            opened, waiting = json.loads(opened), {int(k): v for k, v in json.loads(waiting).items()}
         else:
-            last, lat_o, lat_s, err_o, err_s = None, -1, None, -1, None
-        out = []
-
-        def close_all(at_us):
-            nonlocal lat_o, err_o
-            for trig, o, sev in (("latency", lat_o, lat_s), ("error_rate", err_o, err_s)):
-                if o >= 0:
-                    out.append((sid, trig, sev, ts(o), ts(at_us), "close"))
-            lat_o, err_o = -1, -1
-
-        if state.hasTimedOut:
-            if last is not None:
-                close_all(last + step_us)
-            state.remove()
-            return iter([pd.DataFrame(out, columns=ALERT_EVENT_SCHEMA.fieldNames())] if out else [])
-        rows = pd.concat(list(pdfs)) if pdfs is not None else pd.DataFrame()
-        if len(rows):
-            rows = rows.sort_values("window_start")
-            for ws, p99, err in zip(rows["window_start"], rows["response_time_p99"], rows["error_rate"]):
+            last, seen, opened, waiting = None, None, {}, {}
+        for pdf in pdfs or []:
+            for ws, p99, err in zip(pdf["window_start"], pdf["response_time_p99"], pdf["error_rate"]):
                 us = int(pd.Timestamp(ws).value // 1000)
-                if last is not None and us <= last:
-                    continue                          # already evaluated
-                if last is not None and us > last + step_us:
-                    close_all(last + step_us)         # a silent window closes everything
-                p = float(p99) if p99 is not None and p99 == p99 else 0.0
-                e = float(err) if err is not None and err == err else 0.0
-                trig = "latency" if p > p99_ms else ("error_rate" if e > error_rate else None)
-                if trig is None:
-                    close_all(us)
-                elif trig == "latency" and lat_o < 0:
-                    lat_o, lat_s = us, "critical" if p > 2 * p99_ms else "high"
-                    out.append((sid, trig, lat_s, ts(us), None, "open"))
-                elif trig == "error_rate" and err_o < 0:
-                    err_o, err_s = us, "critical" if e > 2 * error_rate else "high"
-                    out.append((sid, trig, err_s, ts(us), None, "open"))
-                last = us
-        if last is not None:
-            state.update((last, lat_o, lat_s, err_o, err_s))
-            state.setTimeoutTimestamp((last + step_us) // 1000 + 1)
+                seen = us if seen is None else max(seen, us)
+                if last is None or us > last:         # else evaluated before: a replay
+                    waiting.setdefault(us, [_number(p99), _number(err)])
+        mark = state.getCurrentWatermarkMs() * 1000
+        upto = max(mark, seen - lateness_us) if seen is not None else mark
+        ready = sorted(us for us in waiting if us <= upto)
+        out, last = evaluate_windows(key[0], [(us, *waiting.pop(us)) for us in ready], last, opened, upto, step_us, p99_ms, error_rate)
+        if last is None and not waiting:
+            state.remove()
+        else:
+            state.update((last, seen, json.dumps(opened), json.dumps(waiting)))
+            due = [*([min(waiting)] if waiting else []), *([last + step_us] if opened else [])]
+            if due:                                   # called again once the watermark reaches it
+                state.setTimeoutTimestamp(max(min(due) // 1000 - 1, state.getCurrentWatermarkMs()))
         return iter([pd.DataFrame(out, columns=ALERT_EVENT_SCHEMA.fieldNames())] if out else [])
     return fn
 
 
 def alerts_stream(metrics: DataFrame, window_size: str = "1m", p99_ms: float = S.ALERT_P99_MS,
-                  error_rate: float = S.ALERT_ERROR_RATE, lateness: str = "0 seconds") -> DataFrame:
+                  error_rate: float = S.ALERT_ERROR_RATE, lateness_minutes: int = 10) -> DataFrame:
     """Open / close events per service from a stream of closed windows.
 
-    State per service: last evaluated window and the open alert per trigger.
-    The event-time timeout fires when the watermark passes the next window
-    of a silent service and closes its alerts (the "no row" rule).
+    Rows may come in any order within ``lateness_minutes``: they wait in the
+    service's state until the watermark (or the service's own newest row less
+    the lateness) has passed them and are evaluated in time order.  The
+    event-time timeout wakes a service whose waiting rows or silent window
+    have become due (the "no row" rule).
     """
     step_us = S.WINDOW_MINUTES[window_size] * 60_000_000
     m = metrics.filter(F.col("window_size") == window_size).select(
         "service_id", "window_start", F.col("response_time_p99").cast("double").alias("response_time_p99"),
-        F.col("error_rate").cast("double").alias("error_rate")).withWatermark("window_start", lateness)
-    return m.groupBy("service_id").applyInPandasWithState(
-        _alert_fn(step_us, p99_ms, error_rate), ALERT_EVENT_SCHEMA, ALERT_STATE_SCHEMA, "append",
+        F.col("error_rate").cast("double").alias("error_rate")).withWatermark("window_start", f"{lateness_minutes} minutes")
+    events = m.groupBy("service_id").applyInPandasWithState(
+        _alert_fn(step_us, lateness_minutes * 60_000_000, p99_ms, error_rate), ALERT_EVENT_SCHEMA, ALERT_STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
+    t = F.col("triggering_metric")
+    return events.select(
+        AL.alert_id(F.col("service_id"), t, F.col("opened_at")).alias("id"), "service_id", "triggering_metric", "severity",
+        X.alert_message(t, F.col("p99").cast("decimal(10,2)"), F.col("err").cast("decimal(5,4)"), p99_ms, error_rate).alias("message"),
+        "opened_at", "closed_at", "event")
+
+
+# ---- J9 latest view ---------------------------------------------------------------------------
+
+LATEST_KEY = ("service_id", "module")
+
+
+def newest(predictions: DataFrame) -> DataFrame:
+    """Newest prediction per (service, module); ties to the larger version, then value."""
+    return predictions.groupBy(*LATEST_KEY).agg(
+        F.max(F.struct("generated_at", "model_version", "value")).alias("latest")).select(*LATEST_KEY, "latest.*")
+
+
+def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Keyed upsert of a micro-batch into the view: batch N writes version N,
+    the newest rows of the last version before it and of the batch."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        rows = newest(df)
+        if IO.table_exists(spark, path):
+            kept = spark.read.parquet(path).filter(F.col("version") < batch_id)
+            last = kept.agg(F.max("version")).first()[0]
+            if last is not None:
+                rows = newest(rows.unionByName(kept.filter(F.col("version") == last).select(rows.columns)))
+        rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+    return write
 
 
-def latest_prediction_stream(predictions: DataFrame) -> DataFrame:
-    """Newest prediction per (service, module); run in update mode."""
-    return predictions.groupBy("service_id", "module").agg(
-        F.max_by(F.struct("generated_at", "model_version", "value"), F.col("generated_at")).alias("latest")) \
-        .select("service_id", "module", "latest.*")
+def read_latest(spark, path: str) -> DataFrame:
+    """The view's newest version."""
+    view = spark.read.parquet(path)
+    last = view.agg(F.max("version")).first()[0]
+    return view.filter(F.col("version") == last).drop("version")
 
 
 class state_partitions:
@@ -206,15 +302,15 @@ class state_partitions:
         return False
 
 
-def start(df: DataFrame, sink_path: str, checkpoint: str, trigger: str | None = "1 minute",
-          mode: str = "append", partition_by: tuple = ()):
+def start(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: str | None = "1 minute",
+          mode: str = "append"):
     """Run a job on the product's cadence (``processingTime`` trigger,
     default one minute) or drain what is available (``trigger=None``), with
     its checkpoint in shared storage and an idempotent per-batch sink."""
-    w = df.writeStream.outputMode(mode).foreachBatch(batch_sink(sink_path, partition_by)) \
-        .option("checkpointLocation", checkpoint)
+    w = df.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=trigger) if trigger else w.trigger(availableNow=True)
-    return w.start()
+    with state_partitions(df.sparkSession):
+        return w.start()
 
 
 def health_events(health: DataFrame) -> DataFrame:
