@@ -2,14 +2,13 @@
 
 Every model is a ``Pipeline`` (assembler -> scaler -> estimator) fitted on
 the chronological train split and evaluated on the test split with the
-aggregate reports of ``ml.evaluate``.  Tree counts default lower than the
-product's (MLlib boosting is sequential per iteration) and are parameters.
+aggregate reports of ``ml.evaluate``.  Tree counts, depths and rates default
+to the product's.  MLlib boosting runs one job per tree level, so a fit of
+hundreds of trees takes minutes whatever the size of the data.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import json
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +16,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -36,15 +35,31 @@ def _scaled(cols: list[str]) -> list:
             StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """G9 chronological split, materialised: (train, test, train rows).  The
+    partitions follow the rows: boosting starts a job per tree level, which on
+    small tables is all scheduling."""
+    whole = cut_lineage(df)
+    parts = max(1, -(-whole.count() // ROWS_PER_PARTITION))
+    train, test = FE.chrono_split(whole)
+    if parts < whole.rdd.getNumPartitions():
+        train, test = train.coalesce(parts), test.coalesce(parts)
+    train, test = cut_lineage(train), cut_lineage(test)
+    return train, test, train.count()
+
+
 # ---- K3 / K4 traffic ------------------------------------------------------------------
 
-def train_traffic(features: DataFrame, horizons=S.TRAFFIC_HORIZONS, max_iter: int = 20,
+def train_traffic(features: DataFrame, horizons=S.TRAFFIC_HORIZONS, max_iter: int = 300,
                   max_depth: int = 6, step: float = 0.05, subsample: float = 0.8,
                   seed: int = 42, parallelism: int = 4) -> tuple[dict[int, PipelineModel], DataFrame]:
     """One boosted regressor per horizon; returns (models, per-horizon RMSE/MAPE on test)."""
     df = FE.horizon_targets(features, horizons)
     df = QY.drop_incomplete(df, FEATURES + [f"target_{h}" for h in horizons])
-    train, test = FE.chrono_split(cut_lineage(df))
+    train, test, _ = split_rows(df)
 
     def fit(h):
         gbt = GBTRegressor(featuresCol="features", labelCol=f"target_{h}", maxIter=max_iter, maxDepth=max_depth,
@@ -67,13 +82,18 @@ def train_traffic(features: DataFrame, horizons=S.TRAFFIC_HORIZONS, max_iter: in
 
 # ---- K5-K7 failure ----------------------------------------------------------------------
 
-def train_failure(features: DataFrame, max_iter: int = 30, max_depth: int = 8, step: float = 0.03,
+def train_failure(features: DataFrame, max_iter: int = 800, max_depth: int = 8, step: float = 0.03,
                   subsample: float = 0.85, seed: int = 42, run: int = S.FAILURE_RUN,
-                  lookahead: int = S.FAILURE_LOOKAHEAD) -> tuple[PipelineModel, DataFrame, DataFrame]:
+                  lookahead: int = S.FAILURE_LOOKAHEAD, min_rows_leaf: int = 2, min_gain: float = 0.1
+                  ) -> tuple[PipelineModel, DataFrame, DataFrame]:
     """Boosted classifier with positive weight sqrt(neg/pos); threshold swept on
-    test by F1.5.  Returns (model, sweep, report)."""
+    test by F1.5.  Returns (model, sweep, report).
+
+    ``min_rows_leaf`` stands for the product's least child weight;
+    ``min_gain`` is the least loss reduction of a split over all its rows, so
+    MLlib's gain per row gets it divided by the training rows."""
     df = QY.drop_incomplete(FE.failure_labels(features, run, lookahead), FEATURES)
-    train, test = FE.chrono_split(cut_lineage(df))
+    train, test, _ = split_rows(df)
     counts = train.agg(F.sum("failure_target").alias("pos"), F.count(F.lit(1)).alias("n")).first()
     pos = max(1, int(counts["pos"] or 0))
     neg = max(1, int(counts["n"]) - pos)
@@ -81,6 +101,7 @@ def train_failure(features: DataFrame, max_iter: int = 30, max_depth: int = 8, s
     train = train.withColumn("_w", F.when(F.col("failure_target") == 1, F.lit(w_pos)).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(featuresCol="features", labelCol="failure_target", weightCol="_w", maxIter=max_iter,
                         maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
+                        minInstancesPerNode=min_rows_leaf, minInfoGain=min_gain / max(1, pos + neg),
                         featureSubsetStrategy="0.8", seed=seed)
     model = Pipeline(stages=_scaled(FEATURES) + [gbt]).fit(train)
     scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
@@ -132,10 +153,11 @@ def score_anomaly(scaler: PipelineModel, forest: DataFrame, features: DataFrame,
 
 
 def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees: int = 200,
-                  max_samples: int = 256, grid=S.CONTAMINATION_GRID) -> tuple[DataFrame, DataFrame, DataFrame]:
+                  max_samples: int = 256, grid=S.CONTAMINATION_GRID
+                  ) -> tuple[PipelineModel, DataFrame, DataFrame, DataFrame]:
     """Isolation forest on standardised features; contamination chosen by F1
     against labels when given (else the default).  The forest is fitted once:
-    contamination only moves the cut-off.  Returns (forest, scored rows, sweep)."""
+    contamination only moves the cut-off.  Returns (scaler, forest, scored rows, sweep)."""
     df = cut_lineage(QY.drop_incomplete(features, FEATURES))
     scaler, forest, z = fit_anomaly(df, n_trees=n_trees, max_samples=max_samples)
     # one vectorised scoring pass, materialised: every contamination value reads it
@@ -171,7 +193,7 @@ def train_anomaly(features: DataFrame, labels: DataFrame | None = None, n_trees:
     scored = scored.crossJoin(F.broadcast(best)).withColumn(                       # one-row side
         "anomaly_score", H.normalised_anomaly(-F.col("iso_score"), -F.col("_cut") - 0.1, 0.0)) \
         .withColumn("is_anomaly_pred", F.col("iso_score") > F.col("_cut")).drop("_cut")
-    return forest, scored, sweep
+    return scaler, forest, scored, sweep
 
 
 # ---- K14 / K15 priority ------------------------------------------------------------------
@@ -189,8 +211,7 @@ def train_priority(alerts: DataFrame, n_trees: int = 200, max_depth: int = 12, s
     weights n / (k * n_class); labels indexed alphabetically (same order as a
     label encoder).  Returns (model, macro report on the test split)."""
     df = alerts.select(*[priority_feature(c) for c in S.ALERT_FEATURES], "priority", "window_start")
-    train, test = FE.chrono_split(cut_lineage(df))
-    train, test = cut_lineage(train), cut_lineage(test)
+    train, test, _ = split_rows(df)
     cls = train.groupBy("priority").agg(F.count(F.lit(1)).alias("_nc"))
     k = cls.count()
     tot = train.count()
@@ -208,43 +229,10 @@ def train_priority(alerts: DataFrame, n_trees: int = 200, max_depth: int = 12, s
     return model, EV.macro_report(pred, "priority", "predicted_priority")
 
 
-# ---- A11 / A12 store --------------------------------------------------------------------------
-
-def save_model(model: PipelineModel, path: str, module: str, metrics: dict, hyperparameters: dict,
-               training_rows: int, algorithm: str, spark: SparkSession) -> dict:
-    """Persist the pipeline and a one-row JSON meta table beside it."""
-    version = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    model.write().overwrite().save(f"{path}/{module}/model")
-    meta = {"module": module, "model_version": version, "algorithm": algorithm,
-            "feature_columns": FEATURES, "training_rows": int(training_rows),
-            "metrics": metrics, "hyperparameters": hyperparameters,
-            "trained_at": dt.datetime.now(dt.timezone.utc).isoformat()}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
-        .write.mode("overwrite").text(f"{path}/{module}/meta")
-    return meta
-
+# ---- K22 scoring -----------------------------------------------------------------------------
 
-def load_model(spark: SparkSession, path: str, module: str) -> tuple[PipelineModel, dict] | None:
-    """The saved pipeline and meta, or None when absent (callers fall back to heuristics)."""
-    from ..sources.io import table_exists
-    if not table_exists(spark, f"{path}/{module}/model"):
-        return None
-    meta = json.loads(spark.read.text(f"{path}/{module}/meta").first()["value"])
-    return PipelineModel.load(f"{path}/{module}/model"), meta
-
-
-def run_row(spark: SparkSession, meta: dict, artifact_path: str) -> DataFrame:
-    """One ``ml_model_results`` row for a training run."""
-    return spark.createDataFrame([(
-        f"{meta['module']}-{meta['model_version']}", meta["module"], meta["model_version"], meta["algorithm"],
-        dt.datetime.fromisoformat(meta["trained_at"]).replace(tzinfo=None), meta["training_rows"],
-        json.dumps(meta["hyperparameters"]), json.dumps(meta["metrics"]), artifact_path, False)],
-        schema=S.MODEL_RUNS)
-
-
-# ---- K22 / K23 scoring and training jobs ------------------------------------------------------
-
-def _prediction_rows(df: DataFrame, module: str, version, value, horizon=None, confidence=None) -> DataFrame:
+def prediction_rows(df: DataFrame, module: str, version, value, horizon=None, confidence=None) -> DataFrame:
+    """A10 rows; ``value`` holds the service id as the product's responses do."""
     return df.select(
         "service_id", F.lit(module).alias("module"),
         (version if not isinstance(version, str) else F.lit(version)).alias("model_version"),
@@ -263,93 +251,20 @@ def heuristic_predictions(metrics: DataFrame, window_size: str = "1m", horizon:
     v = S.HEURISTIC_MODEL_VERSION
     latest = M.latest_per_service(metrics, window_size).withColumn("generated_at", F.col("window_end"))
     h = H.health_score(latest)
-    health = _prediction_rows(h, "health", v, F.struct(F.col("health_score").alias("score"),
+    health = prediction_rows(h, "health", v, F.struct("service_id", F.col("health_score").alias("score"),
                                                        F.col("health_status").alias("status"), "components"))
     a = H.heuristic_anomaly(latest)
-    anomaly = _prediction_rows(a, "anomaly", v, F.struct("anomaly_score", "is_anomaly", "contamination"))
+    anomaly = prediction_rows(a, "anomaly", v, F.struct("service_id", "anomaly_score", "is_anomaly", "contamination"))
     f = H.heuristic_failure(metrics.filter(F.col("window_size") == window_size)) \
         .join(latest.select("service_id", "generated_at"), "service_id")
-    failure = _prediction_rows(f, "failure", v, F.struct("failure_probability", "risk_level",
+    failure = prediction_rows(f, "failure", v, F.struct("service_id", "failure_probability", "risk_level",
                                                          F.lit(30).alias("horizon_minutes")), horizon=F.lit(30))
     t = H.naive_forecast(latest)
-    traffic = _prediction_rows(t, "traffic", v, F.struct(F.lit(horizon).alias("horizon_minutes"), "predicted_rpm"),
+    traffic = prediction_rows(t, "traffic", v, F.struct("service_id", F.lit(horizon).alias("horizon_minutes"), "predicted_rpm"),
                                horizon=F.lit(horizon))
     return health.unionByName(anomaly).unionByName(failure).unionByName(traffic)
 
 
-def score_failure(spark: SparkSession, features: DataFrame, store: str, min_rows: int,
-                  metrics: DataFrame, window_size: str) -> DataFrame:
-    """K22 failure: the stored model scores services with a complete inference
-    row (G8); the rest fall back to the heuristic (D9).  No model -> all heuristic."""
-    from . import heuristics as H
-    from ..functions import exprs as X
-    loaded = load_model(spark, store, "failure")
-    heur = H.heuristic_failure(metrics.filter(F.col("window_size") == window_size)) \
-        .select("service_id", F.col("failure_probability").alias("p"), F.lit(0.5).alias("t"),
-                F.lit(S.HEURISTIC_MODEL_VERSION).alias("model_version"), F.col("as_of").alias("generated_at"))
-    if loaded is None:
-        scored = heur
-    else:
-        model, meta = loaded
-        t = float(meta["hyperparameters"].get("decision_threshold", 0.5))
-        ready, rejected = FE.latest_features(features, min_rows=min_rows)
-        top = top_contributions(model)           # K24: 5 importances of the fitted model
-        contrib = F.array(*[F.struct(F.lit(c["feature"]).alias("feature"),
-                                     F.lit(c["contribution"]).alias("contribution")) for c in top])
-        by_model = model.transform(ready).select(
-            "service_id", vector_to_array("probability")[1].alias("p"), F.lit(t).alias("t"),
-            F.lit(meta["model_version"]).alias("model_version"), F.col("window_start").alias("generated_at"),
-            contrib.alias("contributing_features"))
-        heur_rows = heur.join(rejected.select("service_id"), "service_id", "left_semi") \
-            .withColumn("contributing_features", F.lit(None).cast(by_model.schema["contributing_features"].dataType))
-        scored = by_model.unionByName(heur_rows)
-    if "contributing_features" not in scored.columns:
-        scored = scored.withColumn("contributing_features",
-                                   F.lit(None).cast("array<struct<feature:string,contribution:double>>"))
-    scored = scored.withColumn("risk_level", X.risk_level(F.col("p"), F.col("t")))
-    return _prediction_rows(scored, "failure", F.col("model_version"),
-                            F.struct(F.col("p").alias("failure_probability"), "risk_level", "contributing_features"),
-                            horizon=F.lit(30), confidence=F.round(F.col("p"), 4))
-
-
-def train(spark: SparkSession, features: DataFrame, store: str, modules=("traffic", "failure"),
-          horizons=S.TRAFFIC_HORIZONS, **params) -> DataFrame:
-    """Train the requested modules, save each (A12) and return their run
-    rows (A11) with the newest run per module marked active."""
-    from ..operators import maintain as MT
-    runs = None
-    n_rows = features.count()
-    for module in modules:
-        if module == "traffic":
-            models, rep = train_traffic(features, horizons=horizons, **params.get("traffic", {}))
-            h = max(models)
-            metrics = {f"rmse_{r['horizon']}": float(r["rmse"]) for r in rep.collect()}
-            meta = save_model(models[h], store, "traffic", metrics, {"horizon": h}, n_rows, "GBTRegressor", spark)
-        elif module == "failure":
-            model, sweep, rep = train_failure(features, **params.get("failure", {}))
-            r = rep.first().asDict()
-            hp = {"decision_threshold": float(EV.best_threshold(sweep).first()["threshold"])}
-            meta = save_model(model, store, "failure", {k: float(v) for k, v in r.items() if v is not None}, hp,
-                              n_rows, "GBTClassifier", spark)
-        else:
-            raise ValueError(f"module {module!r} is trained by its own job")
-        row = run_row(spark, meta, f"{store}/{module}")
-        runs = row if runs is None else runs.unionByName(row)
-    return MT.active_runs(runs)
-
-
-def score(spark: SparkSession, module: str, metrics: DataFrame, store: str | None = None,
-          features: DataFrame | None = None, window_size: str = "1m",
-          min_rows: int = S.FEATURE_MIN_ROWS) -> DataFrame:
-    """Prediction rows for one module.  A stored model is used when the
-    store has one (failure); otherwise, and for services without a complete
-    inference row, the module's heuristic answers (D9)."""
-    if module == "failure" and store is not None and features is not None:
-        return score_failure(spark, features, store, min_rows, metrics, window_size)
-    rows = heuristic_predictions(metrics, window_size)
-    return rows.filter(F.col("module") == module)
-
-
 def score_priority(model: PipelineModel, contexts: DataFrame) -> DataFrame:
     """Priority and confidence (the winning class probability) for
     alert contexts, from a fitted ``train_priority`` pipeline."""

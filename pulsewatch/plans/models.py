@@ -1,47 +1,169 @@
-"""Model plans (rows-only checks: fitted models are not SQL-expressible)."""
+"""Model plans: training at the product's settings, and scoring from the store.
+
+What a fit decides (errors, scores) SQL cannot state; the plans return what it
+can: rows per split and horizon, class counts, weights, and which services the
+stored model or the heuristic answers for.  A module is trained once per
+application and table folder, whichever plan asks first.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..ml import models as ML
+from .. import schemas as S
+from ..ml import jobs as MJ
 from ..operators import alerts as AL
 from ..operators import views as V
+from ..session import scratch_path
 from ..sources import fixtures as FX
-from .alerting import candidates
+from ..sources import io as IO
+from . import sqlparts as Q
+from .alerting import CANDIDATES_SQL, FREQ_SQL, LABEL_SQL, candidates
 from .core import metrics_of
-from .features import HORIZONS, features
+from .dashboards import _episodes_sql
+from .features import FAILURE_SQL, FEATURES_SQL, HORIZONS, LAGS, MIN_ROWS, ROLLING, SIZE, features
 from .registry import plan
 
+_stores: dict[tuple[str, str], tuple[str, set[str]]] = {}
+
+
+def trained(spark, sf_dir, *modules: str) -> str:
+    """The store of this application and folder, with ``modules`` trained."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    store, done = _stores.setdefault(key, (scratch_path(spark, f"models-{uuid.uuid4().hex}"), set()))
+    missing = [m for m in modules if m not in done]
+    if missing:
+        ev = FX.read_table(spark, sf_dir, "events")
+        m = metrics_of(spark, sf_dir, SIZE)
+        labels = V.label_episodes(m, FX.anomaly_episodes(ev), FX.failure_episodes(ev), window_size=SIZE)
+        runs = MJ.train(spark, m, store, modules=missing, days=None, window_size=SIZE, lags=LAGS, rolling=ROLLING, horizons=HORIZONS,
+                        labels=labels.select("service_id", "window_start", "is_anomaly"), services=FX.services(spark))
+        runs.write.mode("append").parquet(f"{store}/runs")
+        done.update(missing)
+    return store
+
+
+def cut_sql(rows: str) -> str:
+    """The chronological 80/20 cut of a relation, as relation ``cut``."""
+    return f"""
+per_ts AS (SELECT window_start, count(*) AS n FROM {rows} GROUP BY window_start),
+cum AS (SELECT *, coalesce(sum(n) OVER (ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(n) OVER () AS total FROM per_ts),
+cut AS (SELECT min(window_start) AS at FROM cum WHERE before + n > floor(total * 0.8))"""
+
 
-@plan("traffic_gbt")
+COMPLETE = " AND ".join(f"f.{c} IS NOT NULL" for c in S.FEATURE_COLUMNS)
+
+
+@plan("traffic_gbt", sql=f"""
+{Q.with_metrics(SIZE)}, {FEATURES_SQL},
+tgt AS (SELECT service_id, window_start, {", ".join(f"lead(CAST(rpm AS DOUBLE), {h}) OVER w AS target_{h}" for h in HORIZONS)}
+        FROM metrics WINDOW w AS (PARTITION BY service_id ORDER BY window_start)),
+usable AS (SELECT f.window_start FROM feat f JOIN tgt t ON f.service_id = t.service_id AND f.window_start = t.window_start
+           WHERE {COMPLETE} AND {" AND ".join(f"t.target_{h} IS NOT NULL" for h in HORIZONS)}),
+{cut_sql("usable")}
+SELECT horizon, (SELECT count(*) FROM usable, cut WHERE window_start >= at) AS test_rows,
+       (SELECT count(*) FROM usable, cut WHERE window_start < at) AS training_rows, true AS scored
+FROM (VALUES {", ".join(f"({h})" for h in HORIZONS)}) AS t(horizon)""")
 def traffic_gbt(spark, sf_dir):
-    """K2/K3/K4: per-horizon boosted regressors on hourly features; test RMSE / MAPE."""
-    _, rep = ML.train_traffic(features(spark, sf_dir), horizons=HORIZONS, max_iter=10, max_depth=4)
-    return rep.select("horizon", "n", F.round("rmse", 6).alias("rmse"), F.round("mape", 6).alias("mape"))
+    """A boosted regressor per horizon (300 trees, depth 6), each saved with its test errors."""
+    meta = MJ.load_meta(spark, trained(spark, sf_dir, "traffic"), "traffic")
+    rows = [(h, int(meta["metrics"].get(f"n_h{h}", 0)), meta["training_rows"], meta["metrics"].get(f"rmse_h{h}", -1.0) >= 0) for h in HORIZONS]
+    return spark.createDataFrame(rows, "horizon int, test_rows long, training_rows long, scored boolean")
 
 
-@plan("failure_gbt")
+@plan("failure_gbt", sql=f"""
+{Q.with_metrics(SIZE)}, {FEATURES_SQL}, {FAILURE_SQL},
+usable AS (SELECT f.window_start, l.failure_target AS y FROM feat f JOIN lab l ON f.service_id = l.service_id AND f.window_start = l.window_start
+           WHERE {COMPLETE}),
+{cut_sql("usable")},
+c AS (SELECT sum(CASE WHEN window_start < at THEN 1 ELSE 0 END) AS training_rows,
+             sum(CASE WHEN window_start < at THEN y ELSE 0 END) AS train_pos,
+             sum(CASE WHEN window_start >= at THEN y ELSE 0 END) AS positives,
+             sum(CASE WHEN window_start >= at THEN 1 - y ELSE 0 END) AS negatives FROM usable, cut)
+SELECT CAST(training_rows AS BIGINT) AS training_rows, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives,
+       round(sqrt(greatest(1, training_rows - greatest(1, train_pos)) / greatest(1, train_pos)), 6) AS scale_pos_weight,
+       positives > 0 AND negatives > 0 AS auc_defined
+FROM c""")
 def failure_gbt(spark, sf_dir):
-    """K5/K6/K7: weighted boosted classifier; F1.5 threshold sweep, report with AUC."""
-    _, _, rep = ML.train_failure(features(spark, sf_dir), max_iter=15, max_depth=5)
-    return rep
+    """K5/K6/K7: weighted boosted classifier (800 trees, depth 8); class counts of its test report."""
+    meta = MJ.load_meta(spark, trained(spark, sf_dir, "failure"), "failure")
+    m = {k: meta["metrics"].get(k) for k in ("tp", "fp", "fn", "tn", "scale_pos_weight", "roc_auc")}
+    rows = [(meta["training_rows"], int(m["tp"] + m["fn"]), int(m["fp"] + m["tn"]), round(m["scale_pos_weight"], 6), m["roc_auc"] is not None)]
+    return spark.createDataFrame(rows, "training_rows long, positives long, negatives long, scale_pos_weight double, auc_defined boolean")
 
 
-@plan("anomaly_iforest")
+@plan("anomaly_iforest", sql=f"""
+{Q.with_metrics(SIZE)}, {FEATURES_SQL}, {_episodes_sql('hour')},
+usable AS (SELECT f.service_id, am.mult IS NOT NULL AS y FROM feat f
+           LEFT JOIN am ON f.service_id = am.service_id AND f.window_start = am.window_start WHERE {COMPLETE})
+SELECT contamination, (SELECT count(*) FROM usable WHERE y) AS positives, true AS flags_its_share
+FROM (VALUES {", ".join(f"(CAST({c!r} AS DOUBLE))" for c in S.CONTAMINATION_GRID)}) AS t(contamination)""")
 def anomaly_iforest(spark, sf_dir):
-    """Isolation forest, contamination sweep against episode labels."""
-    ev = FX.read_table(spark, sf_dir, "events")
-    lab = V.label_episodes(metrics_of(spark, sf_dir, "1h"), FX.anomaly_episodes(ev), FX.failure_episodes(ev),
-                           window_size="1h")
-    lab = lab.select("service_id", "window_start", "is_anomaly")
-    _, _, sweep = ML.train_anomaly(features(spark, sf_dir), labels=lab, n_trees=50)
-    return sweep
+    """Isolation forest (200 trees), contamination sweep against
+    episode labels; every cut-off flags at most its share of the rows (and
+    one), and one value is best."""
+    store = trained(spark, sf_dir, "anomaly")
+    n = MJ.load_meta(spark, store, "anomaly")["training_rows"]
+    sweep = spark.read.parquet(f"{store}/anomaly/sweep")
+    flagged = F.col("tp") + F.col("fp")
+    return sweep.select("contamination", (F.col("tp") + F.col("fn")).cast("long").alias("positives"),
+                        (flagged <= F.col("contamination") * n + 1).alias("flags_its_share"))
 
 
-@plan("priority_forest")
+@plan("priority_forest", sql=f"""
+{Q.with_metrics(SIZE)}, {Q.SERVICES}, {CANDIDATES_SQL}, {FREQ_SQL}, {LABEL_SQL}, {cut_sql("prio")},
+test AS (SELECT priority FROM prio, cut WHERE window_start >= at)
+SELECT cls, (SELECT count(*) FROM test WHERE priority = cls) AS support, true AS in_range
+FROM (VALUES {", ".join(f"('{c}')" for c in S.LEVELS)}) AS t(cls)
+UNION ALL SELECT 'macro', (SELECT count(*) FROM test), true""")
 def priority_forest(spark, sf_dir):
-    """Balanced random forest over alert contexts; macro report."""
-    lab = AL.label_priority(AL.alert_frequency(candidates(spark, sf_dir)))
-    _, rep = ML.train_priority(lab, n_trees=40, max_depth=8)
-    return rep
+    """Balanced random forest (200 trees, depth 12) over alert contexts; class support of its test report."""
+    report = spark.read.parquet(f"{trained(spark, sf_dir, 'alerts')}/alerts/report")
+    return report.select("cls", "support", F.col("f1").between(0, 1).alias("in_range"))
+
+
+@plan("model_list", sql=f"""
+SELECT module, algorithm, true AS active FROM (VALUES ('traffic', 'GBTRegressor per horizon'), ('failure', 'GBTClassifier'),
+  ('anomaly', 'IsolationForest'), ('alerts', 'RandomForestClassifier')) AS t(module, algorithm)
+WHERE (SELECT count(*) FROM events) > 0""")
+def model_list(spark, sf_dir):
+    """The stored models and their active run rows."""
+    store = trained(spark, sf_dir, *MJ.MODULES)
+    runs = spark.read.parquet(f"{store}/runs").select("module", "model_version", F.col("is_active").alias("active"))
+    return MJ.list_models(spark, store).join(runs, ["module", "model_version"]).select("module", "algorithm", "active")
+
+
+@plan("score_models", sql=f"""
+{Q.with_metrics(SIZE)}, {Q.SERVICES}, {FEATURES_SQL}, {CANDIDATES_SQL},
+ranked AS (SELECT f.*, count(*) OVER (PARTITION BY service_id) AS history_rows,
+                  row_number() OVER (PARTITION BY service_id ORDER BY window_start DESC) AS rn FROM feat f),
+ready AS (SELECT f.service_id FROM ranked f WHERE rn = 1 AND history_rows >= {MIN_ROWS} AND {COMPLETE}),
+svc AS (SELECT DISTINCT service_id FROM metrics),
+routes AS (
+  SELECT service_id, 'traffic' AS module, horizon_minutes, 'model' AS route FROM ready, (VALUES {", ".join(f"({h})" for h in HORIZONS)}) AS t(horizon_minutes)
+  UNION ALL SELECT service_id, 'failure', 30, 'model' FROM ready
+  UNION ALL SELECT service_id, 'anomaly', NULL, 'model' FROM ready
+  UNION ALL SELECT service_id, 'traffic', 60, 'heuristic' FROM svc WHERE service_id NOT IN (SELECT service_id FROM ready)
+  UNION ALL SELECT service_id, 'failure', 30, 'heuristic' FROM svc WHERE service_id NOT IN (SELECT service_id FROM ready)
+  UNION ALL SELECT service_id, 'anomaly', NULL, 'heuristic' FROM svc WHERE service_id NOT IN (SELECT service_id FROM ready)
+  UNION ALL SELECT service_id, 'health', NULL, 'heuristic' FROM svc
+  UNION ALL SELECT service_id, 'alerts', NULL, 'model' FROM ctx)
+SELECT service_id, module, CAST(horizon_minutes AS INTEGER) AS horizon_minutes, route, module = 'alerts' AS has_confidence, count(*) AS n
+FROM routes GROUP BY ALL""")
+def score_models(spark, sf_dir):
+    """Reload every stored model and score every service and
+    alert context with it, the heuristic answering for services without a
+    complete row; predictions are appended and read back."""
+    store = trained(spark, sf_dir, *MJ.MODULES)
+    m, f = metrics_of(spark, sf_dir, SIZE), features(spark, sf_dir)
+    contexts = AL.label_priority(AL.alert_frequency(candidates(spark, sf_dir)))
+    out = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
+    for module in ("health", *MJ.MODULES):
+        IO.write_predictions(MJ.score(spark, module, m, store, f, SIZE, MIN_ROWS, contexts=contexts), out)
+    p = spark.read.parquet(out).where(F.get_json_object("value", "$.service_id") == F.col("service_id"))
+    route = F.when(F.col("model_version") == S.HEURISTIC_MODEL_VERSION, "heuristic").otherwise("model")
+    return p.groupBy("service_id", "module", "horizon_minutes", route.alias("route"), F.col("confidence").isNotNull().alias("has_confidence")) \
+        .agg(F.count(F.lit(1)).alias("n"))

@@ -16,7 +16,6 @@ from ..streaming import jobs as J
 from . import sqlparts as Q
 from .alerting import LIFECYCLE_SQL, lifecycle
 from .core import metrics_of
-from .features import MIN_ROWS, features
 from .registry import plan
 from .streams import BATCHES, _deliver, _source
 
@@ -109,20 +108,3 @@ def tile_alerts_reference(spark, sf_dir):
     t = V.alerts_tile(lifecycle(spark, sf_dir), metrics_of(spark, sf_dir, "1h"), FX.services(spark),
                       window_size="1h", reference_context=True)
     return t.select("id", "service_id", "triggering_metric", "severity", "priority", "rationale")
-
-
-@plan("score_models")
-def score_models(spark, sf_dir):
-    """Train and store the failure model, reload it, score
-    every service (model where its inference row is complete, heuristic
-    otherwise) and append the predictions; returns the stored predictions."""
-    store = scratch_path(spark, f"models-{uuid.uuid4().hex}")
-    f = features(spark, sf_dir)
-    runs = ML.train(spark, f, store, modules=("failure",), failure={"max_iter": 10, "max_depth": 4})
-    runs.write.mode("append").parquet(f"{store}/runs")
-    preds = ML.score_failure(spark, f, store, MIN_ROWS, metrics_of(spark, sf_dir, "1h"), "1h")
-    IO.write_predictions(preds, f"{store}/predictions")
-    return spark.read.parquet(f"{store}/predictions").select(
-        "service_id", "module", "model_version", "horizon_minutes",
-        F.get_json_object("value", "$.risk_level").alias("risk_level"),
-        F.get_json_object("value", "$.contributing_features[0].feature").alias("top_feature"))

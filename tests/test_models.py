@@ -1,18 +1,23 @@
 """Model quality floors and store round trips."""
 
+import json
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from pulsewatch.ml import jobs as MJ
 from pulsewatch.ml import models as ML
 from pulsewatch.operators import alerts as AL
+from pulsewatch.operators import features as FE
 from pulsewatch.plans import load_all
 
 from .conftest import SF_MED
 
 load_all()
 from pulsewatch.plans.alerting import candidates  # noqa: E402
-from pulsewatch.plans.features import features  # noqa: E402
+from pulsewatch.plans.core import metrics_of  # noqa: E402
+from pulsewatch.plans.features import HORIZONS, LAGS, ROLLING, features  # noqa: E402
 
 
 def test_priority_forest_learns_the_rule(spark):
@@ -22,26 +27,48 @@ def test_priority_forest_learns_the_rule(spark):
     assert macro.accuracy >= 0.9
 
 
-def test_failure_model_store_round_trip(spark, tmp_path):
+def test_failure_report(spark):
     f = features(spark, SF_MED)
     model, sweep, rep = ML.train_failure(f, max_iter=5, max_depth=3)
     r = rep.first()
     assert 0.0 <= r.roc_auc <= 1.0 and r.tp + r.fp + r.fn + r.tn > 0
     assert sweep.filter("is_best").count() <= 1
-    store = str(tmp_path / "store")
-    meta = ML.save_model(model, store, "failure", {"auc": float(r.roc_auc)}, {"decision_threshold": 0.5},
-                         100, "GBTClassifier", spark)
-    loaded, meta2 = ML.load_model(spark, store, "failure")
-    assert meta2["model_version"] == meta["model_version"]
-    rows = f.dropna().limit(50)
-    a = model.transform(rows).select(vector_to_array("probability")[1].alias("p")).collect()
-    b = loaded.transform(rows).select(vector_to_array("probability")[1].alias("p")).collect()
-    assert [x.p for x in a] == pytest.approx([x.p for x in b])
-    assert ML.load_model(spark, str(tmp_path / "none"), "failure") is None
     top = ML.top_contributions(model)
     assert len(top) == 5 and top[0]["contribution"] >= top[-1]["contribution"]
 
 
+def test_train_store_and_score_every_module(spark, tmp_path):
+    store = str(tmp_path / "store")
+    m = metrics_of(spark, SF_MED, "1h")
+    small = {"traffic": {"max_iter": 2, "max_depth": 2}, "failure": {"max_iter": 2, "max_depth": 2}, "anomaly": {"n_trees": 10},
+             "alerts": {"n_trees": 4, "max_depth": 3}}
+    with pytest.raises(ValueError, match="unknown module"):
+        MJ.train(spark, m, store, modules=["traffic", "nope"])
+    with pytest.raises(ValueError, match="no metrics"):
+        MJ.train(spark, m.limit(0), store, window_size="1h")
+    with pytest.raises(ValueError, match="no usable rows"):
+        MJ.train(spark, m, store, modules=["traffic"], window_size="1h", days=1, lags=LAGS, rolling=ROLLING, horizons=HORIZONS, params=small)
+    runs = MJ.train(spark, m, store, days=None, window_size="1h", lags=LAGS, rolling=ROLLING, horizons=HORIZONS, params=small).collect()
+    assert sorted(r.module for r in runs) == ["alerts", "anomaly", "failure", "traffic"] and all(r.is_active for r in runs)
+    assert MJ.list_models(spark, store).count() == 4 and MJ.load_meta(spark, str(tmp_path / "none"), "failure") is None
+    f, contexts = features(spark, SF_MED), AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED)))
+    model = MJ.load_model(store, "failure")
+    by_hand = {r.service_id: r.p for r in model.transform(FE.latest_features(f, min_rows=39)[0]).select(
+        "service_id", vector_to_array("probability")[1].alias("p")).collect()}
+    for module, n in (("traffic", 4), ("failure", 1), ("anomaly", 1)):
+        rows = MJ.score(spark, module, m, store, f, "1h", 39).collect()
+        assert len(rows) == 5 * n and all(r.confidence is None and json.loads(r.value)["service_id"] == r.service_id for r in rows)
+        assert all(r.model_version != "heuristic-0" and r.generated_at.minute == 0 for r in rows)
+        if module == "failure":
+            assert {r.service_id: json.loads(r.value)["failure_probability"] for r in rows} == pytest.approx(by_hand)
+    heuristic = {r.model_version for r in MJ.score(spark, "anomaly", m, store, f, "1h", 39, snapshot_only=True).collect()}
+    stored = {r.model_version for r in MJ.score(spark, "anomaly", m, store, f, "1h", 39).collect()}
+    assert heuristic.isdisjoint(stored)
+    alerts = MJ.score(spark, "alerts", m, store, contexts=contexts).collect()
+    assert len(alerts) == contexts.count() and all(0 < r.confidence <= 1 for r in alerts)
+    assert {r.model_version for r in MJ.score(spark, "failure", m, str(tmp_path / "none"), f, "1h", 39).collect()} == heuristic
+
+
 def test_priority_scoring(spark):
     lab = AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED)))
     model, _ = ML.train_priority(lab, n_trees=10, max_depth=5)
