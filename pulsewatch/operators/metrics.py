@@ -2,21 +2,22 @@
 
 Scale notes
 -----------
-* ``aggregate_windows`` computes every window size in ONE shuffle: each log row
-  is expanded to one (size, window_start) pair per size before a single
-  ``groupBy``.  All aggregates are partial-aggregation capable, so each map
-  task combines its rows before the exchange; a hot (service, window) group is
-  merged from per-task partial buffers, never collected raw into one task.
+* ``aggregate_windows`` first counts the raw logs by (service, smallest common
+  window, latency, error flag), a hash aggregate combined map-side; the counts
+  alone are expanded to the window sizes.  Histograms add up exactly, so one
+  pass over the logs serves all sizes, and a hot (service, window) arrives as
+  at most its distinct latencies.
 * Exact percentiles use Spark's ``percentile`` (linear interpolation, the same
-  as ``percentile_cont``).  Its buffer is a value -> count map, bounded by the
-  number of distinct latencies (integer milliseconds), not by rows.
-  ``exact=False`` switches to ``percentile_approx`` (fixed-size sketch).
-* Latest-per-service uses a ``max_by`` hash aggregate (partial aggregation,
-  no sort of the whole group).
+  as ``percentile_cont``) weighted by those counts.  ``exact=False`` switches
+  to ``percentile_approx`` (fixed-size sketch) over the raw rows.
+* Latest-per-service is a ``max_by`` over a struct: Spark plans it as a sort
+  aggregate, partial before the shuffle, so one row per service and task moves.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,17 +39,24 @@ def aggregate_windows(api_logs: DataFrame, sizes=S.WINDOW_SIZES, exact: bool = T
     Half-open ``[start, start + size)`` UTC windows; silent services emit no row.
     Projections are SQL expressions (one JVM round trip per column).
     """
-    logs = api_logs.selectExpr(
-        "service_id",
-        "CAST(response_time_ms AS INT) AS rt",
-        "CAST(coalesce(status_code, 0) >= 400 AS INT) AS err",
-        _window_pairs_sql("request_timestamp", sizes),
-    )
-    pct = ("percentile(rt, array(0.95D, 0.99D))" if exact
-           else "CAST(percentile_approx(rt, array(0.95D, 0.99D), 10000) AS ARRAY<DOUBLE>)")
-    agg = logs.groupBy("service_id", "window_size", "window_start").agg(
-        F.expr("count(1)").alias("n"), F.expr("sum(rt)").alias("rt_sum"), F.expr("count(rt)").alias("rt_n"),
-        F.expr("sum(err)").alias("n_err"), F.expr(pct).alias("pct"))
+    columns = ["service_id", "CAST(response_time_ms AS INT) AS rt", "CAST(coalesce(status_code, 0) >= 400 AS INT) AS err"]
+    if exact:
+        # one hash aggregate over the raw logs, to counts per smallest common
+        # window, latency and error flag; only those are expanded to the sizes
+        base = math.gcd(*[S.WINDOW_MINUTES[s] for s in sizes]) * 60_000_000
+        us = "unix_micros(request_timestamp)"
+        counts = api_logs.selectExpr(*columns, f"timestamp_micros({us} - pmod({us}, {base}L)) AS base_start") \
+            .groupBy("service_id", "base_start", "rt", "err").agg(F.expr("count(1)").alias("k"))
+        agg = counts.selectExpr("service_id", "rt", "err", "k", _window_pairs_sql("base_start", sizes)) \
+            .groupBy("service_id", "window_size", "window_start").agg(
+                F.expr("sum(k)").alias("n"), F.expr("sum(rt * k)").alias("rt_sum"),
+                F.expr("sum(CASE WHEN rt IS NOT NULL THEN k ELSE 0 END)").alias("rt_n"), F.expr("sum(err * k)").alias("n_err"),
+                F.expr("percentile(rt, array(0.95D, 0.99D), k)").alias("pct"))
+    else:
+        agg = api_logs.selectExpr(*columns, _window_pairs_sql("request_timestamp", sizes)) \
+            .groupBy("service_id", "window_size", "window_start").agg(
+                F.expr("count(1)").alias("n"), F.expr("sum(rt)").alias("rt_sum"), F.expr("count(rt)").alias("rt_n"), F.expr("sum(err)").alias("n_err"),
+                F.expr("CAST(percentile_approx(rt, array(0.95D, 0.99D), 10000) AS ARRAY<DOUBLE>)").alias("pct"))
     minutes = "CASE window_size " + " ".join(f"WHEN '{s}' THEN {S.WINDOW_MINUTES[s]}" for s in sizes) + " ELSE 1 END"
     out = agg.selectExpr(
         "service_id",

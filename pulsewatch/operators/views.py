@@ -108,27 +108,23 @@ def asof_prediction(probes: DataFrame, predictions: DataFrame, at: str = "at",
                     keys=("service_id", "module"), probe_id: str = "probe_id") -> DataFrame:
     """Newest prediction with ``generated_at`` in ``(at - max_age, at]`` per probe.
 
-    Range join by time bucket: predictions are keyed by (keys, bucket of
-    ``max_age``); each probe looks in its own and the previous bucket (an
-    equi join, no nested loop), filters the exact window and keeps the newest
-    with a ``max_by`` aggregate.  Probes with none get ``status = 'no-cache'``,
+    Range join by time bucket, the small side copied: each prediction goes into
+    the bucket of ``max_age`` it falls in and the next one, packed per (keys,
+    bucket) -- a few per service and module.  A probe is shuffled once, meets
+    one packed row by equality and picks the newest prediction within its
+    window with array functions.  Probes with none get ``status = 'no-cache'``,
     found ones are flagged ``stale`` (they are cached answers).
     """
     span = max_age_minutes * 60
-    pb = F.floor(F.unix_seconds(F.col(at)) / span)
-    p = probes.select(*keys, probe_id, at, F.explode(F.array(pb, pb - 1)).alias("_b"))
-    q = predictions.select(*keys, F.floor(F.unix_seconds("generated_at") / span).alias("_b"),
-                           F.struct("generated_at", "model_version", "value").alias("_pred"))
-    p = p.alias("p")
-    q = q.alias("q")
-    cond = [F.col(f"p.{k}") == F.col(f"q.{k}") for k in (*keys, "_b")] + [
-        F.col("q._pred.generated_at") <= F.col(f"p.{at}"),
-        F.col("q._pred.generated_at") > F.col(f"p.{at}") - F.make_dt_interval(mins=F.lit(max_age_minutes))]
-    # left outer join with the age window in the ON clause: probes without a
-    # candidate keep a null row, so one aggregate finishes the lookup
-    cand = p.join(q, cond, "left").select(*[F.col(f"p.{c}").alias(c) for c in probes.columns], "q._pred")
-    out = cand.groupBy(*probes.columns).agg(F.max_by("_pred", F.col("_pred.generated_at")).alias("_best"))
-    return out.select(
+    bucket = F.floor(F.unix_seconds("generated_at") / span)
+    packed = predictions.select(*keys, F.explode(F.array(bucket, bucket + 1)).alias("_b"),
+                                F.struct("generated_at", "model_version", "value").alias("_p")) \
+        .groupBy(*keys, "_b").agg(F.collect_list("_p").alias("_preds"))
+    p = probes.withColumn("_b", F.floor(F.unix_seconds(F.col(at)) / span))
+    j = p.join(packed, [*keys, "_b"], "left")
+    oldest = F.col(at) - F.make_dt_interval(mins=F.lit(max_age_minutes))
+    best = F.array_max(F.filter("_preds", lambda x: (x["generated_at"] <= F.col(at)) & (x["generated_at"] > oldest)))
+    return j.withColumn("_best", best).select(
         *probes.columns,
         F.col("_best.generated_at").alias("generated_at"),
         F.col("_best.model_version").alias("model_version"),

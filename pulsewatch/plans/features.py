@@ -38,7 +38,8 @@ def srnd(c: str) -> str:
     return f"CASE WHEN round({c}, {R}) = 0 THEN CAST(0.0 AS DOUBLE) ELSE round({c}, {R}) END AS {c}"
 
 
-FEATURES_SQL = f"""
+def features_sql(lags=LAGS, rolling=ROLLING) -> str:
+    return f"""
 feat AS (
   SELECT service_id, window_start,
          CAST(rpm AS DOUBLE) AS rpm,
@@ -53,15 +54,18 @@ feat AS (
          cos(2 * pi() * hour(window_start) / 24.0) AS hour_cos,
          sin(2 * pi() * (isodow(window_start) - 1) / 7.0) AS dow_sin,
          cos(2 * pi() * (isodow(window_start) - 1) / 7.0) AS dow_cos,
-         lag(CAST(rpm AS DOUBLE), {LAGS[0]}) OVER w AS rpm_lag_1h,
-         lag(CAST(rpm AS DOUBLE), {LAGS[1]}) OVER w AS rpm_lag_6h,
-         lag(CAST(rpm AS DOUBLE), {LAGS[2]}) OVER w AS rpm_lag_24h,
-         avg(CAST(rpm AS DOUBLE)) OVER (w ROWS BETWEEN {ROLLING - 1} PRECEDING AND CURRENT ROW) AS rpm_rolling_15m
+         lag(CAST(rpm AS DOUBLE), {lags[0]}) OVER w AS rpm_lag_1h,
+         lag(CAST(rpm AS DOUBLE), {lags[1]}) OVER w AS rpm_lag_6h,
+         lag(CAST(rpm AS DOUBLE), {lags[2]}) OVER w AS rpm_lag_24h,
+         avg(CAST(rpm AS DOUBLE)) OVER (w ROWS BETWEEN {rolling - 1} PRECEDING AND CURRENT ROW) AS rpm_rolling_15m
   FROM metrics
   WINDOW w AS (PARTITION BY service_id ORDER BY window_start)
 )"""
 
 
+FEATURES_SQL = features_sql()
+
+
 @plan("cyclical_time", sql=f"""
 {Q.with_metrics(SIZE)}, {FEATURES_SQL}
 SELECT service_id, window_start, CAST(hour(window_start) AS INTEGER) AS hour_of_day,
@@ -85,6 +89,25 @@ def lag_rolling_features(spark, sf_dir):
     return features(spark, sf_dir).select("service_id", "window_start", *rnd(*S.FEATURE_COLUMNS))
 
 
+@plan("features_1m_defaults", sql=f"""
+{Q.with_metrics('1m')}, {features_sql(S.FEATURE_LAGS, S.FEATURE_ROLLING)},
+tgt AS (SELECT service_id, window_start, count(*) OVER (PARTITION BY service_id) AS history_rows,
+               {", ".join(f"lead(CAST(rpm AS DOUBLE), {h}) OVER w AS target_{h}" for h in S.TRAFFIC_HORIZONS)}
+        FROM metrics WINDOW w AS (PARTITION BY service_id ORDER BY window_start))
+SELECT f.service_id, f.window_start, {", ".join(srnd(c) for c in ("rpm_lag_1h", "rpm_lag_6h", "rpm_lag_24h", "rpm_rolling_15m"))},
+       {", ".join(f"t.target_{h}" for h in S.TRAFFIC_HORIZONS)}, t.history_rows >= {S.FEATURE_MIN_ROWS} AS enough_history
+FROM feat f JOIN tgt t ON f.service_id = t.service_id AND f.window_start = t.window_start""")
+def features_1m_defaults(spark, sf_dir):
+    """G2/G3/G4/G8 at the product's own settings: one-minute rows, lags 60, 360
+    and 1,440, rolling 15, horizons 15 to 360, history of 1,455 rows."""
+    f = FE.horizon_targets(FE.build_features(metrics_of(spark, sf_dir, "1m")))
+    ready, rejected = FE.latest_features(f.select("service_id", "window_start", *S.FEATURE_COLUMNS))
+    short = rejected.filter("reason = 'insufficient-history'").select("service_id", F.lit(False).alias("_enough"))
+    return f.join(short, "service_id", "left").select(
+        "service_id", "window_start", *rnd("rpm_lag_1h", "rpm_lag_6h", "rpm_lag_24h", "rpm_rolling_15m"),
+        *[f"target_{h}" for h in S.TRAFFIC_HORIZONS], F.coalesce("_enough", F.lit(True)).alias("enough_history"))
+
+
 @plan("horizon_targets", sql=f"""
 {Q.with_metrics(SIZE)}
 SELECT service_id, window_start,
