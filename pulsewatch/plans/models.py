@@ -51,7 +51,7 @@ def cut_sql(rows: str) -> str:
 per_ts AS (SELECT window_start, count(*) AS n FROM {rows} GROUP BY window_start),
 cum AS (SELECT *, coalesce(sum(n) OVER (ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
                sum(n) OVER () AS total FROM per_ts),
-cut AS (SELECT min(window_start) AS at FROM cum WHERE before + n > floor(total * 0.8))"""
+cut AS (SELECT min(window_start) AS cut_at FROM cum WHERE before + n > floor(total * 0.8))"""
 
 
 COMPLETE = " AND ".join(f"f.{c} IS NOT NULL" for c in S.FEATURE_COLUMNS)
@@ -64,8 +64,8 @@ tgt AS (SELECT service_id, window_start, {", ".join(f"lead(CAST(rpm AS DOUBLE),
 usable AS (SELECT f.window_start FROM feat f JOIN tgt t ON f.service_id = t.service_id AND f.window_start = t.window_start
            WHERE {COMPLETE} AND {" AND ".join(f"t.target_{h} IS NOT NULL" for h in HORIZONS)}),
 {cut_sql("usable")}
-SELECT horizon, (SELECT count(*) FROM usable, cut WHERE window_start >= at) AS test_rows,
-       (SELECT count(*) FROM usable, cut WHERE window_start < at) AS training_rows, true AS scored
+SELECT horizon, (SELECT count(*) FROM usable, cut WHERE window_start >= cut_at) AS test_rows,
+       (SELECT count(*) FROM usable, cut WHERE window_start < cut_at) AS training_rows, true AS scored
 FROM (VALUES {", ".join(f"({h})" for h in HORIZONS)}) AS t(horizon)""")
 def traffic_gbt(spark, sf_dir):
     """A boosted regressor per horizon (300 trees, depth 6), each saved with its test errors."""
@@ -79,10 +79,10 @@ def traffic_gbt(spark, sf_dir):
 usable AS (SELECT f.window_start, l.failure_target AS y FROM feat f JOIN lab l ON f.service_id = l.service_id AND f.window_start = l.window_start
            WHERE {COMPLETE}),
 {cut_sql("usable")},
-c AS (SELECT sum(CASE WHEN window_start < at THEN 1 ELSE 0 END) AS training_rows,
-             sum(CASE WHEN window_start < at THEN y ELSE 0 END) AS train_pos,
-             sum(CASE WHEN window_start >= at THEN y ELSE 0 END) AS positives,
-             sum(CASE WHEN window_start >= at THEN 1 - y ELSE 0 END) AS negatives FROM usable, cut)
+c AS (SELECT sum(CASE WHEN window_start < cut_at THEN 1 ELSE 0 END) AS training_rows,
+             sum(CASE WHEN window_start < cut_at THEN y ELSE 0 END) AS train_pos,
+             sum(CASE WHEN window_start >= cut_at THEN y ELSE 0 END) AS positives,
+             sum(CASE WHEN window_start >= cut_at THEN 1 - y ELSE 0 END) AS negatives FROM usable, cut)
 SELECT CAST(training_rows AS BIGINT) AS training_rows, CAST(positives AS BIGINT) AS positives, CAST(negatives AS BIGINT) AS negatives,
        round(sqrt(greatest(1, training_rows - greatest(1, train_pos)) / greatest(1, train_pos)), 6) AS scale_pos_weight,
        positives > 0 AND negatives > 0 AS auc_defined
@@ -115,7 +115,7 @@ def anomaly_iforest(spark, sf_dir):
 
 @plan("priority_forest", sql=f"""
 {Q.with_metrics(SIZE)}, {Q.SERVICES}, {CANDIDATES_SQL}, {FREQ_SQL}, {LABEL_SQL}, {cut_sql("prio")},
-test AS (SELECT priority FROM prio, cut WHERE window_start >= at)
+test AS (SELECT priority FROM prio, cut WHERE window_start >= cut_at)
 SELECT cls, (SELECT count(*) FROM test WHERE priority = cls) AS support, true AS in_range
 FROM (VALUES {", ".join(f"('{c}')" for c in S.LEVELS)}) AS t(cls)
 UNION ALL SELECT 'macro', (SELECT count(*) FROM test), true""")

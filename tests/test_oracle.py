@@ -11,6 +11,9 @@ from tools.check_oracle import TABLES, rows_of
 from .conftest import SF_SMALL
 
 ORACLES = E.oracle_sql()
+# boosting at the product's tree counts takes minutes in MLlib: tools/check_oracle.py
+# runs these, tests/test_models.py their jobs with few trees
+SLOW = {"traffic_gbt", "failure_gbt", "model_list", "score_models"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +33,7 @@ def test_every_plan_is_registered():
     assert len(qs) >= 60
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_plan_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     scols, srows = df.columns, [tuple(r) for r in df.collect()]
