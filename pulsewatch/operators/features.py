@@ -28,15 +28,9 @@ def as_numeric(metrics: DataFrame) -> DataFrame:
     one SQL projection."""
     res = [f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if c in metrics.columns else f"0.0D AS {c}"
            for c in ("cpu_usage_pct", "memory_usage_pct")]
-    h, d = "CAST(hour(window_start) AS DOUBLE)", "CAST(weekday(window_start) AS DOUBLE)"
-    return metrics.selectExpr(
-        "service_id", "window_start",
-        *[f"CAST({c} AS DOUBLE) AS {c}" for c in ("rpm", "request_count", "response_time_mean",
-                                                 "response_time_p95", "response_time_p99", "error_rate")],
-        *res,
-        f"sin(2 * pi() * {h} / 24.0D) AS hour_sin", f"cos(2 * pi() * {h} / 24.0D) AS hour_cos",
-        f"sin(2 * pi() * {d} / 7.0D) AS dow_sin", f"cos(2 * pi() * {d} / 7.0D) AS dow_cos",
-    )
+    numbers = ("rpm", "request_count", "response_time_mean", "response_time_p95", "response_time_p99", "error_rate")
+    return metrics.select("service_id", "window_start", *[F.col(c).cast("double").alias(c) for c in numbers],
+                          *[F.expr(r) for r in res], *X.cyclical("window_start"))
 
 
 def build_features(metrics: DataFrame, lags=S.FEATURE_LAGS, rolling: int = S.FEATURE_ROLLING,

@@ -109,6 +109,26 @@ def rules_metrics() -> dict[str, Column]:
     }
 
 
+def rules_alerts() -> dict[str, Column]:
+    """B2: checks on alert rows."""
+    return {
+        "severity_valid": F.coalesce(F.col("severity").isin(*S.LEVELS), F.lit(False)),
+        "priority_valid": F.coalesce(F.col("priority").isin(*S.LEVELS), F.lit(True)),
+        "metric_present": F.col("triggering_metric").isNotNull(),
+        "closed_after_opened": F.coalesce(F.col("closed_at") >= F.col("opened_at"), F.lit(True)),
+    }
+
+
+def rules_predictions() -> dict[str, Column]:
+    """B2: checks on prediction rows."""
+    return {
+        "module_present": F.col("module").isNotNull(),
+        "value_present": F.col("value").isNotNull(),
+        "horizon_positive": F.coalesce(F.col("horizon_minutes") > 0, F.lit(True)),
+        "confidence_unit": F.coalesce((F.col("confidence") >= 0) & (F.col("confidence") <= 1), F.lit(True)),
+    }
+
+
 def rules_services() -> dict[str, Column]:
     """M5: field checks on service rows."""
     return {

@@ -77,6 +77,34 @@ def alert_messages(spark, sf_dir):
     return lifecycle(spark, sf_dir).select("id", "message")
 
 
+@plan("table_rule_violations", sql=f"""
+{Q.with_metrics(SIZE)}, {LIFECYCLE_SQL},
+x AS (SELECT CASE WHEN hour(window_start) = 3 THEN '2h' ELSE window_size END AS window_size, 2 * CAST(error_rate AS DOUBLE) AS error_rate FROM metrics)
+SELECT 'metrics' AS tbl, 'window_size_valid' AS rule, count(*) FILTER (window_size NOT IN {S.WINDOW_SIZES}) AS violations FROM x
+UNION ALL SELECT 'metrics', 'error_rate_unit', count(*) FILTER (error_rate > 1) FROM x
+UNION ALL SELECT 'alerts', 'severity_valid', count(*) FILTER (severity = 'high' AND triggering_metric = 'error_rate') FROM alerts_out
+UNION ALL SELECT 'alerts', 'closed_after_opened', count(*) FILTER (closed_at IS NOT NULL AND triggering_metric = 'latency') FROM alerts_out
+UNION ALL SELECT 'predictions', 'confidence_unit', count(*) FILTER (hour(window_end) = 5) FROM metrics
+UNION ALL SELECT 'predictions', 'horizon_positive', count(*) FILTER (hour(window_end) = 6) FROM metrics""")
+def table_rule_violations(spark, sf_dir):
+    """B2: rules on metric, alert and prediction rows with planted violations."""
+    from ..operators import quality as QY
+    from ..operators import views as V
+    m = metrics_of(spark, sf_dir, SIZE)
+    bad_m = m.withColumn("window_size", F.when(F.hour("window_start") == 3, "2h").otherwise(F.col("window_size"))) \
+        .withColumn("error_rate", F.col("error_rate").cast("double") * 2)
+    a = lifecycle(spark, sf_dir)
+    late = F.col("closed_at").isNotNull() & (F.col("triggering_metric") == "latency")
+    bad_a = a.withColumn("severity", F.when((F.col("severity") == "high") & (F.col("triggering_metric") == "error_rate"), "odd").otherwise(F.col("severity"))) \
+        .withColumn("closed_at", F.when(late, F.col("opened_at") - F.make_dt_interval(mins=F.lit(1))).otherwise(F.col("closed_at")))
+    bad_p = V.anomaly_predictions(m).withColumn("confidence", F.when(F.hour("generated_at") == 5, F.lit(1.5))) \
+        .withColumn("horizon_minutes", F.when(F.hour("generated_at") == 6, F.lit(0)))
+    parts = [QY.violation_counts(df, rules).withColumn("tbl", F.lit(name)) for name, df, rules in (
+        ("metrics", bad_m, QY.rules_metrics()), ("alerts", bad_a, QY.rules_alerts()), ("predictions", bad_p, QY.rules_predictions()))]
+    shown = F.col("rule").isin("window_size_valid", "error_rate_unit", "severity_valid", "closed_after_opened", "confidence_unit", "horizon_positive")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(shown | (F.col("violations") > 0)).select("tbl", "rule", "violations")
+
+
 @plan("open_alerts_topk", sql=f"""
 {Q.with_metrics(SIZE)}, {LIFECYCLE_SQL}
 SELECT * FROM alerts_out WHERE closed_at IS NULL

@@ -13,8 +13,8 @@
   ``applyInPandasWithState``; rows wait in the state until the lateness has
   passed and are taken in time order, an event-time timeout closes the alerts
   of a service that goes silent.
-* ``latest_prediction_stream``: newest prediction per (service, module) of a
-  micro-batch; ``latest_sink`` merges it into the stored view by key.
+* ``latest_sink``: merges the newest prediction per (service, module) of a
+  micro-batch into the stored view by key.
 
 Sinks are idempotent per micro-batch: a replayed batch id rewrites its own
 output, meets its own keys or upserts the same rows, so at-least-once delivery

@@ -326,7 +326,7 @@ def test_anomaly_training_sweep_and_score(spark):
     m = metric_rows(spark, rows)
     feats = FE.build_features(m, lags=(1, 2, 3), rolling=3)
     labels = spark.createDataFrame([("a", mins(k), k % 37 == 0, False) for k in range(300)], S.ANOMALY_LABELS)
-    forest, scored, sweep = ML.train_anomaly(feats, labels=labels, n_trees=30)
+    _, forest, scored, sweep = ML.train_anomaly(feats, labels=labels, n_trees=30)
     got = sweep.collect()
     assert len(got) == len(S.CONTAMINATION_GRID) and sum(r.is_best for r in got) == 1
     s = scored.collect()
