@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, ship, whole_text
+from .common import claim, map_texts, ship, whole_text
 
 #: White space as Unicode defines it (Python's own class also has U+001C..1F).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Characters that Python's split() takes for white space and Unicode does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]").search
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
 #: Longer pieces are encoded each time: they seldom recur and would fill the table.
 CACHE_PIECE_CHARS = 64
 NO_PAIR = 1 << 62
@@ -264,6 +264,7 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", keep: tuple[s
     src = df.select(*[F.col(f"`{c}`") for c in keep], whole_text(text_col).alias("__text"))
 
     def start():
+        claim("bpe", word_tokenizer.cache_clear)
         tok = word_tokenizer(vocab_path)
         return lambda texts: list(zip(*[tok.columns(t, want) for t in texts]))
 

@@ -62,6 +62,18 @@ def whole_text(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Say in a Python worker that ``owner``'s tables are in use; those that
+    other operators left there are cleared, so a worker that runs several
+    operators in turn holds the tables of one."""
+    for other in [o for o in _held if o != owner]:
+        _held.pop(other)()
+    _held[owner] = clear
+
+
 #: Texts handed to a text function at once: bounds its memory and its output batch.
 BATCH_CHARS = 2_000_000
 

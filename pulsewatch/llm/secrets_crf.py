@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, ship, staged, whole_text
+from .common import claim, map_texts, ship, staged, whole_text
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -34,7 +34,7 @@ TOKEN = re.compile(r"[\w+/.-]+|[^\w\s+/.-]")
 KEYWORD = re.compile(r"passw|secret|token|api_?key|credential|private_?key|auth|bearer", re.I)
 B, I, O = 0, 1, 2  # noqa: E741
 WINDOW = 8
-TABLE_ENTRIES = 500_000
+TABLE_ENTRIES = 300_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -265,6 +265,7 @@ def train(docs: DataFrame, text_col: str = "text", max_docs: int = 10_000, max_w
         texts = texts.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * max_docs / total))
 
     def cut(batches: Iterator[pd.DataFrame]):
+        claim("secrets", neighbour.cache_clear)
         for pdf in batches:
             rows = [w for t in pdf["text"] for w in training_windows(t)]
             yield pd.DataFrame({"secret": [any(t != O for t in tags) for _, tags in rows],
@@ -311,6 +312,7 @@ def find_secrets(df: DataFrame, model: tuple[dict[str, np.ndarray], np.ndarray]
                                      T.StructField("kind", T.StringType())]))
 
     def start():
+        claim("secrets", neighbour.cache_clear)
         tagger = Tagger(*shared.value)
 
         def scan(text: str) -> list[dict]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import SPACE, Vocabulary, byte_symbols, remember
-from .common import map_texts, whole_text
+from .common import claim, map_texts, whole_text
 
 #: Fixed value of the byte-level pre-tokenizer.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -103,6 +103,7 @@ def count_tokens(df: DataFrame, vocab_path: str, text_col: str = "text", keep: t
                     whole_text(text_col).alias("__text"))
 
     def start():
+        claim("token counts", token_counter.cache_clear)
         count = token_counter(vocab_path).count
         return lambda texts: [[count(t) for t in texts]]
 

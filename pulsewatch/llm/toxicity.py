@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, staged, whole_text
+from .common import claim, ship, staged, whole_text
 
 WORDS = re.compile(r"\w+").findall
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 500_000
 
 
 class WordHashes(dict):
@@ -106,6 +106,7 @@ def train(labelled: DataFrame, bits: int = 20, max_rows: int = 16_384, shard_row
     shards = max(1, -(-min(total, max_rows) // shard_rows))
 
     def extract(batches: Iterator[pd.DataFrame]):
+        claim("toxicity", _hashes.clear)
         for pdf in batches:
             yield pd.DataFrame({"shard": pdf["shard"], "pick": pdf["pick"], "label": pdf["label"].astype(int),
                                 "at": [distinct(t, bits).astype(np.int32).tobytes() for t in pdf["text"]]})
@@ -145,6 +146,7 @@ def score(df: DataFrame, weights: dict[int, float], bits: int = 20, text_col: st
     shared = spark.sparkContext.broadcast((np.array(list(weights), np.int64), np.array(list(weights.values()), np.float64)))
 
     def scored(texts: pd.Series) -> pd.Series:
+        claim("toxicity", _hashes.clear)
         at, w = shared.value
         dense = np.zeros((1 << bits) + 1)
         dense[at] = w
