@@ -64,6 +64,57 @@ def test_strong_terms_lose_no_line():
         assert (match.best(line)[0] is not None) == (best >= 0.7)
 
 
+GPL2_HEADER = """/*
+ * tool.c - does things
+ * Copyright (C) 2011 Somebody Else
+ *
+ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License as
+ * published by the Free Software Foundation; either version {}
+ * of the License, or (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main(void) {{ return 0; }}
+"""
+
+
+def test_headers_wrapped_notices_and_whole_licence_files(spark):
+    full = dict(licenses.full_texts())
+    wrap = lambda t, width: "\n".join(__import__("textwrap").wrap(t, width))
+    bsd3 = full["BSD-3-Clause"].replace("Copyright (c)", "Copyright (c) 2019, The Example Authors").replace("the copyright holder nor", "Example Ltd nor")
+    files = [("a/tool.c", GPL2_HEADER.format(2), "GPL-2.0"), ("a/new.c", GPL2_HEADER.format(3), "GPL-3.0"),
+             ("b/x.sh", "#!/bin/sh\n# " + dict(licenses.HEADERS)["LGPL-2.1"].replace(" the ", " the\n# ") + "\necho", "LGPL-2.1"),
+             ("c/doc.txt", "Words before. This work is licensed under the GNU\nGeneral Public License, version 3. Words after it\nand more", "GPL-3.0"),
+             ("d/LICENSE", bsd3, "BSD-3-Clause"), ("e/LICENSE", full["BSD-2-Clause"], "BSD-2-Clause"),
+             ("f/x.js", "/*\n" + wrap(bsd3, 40) + "\n*/\ncode();", "BSD-3-Clause"),
+             ("g/py.py", '"""A module.\n\n' + full["MIT"].split("\n", 4)[4] + '"""\nimport os', "MIT"),
+             ("h/x.c", "// " + full["ISC"].replace("\n", "\n// ") + "\ncode", "ISC"), ("i/none.py", "# a header\n# of other words\ncode", None)]
+    files += [(f"full/{k}/COPYING", "Some project\n\n" + wrap(t.split("\n", 3)[3], 60), k) for k, t in full.items()]
+    words = [(f"w/{k}.txt", "the of and to in this is for that with by or any not under you may be", None) for k in range(60)]
+    df = spark.createDataFrame([(p, t) for p, t, _ in files + words], "path string, text string")
+    got = {r.path: r.own for r in licenses.scan(df).collect()}
+    assert got == {p: want for p, _, want in files + words}
+
+
+def test_windows_equal_brute_force():
+    import random
+    rng = random.Random(5)
+    match = licenses.Matcher({"the": 900, "under": 500, "licensed": 10, "license": 60}, 1000, 0.7)
+    pool = [n for _, n in (*licenses.NOTICES, *licenses.HEADERS)]
+    for _ in range(40):
+        words = licenses.terms(" ".join(rng.choice(pool) if rng.random() < 0.3 else rng.choice(["license the", "free software", "other"]) for _ in range(12)))
+        near = match.near(match.vocabulary.intersection(words))
+        for templates, sizes in ((match.notices, match.notice_size), (match.inside, match.inside_size)):
+            found = {k: c for c, _, k, _ in match.windows(words, near, templates, sizes)}
+            for k, ((_, template), size) in enumerate(zip(templates, sizes)):
+                best = max(match.cosine(words[s:s + size], template) for s in range(max(1, len(words) - size + 1)))
+                assert abs(found.get(k, 0.0) - (best if best >= 0.7 else 0.0)) < 1e-9
+
+
 def brute_targets(size, share=1.5, most=2.0):
     order = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
