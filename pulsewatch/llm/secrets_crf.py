@@ -3,8 +3,8 @@
 Tokens are tagged secret-begin, inside or outside from their shape, the
 neighbouring tokens and features of the file, decoded by Viterbi.  The field
 learns from weak labels: the spans of the exact patterns in a bounded sample
-of documents (``max_docs``, chosen by a hash of the text), cut to windows
-around secrets and around other tokens with digits.
+of distinct texts (``max_docs``, chosen by a hash of the text), cut to distinct
+windows around secrets and around other tokens with digits.
 
 Decoding covers every token of every whole text.  A token whose outside score
 beats both other tags by more than any change of the transitions could win
@@ -254,15 +254,18 @@ class Tagger:
 
 
 def train(docs: DataFrame, text_col: str = "text", max_docs: int = 10_000, max_windows: int = 3_000) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Weights learned from at most about ``max_docs`` documents and
-    ``max_windows`` windows of them, half of these with a secret if there are
-    that many.  Without any window: no weights, so nothing is tagged."""
+    """Weights learned from at most about ``max_docs`` distinct texts and
+    ``max_windows`` distinct windows of them, half of these with a secret if
+    there are that many: copies change nothing.  Without any window: no
+    weights, so nothing is tagged."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(whole_text(text_col).alias("text"))
-    total = texts.count()
+    # counted by hash, so that only the texts of the sample are shuffled
+    total = texts.select(F.xxhash64("text")).distinct().count()
     if total > max_docs:
         texts = texts.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) < int((1 << 20) * max_docs / total))
+    texts = texts.distinct()
 
     def cut(batches: Iterator[pd.DataFrame]):
         claim("secrets", neighbour.cache_clear)
@@ -272,7 +275,7 @@ def train(docs: DataFrame, text_col: str = "text", max_docs: int = 10_000, max_w
                                 "feats": ["\n".join("\t".join(x) for x in feats) for feats, _ in rows],
                                 "tags": ["".join(map(str, tags)) for _, tags in rows]})
 
-    windows = texts.mapInPandas(cut, "secret boolean, feats string, tags string")
+    windows = texts.mapInPandas(cut, "secret boolean, feats string, tags string").distinct()
     # a bounded pick per class: the smallest hashes
     picked = staged(windows.withColumn("pick", F.xxhash64("feats", "tags")), "crf-windows")
     half = max_windows // 2

@@ -90,6 +90,20 @@ def test_field_learns_and_viterbi_is_exact(spark):
     assert tuple(tagger.viterbi(score, False, False)) == best
 
 
+def test_copies_do_not_change_the_field(spark):
+    import numpy as np
+    rng = random.Random(11)
+    words = ["alpha", "beta=", "token", "\"q\"", "17", "x9", "(", "name:", "Z", "10.0.0.1"]
+    some = [(k, " ".join([*rng.choices(words, k=rng.randrange(4, 20)), "password=" + "".join(rng.choices("abcdef0123456789XY", k=rng.randrange(8, 40))),
+                          *rng.choices(words, k=rng.randrange(4, 20))])) for k in range(150)]
+    for hot in (some[0][1], some[1][1], some[2][1]):
+        copies = [(1000 + k, hot) for k in range(200)]
+        for bounds in ({"max_docs": 50, "max_windows": 40}, {"max_docs": 1000, "max_windows": 40}):
+            one, two = secrets_crf.train(docs(spark, some), **bounds), secrets_crf.train(docs(spark, some + copies), **bounds)
+            assert one[0].keys() == two[0].keys() and all((one[0][f] == two[0][f]).all() for f in one[0])
+            assert (one[1] == two[1]).all() and not np.allclose(one[1], 0)
+
+
 def test_mask(spark):
     rows = docs(spark, [(1, "a password=12345678x b"), (2, None), (3, "clean")])
     found = secrets_crf.find_secrets(rows, model=({}, __import__("numpy").zeros((3, 3))), out_col="s")
