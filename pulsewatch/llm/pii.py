@@ -4,9 +4,10 @@ expressions only.
 The exact matches are seeds.  The two words before a seed are a lexical
 pattern; other identifier-like tokens (with a digit, outside the seeds) are
 candidates.  On the graph of patterns and instances Spark scores a few rounds:
-a pattern by the mean score of its distinct instances, a candidate by the mean
-of its patterns, seeds staying at one.  Candidates of patterns that end with
-high confidence and enough seeds become spans of the pattern's kind.
+a pattern by the mean score of its distinct instances, a candidate by its best
+pattern, seeds staying at one.  Candidates of patterns that end with high
+confidence and enough seeds are accepted as the pattern's kind; they are seeds
+of the next rounds, until no more are accepted, and become spans.
 """
 
 from __future__ import annotations
@@ -94,34 +95,48 @@ def with_contexts(df: DataFrame, text: str = "text") -> DataFrame:
         f"transform({free}, s -> {shape.format(kind='cast(null as string)')}))")).drop("_candidates")
 
 
-def bootstrap(mentions: DataFrame, rounds: int = 3, confidence: float = 0.8, seeds: int = 3) -> DataFrame:
+def bootstrap(mentions: DataFrame, rounds: int = 3, confidence: float = 0.8, seeds: int = 3, epochs: int = 100) -> DataFrame:
     """(pattern, found, kind) of the candidates accepted, from rows (pattern,
-    found, kind), kind null for candidates.  A pattern is accepted with at
-    least ``seeds`` distinct seeds of one kind and ``confidence`` in it, a
-    candidate when its own score reaches ``confidence`` too.  Rows without a
-    pattern take no part."""
+    found, kind), kind null for candidates.  A pattern accepts its candidates
+    with at least ``seeds`` distinct seeds of one kind and ``confidence`` in it
+    after ``rounds`` of scores; its other contexts take nothing from a candidate.
+    The accepted are seeds of the next epoch.  More seeds never lower a score,
+    so this settles; an error if not within ``epochs``.  Rows without a pattern
+    take no part."""
     edges = staged(mentions.where("pattern IS NOT NULL").groupBy("pattern", "found").agg(
         *[F.max((F.col("kind") == k).cast("double")).alias(k) for k in KINDS]).na.fill(0.0, list(KINDS)), "pii-graph")
-    scored = edges.withColumn("seed", F.greatest(*KINDS) > 0)
-    own = scored.where("seed").select("found").distinct().withColumn("known", F.lit(True))
+    own = edges.where(F.greatest(*KINDS) > 0).select("found").distinct().withColumn("known", F.lit(True))
     # a text that is a seed anywhere is no candidate elsewhere
-    scored = staged(scored.join(own, "found", "left").withColumn("candidate", F.col("known").isNull()).drop("known"), "pii-scores")
-    for r in range(rounds):
-        patterns = scored.groupBy("pattern").agg(
-            *[F.avg(k).alias(f"p_{k}") for k in KINDS], *[F.sum((F.col("seed") & (F.col(k) > 0)).cast("int")).alias(f"n_{k}") for k in KINDS])
-        joined = scored.join(patterns, "pattern")
-        mean = joined.where("candidate").groupBy("found").agg(*[F.avg(f"p_{k}").alias(f"m_{k}") for k in KINDS])
-        scored = staged(joined.join(mean, "found", "left").select(
-            "pattern", "found", "seed", "candidate",
-            *[F.when(F.col("candidate"), F.col(f"m_{k}")).otherwise(F.col(k)).alias(k) for k in KINDS],
-            *[F.col(f"n_{k}") for k in KINDS], *[F.col(f"p_{k}") for k in KINDS]), "pii-scores")
-        if r + 1 < rounds:
-            scored = scored.drop(*[f"{a}_{k}" for a in "np" for k in KINDS])
-    best = F.greatest(*[F.struct(F.col(k).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("kind"),
-                                 F.col(f"n_{k}").alias("n"), F.col(f"p_{k}").alias("p")) for i, k in enumerate(KINDS)])
-    return scored.where("candidate").withColumn("best", best) \
-        .where((F.col("best.score") >= confidence) & (F.col("best.p") >= confidence) & (F.col("best.n") >= seeds)) \
-        .select("pattern", "found", F.col("best.kind").alias("kind"))
+    edges = staged(edges.join(own, "found", "left").withColumn("candidate", F.col("known").isNull()).drop("known"), "pii-scores")
+    settled, known = 0, None
+    for _ in range(epochs):
+        # s_: the seeds' scores, which stay
+        scored = edges.select("pattern", "found", "candidate", *[F.col(k).alias(f"s_{k}") for k in KINDS], *KINDS)
+        if known is not None:
+            one = known.groupBy("found").agg(*[F.max((F.col("kind") == k).cast("double")).alias(f"a_{k}") for k in KINDS])
+            now = {k: F.greatest(F.col(k), F.coalesce(f"a_{k}", F.lit(0.0))) for k in KINDS}
+            scored = edges.join(one, "found", "left").select(
+                "pattern", "found", "candidate", *[c.alias(f"s_{k}") for k, c in now.items()], *[c.alias(k) for k, c in now.items()])
+        for r in range(rounds):
+            patterns = scored.groupBy("pattern").agg(
+                *[F.avg(k).alias(f"p_{k}") for k in KINDS], *[F.sum((F.col(f"s_{k}") > 0).cast("int")).alias(f"n_{k}") for k in KINDS])
+            joined = scored.join(patterns, "pattern")
+            if r + 1 < rounds:
+                best = joined.where("candidate").groupBy("found").agg(*[F.max(f"p_{k}").alias(f"m_{k}") for k in KINDS])
+                scored = staged(joined.join(best, "found", "left").select(
+                    "pattern", "found", "candidate", *[F.col(f"s_{k}") for k in KINDS],
+                    *[F.greatest(f"s_{k}", F.coalesce(f"m_{k}", F.lit(0.0))).alias(k) for k in KINDS]), "pii-scores")
+        kinds = F.array(*[F.struct(F.col(f"p_{k}").alias("p"), F.col(f"n_{k}").alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("kind"))
+                          for i, k in enumerate(KINDS)])
+        accepted = staged(joined.where("candidate").select("pattern", "found", F.explode(
+            F.filter(kinds, lambda c: (c["p"] >= confidence) & (c["n"] >= seeds))).alias("c")).select("pattern", "found", "c.*"), "pii-accepted")
+        known = accepted.select("found", "kind").distinct()
+        count = known.count()
+        if count == settled:
+            return accepted.groupBy("pattern", "found").agg(F.max(F.struct("p", "order", "kind")).alias("best")) \
+                .select("pattern", "found", F.col("best.kind").alias("kind"))
+        settled = count
+    raise RuntimeError(f"accepted identifiers did not settle in {epochs} epochs")
 
 
 def find_personal_data(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

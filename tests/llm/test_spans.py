@@ -62,6 +62,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[51] == [] and all(len(got[k]) == 1 for k in range(5))
 
 
+def test_identifiers_with_contexts_of_their_own_and_over_two_hops(spark):
+    import pytest
+    seeds = [("customer mailbox", f"u{k}@x.example", "email") for k in range(30)]
+    ids = [("customer mailbox", f"id{k}", None) for k in range(4)]
+    alone = [(f"only here{k}", "id0", None) for k in range(5)] + [("ticket number", "id0", None)]
+    others = [("ticket number", f"t{k}", None) for k in range(9)]
+    hop = [("second list", f"id{k}", None) for k in range(4)] + [("second list", "far1", None), ("third list", "far1", None)]
+    rows = spark.createDataFrame(seeds + ids + alone + others + hop, "pattern string, found string, kind string")
+    got = {tuple(r) for r in pii.bootstrap(rows).collect()}
+    assert got == {("customer mailbox", f"id{k}", "email") for k in range(4)} | {("second list", f"id{k}", "email") for k in range(4)} \
+        | {("second list", "far1", "email")}
+    with pytest.raises(RuntimeError):
+        pii.bootstrap(rows, epochs=1)
+
+
 def test_secrets_equal_brute_force(spark):
     parts = ["password", "=", ":", " ", "\"", "'", "API_KEY", "token", "abcdef0123456789" * 2, "AKIA", "ABCDEFGH1234", "x", "ſecret", "é", "deadbeef"]
     texts = TEXTS + fuzz(parts, 1500, 9)
