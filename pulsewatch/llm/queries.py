@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import ann, bpe, licenses, mixing, pii, secrets_crf, simhash, spotsigs, token_count, toxicity
+from . import ann, bpe, licenses, mixing, phrases, pii, secrets_crf, simhash, spotsigs, token_count, toxicity
 from .common import documents, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,34 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.floor(F.col("doc_id") / 100).cast("string"), name)
     return licenses.scan(docs.withColumn("path", path), keep=("doc_id",)) \
         .select("doc_id", "path", "own", "own_score", "licence", "inherited_from")
+
+
+@query("op13_phrases", sql="""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                  '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS o(k)) GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS p FROM g WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, cut,
+         (1000000 * c.f::HUGEINT * c.f::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:cut], ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(p[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, array_to_string(p[1:2], ' ') AS phrase, f FROM c WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(p[2:3], ' '), f FROM c WHERE k = 3) GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * a),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest collocations of every language."""
+    return phrases.collocations(documents(spark, sf_dir))
