@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import ann, bpe, licenses, mixing, phrases, pii, secrets_crf, simhash, spotsigs, token_count, toxicity
+from . import ann, bpe, licenses, mixing, phrases, pii, prefix_trie, secrets_crf, simhash, spotsigs, token_count, toxicity
 from .common import documents, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,40 @@ SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranke
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 strongest collocations of every language."""
     return phrases.collocations(documents(spark, sf_dir))
+
+
+@query("op12_prefix_trie", sql="""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+             lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+kept AS (SELECT i.conv_id, i.h, count(b.pos) AS m FROM ids i LEFT JOIN t b ON b.conv_id = i.base AND b.pos <= i.h GROUP BY ALL),
+turns AS (
+  SELECT i.conv_id, t.pos, t.role, t.text FROM ids i JOIN t ON t.conv_id = i.base AND t.pos <= i.h
+  UNION ALL SELECT k.conv_id, t.pos - k.h + k.m, t.role, t.text FROM kept k JOIN t ON t.conv_id = k.conv_id AND t.pos > k.h),
+convs AS (
+  SELECT i.conv_id, coalesce(list({'r': role, 't': text} ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS seq
+  FROM ids i LEFT JOIN turns t USING (conv_id) GROUP BY ALL),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM (SELECT conv_id, depth, seq[1:depth] AS path, len(seq) = depth AS ends FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS depth FROM convs))
+  GROUP BY depth, path),
+up AS (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.path[1:n.depth] = n.path) AS n_children,
+         CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * strlen(n.path[n.depth].t) END AS saved
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1])
+SELECT v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, CAST(sum((u.n_children = 0)::INT) AS BIGINT) AS n_leaves,
+       CAST(sum(u.saved) AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM up v JOIN up u ON u.depth >= v.depth AND u.path[1:v.depth] = v.path
+GROUP BY v.conv_id, v.depth, v.parent_conv_id, v.n_convs, v.n_children, v.ends_sha256
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, with shared starts."""
+    turns = prefix_trie.positions(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.shared_starts(turns))
