@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import ann, bpe, licenses, mixing, phrases, pii, prefix_trie, secrets_crf, simhash, spotsigs, token_count, toxicity
+from . import ann, bpe, licenses, mixing, phrases, pii, prefix_trie, quality, secrets_crf, simhash, spotsigs, token_count, toxicity
 from .common import documents, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prefix trie of all conversations, with shared starts."""
     turns = prefix_trie.positions(table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(prefix_trie.shared_starts(turns))
+
+
+@query("op11_quality")
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; neither labels nor texts of the held-out fifth are learnt from."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
