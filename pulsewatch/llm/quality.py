@@ -203,7 +203,7 @@ def train(docs: DataFrame, positive_ids: DataFrame, id_col: str = "doc_id", text
         bins = Bins(x[good], x[plain])
         at = bins(x)
         size = int(bins.starts[-1]) + 1
-        prior = estimate_prior(at[good], at[plain], size, steps // 8, 1e-3)
+        prior = estimate_prior(at[good], at[plain], size, steps // 8, 1e-2)
         w = fit(at[good], at[plain], prior, size, steps)
         return pd.DataFrame({"prior": [prior], "edges": [[e.tolist() for e in bins.edges]], "starts": [bins.starts.tolist()], "w": [w.tolist()]})
 
