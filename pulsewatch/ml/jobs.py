@@ -1,8 +1,11 @@
 """Training and scoring jobs over a model store.
 
-A store is a folder: ``<module>/...`` holds the module's artifacts and a
-one-row JSON meta table.  Artifacts are read on every call, so a reload is
-simply the next load.
+A store is a folder.  ``<module>/versions/<version>/`` holds the artifacts of
+one training and, written last, a one-row JSON meta table; it never changes
+afterwards.  ``<module>/active`` is a log of activations, one appended row each;
+the newest row names the version that scorers read, so no reader sees a
+half-written model and an older version can be made active again.  Everything is
+read on every call, so a reload is simply the next load.
 """
 
 from __future__ import annotations
@@ -11,7 +14,6 @@ import datetime as dt
 import json
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from ..operators import features as FE
 from ..operators import maintain as MT
 from ..operators import quality as QY
 from ..sources import io as IO
+from . import boost as BO
 from . import evaluate as EV
 from . import heuristics as H
 from . import iforest as IF
@@ -32,32 +35,79 @@ MODULES = ("traffic", "failure", "anomaly", "alerts")
 
 # ---- A12 store --------------------------------------------------------------------------------
 
-def save_meta(spark: SparkSession, store: str, module: str, algorithm: str, training_rows: int, metrics: dict,
+def version_path(store: str, module: str, version: str) -> str:
+    return f"{store}/{module}/versions/{version}"
+
+
+def new_version(spark: SparkSession, store: str, module: str) -> str:
+    """A version name that the module does not have yet."""
+    base = name = IO.model_version()
+    n = 1
+    while IO.table_exists(spark, version_path(store, module, name)):
+        n += 1
+        name = f"{base}-{n}"
+    return name
+
+
+def save_meta(spark: SparkSession, store: str, module: str, version: str, algorithm: str, training_rows: int, metrics: dict,
               hyperparameters: dict) -> dict:
-    meta = {"module": module, "model_version": IO.model_version(), "algorithm": algorithm,
+    """Complete a version: its meta is written after all artifacts, then it becomes the active one."""
+    meta = {"module": module, "model_version": version, "algorithm": algorithm,
             "feature_columns": list(S.ALERT_FEATURES) if module == "alerts" else ML.FEATURES, "training_rows": int(training_rows),
             "metrics": metrics, "hyperparameters": hyperparameters, "trained_at": dt.datetime.now(dt.timezone.utc).isoformat()}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{store}/{module}/meta")
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("errorifexists").text(f"{version_path(store, module, version)}/meta")
+    activate(spark, store, module, version)
     return meta
 
 
-def load_meta(spark: SparkSession, store: str, module: str) -> dict | None:
-    """A module's meta, or None when it was never trained (callers fall back to heuristics)."""
-    if not IO.table_exists(spark, f"{store}/{module}/meta"):
+def activate(spark: SparkSession, store: str, module: str, version: str) -> None:
+    """Make a complete version the one that scorers read (also to roll back)."""
+    if not IO.table_exists(spark, f"{version_path(store, module, version)}/meta"):
+        raise ValueError(f"{module}: no complete version {version!r}")
+    log = activations(spark, store, module)
+    n = (log.agg(F.max("n")).first()[0] or 0) + 1 if log is not None else 1
+    spark.createDataFrame([(n, version)], ACTIVATIONS).coalesce(1).write.mode("append").json(f"{store}/{module}/active")
+
+
+ACTIVATIONS = "n long, model_version string"
+
+
+def activations(spark: SparkSession, store: str, module: str) -> DataFrame | None:
+    """(n, model_version): the module's activations, oldest first by n."""
+    path = f"{store}/{module}/active"
+    return spark.read.schema(ACTIVATIONS).json(path) if IO.table_exists(spark, path) else None
+
+
+def active_version(spark: SparkSession, store: str, module: str) -> str | None:
+    """The version activated last, or None when the module was never trained."""
+    log = activations(spark, store, module)
+    return log.agg(F.max_by("model_version", "n")).first()[0] if log is not None else None
+
+
+def load_meta(spark: SparkSession, store: str, module: str, version: str | None = None) -> dict | None:
+    """Meta of a version (default the active one), or None when the module was
+    never trained (callers fall back to heuristics)."""
+    version = version or active_version(spark, store, module)
+    if version is None:
         return None
-    return json.loads(spark.read.text(f"{store}/{module}/meta").first()["value"])
+    return json.loads(spark.read.text(f"{version_path(store, module, version)}/meta").first()["value"])
+
+
+def save_model(model, store: str, module: str, version: str, name: str = "model") -> None:
+    path = f"{version_path(store, module, version)}/{name}"
+    model.save(path) if isinstance(model, BO.Boosted) else model.write().save(path)
 
 
-def save_model(model: PipelineModel, store: str, module: str, name: str = "model") -> None:
-    model.write().overwrite().save(f"{store}/{module}/{name}")
+def load_model(store: str, module: str, version: str, name: str = "model"):
+    path = f"{version_path(store, module, version)}/{name}"
+    return BO.Boosted.load(path) if module in BOOSTED else PipelineModel.load(path)
 
 
-def load_model(store: str, module: str, name: str = "model") -> PipelineModel:
-    return PipelineModel.load(f"{store}/{module}/{name}")
+BOOSTED = ("traffic", "failure")
 
 
 def list_models(spark: SparkSession, store: str) -> DataFrame:
-    """(module, model_version, algorithm, training_rows) of the stored models."""
+    """(module, model_version, algorithm, training_rows) of the active models."""
     rows = [(m["module"], m["model_version"], m["algorithm"], m["training_rows"]) for m in
             (load_meta(spark, store, x) for x in MODULES) if m]
     return spark.createDataFrame(rows, "module string, model_version string, algorithm string, training_rows int")
@@ -73,47 +123,47 @@ def run_row(spark: SparkSession, meta: dict, artifact_path: str) -> DataFrame:
 
 # ---- K23 training -----------------------------------------------------------------------------
 
-def _train_traffic(spark, store, features, context, **params) -> dict:
+def _train_traffic(spark, store, version, features, context, **params) -> dict:
     horizons = context["horizons"]
     complete = QY.drop_incomplete(FE.horizon_targets(features, horizons), ML.FEATURES + [f"target_{h}" for h in horizons])
     rows = _guarded(complete, "traffic")
-    models, report = ML.train_traffic(features, horizons=horizons, **params)
-    for h, model in models.items():
-        save_model(model, store, "traffic", f"h_{h}")
-    metrics = {f"{k}_h{r['horizon']}": float(r[k]) for r in report.collect() for k in ("n", "rmse", "mape") if r[k] is not None}
-    return save_meta(spark, store, "traffic", "GBTRegressor per horizon", rows, metrics, {"horizons": list(horizons), **params})
+    model, report = ML.train_traffic(features, horizons=horizons, **params)
+    save_model(model, store, "traffic", version)
+    metrics = {f"{k}_h{r['horizon']}": float(r[k]) for r in report.collect() for k in ("n", "rmse", "mape", "train_mean") if r[k] is not None}
+    return save_meta(spark, store, "traffic", version, "HistogramBoosting per horizon", rows, metrics, {"horizons": list(horizons), **params})
 
 
-def _train_failure(spark, store, features, context, **params) -> dict:
+def _train_failure(spark, store, version, features, context, **params) -> dict:
     rows = _guarded(QY.drop_incomplete(FE.failure_labels(features), ML.FEATURES), "failure")
     model, sweep, report = ML.train_failure(features, **params)
-    save_model(model, store, "failure")
+    save_model(model, store, "failure", version)
     metrics = {k: float(v) for k, v in report.first().asDict().items() if v is not None}
     threshold = float(EV.best_threshold(sweep).first()["threshold"])
-    return save_meta(spark, store, "failure", "GBTClassifier", rows, metrics, {"decision_threshold": threshold, **params})
+    return save_meta(spark, store, "failure", version, "HistogramBoosting", rows, metrics, {"decision_threshold": threshold, **params})
 
 
-def _train_anomaly(spark, store, features, context, **params) -> dict:
+def _train_anomaly(spark, store, version, features, context, **params) -> dict:
     complete = QY.drop_incomplete(features, ML.FEATURES)
     rows = complete.count()
     if rows == 0:
         raise ValueError("anomaly: no complete feature rows to train on")
     scaler, forest, scored, sweep = ML.train_anomaly(features, labels=context["labels"], **params)
-    save_model(scaler, store, "anomaly", "scaler")
-    forest.write.mode("overwrite").parquet(f"{store}/anomaly/forest")
-    sweep.write.mode("overwrite").parquet(f"{store}/anomaly/sweep")
+    path = version_path(store, "anomaly", version)
+    save_model(scaler, store, "anomaly", version, "scaler")
+    forest.write.parquet(f"{path}/forest")
+    sweep.write.parquet(f"{path}/sweep")
     best = sweep.filter("is_best").first()
-    return save_meta(spark, store, "anomaly", "IsolationForest", rows, {"f1": float(best["f1"])},
+    return save_meta(spark, store, "anomaly", version, "IsolationForest", rows, {"f1": float(best["f1"])},
                      {"contamination": float(best["contamination"]), "cutoff": float(best["cutoff"]), **params})
 
 
-def _train_alerts(spark, store, features, context, **params) -> dict:
+def _train_alerts(spark, store, version, features, context, **params) -> dict:
     rows = _guarded(context["alerts"], "alerts")
     model, report = ML.train_priority(context["alerts"], **params)
-    save_model(model, store, "alerts")
-    report.write.mode("overwrite").parquet(f"{store}/alerts/report")
+    save_model(model, store, "alerts", version)
+    report.write.parquet(f"{version_path(store, 'alerts', version)}/report")
     macro = report.filter(F.col("cls") == "macro").first().asDict()
-    return save_meta(spark, store, "alerts", "RandomForestClassifier", rows,
+    return save_meta(spark, store, "alerts", version, "RandomForestClassifier", rows,
                      {k: float(macro[k]) for k in ("precision", "recall", "f1", "accuracy") if macro[k] is not None}, params)
 
 
@@ -148,7 +198,11 @@ def train(spark: SparkSession, metrics: DataFrame, store: str, modules=None, day
     features = FE.build_features(rows, lags=lags, rolling=rolling)
     alerts = AL.label_priority(AL.alert_frequency(AL.alert_candidates(rows, services)))
     context = {"horizons": horizons, "labels": labels, "alerts": alerts}
-    runs = [run_row(spark, TRAINERS[m](spark, store, features, context, **(params or {}).get(m, {})), f"{store}/{m}") for m in wanted]
+    runs = []
+    for m in wanted:
+        version = new_version(spark, store, m)
+        meta = TRAINERS[m](spark, store, version, features, context, **(params or {}).get(m, {}))
+        runs.append(run_row(spark, meta, version_path(store, m, version)))
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
@@ -185,21 +239,21 @@ def score(spark: SparkSession, module: str, metrics: DataFrame, store: str | Non
     ready = ready.withColumn("generated_at", F.col("window_start") + step)
     version = meta["model_version"]
     if module == "traffic":
-        out = None
-        for h in meta["hyperparameters"]["horizons"]:
-            scored = load_model(store, "traffic", f"h_{h}").transform(ready).withColumn("predicted_rpm", F.greatest(F.lit(0.0), F.col("prediction")))
+        out, model = None, load_model(store, "traffic", version)
+        for k, h in enumerate(meta["hyperparameters"]["horizons"]):
+            scored = model.transform(ready, k).withColumn("predicted_rpm", F.greatest(F.lit(0.0), F.col("prediction")))
             part = ML.prediction_rows(scored, "traffic", version, F.struct("service_id", F.lit(h).alias("horizon_minutes"), "predicted_rpm"), horizon=F.lit(h))
             out = part if out is None else out.unionByName(part)
         return _with_rest(out, rows)
     if module == "failure":
-        model, t = load_model(store, "failure"), float(meta["hyperparameters"]["decision_threshold"])
+        model, t = load_model(store, "failure", version), float(meta["hyperparameters"]["decision_threshold"])
         top = F.array(*[F.struct(F.lit(c["feature"]).alias("feature"), F.lit(c["contribution"]).alias("contribution"))
                         for c in ML.top_contributions(model)])           # K24
-        scored = model.transform(ready).withColumn("failure_probability", vector_to_array("probability")[1]) \
+        scored = model.transform(ready, out="failure_probability") \
             .withColumn("risk_level", X.risk_level(F.col("failure_probability"), F.lit(t))).withColumn("contributing_features", top)
         return _with_rest(ML.prediction_rows(scored, "failure", version, F.struct(
             "service_id", "failure_probability", "risk_level", F.lit(30).alias("horizon_minutes"), "contributing_features"), horizon=F.lit(30)), rows)
-    scored = ML.score_anomaly(load_model(store, "anomaly", "scaler"), spark.read.parquet(f"{store}/anomaly/forest"),
+    scored = ML.score_anomaly(load_model(store, "anomaly", version, "scaler"), spark.read.parquet(f"{version_path(store, 'anomaly', version)}/forest"),
                               ready, meta["hyperparameters"]["cutoff"]).join(ready.select("service_id", "generated_at"), "service_id")
     return _with_rest(ML.prediction_rows(scored, "anomaly", version, F.struct(
         "service_id", "anomaly_score", "is_anomaly", F.lit(meta["hyperparameters"]["contamination"]).alias("contamination"))), rows)
@@ -213,5 +267,5 @@ def _score_alerts(spark: SparkSession, contexts: DataFrame | None, store: str |
     value: Column = F.struct("service_id", "triggering_metric", "priority")
     if meta is None:
         return ML.prediction_rows(H.heuristic_priority(at), "alerts", S.HEURISTIC_MODEL_VERSION, value)
-    scored = ML.score_priority(load_model(store, "alerts"), at).withColumn("priority", F.col("predicted_priority"))
+    scored = ML.score_priority(load_model(store, "alerts", meta["model_version"]), at).withColumn("priority", F.col("predicted_priority"))
     return ML.prediction_rows(scored, "alerts", meta["model_version"], value, confidence=F.round("confidence", 4))

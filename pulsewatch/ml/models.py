@@ -1,10 +1,9 @@
 """Model training and scoring with MLlib.
 
-Every model is a ``Pipeline`` (assembler -> scaler -> estimator) fitted on
-the chronological train split and evaluated on the test split with the
-aggregate reports of ``ml.evaluate``.  Tree counts, depths and rates default
-to the product's.  MLlib boosting runs one job per tree level, so a fit of
-hundreds of trees takes minutes whatever the size of the data.
+Models are fitted on the chronological train split and evaluated on the test
+split with the aggregate reports of ``ml.evaluate``.  Tree counts, depths and
+rates default to the product's.  Boosting is ``ml.boost`` (histograms in barrier
+stages); the priority forest and the scalers are MLlib's.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,25 +21,19 @@ from .. import schemas as S
 from ..operators import features as FE
 from ..session import cut_lineage
 from ..operators import quality as QY
+from . import boost as BO
 from . import evaluate as EV
 from . import iforest as IF
 
 FEATURES = list(S.FEATURE_COLUMNS)
 
 
-def _scaled(cols: list[str]) -> list:
-    """K2: assemble then standardise (mean 0, std 1) -- fitted on train only."""
-    return [VectorAssembler(inputCols=cols, outputCol="_raw", handleInvalid="keep"),
-            StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True)]
-
-
 ROWS_PER_PARTITION = 50_000
 
 
 def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """G9 chronological split, materialised: (train, test, train rows).  The
-    partitions follow the rows: boosting starts a job per tree level, which on
-    small tables is all scheduling."""
+    partitions follow the rows, so that small tables are not all scheduling."""
     whole = cut_lineage(df)
     parts = max(1, -(-whole.count() // ROWS_PER_PARTITION))
     train, test = FE.chrono_split(whole)
@@ -53,45 +45,34 @@ def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 # ---- K3 / K4 traffic ------------------------------------------------------------------
 
-def train_traffic(features: DataFrame, horizons=S.TRAFFIC_HORIZONS, max_iter: int = 300,
-                  max_depth: int = 6, step: float = 0.05, subsample: float = 0.8,
-                  seed: int = 42, parallelism: int = 4) -> tuple[dict[int, PipelineModel], DataFrame]:
-    """One boosted regressor per horizon; returns (models, per-horizon RMSE/MAPE on test)."""
-    df = FE.horizon_targets(features, horizons)
-    df = QY.drop_incomplete(df, FEATURES + [f"target_{h}" for h in horizons])
-    train, test, _ = split_rows(df)
+KEY = ["service_id", "window_start"]
 
-    def fit(h):
-        gbt = GBTRegressor(featuresCol="features", labelCol=f"target_{h}", maxIter=max_iter, maxDepth=max_depth,
-                           stepSize=step, subsamplingRate=subsample, featureSubsetStrategy="0.8", seed=seed)
-        return h, Pipeline(stages=_scaled(FEATURES) + [gbt]).fit(train)
-
-    # horizons are independent fits: submit them as concurrent Spark jobs
-    # (like MLlib's ``parallelism`` option) so small per-iteration stages
-    # share the cluster instead of running back to back
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(horizons)))) as pool:
-        models = dict(pool.map(fit, horizons))
-    reports = [EV.regression_report(models[h].transform(test), f"target_{h}", "prediction")
-               .withColumn("horizon", F.lit(h)) for h in horizons]
+
+def train_traffic(features: DataFrame, horizons=S.TRAFFIC_HORIZONS, max_iter: int = 300, max_depth: int = 6, step: float = 0.05,
+                  subsample: float = 0.8, colsample: float = 0.8, seed: int = 42) -> tuple[BO.Boosted, DataFrame]:
+    """One boosted regressor per horizon, grown side by side over the same
+    rows.  Returns (model whose targets are the horizons, per-horizon RMSE/MAPE
+    on test and the mean of the training targets, where boosting starts)."""
+    targets = [f"target_{h}" for h in horizons]
+    df = QY.drop_incomplete(FE.horizon_targets(features, horizons), FEATURES + targets)
+    train, test, _ = split_rows(df)
+    settings = BO.Settings(max_iter, max_depth, step, subsample, colsample, seed=seed)
+    model = BO.fit(train, FEATURES, targets, KEY, settings)
+    reports = [EV.regression_report(model.transform(test, k), t, "prediction").withColumn("horizon", F.lit(h)).withColumn("train_mean", F.lit(model.base[k]))
+               for k, (h, t) in enumerate(zip(horizons, targets))]
     rep = reports[0]
     for r in reports[1:]:
         rep = rep.unionByName(r)
-    return models, rep
+    return model, rep
 
 
 # ---- K5-K7 failure ----------------------------------------------------------------------
 
-def train_failure(features: DataFrame, max_iter: int = 800, max_depth: int = 8, step: float = 0.03,
-                  subsample: float = 0.85, seed: int = 42, run: int = S.FAILURE_RUN,
-                  lookahead: int = S.FAILURE_LOOKAHEAD, min_rows_leaf: int = 2, min_gain: float = 0.1
-                  ) -> tuple[PipelineModel, DataFrame, DataFrame]:
+def train_failure(features: DataFrame, max_iter: int = 800, max_depth: int = 8, step: float = 0.03, subsample: float = 0.85,
+                  colsample: float = 0.8, seed: int = 42, run: int = S.FAILURE_RUN, lookahead: int = S.FAILURE_LOOKAHEAD,
+                  min_child_weight: float = 2.0, gamma: float = 0.1) -> tuple[BO.Boosted, DataFrame, DataFrame]:
     """Boosted classifier with positive weight sqrt(neg/pos); threshold swept on
-    test by F1.5.  Returns (model, sweep, report).
-
-    ``min_rows_leaf`` stands for the product's least child weight;
-    ``min_gain`` is the least loss reduction of a split over all its rows, so
-    MLlib's gain per row gets it divided by the training rows."""
+    test by F1.5.  Returns (model, sweep, report)."""
     df = QY.drop_incomplete(FE.failure_labels(features, run, lookahead), FEATURES)
     train, test, _ = split_rows(df)
     counts = train.agg(F.sum("failure_target").alias("pos"), F.count(F.lit(1)).alias("n")).first()
@@ -99,12 +80,9 @@ def train_failure(features: DataFrame, max_iter: int = 800, max_depth: int = 8,
     neg = max(1, int(counts["n"]) - pos)
     w_pos = math.sqrt(neg / pos)
     train = train.withColumn("_w", F.when(F.col("failure_target") == 1, F.lit(w_pos)).otherwise(F.lit(1.0)))
-    gbt = GBTClassifier(featuresCol="features", labelCol="failure_target", weightCol="_w", maxIter=max_iter,
-                        maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
-                        minInstancesPerNode=min_rows_leaf, minInfoGain=min_gain / max(1, pos + neg),
-                        featureSubsetStrategy="0.8", seed=seed)
-    model = Pipeline(stages=_scaled(FEATURES) + [gbt]).fit(train)
-    scored = model.transform(test).withColumn("p", vector_to_array("probability")[1])
+    settings = BO.Settings(max_iter, max_depth, step, subsample, colsample, min_child_weight, gamma, logistic=True, seed=seed)
+    model = BO.fit(train, FEATURES, ["failure_target"], KEY, settings, weight="_w")
+    scored = cut_lineage(model.transform(test, out="p"))
     sweep = EV.threshold_sweep(scored, "failure_target", "p")
     best = EV.best_threshold(sweep).select(F.col("threshold").alias("_t"))
     pred = scored.crossJoin(F.broadcast(best)).withColumn("yhat", (F.col("p") >= F.col("_t")).cast("int"))
@@ -113,11 +91,10 @@ def train_failure(features: DataFrame, max_iter: int = 800, max_depth: int = 8,
     return model, sweep, report
 
 
-def top_contributions(model: PipelineModel, k: int = 5) -> list[dict]:
-    """The k largest feature importances of a fitted tree model (a
-    model attribute of 15 numbers, not data)."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    pairs = sorted(zip(FEATURES, imp), key=lambda x: -x[1])[:k]
+def top_contributions(model: BO.Boosted, k: int = 5) -> list[dict]:
+    """The k largest feature importances of a boosted model (15
+    numbers of the model, not data)."""
+    pairs = sorted(zip(model.features, model.importances()), key=lambda x: -x[1])[:k]
     return [{"feature": f, "contribution": float(v)} for f, v in pairs]
 
 
@@ -136,7 +113,7 @@ def fit_anomaly(features: DataFrame, n_trees: int = 200, max_samples: int = 256
     """K2 + K8: scaler fitted on the complete feature rows, then the forest on
     the standardised rows.  Returns (scaler, forest node table, standardised rows)."""
     df = QY.drop_incomplete(features, FEATURES)
-    scaler = Pipeline(stages=_scaled(FEATURES)).fit(df)
+    scaler = BO.scaler_for(FEATURES).fit(df)
     z = cut_lineage(_standardised(scaler, df))
     forest = IF.fit(z, ZCOLS, ["service_id", "window_start"], n_trees=n_trees, max_samples=max_samples)
     return scaler, forest, z
@@ -281,14 +258,14 @@ def score_priority(model: PipelineModel, contexts: DataFrame) -> DataFrame:
         .drop("label", "features", "rawPrediction", "probability", "prediction")
 
 
-def score_traffic(models: dict, features: DataFrame, horizon: int, min_rows: int = S.FEATURE_MIN_ROWS
+def score_traffic(model: BO.Boosted, features: DataFrame, horizon: int, min_rows: int = S.FEATURE_MIN_ROWS
                   ) -> DataFrame:
     """K3/K19 inference: the horizon's model scores each service's latest
     complete feature row (G8), floored at 0.  Services without one, or a
     horizon without a model, are left out; ``views.traffic_tile`` then falls
     back to the naive forecast for them."""
-    if horizon not in models:
+    if f"target_{horizon}" not in model.targets:
         return features.sparkSession.createDataFrame([], "service_id string, predicted_rpm double")
     ready, _ = FE.latest_features(features, min_rows=min_rows)
-    return models[horizon].transform(ready).select(
+    return model.transform(ready, model.targets.index(f"target_{horizon}")).select(
         "service_id", F.greatest(F.lit(0.0), F.col("prediction")).alias("predicted_rpm"))

@@ -61,17 +61,19 @@ COMPLETE = " AND ".join(f"f.{c} IS NOT NULL" for c in S.FEATURE_COLUMNS)
 {Q.with_metrics(SIZE)}, {FEATURES_SQL},
 tgt AS (SELECT service_id, window_start, {", ".join(f"lead(CAST(rpm AS DOUBLE), {h}) OVER w AS target_{h}" for h in HORIZONS)}
         FROM metrics WINDOW w AS (PARTITION BY service_id ORDER BY window_start)),
-usable AS (SELECT f.window_start FROM feat f JOIN tgt t ON f.service_id = t.service_id AND f.window_start = t.window_start
+usable AS (SELECT f.window_start, {', '.join(f't.target_{h}' for h in HORIZONS)} FROM feat f JOIN tgt t ON f.service_id = t.service_id AND f.window_start = t.window_start
            WHERE {COMPLETE} AND {" AND ".join(f"t.target_{h} IS NOT NULL" for h in HORIZONS)}),
 {cut_sql("usable")}
-SELECT horizon, (SELECT count(*) FROM usable, cut WHERE window_start >= cut_at) AS test_rows,
-       (SELECT count(*) FROM usable, cut WHERE window_start < cut_at) AS training_rows, true AS scored
-FROM (VALUES {", ".join(f"({h})" for h in HORIZONS)}) AS t(horizon)""")
+{" UNION ALL ".join(f"""
+SELECT {h} AS horizon, count(*) FILTER (WHERE window_start >= cut_at) AS test_rows, count(*) FILTER (WHERE window_start < cut_at) AS training_rows,
+       round(avg(target_{h}) FILTER (WHERE window_start < cut_at), 6) AS train_mean FROM usable, cut""" for h in HORIZONS)}""")
 def traffic_gbt(spark, sf_dir):
-    """A boosted regressor per horizon (300 trees, depth 6), each saved with its test errors."""
+    """A boosted regressor per horizon (300 trees, depth 6), stored
+    with its test errors; rows per split and the mean each one starts from."""
     meta = MJ.load_meta(spark, trained(spark, sf_dir, "traffic"), "traffic")
-    rows = [(h, int(meta["metrics"].get(f"n_h{h}", 0)), meta["training_rows"], meta["metrics"].get(f"rmse_h{h}", -1.0) >= 0) for h in HORIZONS]
-    return spark.createDataFrame(rows, "horizon int, test_rows long, training_rows long, scored boolean")
+    got = meta["metrics"]
+    rows = [(h, int(got[f"n_h{h}"]), meta["training_rows"], round(got[f"train_mean_h{h}"], 6)) for h in HORIZONS]
+    return spark.createDataFrame(rows, "horizon int, test_rows long, training_rows long, train_mean double")
 
 
 @plan("failure_gbt", sql=f"""
@@ -99,41 +101,87 @@ def failure_gbt(spark, sf_dir):
 {Q.with_metrics(SIZE)}, {FEATURES_SQL}, {_episodes_sql('hour')},
 usable AS (SELECT f.service_id, am.mult IS NOT NULL AS y FROM feat f
            LEFT JOIN am ON f.service_id = am.service_id AND f.window_start = am.window_start WHERE {COMPLETE})
-SELECT contamination, (SELECT count(*) FROM usable WHERE y) AS positives, true AS flags_its_share
+SELECT contamination, (SELECT count(*) FROM usable WHERE y) AS positives,
+       (SELECT count(*) - 1 - CAST(floor((1.0 - contamination) * (count(*) - 1)) AS BIGINT) FROM usable) AS flagged
 FROM (VALUES {", ".join(f"(CAST({c!r} AS DOUBLE))" for c in S.CONTAMINATION_GRID)}) AS t(contamination)""")
 def anomaly_iforest(spark, sf_dir):
     """Isolation forest (200 trees), contamination sweep against
-    episode labels; every cut-off flags at most its share of the rows (and
-    one), and one value is best."""
+    episode labels; each cut-off flags the rows above its quantile."""
     store = trained(spark, sf_dir, "anomaly")
-    n = MJ.load_meta(spark, store, "anomaly")["training_rows"]
-    sweep = spark.read.parquet(f"{store}/anomaly/sweep")
-    flagged = F.col("tp") + F.col("fp")
-    return sweep.select("contamination", (F.col("tp") + F.col("fn")).cast("long").alias("positives"),
-                        (flagged <= F.col("contamination") * n + 1).alias("flags_its_share"))
+    sweep = spark.read.parquet(f"{MJ.version_path(store, 'anomaly', MJ.active_version(spark, store, 'anomaly'))}/sweep")
+    return sweep.select("contamination", (F.col("tp") + F.col("fn")).cast("long").alias("positives"), (F.col("tp") + F.col("fp")).cast("long").alias("flagged"))
 
 
 @plan("priority_forest", sql=f"""
 {Q.with_metrics(SIZE)}, {Q.SERVICES}, {CANDIDATES_SQL}, {FREQ_SQL}, {LABEL_SQL}, {cut_sql("prio")},
 test AS (SELECT priority FROM prio, cut WHERE window_start >= cut_at)
-SELECT cls, (SELECT count(*) FROM test WHERE priority = cls) AS support, true AS in_range
+SELECT cls, (SELECT count(*) FROM test WHERE priority = cls) AS support, (SELECT count(*) FROM prio, cut WHERE window_start < cut_at) AS training_rows
 FROM (VALUES {", ".join(f"('{c}')" for c in S.LEVELS)}) AS t(cls)
-UNION ALL SELECT 'macro', (SELECT count(*) FROM test), true""")
+UNION ALL SELECT 'macro', (SELECT count(*) FROM test), (SELECT count(*) FROM prio, cut WHERE window_start < cut_at)""")
 def priority_forest(spark, sf_dir):
     """Balanced random forest (200 trees, depth 12) over alert contexts; class support of its test report."""
-    report = spark.read.parquet(f"{trained(spark, sf_dir, 'alerts')}/alerts/report")
-    return report.select("cls", "support", F.col("f1").between(0, 1).alias("in_range"))
+    store = trained(spark, sf_dir, "alerts")
+    meta = MJ.load_meta(spark, store, "alerts")
+    report = spark.read.parquet(f"{MJ.version_path(store, 'alerts', meta['model_version'])}/report")
+    return report.select("cls", "support", F.lit(meta["training_rows"]).cast("long").alias("training_rows"))
 
 
 @plan("model_list", sql=f"""
-SELECT module, algorithm, true AS active FROM (VALUES ('traffic', 'GBTRegressor per horizon'), ('failure', 'GBTClassifier'),
+{Q.with_metrics(SIZE)}, {Q.SERVICES}, {FEATURES_SQL}, {CANDIDATES_SQL}, {FREQ_SQL}, {LABEL_SQL},
+tgt AS (SELECT service_id, window_start, {", ".join(f"lead(CAST(rpm AS DOUBLE), {h}) OVER w AS target_{h}" for h in HORIZONS)}
+        FROM metrics WINDOW w AS (PARTITION BY service_id ORDER BY window_start)),
+rows_of AS (
+  SELECT 'anomaly' AS module, f.window_start FROM feat f WHERE {COMPLETE}
+  UNION ALL SELECT 'failure', f.window_start FROM feat f WHERE {COMPLETE}
+  UNION ALL SELECT 'traffic', f.window_start FROM feat f JOIN tgt t ON f.service_id = t.service_id AND f.window_start = t.window_start
+    WHERE {COMPLETE} AND {" AND ".join(f"t.target_{h} IS NOT NULL" for h in HORIZONS)}
+  UNION ALL SELECT 'alerts', window_start FROM prio),
+per_ts AS (SELECT module, window_start, count(*) AS n FROM rows_of GROUP BY ALL),
+cum AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY module ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+               sum(n) OVER (PARTITION BY module) AS total FROM per_ts),
+cuts AS (SELECT module, min(window_start) AS cut_at FROM cum WHERE before + n > floor(total * 0.8) GROUP BY module)
+SELECT module, algorithm, (SELECT CAST(count(*) AS INTEGER) FROM rows_of r JOIN cuts c USING (module)
+                           WHERE r.module = t.module AND (r.module = 'anomaly' OR window_start < cut_at)) AS training_rows,
+       module || '-run' AS active_run
+FROM (VALUES ('traffic', 'HistogramBoosting per horizon'), ('failure', 'HistogramBoosting'),
   ('anomaly', 'IsolationForest'), ('alerts', 'RandomForestClassifier')) AS t(module, algorithm)
 WHERE (SELECT count(*) FROM events) > 0""")
 def model_list(spark, sf_dir):
-    """The stored models and their active run rows."""
+    """The active models with their training rows, each joined to its active run row."""
     store = trained(spark, sf_dir, *MJ.MODULES)
-    runs = spark.read.parquet(f"{store}/runs").select("module", "model_version", F.col("is_active").alias("active"))
-    return MJ.list_models(spark, store).join(runs, ["module", "model_version"]).select("module", "algorithm", "active")
+    runs = spark.read.parquet(f"{store}/runs").where("is_active").select("module", "model_version", F.concat("module", F.lit("-run")).alias("active_run"))
+    return MJ.list_models(spark, store).join(runs, ["module", "model_version"]).select("module", "algorithm", "training_rows", "active_run")
+
+
+@plan("model_rollback", sql=f"""
+{Q.with_metrics(SIZE)}, {FEATURES_SQL},
+ranked AS (SELECT f.*, count(*) OVER (PARTITION BY service_id) AS history_rows,
+                  row_number() OVER (PARTITION BY service_id ORDER BY window_start DESC) AS rn FROM feat f),
+ready AS (SELECT f.service_id FROM ranked f WHERE rn = 1 AND history_rows >= {MIN_ROWS} AND {COMPLETE}),
+svc AS (SELECT DISTINCT service_id FROM metrics)
+SELECT step, service_id, CASE WHEN service_id IN (SELECT service_id FROM ready) THEN used ELSE 0 END AS version_used
+FROM svc, (VALUES ('first trained', 1), ('second trained', 2), ('rolled back', 1)) AS t(step, used)""")
+def model_rollback(spark, sf_dir):
+    """Train the failure model twice, go back to the first version; which
+    version answers for each service at each step (0: the heuristic)."""
+    store = scratch_path(spark, f"models-{uuid.uuid4().hex}")
+    m, f = metrics_of(spark, sf_dir, SIZE), features(spark, sf_dir)
+    out, names = None, []
+
+    def answers(step):
+        rows = MJ.score(spark, "failure", m, store, f, SIZE, MIN_ROWS)
+        number = F.coalesce(*[F.when(F.col("model_version") == n, i) for i, n in enumerate(names, 1)], F.lit(0))
+        path = f"{store}/answers-{step.replace(' ', '-')}"
+        rows.select(F.lit(step).alias("step"), "service_id", number.cast("int").alias("version_used")).write.parquet(path)
+        return spark.read.parquet(path)
+
+    for step, trees in (("first trained", 20), ("second trained", 30)):
+        run = MJ.train(spark, m, store, modules=["failure"], days=None, window_size=SIZE, lags=LAGS, rolling=ROLLING, horizons=HORIZONS,
+                       params={"failure": {"max_iter": trees, "max_depth": 4}})
+        names.append(run.first()["model_version"])
+        out = answers(step) if out is None else out.unionByName(answers(step))
+    MJ.activate(spark, store, "failure", names[0])
+    return out.unionByName(answers("rolled back"))
 
 
 @plan("score_models", sql=f"""

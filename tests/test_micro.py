@@ -388,12 +388,12 @@ def test_repair_late_windows(spark, tmp_path):
 
 
 def test_score_dispatch_falls_back(spark, tmp_path):
-    from pulsewatch.ml import models as ML
+    from pulsewatch.ml import jobs as MJ
     m = metric_rows(spark, [("a", k, 2500, 0.01) for k in range(40)])
     f = FE.build_features(m, lags=(1, 2, 3), rolling=3)
-    rows = ML.score(spark, "failure", m, store=str(tmp_path / "empty"), features=f, min_rows=10).collect()
+    rows = MJ.score(spark, "failure", m, store=str(tmp_path / "empty"), features=f, min_rows=10).collect()
     assert len(rows) == 1 and rows[0].model_version == S.HEURISTIC_MODEL_VERSION
-    assert ML.score(spark, "health", m).count() == 1
+    assert MJ.score(spark, "health", m).count() == 1
 
 
 def test_fill_gaps_across_month_boundary(spark):

@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pulsewatch.ml import jobs as MJ
@@ -52,9 +51,8 @@ def test_train_store_and_score_every_module(spark, tmp_path):
     assert sorted(r.module for r in runs) == ["alerts", "anomaly", "failure", "traffic"] and all(r.is_active for r in runs)
     assert MJ.list_models(spark, store).count() == 4 and MJ.load_meta(spark, str(tmp_path / "none"), "failure") is None
     f, contexts = features(spark, SF_MED), AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED)))
-    model = MJ.load_model(store, "failure")
-    by_hand = {r.service_id: r.p for r in model.transform(FE.latest_features(f, min_rows=39)[0]).select(
-        "service_id", vector_to_array("probability")[1].alias("p")).collect()}
+    model = MJ.load_model(store, "failure", MJ.active_version(spark, store, "failure"))
+    by_hand = {r.service_id: r.p for r in model.transform(FE.latest_features(f, min_rows=39)[0], out="p").select("service_id", "p").collect()}
     for module, n in (("traffic", 4), ("failure", 1), ("anomaly", 1)):
         rows = MJ.score(spark, module, m, store, f, "1h", 39).collect()
         assert len(rows) == 5 * n and all(r.confidence is None and json.loads(r.value)["service_id"] == r.service_id for r in rows)
@@ -83,11 +81,11 @@ def test_traffic_model_feeds_tile(spark):
     from pulsewatch.operators import views as V
     from pulsewatch.plans.core import metrics_of
     f = features(spark, SF_MED)
-    models, rep = ML.train_traffic(f, horizons=(1, 24), max_iter=3, max_depth=3)
+    model, rep = ML.train_traffic(f, horizons=(1, 24), max_iter=3, max_depth=3)
     assert rep.count() == 2
-    fc = ML.score_traffic(models, f, 1, min_rows=39)
+    fc = ML.score_traffic(model, f, 1, min_rows=39)
     assert fc.count() == 5 and all(r.predicted_rpm >= 0 for r in fc.collect())
-    assert ML.score_traffic(models, f, 6, min_rows=39).count() == 0
+    assert ML.score_traffic(model, f, 6, min_rows=39).count() == 0
     tile = V.traffic_tile(metrics_of(spark, SF_MED, "1h"), window_size="1h", forecasts=fc, min_history=1)
     assert tile.filter(F.col("forecast_rpm").isNull()).count() == 0
 
