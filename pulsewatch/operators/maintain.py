@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from . import quality as QY
+from . import constraints as CN
 
 SERVICE_COLS = S.SERVICES.fieldNames()
 
@@ -30,8 +30,7 @@ def create_services(dim: DataFrame, requests: DataFrame, order: str = "request_s
     reported with the rule names.  ``capture_telemetry`` defaults to true.
     """
     now = now if now is not None else F.current_timestamp()
-    checked = requests.withColumn("_failed", F.filter(F.array(*[
-        F.when(~ok, F.lit(n)) for n, ok in QY.rules_services().items()]), lambda x: x.isNotNull()))
+    checked = requests.withColumn("_failed", CN.failed_rules(CN.SERVICES))
     exists = dim.select("name", "environment").distinct().withColumn("_exists", F.lit(True))
     j = checked.join(exists, ["name", "environment"], "left")
     # only requests that could be accepted compete for a name

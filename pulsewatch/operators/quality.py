@@ -1,4 +1,5 @@
-"""Validation, dead-letter routing, dedup, attribution.
+"""Validation, dead-letter routing, dedup, attribution (A4, B1-B11); the rules of
+the stored tables are in ``constraints``.
 
 Joins against the service dimension are written without hints: Catalyst
 broadcasts a side only when its measured size is under
@@ -79,85 +80,6 @@ def payload_rows(valid: DataFrame, keep: tuple = ()) -> DataFrame:
     )
 
 
-# ---- B2 / M5 rules ------------------------------------------------------------------
-
-def rules_api_logs() -> dict[str, Column]:
-    """Each rule is a Column that is TRUE when the row passes."""
-    return {
-        "http_method_valid": F.col("http_method").isin(*S.HTTP_METHODS),
-        "response_time_nonneg": F.coalesce(F.col("response_time_ms") >= 0, F.lit(True)),
-        "endpoint_present": F.col("endpoint").isNotNull(),
-        "endpoint_length": F.coalesce(F.length("endpoint") <= 512, F.lit(True)),
-        "service_present": F.col("service_id").isNotNull(),
-        "timestamp_present": F.col("request_timestamp").isNotNull(),
-    }
-
-
-def rules_metrics() -> dict[str, Column]:
-    def in01(c):
-        return F.coalesce((F.col(c) >= 0) & (F.col(c) <= 1), F.lit(True))
-
-    def in0100(c):
-        return F.coalesce((F.col(c) >= 0) & (F.col(c) <= 100), F.lit(True))
-    return {
-        "window_size_valid": F.col("window_size").isin(*S.WINDOW_SIZES),
-        "request_count_nonneg": F.coalesce(F.col("request_count") >= 0, F.lit(True)),
-        "error_rate_unit": in01("error_rate"),
-        "success_rate_unit": in01("success_rate"),
-        "cpu_pct_range": in0100("cpu_usage_pct"),
-        "memory_pct_range": in0100("memory_usage_pct"),
-    }
-
-
-def rules_alerts() -> dict[str, Column]:
-    """B2: checks on alert rows."""
-    return {
-        "severity_valid": F.coalesce(F.col("severity").isin(*S.LEVELS), F.lit(False)),
-        "priority_valid": F.coalesce(F.col("priority").isin(*S.LEVELS), F.lit(True)),
-        "metric_present": F.col("triggering_metric").isNotNull(),
-        "closed_after_opened": F.coalesce(F.col("closed_at") >= F.col("opened_at"), F.lit(True)),
-    }
-
-
-def rules_predictions() -> dict[str, Column]:
-    """B2: checks on prediction rows."""
-    return {
-        "module_present": F.col("module").isNotNull(),
-        "value_present": F.col("value").isNotNull(),
-        "horizon_positive": F.coalesce(F.col("horizon_minutes") > 0, F.lit(True)),
-        "confidence_unit": F.coalesce((F.col("confidence") >= 0) & (F.col("confidence") <= 1), F.lit(True)),
-    }
-
-
-def rules_services() -> dict[str, Column]:
-    """M5: field checks on service rows."""
-    return {
-        "name_present": F.col("name").isNotNull() & (F.length(F.trim("name")) > 0),
-        "name_length": F.coalesce(F.length("name") <= 100, F.lit(True)),
-        "base_url_present": F.col("base_url").isNotNull(),
-        "base_url_length": F.coalesce(F.length("base_url") <= 512, F.lit(True)),
-        "owner_length": F.coalesce(F.length("owner") <= 128, F.lit(True)),
-        "description_length": F.coalesce(F.length("description") <= 500, F.lit(True)),
-        "environment_valid": F.col("environment").isin(*S.ENVIRONMENTS),
-    }
-
-
-def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Rows failing at least one rule, with the array of failed rule names (B2)."""
-    failed = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]),
-                      lambda x: x.isNotNull())
-    return df.withColumn("failed_rules", failed).filter(F.size("failed_rules") > 0)
-
-
-def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Failures per rule: one pass, one partial aggregation, no explode."""
-    aggs = [F.sum((~ok).cast("int")).alias(name) for name, ok in rules.items()]
-    wide = df.agg(*aggs)
-    return wide.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("rule"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("violations"))
-        for n in rules])))
-
-
 # ---- B3 / B7 referential --------------------------------------------------------------
 
 def orphans(df: DataFrame, services: DataFrame, key: str = "service_id") -> DataFrame:

@@ -88,7 +88,7 @@ UNION ALL SELECT 'predictions', 'confidence_unit', count(*) FILTER (hour(window_
 UNION ALL SELECT 'predictions', 'horizon_positive', count(*) FILTER (hour(window_end) = 6) FROM metrics""")
 def table_rule_violations(spark, sf_dir):
     """B2: rules on metric, alert and prediction rows with planted violations."""
-    from ..operators import quality as QY
+    from ..operators import constraints as CN
     from ..operators import views as V
     m = metrics_of(spark, sf_dir, SIZE)
     bad_m = m.withColumn("window_size", F.when(F.hour("window_start") == 3, "2h").otherwise(F.col("window_size"))) \
@@ -99,8 +99,7 @@ def table_rule_violations(spark, sf_dir):
         .withColumn("closed_at", F.when(late, F.col("opened_at") - F.make_dt_interval(mins=F.lit(1))).otherwise(F.col("closed_at")))
     bad_p = V.anomaly_predictions(m).withColumn("confidence", F.when(F.hour("generated_at") == 5, F.lit(1.5))) \
         .withColumn("horizon_minutes", F.when(F.hour("generated_at") == 6, F.lit(0)))
-    parts = [QY.violation_counts(df, rules).withColumn("tbl", F.lit(name)) for name, df, rules in (
-        ("metrics", bad_m, QY.rules_metrics()), ("alerts", bad_a, QY.rules_alerts()), ("predictions", bad_p, QY.rules_predictions()))]
+    parts = [CN.violation_counts(df, CN.TABLES[name]).withColumn("tbl", F.lit(name)) for name, df in (("metrics", bad_m), ("alerts", bad_a), ("predictions", bad_p))]
     shown = F.col("rule").isin("window_size_valid", "error_rate_unit", "severity_valid", "closed_after_opened", "confidence_unit", "horizon_positive")
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(shown | (F.col("violations") > 0)).select("tbl", "rule", "violations")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import constraints as CN
 from ..operators import quality as QY
 from ..sources import fixtures as FX
 from ..sources import io as IO
@@ -110,20 +111,80 @@ def dedup_ingest(spark, sf_dir):
                         "response_time_ms", "request_timestamp")
 
 
+def _absent(column: str) -> str:
+    return f"SELECT '{column}_present' AS rule, count(*) FILTER ({column} IS NULL) AS violations FROM feed"
+
+
 @plan("domain_violations", sql=f"""
 WITH {Q.API_LOGS}, {FEED}
-SELECT rule, CAST(violations AS BIGINT) AS violations FROM (
-  SELECT 'http_method_valid' AS rule, sum(CASE WHEN http_method IN {S.HTTP_METHODS} THEN 0 ELSE 1 END) AS violations FROM feed
-  UNION ALL SELECT 'response_time_nonneg', sum(CASE WHEN response_time_ms < 0 THEN 1 ELSE 0 END) FROM feed
-  UNION ALL SELECT 'endpoint_present', sum(CASE WHEN endpoint IS NULL THEN 1 ELSE 0 END) FROM feed
-  UNION ALL SELECT 'endpoint_length', sum(CASE WHEN length(endpoint) > 512 THEN 1 ELSE 0 END) FROM feed
-  UNION ALL SELECT 'service_present', sum(CASE WHEN service_id IS NULL THEN 1 ELSE 0 END) FROM feed
-  UNION ALL SELECT 'timestamp_present', sum(CASE WHEN request_timestamp IS NULL THEN 1 ELSE 0 END) FROM feed
-) t""")
+{" UNION ALL ".join(_absent(c) for c in ("service_id", "endpoint", "http_method", "status_code", "response_time_ms", "request_timestamp"))}
+UNION ALL SELECT 'http_method_valid', count(*) FILTER (http_method NOT IN {S.HTTP_METHODS}) FROM feed
+UNION ALL SELECT 'response_time_nonneg', count(*) FILTER (response_time_ms < 0) FROM feed
+UNION ALL SELECT 'endpoint_length', count(*) FILTER (length(endpoint) > 512) FROM feed
+UNION ALL SELECT 'user_agent_length', CAST(0 AS BIGINT)""")
 def domain_violations(spark, sf_dir):
-    """B2: failures per domain rule over the delivered payloads."""
+    """B2: failures per rule of the log table over the delivered payloads."""
     feed = FX.api_log_payloads(FX.read_table(spark, sf_dir, "events"))
-    return QY.violation_counts(feed, QY.rules_api_logs())
+    return CN.violation_counts(feed, CN.API_LOGS)
+
+
+PLANT_MOD = 40
+#: Clean rows of each table, made from one log each.
+CLEAN = {
+    "api_logs": {c: c for c in ("service_id", "endpoint", "http_method", "status_code", "request_timestamp")} | {"response_time_ms": "abs(coalesce(response_time_ms, 0))", "user_agent": "'agent'"},
+    "metrics": {"service_id": "service_id", "window_start": "request_timestamp", "window_end": "request_timestamp", "window_size": "'1m'", "request_count": "1",
+                "error_rate": "0.5D", "success_rate": "0.5D", "cpu_usage_pct": "CAST(NULL AS DOUBLE)", "memory_usage_pct": "100D"},
+    "alerts": {"service_id": "service_id", "triggering_metric": "'availability'", "severity": "'high'", "priority": "CAST(NULL AS STRING)", "message": "endpoint",
+               "opened_at": "request_timestamp", "closed_at": "request_timestamp"},
+    "predictions": {"service_id": "service_id", "module": "'health'", "model_version": "'v1'", "generated_at": "request_timestamp", "value": "'{}'",
+                    "horizon_minutes": "CAST(NULL AS INT)", "confidence": "1D"},
+    "model_runs": {"module": "'alerts'", "model_version": "'v1'", "algorithm": "'a'", "trained_at": "request_timestamp", "is_active": "true", "artifact_path": "CAST(NULL AS STRING)"},
+    "services": {"name": "service_id", "base_url": "'http://a'", "owner": "CAST(NULL AS STRING)", "environment": "'staging'", "description": "''"},
+}
+
+
+def _breaking(r: CN.Rule, blank: bool):
+    """A value that breaks this rule and no other one."""
+    if r.kind == "present" or (r.kind == "not_blank" and not blank):
+        return F.lit(None)
+    return {"not_blank": lambda: F.lit(" \t "), "one_of": lambda: F.lit("bogus"), "at_least": lambda: F.lit(r.limit[0] - 1), "above": lambda: F.lit(r.limit[0]),
+            "between": lambda: F.lit(r.limit[1] + 1), "longest": lambda: F.repeat(F.lit("x"), r.limit[0] + 1),
+            "not_before": lambda: F.col(r.limit[0]) - F.expr("INTERVAL 1 SECOND")}[r.kind]()
+
+
+def _plants() -> list[tuple[str, int, CN.Rule, bool]]:
+    """(table, place, rule, blank): rule broken in rows with event_id % PLANT_MOD = place;
+    columns that may not be blank are planted null and, but for the environment
+    (a blank one is unlisted too), blank."""
+    out = []
+    for t, rules in CN.TABLES.items():
+        wanted = [(r, False) for r in rules] + [(r, True) for r in rules if r.kind == "not_blank" and r.column != "environment"]
+        out += [(t, i, r, blank) for i, (r, blank) in enumerate(wanted)]
+    return out
+
+
+def _planted_sql() -> str:
+    places = {}
+    for t, i, r, _ in _plants():
+        places.setdefault((t, r.name), []).append(str(i))
+    return " UNION ALL ".join(f"SELECT '{t}' AS tbl, '{n}' AS rule, count(*) FILTER (event_id % {PLANT_MOD} IN ({', '.join(at)})) AS violations FROM api_logs"
+                              for (t, n), at in places.items())
+
+
+@plan("constraint_violations", sql=f"WITH {Q.API_LOGS} {_planted_sql()}")
+def constraint_violations(spark, sf_dir):
+    """B2/M5: every rule of every stored table broken by null, blank, unlisted,
+    out-of-range or overlong values planted for it alone."""
+    out = None
+    for t, columns in CLEAN.items():
+        df = logs(spark, sf_dir).selectExpr("event_id", *[f"{sql} AS {c}" for c, sql in columns.items()])
+        types = dict(df.dtypes)
+        for _, i, r, blank in (x for x in _plants() if x[0] == t):
+            hit = F.pmod("event_id", F.lit(PLANT_MOD)) == i
+            df = df.withColumn(r.column, F.when(hit, _breaking(r, blank).cast(types[r.column])).otherwise(F.col(r.column)))
+        part = CN.violation_counts(df, CN.TABLES[t]).select(F.lit(t).alias("tbl"), "rule", "violations")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @plan("orphan_logs", sql=f"""

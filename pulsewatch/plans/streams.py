@@ -28,15 +28,10 @@ ALERT_LATENESS_MINUTES = 360
 ALERT_DELAY_HOURS = 5      # windows arrive up to so many hours late
 
 
-def _deliver(rows: DataFrame, batch: str, folder: str, run, text: bool = False) -> None:
+def _deliver(rows: DataFrame, batch: str, folder: str, run) -> None:
     """Append each batch of ``rows`` to ``folder`` and run the query over it."""
     for b in range(BATCHES):
-        part = rows.where(F.col(batch) == b).drop(batch)
-        if text:
-            # arrival order inside a delivery is the order of its one file
-            part.orderBy("seq", "delivery").select("value").coalesce(1).write.mode("append").text(folder)
-        else:
-            part.write.mode("append").parquet(folder)
+        rows.where(F.col(batch) == b).drop(batch).write.mode("append").parquet(folder)
         run().awaitTermination()
 
 
@@ -152,10 +147,9 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
     feed = FX.api_log_envelopes(FX.read_table(spark, sf_dir, "events")) \
         .select("seq", "delivery", "value", F.pmod("seq", F.lit(BATCHES)).alias("batch"))
-    spark.createDataFrame([], "value string").write.mode("append").text(f"{base}/topic")
-    raw = IO.read_api_log_events(spark, "text", path=f"{base}/topic")
-    sink = J.ingest_sink(f"{base}/api_logs", f"{base}/dlq", FX.services(spark))
-    _deliver(feed, "batch", f"{base}/topic", lambda: J.start(raw, sink, f"{base}/_ckpt", trigger=None), text=True)
+    raw = _source(feed, f"{base}/topic")   # seq and delivery stand for the offset
+    sink = J.ingest_sink(f"{base}/api_logs", f"{base}/dlq", FX.services(spark), arrival=("seq", "delivery"))
+    _deliver(feed, "batch", f"{base}/topic", lambda: J.start(raw, sink, f"{base}/_ckpt", trigger=None))
     logs = spark.read.parquet(f"{base}/api_logs").select(
         "dedup_key", "service_id", "endpoint", "status_code", "response_time_ms", "request_timestamp", "date")
     return logs, spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/dlq")

@@ -35,6 +35,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import schemas as S
 from ..functions import exprs as X
 from ..operators import alerts as AL
+from ..operators import constraints as CN
 from ..operators import quality as QY
 from ..session import cut_lineage
 from ..sources import io as IO
@@ -51,26 +52,31 @@ def batch_sink(path: str, partition_by: tuple = ()) -> Callable[[DataFrame, int]
     return write
 
 
-def ingest_sink(logs_path: str, dlq_path: str, services: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """A1-A5, B1, B3-B5, B8, B9, J2, J10 as a foreachBatch writer over raw events.
+def ingest_sink(logs_path: str, dlq_path: str, services: DataFrame | None = None, arrival: tuple = ()) -> Callable[[DataFrame, int], None]:
+    """A1-A5, B1-B5, B8, B9, J2, J10 as a foreachBatch writer over raw events.
 
     The batch is parsed once into the checkpoint folder; unreadable events,
-    missing fields and (with ``services``) unknown services go to the dead
-    letters, the first arrival per dedup key to the date-partitioned log table
-    unless its key is stored already."""
+    missing fields, (with ``services``) unknown services and rows that break a
+    rule of the log table go to the dead letters, the first arrival per dedup
+    key to the date-partitioned log table unless its key is stored already.
+    A user id that is no UUID is stored as null (the key keeps what was sent).
+    ``arrival`` names the columns that order deliveries (partition and offset of
+    a topic); without them rows come in the order they are read."""
     def write(raw: DataFrame, batch_id: int) -> None:
-        arrived = raw.withColumn("_arrival", F.monotonically_increasing_id())
-        tagged = IO.unwrap(arrived).withColumn("_error", QY.route_error())
+        order = F.struct(*arrival) if arrival else F.monotonically_increasing_id()
+        tagged = IO.unwrap(raw.withColumn("_arrival", order)).withColumn("_error", QY.route_error())
         if services is not None:
             known = services.select(F.col("id").alias("_sid")).distinct().withColumn("_known", F.lit(True))
             tagged = tagged.join(known, F.col("payload.service_id") == F.col("_sid"), "left").withColumn(
                 "_error", F.coalesce("_error", F.when(F.col("_known").isNull(), F.lit("unknown service")))).drop("_sid", "_known")
-        tagged = cut_lineage(tagged)
-        batch_sink(dlq_path)(tagged.filter(F.col("_error").isNotNull()).select(
+        rows = QY.default_status(QY.payload_rows(tagged, keep=("value", "_arrival", "_error")))
+        broken = CN.failed_rules(CN.API_LOGS)
+        rows = cut_lineage(rows.withColumn("_error", F.coalesce("_error", F.when(F.size(broken) > 0, F.concat(F.lit("violates: "), F.array_join(broken, ","))))))
+        batch_sink(dlq_path)(rows.filter(F.col("_error").isNotNull()).select(
             F.col("value").alias("original"), F.col("_error").alias("error"), F.current_timestamp().alias("routedAt")), batch_id)
-        rows = QY.payload_rows(tagged.filter(F.col("_error").isNull()), keep=("_arrival",))
-        rows = QY.dedup_first(QY.with_dedup_key(QY.default_status(rows)), order=("_arrival",)).drop("_arrival")
-        IO.append_api_logs(rows, logs_path, order=("request_timestamp",))
+        kept = QY.parse_user_id(QY.with_dedup_key(rows.filter(F.col("_error").isNull()).drop("value", "_error")))
+        kept = QY.dedup_first(kept, order=("_arrival",)).drop("_arrival")
+        IO.append_api_logs(kept, logs_path, order=("request_timestamp",))
     return write
 
 
