@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..session import scratch_path
 from ..sources import fixtures as FX
-from ..sources import io as IO
+from ..sources import versioned as VT
 from ..streaming import jobs as J
 from . import sqlparts as Q
 from .alerting import LIFECYCLE_SQL
@@ -68,7 +68,7 @@ def stream_metrics(spark, sf_dir):
     partitioned metrics table; windows still open at the last watermark
     (newest log less ten minutes) stay unreported."""
     base = run_metrics(spark, sf_dir, "1m")
-    return IO.load_metrics(spark, f"{base}/metrics", "1m")
+    return VT.MetricsTable(spark, f"{base}/metrics").read("1m").select(*S.METRIC_COLUMNS)
 
 
 @plan("stream_metric_events", sql=f"""

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources import io as IO
+from ..sources import versioned as VT
 from . import sqlparts as Q
 from .core import logs, metrics_of
 from .ingest import FEED, VALID, sql_dedup_key
@@ -260,10 +261,42 @@ def metrics_repair(spark, sf_dir):
     repair recomputes the windows of a time range from all stored logs and
     upserts them.  Returns the whole table after the repair."""
     p1, _ = _passes(spark, sf_dir)
-    path = scratch_path(spark, f"metrics-repair-{uuid.uuid4().hex}")
-    IO.write_metrics(p1, path)
-    IO.repair_windows(logs(spark, sf_dir), path, REPAIR_SINCE, REPAIR_UNTIL, sizes=("1h",))
-    return IO.load_metrics(spark, path, window_size="1h")
+    base = scratch_path(spark, f"metrics-repair-{uuid.uuid4().hex}")
+    IO.write_api_logs(logs(spark, sf_dir), f"{base}/logs")
+    table = VT.MetricsTable(spark, f"{base}/metrics")
+    table.upsert(p1)
+    IO.repair_windows(spark.read.parquet(f"{base}/logs"), table, REPAIR_SINCE, REPAIR_UNTIL, sizes=("1h",))
+    return table.read("1h").select(*S.METRIC_COLUMNS)
+
+
+@plan("durable_delete", sql=f"""
+{Q.with_metrics('1h')}, {Q.SERVICES},
+gone AS (SELECT m.service_id, m.window_start, m.service_id IN (SELECT id FROM services WHERE owner = '{RETENTION_OWNER}') AND m.window_start >= TIMESTAMP '{RETENTION_SINCE}' AS retention,
+                m.service_id IN (SELECT id FROM services WHERE NOT capture_telemetry) AS cascade FROM metrics m)
+SELECT 'retention' AS step, service_id, count(*) AS rows_left, (SELECT count(*) FROM gone WHERE retention) AS removed FROM gone WHERE NOT retention GROUP BY service_id
+UNION ALL SELECT 'cascade', service_id, count(*), (SELECT count(*) FROM gone WHERE cascade AND NOT retention) FROM gone WHERE NOT retention AND NOT cascade GROUP BY service_id
+UNION ALL SELECT 'repeated', service_id, count(*), 0 FROM gone WHERE NOT retention AND NOT cascade GROUP BY service_id""")
+def durable_delete(spark, sf_dir):
+    """M7/M4/E5: delete one owner's rows from a date on, then the rows of removed
+    services, then both again, from the stored table; what each step removed and
+    what the table holds afterwards, read back."""
+    table = VT.MetricsTable(spark, scratch_path(spark, f"metrics-delete-{uuid.uuid4().hex}"))
+    p1, p2 = _passes(spark, sf_dir)
+    table.upsert(p1)
+    table.upsert(p2)   # several versions of each row: a delete takes them all
+    dim = FX.services(spark)
+    owned, off = dim.filter(F.col("owner") == RETENTION_OWNER).select(F.col("id").alias("service_id")), dim.filter(~F.col("capture_telemetry")).select(F.col("id").alias("service_id"))
+    out = None
+    for step in ("retention", "cascade", "repeated"):
+        removed = 0
+        if step != "cascade":
+            removed += table.delete(owned, since=RETENTION_SINCE)
+        if step != "retention":
+            removed += table.delete(off)
+        left = table.read().groupBy("service_id").agg(F.count(F.lit(1)).alias("rows_left")) \
+            .select(F.lit(step).alias("step"), "service_id", "rows_left", F.lit(removed).cast("long").alias("removed"))
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
 @plan("api_logs_ingest", sql=f"""

@@ -186,6 +186,21 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def folder_numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers n of the folders ``name=n`` in ``path``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return [int(n.split("=", 1)[1]) for n in names if n.startswith(f"{name}=")]
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     if not table_exists(spark, path):
         return None
@@ -257,22 +272,29 @@ def model_version(now: dt.datetime | None = None) -> str:
     return now.strftime("%Y%m%dT%H%M%SZ")
 
 
-def repair_windows(api_logs: DataFrame, path: str, since, until, sizes=S.WINDOW_SIZES) -> DataFrame:
+def repair_windows(api_logs: DataFrame, table, since, until, sizes=S.WINDOW_SIZES) -> DataFrame:
     """Late rows never reach streamed windows; recompute the windows that
-    cover ``[since, until)`` from the stored logs and upsert them (F4).  Only
-    the touched (size, month) partitions are rewritten.  Returns the rows."""
+    cover ``[since, until)`` from the stored logs and upsert them (F4) into
+    ``table``, a ``MetricsTable`` or the path of a plain metrics table.  Logs
+    that carry their partition column ``date`` are read from the dates of that
+    range only.  Returns the recomputed rows, read back from the checkpoint."""
     from ..operators import metrics as M
-    lo = F.lit(since).cast("timestamp")
-    hi = F.lit(until).cast("timestamp")
-    # widen to whole windows of the largest size so no window is recomputed partially
-    step = max(S.WINDOW_MINUTES[s] for s in sizes)
-    lo_w = F.timestamp_micros(F.unix_micros(lo) - F.pmod(F.unix_micros(lo), F.lit(step * 60_000_000)))
-    # ceiling of ``until`` (half-open: a window starting exactly at ``until`` is outside)
-    last = F.unix_micros(hi) - 1
-    hi_w = F.timestamp_micros(last - F.pmod(last, F.lit(step * 60_000_000)) + F.lit(step * 60_000_000))
-    logs = api_logs.filter((F.col("request_timestamp") >= lo_w) & (F.col("request_timestamp") < hi_w))
-    fresh = M.aggregate_windows(logs, sizes=sizes)
-    upsert_metrics(fresh, path)
+    from ..session import cut_lineage
+    # widen to whole windows of the largest size so no window is recomputed
+    # partially (half-open: a window starting exactly at ``until`` is outside)
+    step = max(S.WINDOW_MINUTES[s] for s in sizes) * 60_000_000
+    bounds = api_logs.sparkSession.range(1).select(F.unix_micros(F.lit(since).cast("timestamp")).alias("lo"),
+                                                   F.unix_micros(F.lit(until).cast("timestamp")).alias("hi")).first()
+    lo, hi = bounds["lo"] // step * step, -(-bounds["hi"] // step) * step
+    at = F.timestamp_micros
+    logs = api_logs.filter((F.col("request_timestamp") >= at(F.lit(lo))) & (F.col("request_timestamp") < at(F.lit(hi))))
+    if "date" in api_logs.columns:
+        logs = logs.filter((F.col("date") >= F.to_date(at(F.lit(lo)))) & (F.col("date") <= F.to_date(at(F.lit(hi - 1)))))
+    fresh = cut_lineage(M.aggregate_windows(logs, sizes=sizes))
+    if isinstance(table, str):
+        upsert_metrics(fresh, table)
+    else:
+        table.upsert(fresh)
     return fresh
 
 

@@ -39,6 +39,7 @@ from ..operators import constraints as CN
 from ..operators import quality as QY
 from ..session import cut_lineage
 from ..sources import io as IO
+from ..sources import versioned as VT
 
 
 def batch_sink(path: str, partition_by: tuple = ()) -> Callable[[DataFrame, int], None]:
@@ -131,12 +132,13 @@ def prediction_events(predictions: DataFrame) -> DataFrame:
 
 
 def metrics_sink(path: str, events_path: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Upsert the emitted windows into the (size, month) partitioned
-    metrics table; with ``events_path`` also write their outgoing events."""
+    """Upsert the emitted windows into the merge-on-read metrics table
+    (a batch writes its own rows, no month is rewritten); with ``events_path``
+    also write their outgoing events."""
     def write(df: DataFrame, batch_id: int) -> None:
         rows = cut_lineage(df)
         if not rows.isEmpty():
-            IO.upsert_metrics(rows, path)
+            VT.MetricsTable(rows.sparkSession, path).upsert(rows)
         if events_path is not None:
             batch_sink(events_path)(metric_events(rows), batch_id)
     return write
@@ -267,7 +269,8 @@ def newest(predictions: DataFrame) -> DataFrame:
 
 def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Keyed upsert of a micro-batch into the view: batch N writes version N,
-    the newest rows of the last version before it and of the batch."""
+    the newest rows of the last version before it and of the batch.  Versions
+    before that one are removed, so the view is stored twice at most."""
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         rows = newest(df)
@@ -277,6 +280,10 @@ def latest_sink(path: str) -> Callable[[DataFrame, int], None]:
             if last is not None:
                 rows = newest(rows.unionByName(kept.filter(F.col("version") == last).select(rows.columns)))
         rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        if IO.table_exists(spark, path):
+            older = [v for v in IO.folder_numbers(spark, path, "version") if v < batch_id]
+            for v in sorted(older)[:-1]:   # a replay of this batch reads the newest of them
+                IO.remove_folder(spark, f"{path}/version={v}")
     return write
 
 

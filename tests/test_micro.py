@@ -497,3 +497,39 @@ def test_auc_undefined_with_one_class(spark):
     assert r.roc_auc is None and r.positives == 0 and r.negatives == 3
     sw = EV.threshold_sweep(df).collect()
     assert len(sw) == 12 and all(x.tp == 0 for x in sw)
+
+
+def test_constraints_have_three_valued_logic(spark):
+    from pulsewatch.operators import constraints as CN
+    from pulsewatch.operators import maintain as MT
+    cols = "id string, name string, base_url string, owner string, environment string, description string, capture_telemetry boolean, created_by string, request_seq int"
+    req = spark.createDataFrame([("1", "a", "http://a", None, None, None, None, None, 1), ("2", "b", "  ", None, "staging", None, None, None, 2),
+                                 ("3", "c", "http://c", None, "nowhere", None, None, None, 3), ("4", "\t", None, "o" * 129, "staging", "", None, None, 4),
+                                 ("5", "e", "http://e", None, "staging", None, None, None, 5)], cols)
+    accepted, conflicts = MT.create_services(spark.createDataFrame([], S.SERVICES), req)
+    assert [r.id for r in accepted.collect()] == ["5"]
+    assert {r.request_seq: r.reason for r in conflicts.collect()} == {
+        1: "invalid: environment_present", 2: "invalid: base_url_present", 3: "invalid: environment_valid",
+        4: "invalid: name_present,base_url_present,owner_length"}
+    alerts = spark.createDataFrame([("s", "bogus", "high", None, "m", mins(1), None), ("s", None, "odd", "odd", "m", mins(1), mins(0))],
+                                   "service_id string, triggering_metric string, severity string, priority string, message string, opened_at timestamp, closed_at timestamp")
+    assert [r.failed_rules for r in CN.violations(alerts, CN.ALERTS).collect()] == [
+        ["trigger_valid"], ["triggering_metric_present", "severity_valid", "priority_valid", "closed_after_opened"]]
+    kept, broken = CN.enforce(alerts, CN.ALERTS)
+    assert kept.count() == 0 and broken.count() == 2
+
+
+def test_ingest_rejects_rows_that_break_a_rule(spark, tmp_path):
+    import json
+    from pulsewatch.streaming import jobs as J
+    send = lambda **kw: json.dumps({"event_version": "1", "payload": {"service_id": "s", "endpoint": "/a", "http_method": "GET", "status_code": 200,
+                                                                      "response_time_ms": 5, "timestamp": "2024-01-01T00:00:00Z", **kw}})
+    uid = "0B6F1E4C-7A7E-4F0A-9C45-1B2C3D4E5F60"
+    values = [send(), send(http_method="FETCH"), send(response_time_ms=-1), send(response_time_ms=None), send(endpoint="/" + "x" * 600),
+              send(endpoint="/u", user_id=uid), send(endpoint="/v", user_id="joe"), send(endpoint="/w", status_code=None)]
+    raw = spark.createDataFrame([(None, v, i) for i, v in enumerate(values)], "key string, value string, place int")
+    J.ingest_sink(str(tmp_path / "logs"), str(tmp_path / "dlq"), arrival=("place",))(raw, 0)
+    stored = {r.endpoint: r for r in spark.read.parquet(str(tmp_path / "logs")).collect()}
+    assert set(stored) == {"/a", "/u", "/v", "/w"} and stored["/u"].user_id == uid.lower() and stored["/v"].user_id is None and stored["/w"].status_code == 0
+    assert sorted(r.error for r in spark.read.parquet(str(tmp_path / "dlq")).collect()) == [
+        "violates: endpoint_length", "violates: http_method_valid", "violates: response_time_ms_present", "violates: response_time_nonneg"]

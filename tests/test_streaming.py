@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulsewatch import schemas as S
 from pulsewatch.sources import fixtures as FX
 from pulsewatch.sources import io as IO
+from pulsewatch.sources import versioned as VT
 from pulsewatch.streaming import jobs as J
 
 DAY = dt.datetime(2024, 1, 10, 12)
@@ -100,6 +101,6 @@ def test_metrics_sink_feeds_the_partitioned_table(spark, tmp_path):
     sink = J.metrics_sink(path, str(tmp_path / "events"))
     sink(spark.createDataFrame([row(1, DAY)], S.METRICS), 0)
     sink(spark.createDataFrame([row(2, DAY + dt.timedelta(hours=1))], S.METRICS), 1)
-    got = IO.load_metrics(spark, path, "1m", since=DAY).collect()
+    got = VT.MetricsTable(spark, path).read("1m", since=DAY).collect()
     assert [r.request_count for r in got] == [2]
     assert spark.read.parquet(str(tmp_path / "events")).where(F.col("key") == "s").count() == 2
