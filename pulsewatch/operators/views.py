@@ -57,23 +57,63 @@ def traffic_tile(metrics: DataFrame, horizon: int = 60, window_size: str = "1m",
     return t.withColumn("direction", X.direction(F.col("delta")))
 
 
+def stored_answers(probes: DataFrame, predictions: DataFrame, module: str, max_age_minutes: int = S.PREDICTION_MAX_AGE_MIN) -> DataFrame:
+    """(service_id, answer, source, stale): per probe (service_id, at) the newest
+    stored prediction of ``module`` generated in ``(at - max_age, at]``.  It is
+    stale when it was generated before ``at``.  Services without one have no row.
+
+    One row a service on the probe side, so each prediction meets one probe and
+    the newest is a partial aggregate."""
+    oldest = F.col("at") - F.make_dt_interval(mins=F.lit(max_age_minutes))
+    p = predictions.filter(F.col("module") == module).select("service_id", "generated_at", "model_version", "value")
+    near = p.join(probes.select("service_id", "at"), "service_id").filter((F.col("generated_at") <= F.col("at")) & (F.col("generated_at") > oldest))
+    best = near.groupBy("service_id", "at").agg(F.max(F.struct("generated_at", "model_version", "value")).alias("b"))
+    return best.select("service_id", F.col("b.value").alias("answer"), F.col("b.model_version").alias("source"), (F.col("b.generated_at") < F.col("at")).alias("stale"))
+
+
 def predictions_tile(metrics: DataFrame, window_size: str = "1m",
-                     min_history: int = S.FAILURE_MIN_HISTORY, hours: int = S.HISTORY_HOURS) -> DataFrame:
-    """L4: anomaly of the latest window + failure risk over recent history."""
+                     min_history: int = S.FAILURE_MIN_HISTORY, hours: int = S.HISTORY_HOURS,
+                     predictions: DataFrame | None = None, max_age_minutes: int = S.PREDICTION_MAX_AGE_MIN) -> DataFrame:
+    """Anomaly of the latest window + failure risk over recent history.
+
+    With ``predictions`` (stored rows, A10) the newest answer of each module at
+    the end of the latest window is shown, with its model version and whether it
+    is stale; the heuristics answer for the rest."""
     latest = H.heuristic_anomaly(M.latest_per_service(metrics, window_size))
     fail = H.heuristic_failure(metrics.filter(F.col("window_size") == window_size))
     hist = _history_in(metrics, hours, window_size)
     t = latest.join(hist, "service_id", "left").fillna(0, ["history_rows_26h"]) \
         .join(fail.select("service_id", "failure_probability", "risk_level"), "service_id", "left")
     ok = F.col("history_rows_26h") >= min_history
-    return t.withColumn("failure_probability", F.when(ok, F.col("failure_probability"))) \
+    t = t.withColumn("failure_probability", F.when(ok, F.col("failure_probability"))) \
         .withColumn("risk_level", F.when(ok, F.col("risk_level"))) \
         .withColumn("failure_status", F.when(ok, F.lit("ok")).otherwise(F.lit("insufficient-history")))
+    if predictions is None:
+        return t
+    probes = t.select("service_id", F.col("window_end").alias("at"))
+    answers = {"anomaly": {"anomaly_score": "double", "is_anomaly": "boolean"}, "failure": {"failure_probability": "double", "risk_level": "string"}}
+    for module, fields in answers.items():
+        found = stored_answers(probes, predictions, module, max_age_minutes).select(
+            "service_id", *[F.get_json_object("answer", f"$.{f}").cast(k).alias(f"_{f}") for f, k in fields.items()],
+            F.col("source").alias(f"{module}_source"), F.col("stale").alias(f"{module}_stale"))
+        t = t.join(found, "service_id", "left")
+        use = F.col(f"{module}_source").isNotNull() & (ok if module == "failure" else F.lit(True))
+        for f in fields:
+            t = t.withColumn(f, F.when(use, F.col(f"_{f}")).otherwise(F.col(f))).drop(f"_{f}")
+        t = t.withColumn(f"{module}_source", F.when(use, F.col(f"{module}_source")).otherwise(F.lit(S.HEURISTIC_MODEL_VERSION))) \
+            .withColumn(f"{module}_stale", F.coalesce(F.when(use, F.col(f"{module}_stale")), F.lit(False)))
+    return t
 
 
 def alerts_tile(alerts: DataFrame, metrics: DataFrame, services: DataFrame, window_size: str = "1m",
-                limit: int = S.OPEN_ALERTS_DEFAULT_LIMIT, reference_context: bool = False) -> DataFrame:
-    """Open alerts (newest first) with a heuristic priority.
+                limit: int = S.OPEN_ALERTS_DEFAULT_LIMIT, reference_context: bool = False,
+                predictions: DataFrame | None = None) -> DataFrame:
+    """Open alerts (newest first) with a priority.
+
+    With ``predictions`` (stored rows of module ``alerts``) an alert takes the
+    priority predicted for its service, metric and opening time, the newest model
+    version's if there are several; ``priority_source`` tells which answered.
+    The heuristic answers for the rest.
 
     Context: hour of opening, alerts of the service opened in the 24 h
     before, health of the service's latest window, failure flag = critical
@@ -87,7 +127,7 @@ def alerts_tile(alerts: DataFrame, metrics: DataFrame, services: DataFrame, wind
                         F.lit(0).alias("alert_frequency_24h"), F.lit(60.0).alias("current_health_score"),
                         (F.col("severity") == "critical").alias("failure_prediction_active"),
                         F.lit(False).alias("service_is_payment_or_auth"))
-        return H.heuristic_priority(ctx)
+        return _with_predicted(H.heuristic_priority(ctx), predictions)
     order = F.when(F.col("triggering_metric") == "latency", 0).otherwise(1)
     freq = AL.alert_frequency(alerts.withColumn("trigger_order", order), ts="opened_at") \
         .select("id", "alert_frequency_24h")
@@ -98,7 +138,20 @@ def alerts_tile(alerts: DataFrame, metrics: DataFrame, services: DataFrame, wind
         .withColumn("hour_of_day", F.hour("opened_at")) \
         .withColumn("failure_prediction_active", F.col("severity") == "critical") \
         .withColumn("service_is_payment_or_auth", X.is_payment_or_auth(F.col("service_name")))
-    return H.heuristic_priority(ctx)
+    return _with_predicted(H.heuristic_priority(ctx), predictions)
+
+
+def _with_predicted(alerts: DataFrame, predictions: DataFrame | None) -> DataFrame:
+    if predictions is None:
+        return alerts
+    keys = ["service_id", "triggering_metric", "opened_at"]
+    found = predictions.filter(F.col("module") == "alerts").select(
+        "service_id", F.get_json_object("value", "$.triggering_metric").alias("triggering_metric"), F.col("generated_at").alias("opened_at"),
+        F.struct("model_version", F.get_json_object("value", "$.priority").alias("priority"), "confidence").alias("_p")) \
+        .groupBy(*keys).agg(F.max("_p").alias("_p"))
+    j = alerts.join(found, keys, "left")
+    return j.withColumn("priority", F.coalesce("_p.priority", "priority")).withColumn("confidence", F.col("_p.confidence")) \
+        .withColumn("priority_source", F.coalesce("_p.model_version", F.lit(S.HEURISTIC_MODEL_VERSION))).drop("_p")
 
 
 # ---- E9 as-of lookup --------------------------------------------------------------------

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..ml import models as ML
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import views as V
@@ -16,7 +17,7 @@ from ..sources import io as IO
 from . import sqlparts as Q
 from .alerting import LIFECYCLE_SQL, lifecycle
 from .core import HEALTH_SQL_BODY, logs, metrics_of
-from .registry import plan
+from .registry import ORACLES, plan
 
 LATEST_1M = """latest AS (SELECT * FROM metrics
            QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY window_start DESC) = 1)"""
@@ -129,6 +130,63 @@ def tile_alerts(spark, sf_dir):
                     "priority")
 
 
+MODEL_AGE_MINUTES, MODEL_MIN_HISTORY = 120, 10
+
+
+@plan("tile_predictions_model", sql=f"""
+{Q.with_metrics('1h')}, {LATEST_1M}, {HIST_26H},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY service_id ORDER BY window_start DESC) AS rn FROM metrics),
+pred AS (SELECT service_id, window_end, CAST(error_rate AS DOUBLE) / 2 AS s FROM ranked
+         WHERE service_id IN ('svc-0', 'svc-1') OR (service_id = 'svc-2' AND rn > 1)),
+best AS (SELECT l.service_id, p.window_end, p.s FROM latest l JOIN pred p ON p.service_id = l.service_id
+           AND p.window_end <= l.window_end AND p.window_end > l.window_end - INTERVAL '{MODEL_AGE_MINUTES} minutes'
+         QUALIFY row_number() OVER (PARTITION BY l.service_id ORDER BY p.window_end DESC) = 1),
+f AS (SELECT service_id, least(1.0, 0.5 * avg(CAST(error_rate AS DOUBLE)) + 0.5 * avg(CASE WHEN CAST(response_time_p99 AS DOUBLE) > 2000 THEN 1.0 ELSE 0.0 END)) AS p
+      FROM ranked WHERE rn <= {S.FAILURE_RECENT_ROWS} GROUP BY service_id),
+t AS (SELECT l.*, b.s, b.window_end AS predicted_at, f.p, coalesce(h.history_rows_26h, 0) >= {MODEL_MIN_HISTORY} AS ok,
+             least(1.0, greatest(CAST(l.response_time_p99 AS DOUBLE) / 5000.0, CAST(l.error_rate AS DOUBLE))) AS a
+      FROM latest l LEFT JOIN hist h ON l.service_id = h.service_id LEFT JOIN f ON l.service_id = f.service_id LEFT JOIN best b ON l.service_id = b.service_id)
+SELECT service_id, round(coalesce(s, a), 6) AS anomaly_score, CASE WHEN s IS NOT NULL THEN s > 0.2 ELSE a >= 0.95 END AS is_anomaly,
+       CASE WHEN s IS NOT NULL THEN 'model-1' ELSE '{S.HEURISTIC_MODEL_VERSION}' END AS anomaly_source, coalesce(predicted_at < window_end, false) AS anomaly_stale,
+       CASE WHEN ok THEN round(coalesce(s / 2, p), 6) END AS failure_probability,
+       CASE WHEN NOT ok THEN NULL WHEN s IS NOT NULL THEN 'planted' WHEN p >= 0.75 THEN 'critical' WHEN p >= 0.5 THEN 'high' WHEN p >= 0.3 THEN 'medium' ELSE 'low' END AS risk_level,
+       CASE WHEN ok AND s IS NOT NULL THEN 'model-1' ELSE '{S.HEURISTIC_MODEL_VERSION}' END AS failure_source
+FROM t""")
+def tile_predictions_model(spark, sf_dir):
+    """The tile over stored predictions: two services with an answer for
+    their latest window, one with a stale one, the others without."""
+    m = metrics_of(spark, sf_dir, "1h")
+    newest = m.groupBy("service_id").agg(F.max("window_start").alias("_last"))
+    rows = m.join(newest, "service_id").where(F.col("service_id").isin("svc-0", "svc-1") | ((F.col("service_id") == "svc-2") & (F.col("window_start") < F.col("_last")))) \
+        .withColumn("s", F.col("error_rate").cast("double") / 2).withColumn("generated_at", F.col("window_end"))
+    stored = ML.prediction_rows(rows, "anomaly", "model-1", F.struct("service_id", F.col("s").alias("anomaly_score"), (F.col("s") > 0.2).alias("is_anomaly"))) \
+        .unionByName(ML.prediction_rows(rows, "failure", "model-1", F.struct("service_id", (F.col("s") / 2).alias("failure_probability"), F.lit("planted").alias("risk_level"))))
+    path = scratch_path(spark, f"tile-predictions-{uuid.uuid4().hex}")
+    IO.write_predictions(stored, path)
+    t = V.predictions_tile(m, "1h", min_history=MODEL_MIN_HISTORY, predictions=spark.read.parquet(path), max_age_minutes=MODEL_AGE_MINUTES)
+    return t.select("service_id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly", "anomaly_source", "anomaly_stale",
+                    F.round("failure_probability", 6).alias("failure_probability"), "risk_level", "failure_source")
+
+
+@plan("tile_alerts_model", sql=f"""
+SELECT id, service_id, triggering_metric, opened_at,
+       CASE WHEN hour_of_day % 4 = 0 THEN 'high' WHEN hour_of_day % 2 = 0 THEN 'low' ELSE priority END AS priority,
+       CASE WHEN hour_of_day % 4 = 0 THEN 'model-2' WHEN hour_of_day % 2 = 0 THEN 'model-1' ELSE '{S.HEURISTIC_MODEL_VERSION}' END AS priority_source
+FROM ({ORACLES["tile_alerts"]}) t""")
+def tile_alerts_model(spark, sf_dir):
+    """Open alerts with the priority a stored model gave them (two
+    versions, the newer counts), the heuristic's for the rest."""
+    alerts, m = lifecycle(spark, sf_dir), metrics_of(spark, sf_dir, "1h")
+    at = alerts.withColumn("generated_at", F.col("opened_at"))
+    value = lambda p: F.struct("service_id", "triggering_metric", F.lit(p).alias("priority"))
+    stored = ML.prediction_rows(at.where(F.hour("opened_at") % 2 == 0), "alerts", "model-1", value("low")) \
+        .unionByName(ML.prediction_rows(at.where(F.hour("opened_at") % 4 == 0), "alerts", "model-2", value("high")))
+    path = scratch_path(spark, f"tile-alerts-{uuid.uuid4().hex}")
+    IO.write_predictions(stored, path)
+    t = V.alerts_tile(alerts, m, FX.services(spark), window_size="1h", predictions=spark.read.parquet(path))
+    return t.select("id", "service_id", "triggering_metric", "opened_at", "priority", "priority_source")
+
+
 @plan("asof_prediction", sql=f"""
 {Q.with_metrics('1m')},
 preds AS (SELECT service_id, window_end AS generated_at,
