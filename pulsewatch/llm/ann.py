@@ -8,7 +8,9 @@ orders (a pivot that one of them lacks stands at place ``prefix``); the
 closest share of the block is reranked by exact cosine.
 
 The pivots are a bounded sample (``pivots`` of ``4 * pivots`` rows by a hash of
-the id, copies left out); the index holds every row.  Queries and rows meet
+the id, copies left out); the index holds every row.  Vectors of different
+lengths are not compared; blocks of another length than the most frequent one
+take their pivots from their own rows.  Queries and rows meet
 in blocks of bounded size; each pair of blocks gives at most k rows a query.
 """
 
@@ -47,6 +49,12 @@ def order_of(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :prefix].astype(np.uint16)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither overflow nor
+    vanish and no digit of a cosine changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     dots = (rows * query).sum(axis=1)
     return dots / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
@@ -65,7 +73,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, orders: np.ndarray, query_ids:
                  query_orders: np.ndarray, pivots: int, k: int, share: float) -> list[tuple[int, int, float]]:
     """(query, id, score) of the best k of a block for each query."""
     by_id = np.argsort(ids, kind="stable")
-    ids, x, orders = ids[by_id], x[by_id], orders[by_id]
+    ids, x, orders, queries = ids[by_id], scaled(x[by_id]), orders[by_id], scaled(queries)
     files, prefix = inverted(orders, pivots), orders.shape[1]
     most = min(len(ids), max(int(np.ceil(share * len(ids))), 16 * k) + 1)  # one more: the query itself
     out = []
@@ -89,9 +97,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     each query row (same columns as ``df``), ties to the smaller id.
 
     A row is never its own neighbour (equal id).  Vectors that are null, zero,
-    or hold null or non-finite components, rows with a null id, and vectors
-    that have not the most frequent length take no part.  An id given several
-    times is found once, with its best score.  An empty table gives no rows.
+    or hold null or non-finite components and rows with a null id take no part.
+    A query finds vectors of its own length.  An id given several times is found
+    once, and asks once, with its best scores.  An empty table gives no rows.
     """
     spark = df.sparkSession
     ship(spark)
@@ -106,9 +114,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     if not lengths:
         return spark.createDataFrame([], shape)
     dim, total = lengths[0]["dim"], lengths[0]["count"]
-    rows = rows.where(F.size("vec") == dim)
-    asked = clean(queries).where(F.size("vec") == dim).groupBy("id").agg(F.min("vec").alias("vec"))
-    sample = [np.array(r["vec"], np.float64) for r in rows.orderBy(F.xxhash64("id", F.lit(29)), "vec").limit(4 * pivots).collect()]
+    asked = clean(queries).distinct()
+    sample = [np.array(r["vec"], np.float64) for r in rows.where(F.size("vec") == dim).orderBy(F.xxhash64("id", F.lit(29)), "vec").limit(4 * pivots).collect()]
     points = unit(np.unique(np.vstack(sample), axis=0))
     chosen = points[np.random.default_rng(5).permutation(len(points))[:pivots]]
     prefix = min(prefix, len(chosen))
@@ -117,14 +124,18 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     def pack(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             if len(pdf):
-                x = np.vstack([np.asarray(v, np.float64) for v in pdf["vec"]])
-                orders = order_of(x, shared.value, prefix)
-                yield pd.DataFrame({"id": pdf["id"], "vec": [v.tobytes() for v in x], "orders": [o.tobytes() for o in orders]})
-
-    blocks = -(-total // block)
+                vectors = [np.asarray(v, np.float64) for v in pdf["vec"]]
+                dims = np.array([len(v) for v in vectors])
+                orders = np.full(len(pdf), b"", object)
+                main = np.flatnonzero(dims == dim)
+                if len(main):
+                    orders[main] = [o.tobytes() for o in order_of(np.vstack([vectors[i] for i in main]), shared.value, prefix)]
+                yield pd.DataFrame({"id": pdf["id"], "dim": dims, "vec": [v.tobytes() for v in vectors], "orders": orders})
+
+    blocks = -(-total // block)  # no other length has more rows
     asked = staged(asked, "queries")
     query_blocks = max(1, -(-asked.count() // query_block))
-    packed = "id long, vec binary, orders binary"
+    packed = "id long, dim int, vec binary, orders binary"
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     index = rows.mapInPandas(pack, packed).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")) \
         .withColumn("qblock", every(query_blocks))
@@ -135,12 +146,18 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
     def meet(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(data) and len(asked):
-            ints = lambda s: np.vstack([np.frombuffer(b, np.uint16) for b in s])
-            out = search_block(data["id"].to_numpy(), matrix(data["vec"]), ints(data["orders"]), asked["id"].to_numpy(),
-                               matrix(asked["vec"]), ints(asked["orders"]), n_pivots, k, share)
+            ids, x, queries = data["id"].to_numpy(), matrix(data["vec"]), matrix(asked["vec"])
+            if data["dim"].iloc[0] == dim:
+                ints = lambda s: np.vstack([np.frombuffer(b, np.uint16) for b in s])
+                orders, asked_orders, n = ints(data["orders"]), ints(asked["orders"]), n_pivots
+            else:
+                own = unit(x[np.lexsort((x[:, 0], ids))[:pivots]])
+                n = len(own)
+                orders, asked_orders = order_of(x, own, min(prefix, n)), order_of(queries, own, min(prefix, n))
+            out = search_block(ids, x, orders, asked["id"].to_numpy(), queries, asked_orders, n, k, share)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = index.groupBy("block", "qblock").cogroup(probes.groupBy("block", "qblock")) \
+    found = index.groupBy("dim", "block", "qblock").cogroup(probes.groupBy("dim", "block", "qblock")) \
         .applyInPandas(meet, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -79,7 +79,6 @@ HEADERS: tuple[tuple[str, str], ...] = (
      "with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licence_texts")
-WINDOW_TERMS = 400  # full texts up to this length are also looked for inside files
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([.\-].*)?$"
 COMMENT_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"), ("{-", "-}"), ("(*", "*)"))
@@ -136,9 +135,8 @@ class Matcher:
         self.weight = np.array([*self.idf.values(), self.rarest])
         self.vocabulary = frozenset(self.idf)
         self.notice_size, header_size, text_size = ([sum(n.values()) for _, n in group] for group in counted)
-        short = [i for i, n in enumerate(text_size) if n <= WINDOW_TERMS]
-        self.inside = self.headers + [self.texts[i] for i in short]
-        self.inside_size = header_size + [text_size[i] for i in short]
+        self.inside = self.headers + self.texts
+        self.inside_size = header_size + text_size
         self.gain = {id(w): self.dense(w) for _, w in self.notices + self.inside}
         self.all = [id(w) for _, w in self.notices + self.headers + self.texts]
         self.square = np.zeros((len(self.ids), len(self.all)))

@@ -27,8 +27,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-CONTEXT_CHARS = 64
+# A candidate starts at a word or after a sign that opens a value, and ends
+# before brackets and quotes.
+CANDIDATE = r"""(?<![^\s<(\[{"'`:=])[^\s0-9<>()\[\]{}"'`]*+[0-9][^\s<>()\[\]{}"'`]*+"""
+#: Signs and white space that may stand between a context and its mention.
+SPACE, OPENERS = "\t\n\x0b\f\r", "<([{\"'`:="
+#: The words before a mention are looked for in its last so many characters, then in the whole text before it.
+NEAR_CHARS = 128
 SPAN = "struct<start:int,kind_at:int,end:int,kind:string,found:string>"
 
 
@@ -81,35 +86,52 @@ def with_base(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", F.expr(f"array_sort(concat({', '.join(parts)}))")).drop(*[f"_{k}" for k in KINDS])
 
 
+def _quoted(chars: str) -> str:
+    return "'" + "".join(f"\\u{ord(c):04x}" for c in chars) + "'"
+
+
+def _two_words(prefix: str) -> str:
+    """SQL: (pattern, sure) of the text before a mention: its last two words in
+    lower case, signs that open a value left out; ``sure``: white space stands
+    before them, so they are whole whatever came earlier."""
+    bare = f"trim(TRAILING {_quoted(' ' + OPENERS)} FROM translate({prefix}, {_quoted(SPACE)}, '     '))"
+    second = "substring_index(b, ' ', -1)"
+    first = "substring_index(f, ' ', -1)"
+    return (f"transform(transform(array({bare}), b -> named_struct('second', {second}, 'gap', length(b) < length({prefix}), "
+            f"'f', rtrim(left(b, length(b) - length({second}))))), x -> transform(array(x.f), f -> named_struct("
+            f"'pattern', CASE WHEN x.gap AND x.second <> '' AND f <> '' THEN lower(concat({first}, ' ', x.second)) END, "
+            f"'sure', f <> '' AND length({first}) < length(f)))[0])[0]")
+
+
 def with_contexts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``mentions``: (start, end, found, kind, pattern) of the seeds (kind
-    set) and of the candidates (kind null); pattern: the two words before, in
-    lower case, null if there are not two."""
-    before = f"substring({text}, greatest(s.start - {CONTEXT_CHARS}, 0) + 1, least(s.start, {CONTEXT_CHARS}))"
-    words = f"regexp_extract({before}, '(\\\\S+\\\\s+\\\\S+)\\\\s+$', 1)"
-    pattern = f"nullif(lower(regexp_replace({words}, '\\\\s+', ' ')), '')"
+    set) and of the candidates (kind null); pattern: the two words before, from
+    the whole text, in lower case, null if there are not two."""
     free = "filter(_candidates, c -> NOT exists(base, b -> c.start < b.end AND b.start < c.end))"
+    near = _two_words(f"substring({text}, greatest(s.start - {NEAR_CHARS}, 0) + 1, least(s.start, {NEAR_CHARS}))")
+    whole = _two_words(f"left({text}, s.start)")
+    pattern = f"transform(array({near}), n -> CASE WHEN n.sure OR s.start <= {NEAR_CHARS} THEN n.pattern ELSE {whole}.pattern END)[0]"
     shape = "named_struct('start', s.start, 'end', s.end, 'found', s.found, 'kind', {kind}, 'pattern', " + pattern + ")"
     return df.withColumn("_candidates", _matches(text, CANDIDATE)).withColumn("mentions", F.expr(
         f"concat(transform(base, s -> {shape.format(kind='s.kind')}), "
         f"transform({free}, s -> {shape.format(kind='cast(null as string)')}))")).drop("_candidates")
 
 
-def bootstrap(mentions: DataFrame, rounds: int = 3, confidence: float = 0.8, seeds: int = 3, epochs: int = 100) -> DataFrame:
+def bootstrap(mentions: DataFrame, rounds: int = 3, confidence: float = 0.8, seeds: int = 3) -> DataFrame:
     """(pattern, found, kind) of the candidates accepted, from rows (pattern,
     found, kind), kind null for candidates.  A pattern accepts its candidates
     with at least ``seeds`` distinct seeds of one kind and ``confidence`` in it
     after ``rounds`` of scores; its other contexts take nothing from a candidate.
     The accepted are seeds of the next epoch.  More seeds never lower a score,
-    so this settles; an error if not within ``epochs``.  Rows without a pattern
-    take no part."""
+    so the accepted only grow and it ends when none is added.  Rows without a
+    pattern take no part."""
     edges = staged(mentions.where("pattern IS NOT NULL").groupBy("pattern", "found").agg(
         *[F.max((F.col("kind") == k).cast("double")).alias(k) for k in KINDS]).na.fill(0.0, list(KINDS)), "pii-graph")
     own = edges.where(F.greatest(*KINDS) > 0).select("found").distinct().withColumn("known", F.lit(True))
     # a text that is a seed anywhere is no candidate elsewhere
     edges = staged(edges.join(own, "found", "left").withColumn("candidate", F.col("known").isNull()).drop("known"), "pii-scores")
     settled, known = 0, None
-    for _ in range(epochs):
+    while True:
         # s_: the seeds' scores, which stay
         scored = edges.select("pattern", "found", "candidate", *[F.col(k).alias(f"s_{k}") for k in KINDS], *KINDS)
         if known is not None:
@@ -136,7 +158,6 @@ def bootstrap(mentions: DataFrame, rounds: int = 3, confidence: float = 0.8, see
             return accepted.groupBy("pattern", "found").agg(F.max(F.struct("p", "order", "kind")).alias("best")) \
                 .select("pattern", "found", F.col("best.kind").alias("kind"))
         settled = count
-    raise RuntimeError(f"accepted identifiers did not settle in {epochs} epochs")
 
 
 def find_personal_data(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -115,6 +115,14 @@ def test_windows_equal_brute_force():
                 assert abs(found.get(k, 0.0) - (best if best >= 0.7 else 0.0)) < 1e-9
 
 
+def test_long_licences_are_found_inside_files(spark):
+    full = dict(licenses.full_texts())
+    words = "some other words of a file that is no licence at all " * 30
+    files = [(f"x/{k}.txt", words + t + words) for k, t in full.items()] + [("x/none.txt", words)]
+    got = {r.path: r.own for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {f"x/{k}.txt": k for k in full} | {"x/none.txt": None}
+
+
 def brute_targets(size, share=1.5, most=2.0):
     order = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}

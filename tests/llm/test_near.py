@@ -158,3 +158,30 @@ def test_neighbours(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.rank) for r in ann.nearest(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1)]
+
+
+def test_neighbours_of_every_length_and_size(spark):
+    rng = np.random.default_rng(4)
+    vec = {i: (rng.normal(size=2 if i % 3 else 3) * 10.0 ** rng.integers(-3, 3)).tolist() for i in range(1, 400)}
+    vec |= {1000: [1e200, 1e200], 1001: [1.0, 1.0], 1050: [1e-200, 1e-200, 1e-200], 1051: [3e250, 3e250, 3e250], 1100: [5.0]}
+    rows = [(i, v) for i, v in vec.items()] + [(50, [-1.0, 0.5])]  # one id with two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, df.where("vec_id % 50 = 0"), block=64, query_block=4, pivots=16, prefix=8).collect()
+
+    def cos(a, b):
+        a, b = [np.array(x) / np.abs(x).max() for x in (a, b)]
+        return float(a @ b / np.sqrt((a @ a) * (b @ b)))
+
+    for q in [i for i in vec if i % 50 == 0]:
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        asked = [v for i, v in rows if i == q]
+        best = {}
+        for i, v in rows:
+            for a in asked:
+                if i != q and len(v) == len(a):
+                    best[i] = max(best.get(i, -2), cos(a, v))
+        want = sorted(best.items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]
+        assert [r.rank for r in mine] == list(range(1, len(want) + 1))
+        for r, (i, s) in zip(mine, want):
+            assert abs(r.score - best[r.vec_id]) < 1e-12 and abs(r.score - s) < 1e-3
+    assert {(r.query_id, r.vec_id): round(r.score, 12) for r in got}[(1050, 1051)] == 1.0 and not [r for r in got if r.query_id == 1100]

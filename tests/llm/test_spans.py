@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from pulsewatch.llm import pii, secrets_crf
 
 from .helpers import TEXTS, docs, none
@@ -63,7 +65,6 @@ def test_contexts_find_unseen_identifiers(spark):
 
 
 def test_identifiers_with_contexts_of_their_own_and_over_two_hops(spark):
-    import pytest
     seeds = [("customer mailbox", f"u{k}@x.example", "email") for k in range(30)]
     ids = [("customer mailbox", f"id{k}", None) for k in range(4)]
     alone = [(f"only here{k}", "id0", None) for k in range(5)] + [("ticket number", "id0", None)]
@@ -73,8 +74,25 @@ def test_identifiers_with_contexts_of_their_own_and_over_two_hops(spark):
     got = {tuple(r) for r in pii.bootstrap(rows).collect()}
     assert got == {("customer mailbox", f"id{k}", "email") for k in range(4)} | {("second list", f"id{k}", "email") for k in range(4)} \
         | {("second list", "far1", "email")}
-    with pytest.raises(RuntimeError):
-        pii.bootstrap(rows, epochs=1)
+
+
+def test_contexts_across_signs_and_long_words(spark):
+    forms = ["mailbox <{}>", 'field "{}"', "see:\t({})", "key x={}", "a " + "w" * 400 + "  \n {}", "w" * 400 + " to {}", "{} alone", "two\x0bwords [{}]"]
+    rows = [(k, "the " + f.format(f"user{k}@mail.example.com") + " end") for k, f in enumerate(forms)]
+    rows += [(20 + k, "our mailbox <user%d@mail.example.com>" % k) for k in range(6)] + [(40, "and our mailbox <user77-at-mail> now"), (41, "our mailbox: user78-at-mail")]
+    df = docs(spark, rows)
+    mentions = pii.with_contexts(pii.with_base(df, "text"), "text").select("doc_id", "text", F.explode("mentions").alias("m")).select("doc_id", "text", "m.*").collect()
+
+    def plain(before):
+        bare = before.translate(str.maketrans("\t\n\x0b\f\r", "     ")).rstrip(" " + pii.OPENERS)
+        words = [w for w in bare.split(" ") if w]
+        return " ".join(words[-2:]).lower() if len(words) > 1 and len(bare) < len(before) else None
+
+    assert len([m for m in mentions if m.kind == "email"]) == 14
+    for m in mentions:
+        assert m.pattern == plain(m.text[:m.start]) and m.text[m.start:m.end] == m.found, m
+    got = {r.doc_id: [(x.kind, x.found) for x in r.spans] for r in pii.find_personal_data(df).collect()}
+    assert got[40] == [("email", "user77-at-mail")] and got[41] == [("email", "user78-at-mail")]
 
 
 def test_secrets_equal_brute_force(spark):
