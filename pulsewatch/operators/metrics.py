@@ -32,6 +32,31 @@ def _window_pairs_sql(ts: str, sizes) -> str:
     return f"inline(array({', '.join(pairs)}))"
 
 
+COUNTS = "service_id string, base_start timestamp, rt int, err int, k long"
+_COLUMNS = ("service_id", "CAST(response_time_ms AS INT) AS rt", "CAST(coalesce(status_code, 0) >= 400 AS INT) AS err")
+
+
+def window_counts(api_logs: DataFrame, minutes: int = 1) -> DataFrame:
+    """The exact latency histogram of every (service, window of ``minutes``):
+    rows (service_id, base_start, rt, err, k), k logs with that latency and
+    error flag.  Histograms of parts of the logs add up: their rows together are
+    the histogram of the whole."""
+    us, base = "unix_micros(request_timestamp)", minutes * 60_000_000
+    return api_logs.selectExpr(*_COLUMNS, f"timestamp_micros({us} - pmod({us}, {base}L)) AS base_start") \
+        .groupBy("service_id", "base_start", "rt", "err").agg(F.expr("count(1)").alias("k"))
+
+
+def windows_from_counts(counts: DataFrame, sizes=S.WINDOW_SIZES, computed_at: Column | None = None) -> DataFrame:
+    """Metric rows of ``sizes`` from histograms of windows that divide them
+    (F1-F3): no raw log is read again, and percentiles are exact."""
+    agg = counts.selectExpr("service_id", "rt", "err", "k", _window_pairs_sql("base_start", sizes)) \
+        .groupBy("service_id", "window_size", "window_start").agg(
+            F.expr("sum(k)").alias("n"), F.expr("sum(rt * k)").alias("rt_sum"),
+            F.expr("sum(CASE WHEN rt IS NOT NULL THEN k ELSE 0 END)").alias("rt_n"), F.expr("sum(err * k)").alias("n_err"),
+            F.expr("percentile(rt, array(0.95D, 0.99D), k)").alias("pct"))
+    return _metric_rows(agg, sizes, computed_at)
+
+
 def aggregate_windows(api_logs: DataFrame, sizes=S.WINDOW_SIZES, exact: bool = True,
                       computed_at: Column | None = None) -> DataFrame:
     """api_logs -> metrics rows for each window size in ``sizes``.
@@ -39,24 +64,18 @@ def aggregate_windows(api_logs: DataFrame, sizes=S.WINDOW_SIZES, exact: bool = T
     Half-open ``[start, start + size)`` UTC windows; silent services emit no row.
     Projections are SQL expressions (one JVM round trip per column).
     """
-    columns = ["service_id", "CAST(response_time_ms AS INT) AS rt", "CAST(coalesce(status_code, 0) >= 400 AS INT) AS err"]
     if exact:
         # one hash aggregate over the raw logs, to counts per smallest common
         # window, latency and error flag; only those are expanded to the sizes
-        base = math.gcd(*[S.WINDOW_MINUTES[s] for s in sizes]) * 60_000_000
-        us = "unix_micros(request_timestamp)"
-        counts = api_logs.selectExpr(*columns, f"timestamp_micros({us} - pmod({us}, {base}L)) AS base_start") \
-            .groupBy("service_id", "base_start", "rt", "err").agg(F.expr("count(1)").alias("k"))
-        agg = counts.selectExpr("service_id", "rt", "err", "k", _window_pairs_sql("base_start", sizes)) \
-            .groupBy("service_id", "window_size", "window_start").agg(
-                F.expr("sum(k)").alias("n"), F.expr("sum(rt * k)").alias("rt_sum"),
-                F.expr("sum(CASE WHEN rt IS NOT NULL THEN k ELSE 0 END)").alias("rt_n"), F.expr("sum(err * k)").alias("n_err"),
-                F.expr("percentile(rt, array(0.95D, 0.99D), k)").alias("pct"))
-    else:
-        agg = api_logs.selectExpr(*columns, _window_pairs_sql("request_timestamp", sizes)) \
-            .groupBy("service_id", "window_size", "window_start").agg(
-                F.expr("count(1)").alias("n"), F.expr("sum(rt)").alias("rt_sum"), F.expr("count(rt)").alias("rt_n"), F.expr("sum(err)").alias("n_err"),
-                F.expr("CAST(percentile_approx(rt, array(0.95D, 0.99D), 10000) AS ARRAY<DOUBLE>)").alias("pct"))
+        return windows_from_counts(window_counts(api_logs, math.gcd(*[S.WINDOW_MINUTES[s] for s in sizes])), sizes, computed_at)
+    agg = api_logs.selectExpr(*_COLUMNS, _window_pairs_sql("request_timestamp", sizes)) \
+        .groupBy("service_id", "window_size", "window_start").agg(
+            F.expr("count(1)").alias("n"), F.expr("sum(rt)").alias("rt_sum"), F.expr("count(rt)").alias("rt_n"), F.expr("sum(err)").alias("n_err"),
+            F.expr("CAST(percentile_approx(rt, array(0.95D, 0.99D), 10000) AS ARRAY<DOUBLE>)").alias("pct"))
+    return _metric_rows(agg, sizes, computed_at)
+
+
+def _metric_rows(agg: DataFrame, sizes, computed_at: Column | None) -> DataFrame:
     minutes = "CASE window_size " + " ".join(f"WHEN '{s}' THEN {S.WINDOW_MINUTES[s]}" for s in sizes) + " ELSE 1 END"
     out = agg.selectExpr(
         "service_id",

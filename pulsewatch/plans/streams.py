@@ -71,6 +71,20 @@ def stream_metrics(spark, sf_dir):
     return VT.MetricsTable(spark, f"{base}/metrics").read("1m").select(*S.METRIC_COLUMNS)
 
 
+@plan("stream_histograms", sql=f"""
+WITH {Q.API_LOGS},
+m1 AS ({Q.metrics('1m')}), m5 AS ({Q.metrics('5m')}), m60 AS ({Q.metrics('1h')})
+SELECT * FROM m1 UNION ALL SELECT * FROM m5 UNION ALL SELECT * FROM m60""")
+def stream_histograms(spark, sf_dir):
+    """Four out-of-order deliveries leave 1-minute histograms; all three
+    window sizes are merged from them, late logs included, raw logs read once."""
+    base = scratch_path(spark, f"stream-histograms-{uuid.uuid4().hex}")
+    ev = FX.read_table(spark, sf_dir, "events").withColumn("batch", F.pmod("event_id", F.lit(BATCHES)))
+    stream = FX.api_logs(_source(ev, f"{base}/in"))
+    _deliver(ev, "batch", f"{base}/in", lambda: J.start(stream, J.histograms_sink(f"{base}/counts"), f"{base}/_ckpt", trigger=None))
+    return J.windows_of(spark, f"{base}/counts").select(*S.METRIC_COLUMNS)
+
+
 @plan("stream_metric_events", sql=f"""
 {Q.with_metrics('1h')}, {CLOSED_SQL}
 SELECT service_id AS key, service_id, window_start, request_count, 'metric' AS event_type, '1' AS event_version,

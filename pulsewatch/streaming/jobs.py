@@ -36,6 +36,7 @@ from .. import schemas as S
 from ..functions import exprs as X
 from ..operators import alerts as AL
 from ..operators import constraints as CN
+from ..operators import metrics as MX
 from ..operators import quality as QY
 from ..session import cut_lineage
 from ..sources import io as IO
@@ -106,6 +107,34 @@ def metrics_stream(api_logs: DataFrame, lateness: str = "10 minutes", size: str
         F.current_timestamp().alias("computed_at"))
 
 
+def histograms_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """J1/F2 as a foreachBatch writer over api_logs: each batch adds the exact
+    1-minute latency histograms of its logs, by date.  Every window size is
+    merged from them, and a late log only adds to its minute, so nothing is
+    repaired from raw logs."""
+    def write(logs: DataFrame, batch_id: int) -> None:
+        counts = MX.window_counts(logs).withColumn("date", F.to_date("base_start"))
+        batch_sink(path, ("date",))(counts, batch_id)
+    return write
+
+
+def windows_of(spark, path: str, sizes=S.WINDOW_SIZES, since=None, until=None) -> DataFrame:
+    """Metric rows of the windows that start in ``[since, until)``, merged from
+    the stored histograms; the dates of that range alone are read."""
+    step = F.expr(f"INTERVAL {max(S.WINDOW_MINUTES[s] for s in sizes)} MINUTES")
+    counts = spark.read.schema(f"{MX.COUNTS}, batch_id long, date date").option("basePath", path).parquet(path)
+    if since is not None:
+        at = F.lit(since).cast("timestamp")
+        counts = counts.filter((F.col("date") >= F.to_date(at)) & (F.col("base_start") >= at))
+    if until is not None:
+        at = F.lit(until).cast("timestamp")
+        counts = counts.filter((F.col("date") <= F.to_date(at + step)) & (F.col("base_start") < at + step))
+    rows = MX.windows_from_counts(counts, sizes)
+    if since is not None:  # windows that began before have only a part of their minutes here
+        rows = rows.filter(F.col("window_start") >= F.lit(since).cast("timestamp"))
+    return rows if until is None else rows.filter(F.col("window_start") < F.lit(until).cast("timestamp"))
+
+
 def metric_events(metrics: DataFrame) -> DataFrame:
     """Metric rows as envelope JSON keyed by service id."""
     payload = F.struct(*[F.col(c) for c in S.METRIC_COLUMNS])
