@@ -317,3 +317,24 @@ def api_logs_ingest(spark, sf_dir):
     IO.append_api_logs(rows, path, order=("event_id", "delivery"))
     back = spark.read.parquet(path)
     return back.groupBy("date", "service_id").agg(F.count(F.lit(1)).alias("requests"))
+
+
+TAIL_ROWS, TAIL_STRETCH = 150, 6
+
+
+@plan("metrics_tail", sql=f"""
+{Q.with_metrics('1h')},
+m AS (SELECT service_id, strftime(to_timestamp(epoch(TIMESTAMP '2024-01-01') + {TAIL_STRETCH} * (epoch(window_start) - epoch(TIMESTAMP '2024-01-01'))) AT TIME ZONE 'UTC', '%Y-%m') AS month
+      FROM metrics),
+n AS (SELECT service_id, month, count(*) AS rows_read FROM m GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(rows_read) OVER (PARTITION BY service_id ORDER BY month DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM n)
+SELECT service_id, month, rows_read FROM c
+WHERE newer < {TAIL_ROWS} AND service_id IN (SELECT service_id FROM n WHERE month = (SELECT max(month) FROM n))""")
+def metrics_tail(spark, sf_dir):
+    """The newest rows of every service from the stored table (here spread
+    over half a year): which months are read for which service."""
+    m = metrics_of(spark, sf_dir, "1h").withColumn("window_start", F.timestamp_seconds(
+        F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + TAIL_STRETCH * (F.unix_timestamp("window_start") - F.unix_timestamp(F.lit("2024-01-01 00:00:00")))))
+    table = VT.MetricsTable(spark, scratch_path(spark, f"metrics-tail-{uuid.uuid4().hex}"))
+    table.upsert(m)
+    return table.read_tail("1h", TAIL_ROWS).groupBy("service_id", F.date_format("window_start", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("rows_read"))

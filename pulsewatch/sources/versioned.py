@@ -148,6 +148,28 @@ class MetricsTable:
             df = df.filter(F.col("window_start") < F.lit(until).cast("timestamp"))
         return df if service_id is None else df.filter(F.col("service_id") == service_id)
 
+    def read_tail(self, window_size: str, n: int, services: DataFrame | None = None, key: str = "service_id") -> DataFrame:
+        """At least the newest ``n`` rows of each service (all it has, if fewer),
+        by whole months: the newest month is read, then older ones, each only for
+        the services that still lack rows, until none does (G8).  ``services``
+        are the ids to serve; by default those with a row in the newest month."""
+        from ..session import cut_lineage
+        mine = [p for p in self.parts() if p.window_size == window_size]
+        out, lacking = None, None if services is None else cut_lineage(services.select(F.col(key).alias("service_id")).distinct().withColumn("have", F.lit(0).cast("long")))
+        for month in sorted({p.month for p in mine}, reverse=True):
+            rows = self._merged([p for p in mine if p.month == month])
+            if lacking is not None:
+                if lacking.isEmpty():
+                    break
+                rows = rows.join(lacking.select("service_id"), "service_id", "left_semi")
+            counts = rows.groupBy("service_id").agg(F.count(F.lit(1)).alias("got"))
+            if lacking is None:
+                lacking = counts.select("service_id", F.lit(0).cast("long").alias("have"))
+            lacking = cut_lineage(lacking.join(counts, "service_id", "left").select("service_id", (F.col("have") + F.coalesce("got", F.lit(0))).alias("have"))
+                                  .where(F.col("have") < n))
+            out = rows if out is None else out.unionByName(rows)
+        return out if out is not None else self._merged([])
+
     # ---- changes ----
 
     def upsert(self, df: DataFrame) -> None:

@@ -75,3 +75,16 @@ def test_writers_of_one_number_collide(spark, tmp_path):
     two._commits = lambda: []
     with pytest.raises(Exception, match="(?i)exist"):
         two._commit([], [])
+
+
+def test_tail_reads_older_months_only_where_rows_lack(spark, tmp_path):
+    table = MetricsTable(spark, str(tmp_path / "m"))
+    table.upsert(rows(spark, 1, [("a", d, "1m") for d in range(0, 100, 2)] + [("b", d, "1m") for d in (0, 40, 95)] + [("gone", 3, "1m"), ("gone", 4, "1m"), ("a", 1, "1h")]))
+    got = content(table)
+    tail = {(r.service_id, (r.window_start - DAY).days) for r in table.read_tail("1m", 10).collect()}
+    assert {d for s, d in tail if s == "b"} == {0, 40, 95}                       # all it has
+    assert len([d for s, d in tail if s == "a"]) >= 10 and ("a", 0) not in tail   # its oldest month is not read
+    assert {d for s, d in tail if s == "a"} >= set(range(80, 100, 2)) and "gone" not in {s for s, _ in tail}
+    asked = spark.createDataFrame([("gone",), ("nobody",)], "service_id string")
+    assert {(r.service_id, (r.window_start - DAY).days) for r in table.read_tail("1m", 1, asked).collect()} == {("gone", 3), ("gone", 4)}
+    assert MetricsTable(spark, str(tmp_path / "none")).read_tail("1m", 5).count() == 0 and got
