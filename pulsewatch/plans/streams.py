@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..operators import views as V
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from ..sources import versioned as VT
 from ..streaming import jobs as J
 from . import sqlparts as Q
-from .alerting import LIFECYCLE_SQL
+from .alerting import LIFECYCLE_SQL, lifecycle
 from .core import metrics_of
 from .ingest import FEED, VALID, sql_dedup_key
 from .registry import plan
@@ -167,3 +168,33 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     logs = spark.read.parquet(f"{base}/api_logs").select(
         "dedup_key", "service_id", "endpoint", "status_code", "response_time_ms", "request_timestamp", "date")
     return logs, spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/dlq")
+
+
+@plan("outgoing_events", sql=f"""
+{Q.with_metrics('1h')}, {LIFECYCLE_SQL},
+sent AS (
+  SELECT 'alert' AS event_type, 'analytics-service' AS producer, service_id AS key, id AS subject, severity AS detail FROM alerts_out
+  UNION ALL SELECT 'prediction', 'ml-service', service_id, 'anomaly', '{S.HEURISTIC_MODEL_VERSION}' FROM metrics
+  UNION ALL SELECT 'service_health', 'ml-service', service_id, service_id, NULL FROM (SELECT DISTINCT service_id FROM metrics))
+SELECT event_type, producer, key, subject, detail, count(*) AS n FROM sent GROUP BY ALL""")
+def outgoing_events(spark, sf_dir):
+    """Alert, prediction and service-health events written beside the
+    rows they tell of (a second delivery of a batch replaces its events), read
+    back and parsed."""
+    base = scratch_path(spark, f"outgoing-{uuid.uuid4().hex}")
+    m = metrics_of(spark, sf_dir, "1h")
+    rows = {"alert": (lifecycle(spark, sf_dir).withColumn("message", F.lit("m")), J.alert_events),
+            "prediction": (V.anomaly_predictions(m), J.prediction_events), "health": (V.health_tile(m, "1h"), J.health_events)}
+    out = None
+    for name, (df, make) in rows.items():
+        write = J.with_events(J.batch_sink(f"{base}/{name}"), f"{base}/{name}-events", make)
+        write(df, 0)
+        write(df, 0)
+        sent = spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/{name}-events")
+        out = sent if out is None else out.unionByName(sent)
+    payload = "service_id string, alert_id string, severity string, module string, model_version string"
+    e = out.select("key", F.from_json("value", f"event_type string, event_version string, producer string, payload struct<{payload}>").alias("e")) \
+        .where((F.col("key") == F.col("e.payload.service_id")) & (F.col("e.event_version") == "1"))
+    return e.select("e.event_type", "e.producer", "key", F.coalesce("e.payload.alert_id", "e.payload.module", "key").alias("subject"),
+                    F.coalesce("e.payload.severity", "e.payload.model_version").alias("detail")) \
+        .groupBy("event_type", "producer", "key", "subject", "detail").agg(F.count(F.lit(1)).alias("n"))

@@ -160,6 +160,17 @@ def prediction_events(predictions: DataFrame) -> DataFrame:
                    occurred_at=F.col("generated_at"), key=F.col("service_id")).select("key", "value")
 
 
+def with_events(sink: Callable[[DataFrame, int], None], events_path: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that stores a batch by ``sink`` and then
+    writes the outgoing events ``make`` forms of it (alert, prediction or health
+    envelopes), per batch id, so a replayed batch replaces its own events."""
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = cut_lineage(df)
+        sink(rows, batch_id)
+        batch_sink(events_path)(make(rows), batch_id)
+    return write
+
+
 def metrics_sink(path: str, events_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """Upsert the emitted windows into the merge-on-read metrics table
     (a batch writes its own rows, no month is rewritten); with ``events_path``
