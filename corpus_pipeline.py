@@ -20,14 +20,17 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under one half."""
+    """Documents whose toxicity score is under one half.  Null and empty texts
+    are scored as texts without words, repeated rows each for itself; columns go
+    through as they are, an empty table stays empty."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), score_col="__score", predicted_col="__predicted")
     return scored.where("__predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies the document with the smallest id
-    (ids missing: by the text's hash)."""
+    (ids missing: by the text's hash).  Null and empty texts are copies of each
+    other, and of rows alike in id and text one stays; an empty table stays empty."""
     hashed = docs.withColumn("__hash", F.xxhash64("text"))
     found = simhash.near_duplicates(hashed, shingle_words=4, distance=4, keep=("__hash",))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "__hash"))
@@ -38,7 +41,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by a mark and n_chars counted again."""
+    """All documents, secrets replaced by a mark and n_chars counted again where
+    that happened.  Null and empty texts hold no secret and stay as they are,
+    repeated rows stay repeated, an empty table stays empty."""
     found = secrets_crf.find_secrets(docs, out_col="__secrets")
     masked = found.withColumn("__text", secrets_crf.mask("text", "__secrets"))
     if "n_chars" in docs.columns:
@@ -48,12 +53,15 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; a null source is a source of
+    its own.  Texts without words weigh nothing, rows alike in id, source and size
+    share their copies in the order of their texts, an empty table stays empty."""
     return mixing.apply_copies(docs, mixing.mix(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
+    """Token ids of every document; null and empty texts have none, repeated rows
+    stay repeated, an empty table stays empty."""
     return bpe.encode(docs, vocabulary("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), want=("n_tokens", "ids"))
 
 
