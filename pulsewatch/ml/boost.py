@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_code
 
 MAX_BINS = 256
 ROWS_PER_TASK = 1 << 20
@@ -227,6 +227,7 @@ class Boosted:
 
     def transform(self, df: DataFrame, target: int = 0, out: str | None = None) -> DataFrame:
         """Add ``prediction`` (the mean) or, for a classifier, ``probability``."""
+        ship_code(df.sparkSession)
         mine = self.nodes[self.nodes["target"] == target]
         depth, size = self.settings.max_depth, (1 << (self.settings.max_depth + 1)) - 1
         trees = []
@@ -288,6 +289,7 @@ def fit(train: DataFrame, cols: list[str], targets: list[str], key: list[str], s
     ``key`` names the columns that tell rows apart (for the row samples).
     ``rounds`` trees a stage; ``tasks`` overrides their spread."""
     spark = train.sparkSession
+    ship_code(spark)
     scaler = scaler_for(cols).fit(train)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = scaler.transform(train).select(vector_to_array("features").alias("x"), F.array(*[F.col(t).cast("double") for t in targets]).alias("y"),

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_code
+
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int")
 
 
@@ -70,6 +72,7 @@ def _grow(tree_id: int, x: np.ndarray, max_depth: int) -> list[tuple]:
 def fit(df: DataFrame, feature_cols: list[str], key_cols: list[str], n_trees: int = 200,
         max_samples: int = 256, seed: int = 42) -> DataFrame:
     """Grow the forest; returns the node table (bounded size)."""
+    ship_code(df.sparkSession)
     n = df.count()
     psi = int(min(max_samples, n))
     rate = min(1.0, 2.0 * psi / max(n, 1))
@@ -125,6 +128,7 @@ def _walk(trees: list[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
 def score(df: DataFrame, forest: DataFrame, feature_cols: list[str], out: str = "iso_score") -> DataFrame:
     """Add the isolation score (0..1, higher = more anomalous)."""
     spark = df.sparkSession
+    ship_code(spark)
     rows = forest.collect()            # bounded: trees x (2 psi - 1) node rows
     psi = rows[0]["psi"] if rows else 256
     bc = spark.sparkContext.broadcast(_arrays(pd.DataFrame([r.asDict() for r in rows])))  # arrays built once, here

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -79,6 +80,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base.rstrip("/"), name)
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, so that
+    Python workers import it by name wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="pulsewatch-code-"), "pulsewatch_package.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(package):
+            for n in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, n)
+                z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    sc.addPyFile(out)
+    _shipped.add(sc.applicationId)
+
+
 def as_output(df: DataFrame) -> DataFrame:
     """Cast TIMESTAMP columns to TIMESTAMP_NTZ so results read the same in any zone."""
     cols = []

@@ -38,7 +38,7 @@ from ..operators import alerts as AL
 from ..operators import constraints as CN
 from ..operators import metrics as MX
 from ..operators import quality as QY
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_code
 from ..sources import io as IO
 from ..sources import versioned as VT
 
@@ -282,6 +282,7 @@ def alerts_stream(metrics: DataFrame, window_size: str = "1m", p99_ms: float = S
     event-time timeout wakes a service whose waiting rows or silent window
     have become due (the "no row" rule).
     """
+    ship_code(metrics.sparkSession)
     step_us = S.WINDOW_MINUTES[window_size] * 60_000_000
     m = metrics.filter(F.col("window_size") == window_size).select(
         "service_id", "window_start", F.col("response_time_p99").cast("double").alias("response_time_p99"),
