@@ -173,6 +173,65 @@ def test_pivotal_rounding_is_fair_and_uses_levels(spark):
     assert sum(len(v) > 1 for v in seen.values()) > 50  # the choice is random by seed
 
 
+def plain_pivot(items, uniform):
+    """The fold by hand: (key, size, p) in order to {key: take} and what is left."""
+    take, held = {}, None
+    for key, size, p in items:
+        if held is None:
+            held = (key, size, p)
+            continue
+        a, sa, pa = held
+        up, down = min((1 - pa) * sa, p * size), min(pa * sa, (1 - p) * size)
+        if uniform(a, key) * (up + down) < down:  # words go to the held one
+            if (1 - pa) * sa <= p * size:
+                take[a], held = 1, (key, size, p - (1 - pa) * sa / size)
+            else:
+                take[key], held = 0, (a, sa, pa + p * size / sa)
+        elif pa * sa <= (1 - p) * size:
+            take[a], held = 0, (key, size, p + pa * sa / size)
+        else:
+            take[key], held = 1, (a, sa, pa - (1 - p) * size / sa)
+    return take, held
+
+
+def test_pivot_against_a_plain_fold(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    rows = [(g, [(i, int(rng.integers(1, 400)), float(rng.uniform(0.01, 0.99))) for i in range(n)]) for g, n in enumerate((0, 1, 2, 3, 40, 256))]
+    d = spark.createDataFrame(rows, "g int, items array<struct<key:bigint,size:bigint,p:double>>")
+    pairs = [(g, a, b) for g, items in rows for a in range(len(items)) for b in range(a + 1, len(items))]
+    u = {tuple(r[:3]): r[3] for r in spark.createDataFrame(pairs, "g int, a bigint, b bigint").select(
+        "g", "a", "b", F.expr("pmod(xxhash64(g, a, b), 9007199254740992) / 9007199254740992D")).collect()}
+    for r in d.select("g", "items", mixing._pivot("items", "g").alias("fold")).collect():
+        take, held = plain_pivot(rows[r.g][1], lambda a, b: u[r.g, a, b])
+        assert {x.key: x.take for x in r.fold.done} == take
+        if held is None:
+            assert r.fold.key is None
+        else:
+            assert (r.fold.key, r.fold.size) == held[:2] and abs(r.fold.p - held[2]) < 1e-9
+            before = sum(s * p for _, s, p in rows[r.g][1])
+            assert abs(before - sum(rows[r.g][1][k][1] for k, t in take.items() if t) - held[1] * held[2]) < 1e-6  # words are kept
+
+
+def test_mix_of_rows_that_agree(spark, monkeypatch):
+    """Repeated rows and rows without an id are counted, not gathered."""
+    monkeypatch.setattr(mixing, "EQUAL", 100)
+    rows = [(None, "a b c d e", "s")] * 730 + [(7, "a b c", "s")] * 251 + [(i, "w " * (1 + i % 40), "s") for i in range(100, 400)] + [(i, "u v", "t") for i in range(900, 950)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d, weights=(1, 1), share=0.9).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(d.repartition(9), weights=(1, 1), share=0.9).collect()), key=str)
+    assert len(got) == len(rows)
+    for s in ("s", "t"):
+        mine = [r for r in got if r.source == s]
+        ratio = mine[0].target / mine[0].source_size
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 20
+        for key in {(r.doc_id, r["size"]) for r in mine}:
+            same = [r.copies for r in mine if (r.doc_id, r["size"]) == key]
+            assert all(int(ratio) <= c <= int(ratio) + 1 for c in same)
+            assert abs(sum(same) - len(same) * ratio) < -(-len(same) // 100) + 1  # a fraction is open for each item only
+    assert mixing.apply_copies(d, mixing.mix(d, weights=(1, 1), share=0.9)).count() == sum(r.copies for r in got)
+
+
 def test_mix_odd_rows(spark):
     rows = mixing.mix(docs(spark)).collect()
     assert len(rows) == len(TEXTS) and all(r.taken == 0 and r.copies == 1 for r in rows if r["size"] == 0)
