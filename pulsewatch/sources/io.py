@@ -84,11 +84,13 @@ MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def write_api_logs(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by request date.  No shuffle by date (one day would land in
-    one task): every task sorts its rows by (date, service, time) and writes
-    its own files into each date directory, capped per file; the sort gives
-    tight parquet min/max stats for service and time predicates."""
+    """Partitioned by request date.  Rows are rebalanced by date first: AQE packs
+    the few rows of late days into one task and splits a day that is too large for
+    one, so a batch writes about one file per date it touches and no task holds a
+    hot day.  Files are capped and sorted by (service, time); a file spans the time
+    of its batch only, so its min/max stats prune service and time predicates."""
     (df.withColumn("date", F.to_date("request_timestamp"))
+       .hint("rebalance", "date")
        .sortWithinPartitions("date", "service_id", "request_timestamp")
        .write.mode(mode).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
        .partitionBy("date").parquet(path))
@@ -103,6 +105,36 @@ def read_api_logs(spark: SparkSession, path: str, since=None, until=None) -> Dat
     return df.drop("date")
 
 
+SPANS, HOUR = 64, 3_600_000_000
+
+
+def time_spans(batch: DataFrame) -> list[tuple[int, int]]:
+    """Disjoint spans of time (microseconds, the end left out) that hold every
+    request second of ``batch``: hours in a row make one span, and with more than
+    SPANS of them those with the smallest gaps are joined, so a live batch with a
+    few late logs has a few short spans and a backfill has one.  What comes to the
+    driver is two numbers per hour of the calendar that the batch touches."""
+    at = F.unix_micros(F.date_trunc("second", "request_timestamp"))
+    hours = batch.filter(F.col("request_timestamp").isNotNull()).groupBy(F.floor(at / HOUR).alias("hour")) \
+        .agg(F.min(at).alias("first"), (F.max(at) + 1_000_000).alias("last")).orderBy("first").collect()
+    gaps = sorted(((b["first"] - a["last"], i + 1) for i, (a, b) in enumerate(zip(hours, hours[1:]))), reverse=True)
+    cuts = sorted(i for gap, i in gaps[:SPANS - 1] if gap > HOUR)
+    starts, ends = [0, *cuts], [*cuts, len(hours)]
+    return [(hours[i]["first"], hours[j - 1]["last"]) for i, j in zip(starts, ends)] if hours else []
+
+
+def stored_keys(spark: SparkSession, path: str, batch: DataFrame) -> DataFrame:
+    """(date, dedup_key) of the stored logs that rows of ``batch`` (with ``date``)
+    could repeat: those of its dates (a static partition filter) within its spans
+    of time, which the parquet reader holds against the stats of files and pages.
+    So a batch reads keys in proportion to the time it covers, not whole days."""
+    days = [r[0] for r in batch.select("date").distinct().collect()]
+    inside = F.lit(False)
+    for first, last in time_spans(batch):
+        inside = inside | ((F.col("request_timestamp") >= F.timestamp_micros(F.lit(first))) & (F.col("request_timestamp") < F.timestamp_micros(F.lit(last))))
+    return spark.read.parquet(path).filter(F.col("date").isin(days) & inside).select("date", "dedup_key")
+
+
 # ---- A6 / A7 metrics scan -------------------------------------------------------
 
 def _month(ts: Column) -> Column:
@@ -311,9 +343,9 @@ def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFra
     table already holds, append partitioned by date.  Returns the new rows.
 
     A computed key contains the request time cut to seconds, so its duplicate
-    always falls on the same request date: that check reads only the date
-    partitions the batch touches (a static partition filter built from the
-    batch's distinct dates -- one value per calendar day, a bounded list).  A
+    always falls in the same second: that check reads the keys of the spans of
+    time the batch covers (``stored_keys``), and reads them from the log table
+    itself, so a load that ended half-way is met when it is replayed.  A
     key that a client supplied (``client_dedup_key``) may come back on any
     date: those keys alone are kept in a table beside the logs, bucketed by
     their hash, and a batch is held against the buckets its own keys fall in.
@@ -330,9 +362,7 @@ def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFra
     bucket = F.pmod(F.xxhash64("dedup_key"), F.lit(CLIENT_KEY_BUCKETS)).cast("int").alias("bucket")
     fresh = staged
     if table_exists(spark, path):
-        days = [r[0] for r in staged.select("date").distinct().collect()]
-        held = spark.read.parquet(path).filter(F.col("date").isin(days)).select("date", "dedup_key")
-        fresh = fresh.join(held, ["date", "dedup_key"], "left_anti")
+        fresh = fresh.join(stored_keys(spark, path, staged), ["date", "dedup_key"], "left_anti")
     keys_path = client_keys_path(path)
     mine = staged.filter(supplied).select("dedup_key", bucket)
     any_supplied = "client_dedup_key" in staged.columns and not mine.isEmpty()

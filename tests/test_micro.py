@@ -425,6 +425,43 @@ def test_append_api_logs_dedups_within_touched_dates(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan and "2024-01-02" in plan
 
 
+def test_key_check_reads_the_time_of_the_batch(spark, tmp_path):
+    """A live batch with one late log opens two short spans, not two days."""
+    from pulsewatch.sources import io as IO
+    day1, day2 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    def rows(items):
+        return spark.createDataFrame([(f"k{t.isoformat()}{n}", t, i, "s") for i, (t, n) in enumerate(items)],
+                                     "dedup_key string, request_timestamp timestamp, seq int, service_id string")
+    path = str(tmp_path / "logs")
+    for day in (day1, day2):        # one batch an hour, as a live stream writes
+        for h in range(0, 24, 3):
+            IO.append_api_logs(rows([(day + dt.timedelta(hours=h, minutes=m), "") for m in range(0, 60, 10)]), path, order=("seq",))
+    late, live = day1 + dt.timedelta(hours=3, minutes=20), day2 + dt.timedelta(hours=21, minutes=50)
+    batch = rows([(late, ""), (live, ""), (live, "new"), (live + dt.timedelta(minutes=5, microseconds=7), ""), (late, "new")])
+    assert len(IO.time_spans(batch)) == 2
+    keys = IO.stored_keys(spark, path, batch.withColumn("date", F.to_date("request_timestamp")))
+    assert sorted(r.dedup_key for r in keys.collect()) == [f"k{late.isoformat()}", f"k{live.isoformat()}"]
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(request_timestamp" in plan.split("PushedFilters")[1]
+    assert IO.append_api_logs(batch, path, order=("seq",)).count() == 3
+    assert IO.append_api_logs(batch, path, order=("seq",)).count() == 0   # replayed
+    assert spark.read.parquet(path).count() == 2 * 8 * 6 + 3
+
+
+def test_time_spans_hold_every_row_and_stay_few(spark):
+    from pulsewatch.sources import io as IO
+    base = dt.datetime(2024, 1, 1)
+    times = [base + dt.timedelta(hours=5 * i, seconds=i % 7, microseconds=i) for i in range(400)]
+    d = spark.createDataFrame([(t,) for t in [*times, None]], "request_timestamp timestamp")
+    spans = IO.time_spans(d)
+    assert len(spans) == IO.SPANS and all(a < b for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+    micros = [r[0] for r in d.dropna().select(F.unix_micros("request_timestamp")).collect()]
+    assert all(any(a <= m < b for a, b in spans) for m in micros)
+    assert IO.time_spans(d.limit(0)) == []
+    hourly = spark.createDataFrame([(base + dt.timedelta(minutes=40 * i),) for i in range(100)], "request_timestamp timestamp")
+    assert len(IO.time_spans(hourly)) == 1
+
+
 def test_append_api_logs_client_key_on_two_dates(spark, tmp_path):
     from pulsewatch.sources import io as IO
     def rows(items):
