@@ -179,7 +179,8 @@ class WordTokenizer(Vocabulary):
         self.pre_tokens = regex.compile(WORD_PATTERN).findall
         self.pieces = re.compile(f"[^{SPACE}]+").findall
         self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple[int, str, str, bytes]] = {}
+        self.known: dict[str, tuple] = {}
+        self.wanted: tuple[str, ...] = ()
 
     def _plain(self, text: str) -> list[int]:
         if not text.isascii():
@@ -210,13 +211,15 @@ class WordTokenizer(Vocabulary):
         """The pieces between white space."""
         return text.split() if not ODD_SPACE(text) else self.pieces(text)
 
-    def describe(self, piece: str) -> tuple[int, str, str, bytes]:
-        """(tokens, ids in decimal joined by spaces, decoded text, ids as
-        32-bit integers) of a piece."""
+    def describe(self, piece: str, want: tuple[str, ...]) -> tuple:
+        """The wanted outputs of a piece: tokens, ids in decimal joined by
+        spaces, decoded text, ids as 32-bit integers."""
         hit = self.known.get(piece)
         if hit is None:
             ids = self.encode_piece(piece)
-            hit = remember(self.known, piece, (len(ids), " ".join(map(str, ids)), self.decode(ids), array("i", ids).tobytes()))
+            make = {"n_tokens": lambda: len(ids), "ids_text": lambda: " ".join(map(str, ids)), "decoded": lambda: self.decode(ids),
+                    "ids": lambda: array("i", ids).tobytes()}
+            hit = remember(self.known, piece, tuple([make[w]() for w in want]))
         return hit
 
     def encode(self, text: str) -> list[int]:
@@ -233,11 +236,11 @@ class WordTokenizer(Vocabulary):
 
     def columns(self, text: str, want: tuple[str, ...]) -> list:
         """The wanted outputs of one text: ids, ids_text, decoded, n_tokens."""
-        pieces = self.cut(text)
-        counts, ids_text, decoded, ids = zip(*map(self.describe, pieces)) if pieces else ((), (), (), ())
-        make = {"n_tokens": lambda: sum(counts), "ids_text": lambda: " ".join(ids_text), "decoded": lambda: " ".join(decoded),
-                "ids": lambda: np.frombuffer(b"".join(ids), np.int32)}
-        return [make[w]() for w in want]
+        if want != self.wanted:  # the table holds what is wanted and nothing else
+            self.known, self.wanted = {}, want
+        parts = list(zip(*[self.describe(p, want) for p in self.cut(text)])) or [()] * len(want)
+        join = {"n_tokens": sum, "ids_text": " ".join, "decoded": " ".join, "ids": lambda ids: np.frombuffer(b"".join(ids), np.int32)}
+        return [join[w](part) for w, part in zip(want, parts)]
 
 
 @functools.lru_cache(maxsize=4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,14 +70,17 @@ _held: dict[str, Callable[[], None]] = {}
 def claim(owner: str, clear: Callable[[], None]) -> None:
     """Say in a Python worker that ``owner``'s tables are in use; those that
     other operators left there are cleared, so a worker that runs several
-    operators in turn holds the tables of one."""
+    operators in turn holds the tables of one, and Arrow's unused memory goes back."""
     for other in [o for o in _held if o != owner]:
         _held.pop(other)()
     _held[owner] = clear
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
-#: Texts handed to a text function at once: bounds its memory and its output batch.
-BATCH_CHARS = 2_000_000
+#: UTF-8 bytes of the texts made into strings and handed to a text function at
+#: once (or one longer text): bounds its memory and its output batch.
+BATCH_BYTES = 2_000_000
 
 
 def map_texts(df: DataFrame, text_col: str, outputs: list[T.StructField], start: Callable[[], Callable[[list[str]], list[list]]],
@@ -93,15 +98,15 @@ def map_texts(df: DataFrame, text_col: str, outputs: list[T.StructField], start:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            low, chars = 0, 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars >= BATCH_CHARS or i == len(texts) - 1:
+            at = batch.schema.get_field_index(text_col)
+            low, taken = 0, 0
+            for i, n_bytes in enumerate(pc.binary_length(batch.column(at)).to_pylist()):
+                taken += n_bytes or 0
+                if taken >= BATCH_BYTES or i == batch.num_rows - 1:
                     part = batch.slice(low, i + 1 - low)
-                    made = work(texts[low:i + 1])
+                    made = work([t or "" for t in part.column(at).to_pylist()])
                     arrays = [part.column(part.schema.get_field_index(n)) for n in names] + [pa.array(c, k) for c, k in zip(made, kinds)]
                     yield pa.RecordBatch.from_arrays(arrays, names=labels)
-                    low, chars = i + 1, 0
+                    low, taken = i + 1, 0
 
     return df.mapInArrow(run, schema)
