@@ -23,6 +23,7 @@ from ..operators import alerts as AL
 from ..operators import features as FE
 from ..operators import maintain as MT
 from ..operators import quality as QY
+from ..session import cut_lineage
 from ..sources import io as IO
 from . import boost as BO
 from . import evaluate as EV
@@ -184,19 +185,25 @@ def train(spark: SparkSession, metrics: DataFrame, store: str, modules=None, day
           services: DataFrame | None = None, params: dict | None = None) -> DataFrame:
     """Train the modules (default all) on the last ``days`` of the metric
     rows, save each with every artifact (A12) and return their run rows (A11),
-    newest per module active.  Unknown modules and empty data are errors."""
+    newest per module active.  Unknown modules and empty data are errors.
+
+    A fit reads its input many times: the metric rows, the features, the alert
+    contexts and the labels are materialised first, each once, so that whatever
+    ``metrics`` and ``labels`` derive from (raw logs) is read once a call."""
     wanted = list(modules or MODULES)
     unknown = [m for m in wanted if m not in TRAINERS]
     if unknown:
         raise ValueError(f"unknown module(s): {unknown}; valid: {list(MODULES)}")
-    rows = metrics.filter(F.col("window_size") == window_size)
+    rows = cut_lineage(metrics.filter(F.col("window_size") == window_size))
     newest = rows.agg(F.max("window_start")).first()[0]
     if newest is None:
         raise ValueError("no metrics to train on")
     if days is not None:
         rows = rows.filter(F.col("window_start") >= F.lit(newest - dt.timedelta(days=days)))
-    features = FE.build_features(rows, lags=lags, rolling=rolling)
-    alerts = AL.label_priority(AL.alert_frequency(AL.alert_candidates(rows, services)))
+    features = cut_lineage(FE.build_features(rows, lags=lags, rolling=rolling)) if set(wanted) - {"alerts"} else None
+    alerts = cut_lineage(AL.label_priority(AL.alert_frequency(AL.alert_candidates(rows, services)))) if "alerts" in wanted else None
+    if labels is not None and "anomaly" in wanted:
+        labels = cut_lineage(labels)
     context = {"horizons": horizons, "labels": labels, "alerts": alerts}
     runs = []
     for m in wanted:

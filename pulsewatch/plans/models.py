@@ -15,17 +15,28 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..ml import jobs as MJ
 from ..operators import alerts as AL
+from ..operators import features as FE
 from ..operators import views as V
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as FX
 from ..sources import io as IO
 from . import sqlparts as Q
-from .alerting import CANDIDATES_SQL, FREQ_SQL, LABEL_SQL, candidates
+from .alerting import CANDIDATES_SQL, FREQ_SQL, LABEL_SQL
 from .core import metrics_of
 from .dashboards import _episodes_sql
-from .features import FAILURE_SQL, FEATURES_SQL, HORIZONS, LAGS, MIN_ROWS, ROLLING, SIZE, features
+from .features import FAILURE_SQL, FEATURES_SQL, HORIZONS, LAGS, MIN_ROWS, ROLLING, SIZE
 from .registry import plan
 
+def hourly(spark, sf_dir):
+    """The metric rows, materialised: training and scoring read them many times,
+    the raw logs are read for them once."""
+    return cut_lineage(metrics_of(spark, sf_dir, SIZE))
+
+
+def features_of(m):
+    return cut_lineage(FE.build_features(m, lags=LAGS, rolling=ROLLING))
+
+
 _stores: dict[tuple[str, str], tuple[str, set[str]]] = {}
 
 
@@ -36,7 +47,7 @@ def trained(spark, sf_dir, *modules: str) -> str:
     missing = [m for m in modules if m not in done]
     if missing:
         ev = FX.read_table(spark, sf_dir, "events")
-        m = metrics_of(spark, sf_dir, SIZE)
+        m = hourly(spark, sf_dir)
         labels = V.label_episodes(m, FX.anomaly_episodes(ev), FX.failure_episodes(ev), window_size=SIZE)
         runs = MJ.train(spark, m, store, modules=missing, days=None, window_size=SIZE, lags=LAGS, rolling=ROLLING, horizons=HORIZONS,
                         labels=labels.select("service_id", "window_start", "is_anomaly"), services=FX.services(spark))
@@ -165,7 +176,8 @@ def model_rollback(spark, sf_dir):
     """Train the failure model twice, go back to the first version; which
     version answers for each service at each step (0: the heuristic)."""
     store = scratch_path(spark, f"models-{uuid.uuid4().hex}")
-    m, f = metrics_of(spark, sf_dir, SIZE), features(spark, sf_dir)
+    m = hourly(spark, sf_dir)
+    f = features_of(m)
     out, names = None, []
 
     def answers(step):
@@ -206,8 +218,9 @@ def score_models(spark, sf_dir):
     alert context with it, the heuristic answering for services without a
     complete row; predictions are appended and read back."""
     store = trained(spark, sf_dir, *MJ.MODULES)
-    m, f = metrics_of(spark, sf_dir, SIZE), features(spark, sf_dir)
-    contexts = AL.label_priority(AL.alert_frequency(candidates(spark, sf_dir)))
+    m = hourly(spark, sf_dir)
+    f = features_of(m)
+    contexts = AL.label_priority(AL.alert_frequency(AL.alert_candidates(m, FX.services(spark))))
     out = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
     for module in ("health", *MJ.MODULES):
         IO.write_predictions(MJ.score(spark, module, m, store, f, SIZE, MIN_ROWS, contexts=contexts), out)

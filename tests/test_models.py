@@ -10,6 +10,7 @@ from pulsewatch.ml import models as ML
 from pulsewatch.operators import alerts as AL
 from pulsewatch.operators import features as FE
 from pulsewatch.plans import load_all
+from pulsewatch.session import cut_lineage
 
 from .conftest import SF_MED
 
@@ -67,6 +68,25 @@ def test_train_store_and_score_every_module(spark, tmp_path):
     assert {r.model_version for r in MJ.score(spark, "failure", m, str(tmp_path / "none"), f, "1h", 39).collect()} == heuristic
 
 
+def test_training_reads_what_it_is_given_once(spark, tmp_path):
+    """However many passes a fit makes, the rows that metrics and labels derive from are read once."""
+    def counted(df):
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches):
+            for pdf in batches:
+                seen.add(len(pdf))
+                yield pdf
+        return df.mapInPandas(count, df.schema), seen
+
+    m = cut_lineage(metrics_of(spark, SF_MED, "1h"))
+    labels = m.select("service_id", "window_start", (F.col("error_rate") > 0.5).alias("is_anomaly"))
+    (rows, seen), (marks, marks_seen) = counted(m), counted(labels)
+    MJ.train(spark, rows, str(tmp_path / "store"), modules=["failure", "anomaly"], days=None, window_size="1h", lags=LAGS, rolling=ROLLING,
+             horizons=HORIZONS, labels=marks, params={"failure": {"max_iter": 2, "max_depth": 2}, "anomaly": {"n_trees": 10}})
+    assert seen.value == marks_seen.value == m.count()
+
+
 def test_priority_scoring(spark):
     lab = AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED)))
     model, _ = ML.train_priority(lab, n_trees=10, max_depth=5)
