@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import views as V
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import fixtures as FX
 from ..sources import versioned as VT
 from ..streaming import jobs as J
@@ -29,13 +29,19 @@ ALERT_LATENESS_MINUTES = 360
 ALERT_DELAY_HOURS = 5      # windows arrive up to so many hours late
 
 
-def _deliver(rows: DataFrame, batch: str, folder: str, run) -> None:
-    """Append each batch of ``rows`` to ``folder`` and run the query over it."""
+def _deliver(part, folder: str, run) -> None:
+    """Append each batch, ``part`` of its number, to ``folder`` and run the query over it."""
     for b in range(BATCHES):
-        rows.where(F.col(batch) == b).drop(batch).write.mode("append").parquet(folder)
+        part(b).write.mode("append").parquet(folder)
         run().awaitTermination()
 
 
+def _parts(rows: DataFrame):
+    """The rows of a batch by its number, which they bear in ``batch``.  The rows are
+    derived anew for each batch: for tables, or rows that are stored."""
+    return lambda b: rows.where(F.col("batch") == b).drop("batch")
+
+
 def _source(rows: DataFrame, folder: str) -> DataFrame:
     """A stream over a folder that holds no delivery yet."""
     empty = rows.drop("batch").limit(0)
@@ -52,7 +58,7 @@ def run_metrics(spark: SparkSession, sf_dir: str, size: str) -> str:
     stream = _source(ev, f"{base}/in")
     m = J.metrics_stream(FX.api_logs(stream), lateness=f"{LOG_LATENESS_MINUTES} minutes", size=size)
     sink = J.metrics_sink(f"{base}/metrics", f"{base}/events")
-    _deliver(ev, "batch", f"{base}/in", lambda: J.start(m, sink, f"{base}/_ckpt", trigger=None))
+    _deliver(_parts(ev), f"{base}/in", lambda: J.start(m, sink, f"{base}/_ckpt", trigger=None))
     return base
 
 
@@ -82,7 +88,7 @@ def stream_histograms(spark, sf_dir):
     base = scratch_path(spark, f"stream-histograms-{uuid.uuid4().hex}")
     ev = FX.read_table(spark, sf_dir, "events").withColumn("batch", F.pmod("event_id", F.lit(BATCHES)))
     stream = FX.api_logs(_source(ev, f"{base}/in"))
-    _deliver(ev, "batch", f"{base}/in", lambda: J.start(stream, J.histograms_sink(f"{base}/counts"), f"{base}/_ckpt", trigger=None))
+    _deliver(_parts(ev), f"{base}/in", lambda: J.start(stream, J.histograms_sink(f"{base}/counts"), f"{base}/_ckpt", trigger=None))
     return J.windows_of(spark, f"{base}/counts").select(*S.METRIC_COLUMNS)
 
 
@@ -122,10 +128,10 @@ def stream_alerts(spark, sf_dir):
     base = scratch_path(spark, f"stream-alerts-{uuid.uuid4().hex}")
     m = metrics_of(spark, sf_dir, "1h").select(*S.METRIC_COLUMNS)
     late = F.pmod(F.xxhash64("service_id", "window_start"), F.lit(ALERT_DELAY_HOURS + 1)).cast("int")
-    m = m.withColumn("batch", F.least(F.floor((F.dayofmonth(F.col("window_start") + F.make_dt_interval(hours=late)) - 1) / 8), F.lit(BATCHES - 1)))
+    m = cut_lineage(m.withColumn("batch", F.least(F.floor((F.dayofmonth(F.col("window_start") + F.make_dt_interval(hours=late)) - 1) / 8), F.lit(BATCHES - 1))))
     stream = _source(m, f"{base}/in")
     alerts = J.alerts_stream(stream, window_size="1h", lateness_minutes=ALERT_LATENESS_MINUTES)
-    _deliver(m, "batch", f"{base}/in", lambda: J.start(alerts, J.batch_sink(f"{base}/out"), f"{base}/_ckpt", trigger=None))
+    _deliver(_parts(m), f"{base}/in", lambda: J.start(alerts, J.batch_sink(f"{base}/out"), f"{base}/_ckpt", trigger=None))
     return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/out").select(
         "id", "service_id", "triggering_metric", "severity", "message", "opened_at", "closed_at", "event")
 
@@ -160,11 +166,15 @@ def stream_dead_letters(spark, sf_dir):
 
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = scratch_path(spark, f"stream-ingest-{uuid.uuid4().hex}")
-    feed = FX.api_log_envelopes(FX.read_table(spark, sf_dir, "events")) \
-        .select("seq", "delivery", "value", F.pmod("seq", F.lit(BATCHES)).alias("batch"))
-    raw = _source(feed, f"{base}/topic")   # seq and delivery stand for the offset
+    ev = FX.read_table(spark, sf_dir, "events")
+
+    def feed(b: int) -> DataFrame:
+        """Batch b, chosen before the envelopes are made: each is made once.  seq and delivery stand for the offset."""
+        return FX.api_log_envelopes(ev.where(F.pmod("event_id", F.lit(BATCHES)) == b)).select("seq", "delivery", "value")
+
+    raw = _source(feed(0), f"{base}/topic")
     sink = J.ingest_sink(f"{base}/api_logs", f"{base}/dlq", FX.services(spark), arrival=("seq", "delivery"))
-    _deliver(feed, "batch", f"{base}/topic", lambda: J.start(raw, sink, f"{base}/_ckpt", trigger=None))
+    _deliver(feed, f"{base}/topic", lambda: J.start(raw, sink, f"{base}/_ckpt", trigger=None))
     logs = spark.read.parquet(f"{base}/api_logs").select(
         "dedup_key", "service_id", "endpoint", "status_code", "response_time_ms", "request_timestamp", "date")
     return logs, spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/dlq")

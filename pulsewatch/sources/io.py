@@ -338,9 +338,10 @@ def client_keys_path(path: str) -> str:
     return path.rstrip("/") + "-client-keys"
 
 
-def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFrame:
-    """A5/B5 batch ingest: keep the first delivery per dedup key, drop keys the
-    table already holds, append partitioned by date.  Returns the new rows.
+def append_api_logs(df: DataFrame, path: str, order=("ingested_at",), drop: tuple = ()) -> DataFrame:
+    """A5/B5 batch ingest: keep the first delivery per dedup key by ``order``, drop
+    keys the table already holds, append partitioned by date.  Columns of ``drop``
+    (that only order) are not stored.  Returns the new rows.
 
     A computed key contains the request time cut to seconds, so its duplicate
     always falls in the same second: that check reads the keys of the spans of
@@ -356,7 +357,7 @@ def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFra
     from ..operators import quality as QY
     from ..session import cut_lineage
     spark = df.sparkSession
-    staged = cut_lineage(QY.dedup_first(df, order=order).withColumn("date", F.to_date("request_timestamp")))
+    staged = cut_lineage(QY.dedup_first(df, order=order).drop(*drop).withColumn("date", F.to_date("request_timestamp")))
     supplied = F.col("client_dedup_key").isNotNull() & (F.length(F.trim("client_dedup_key")) > 0) \
         if "client_dedup_key" in staged.columns else F.lit(False)
     bucket = F.pmod(F.xxhash64("dedup_key"), F.lit(CLIENT_KEY_BUCKETS)).cast("int").alias("bucket")
@@ -370,7 +371,8 @@ def append_api_logs(df: DataFrame, path: str, order=("ingested_at",)) -> DataFra
         touched = [r[0] for r in mine.select("bucket").distinct().collect()]  # at most CLIENT_KEY_BUCKETS
         known = spark.read.parquet(keys_path).filter(F.col("bucket").isin(touched)).select("dedup_key")
         fresh = fresh.join(known, "dedup_key", "left_anti")
-    fresh = cut_lineage(fresh.drop("date"))   # read before the tables below change
+    # read before the tables below change; what met no table is stored already
+    fresh = fresh.drop("date") if fresh is staged else cut_lineage(fresh.drop("date"))
     write_api_logs(fresh, path, mode="append")
     if any_supplied:
         fresh.filter(supplied).select("dedup_key", bucket).write.mode("append").partitionBy("bucket").parquet(keys_path)

@@ -68,7 +68,9 @@ def ingest_sink(logs_path: str, dlq_path: str, services: DataFrame | None = None
         order = F.struct(*arrival) if arrival else F.monotonically_increasing_id()
         tagged = IO.unwrap(raw.withColumn("_arrival", order)).withColumn("_error", QY.route_error())
         if services is not None:
-            known = services.select(F.col("id").alias("_sid")).distinct().withColumn("_known", F.lit(True))
+            # the ids of the registry alone, sent to every task: a join dealt out by service
+            # would leave the batch, and all that follows, to as many tasks as it has services
+            known = F.broadcast(services.select(F.col("id").alias("_sid")).distinct().withColumn("_known", F.lit(True)))
             tagged = tagged.join(known, F.col("payload.service_id") == F.col("_sid"), "left").withColumn(
                 "_error", F.coalesce("_error", F.when(F.col("_known").isNull(), F.lit("unknown service")))).drop("_sid", "_known")
         rows = QY.default_status(QY.payload_rows(tagged, keep=("value", "_arrival", "_error")))
@@ -77,8 +79,7 @@ def ingest_sink(logs_path: str, dlq_path: str, services: DataFrame | None = None
         batch_sink(dlq_path)(rows.filter(F.col("_error").isNotNull()).select(
             F.col("value").alias("original"), F.col("_error").alias("error"), F.current_timestamp().alias("routedAt")), batch_id)
         kept = QY.parse_user_id(QY.with_dedup_key(rows.filter(F.col("_error").isNull()).drop("value", "_error")))
-        kept = QY.dedup_first(kept, order=("_arrival",)).drop("_arrival")
-        IO.append_api_logs(kept, logs_path, order=("request_timestamp",))
+        IO.append_api_logs(kept, logs_path, order=("_arrival",), drop=("_arrival",))
     return write
 
 

@@ -6,6 +6,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from pulsewatch import schemas as S
+from pulsewatch.session import cut_lineage
 from pulsewatch.sources import fixtures as FX
 from pulsewatch.sources import io as IO
 from pulsewatch.sources import versioned as VT
@@ -38,6 +39,19 @@ def test_ingest_keeps_late_logs_and_takes_replays(spark, tmp_path):
     assert IO.read_api_logs(spark, str(tmp_path / "logs"), since=DAY).count() == 2
 
 
+def test_ingest_tasks_do_not_depend_on_the_number_of_services(spark, tmp_path, monkeypatch):
+    """A batch of one service stays spread as it came, and is stored once."""
+    seen = []
+    monkeypatch.setattr(J, "cut_lineage", lambda df: seen.append(cut_lineage(df)) or seen[-1])
+    texts = [(i, envelope("svc-1", DAY + dt.timedelta(seconds=i // 2))) for i in range(400)]
+    sink = J.ingest_sink(str(tmp_path / "logs"), str(tmp_path / "dlq"), FX.services(spark), arrival=("seq",))
+    sink(spark.createDataFrame(texts, "seq long, value string").repartition(4), 0)
+    sizes = seen[0].rdd.glom().map(len).collect()
+    assert len(sizes) == 4 and all(sizes)
+    logs = spark.read.parquet(str(tmp_path / "logs"))
+    assert logs.count() == 200 and "_arrival" not in logs.columns
+
+
 def events_of(rows, lateness, known=None):
     """Feed (hour, p99) rows batch by batch to the rule, as the state does."""
     out, last, opened, waiting, seen = [], None, {}, {}, None
