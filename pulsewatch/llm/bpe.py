@@ -17,6 +17,7 @@ import json
 import re
 import unicodedata
 from array import array
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,26 @@ def byte_symbols() -> list[str]:
     return out
 
 
+#: Up to so many symbols a scan of all pairs costs less than keeping a tree.
+SHORT = 32
+
+
+def merge_short(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
+    """``merge`` by a scan of the pairs' ranks at each step: the same ids in
+    O(n^2), for few symbols."""
+    ids, get = list(symbols), ranks.get
+    pairs = [get(a << 20 | b, NO_PAIR) for a, b in zip(ids, ids[1:])]
+    while pairs and (low := min(pairs)) != NO_PAIR:
+        i = pairs.index(low)
+        ids[i] = now = merged[low]
+        del ids[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(now << 20 | ids[i + 1], NO_PAIR)
+        if i:
+            pairs[i - 1] = get(ids[i - 1] << 20 | now, NO_PAIR)
+    return ids
+
+
 def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[int]:
     """Apply all merges to a list of token ids, lowest rank first, leftmost
     among equals.
@@ -60,8 +81,8 @@ def merge(symbols: list[int], ranks: dict[int, int], merged: list[int]) -> list[
     begins at symbol i, or NO_PAIR; inner nodes hold the minimum below them.
     """
     n = len(symbols)
-    if n < 2:
-        return list(symbols)
+    if n <= SHORT:
+        return merge_short(symbols, ranks, merged)
     ids = list(symbols)
     get = ranks.get
     bits = n.bit_length()
@@ -171,6 +192,19 @@ def remember(table: dict, key: str, value, most: int = CACHE_ENTRIES):
     return value
 
 
+class Known(dict):
+    """The wanted outputs of pieces, made when first asked for: tokens, ids in
+    decimal joined by spaces, decoded text, ids as 32-bit integers."""
+
+    def __init__(self, tok: WordTokenizer, want: tuple[str, ...]):
+        make = {"n_tokens": len, "ids_text": lambda ids: " ".join(map(str, ids)), "decoded": tok.decode, "ids": lambda ids: array("i", ids).tobytes()}
+        self.encode, self.make = tok.encode_piece, [make[w] for w in want]
+
+    def __missing__(self, piece: str) -> tuple:
+        ids = self.encode(piece)
+        return remember(self, piece, tuple([make(ids) for make in self.make]))
+
+
 class WordTokenizer(Vocabulary):
     """Lower-cased words with word ends; white space is dropped."""
 
@@ -179,7 +213,7 @@ class WordTokenizer(Vocabulary):
         self.pre_tokens = regex.compile(WORD_PATTERN).findall
         self.pieces = re.compile(f"[^{SPACE}]+").findall
         self.words: dict[str, list[int]] = {}
-        self.known: dict[str, tuple] = {}
+        self.known = Known(self, ())
         self.wanted: tuple[str, ...] = ()
 
     def _plain(self, text: str) -> list[int]:
@@ -211,17 +245,6 @@ class WordTokenizer(Vocabulary):
         """The pieces between white space."""
         return text.split() if not ODD_SPACE(text) else self.pieces(text)
 
-    def describe(self, piece: str, want: tuple[str, ...]) -> tuple:
-        """The wanted outputs of a piece: tokens, ids in decimal joined by
-        spaces, decoded text, ids as 32-bit integers."""
-        hit = self.known.get(piece)
-        if hit is None:
-            ids = self.encode_piece(piece)
-            make = {"n_tokens": lambda: len(ids), "ids_text": lambda: " ".join(map(str, ids)), "decoded": lambda: self.decode(ids),
-                    "ids": lambda: array("i", ids).tobytes()}
-            hit = remember(self.known, piece, tuple([make[w]() for w in want]))
-        return hit
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for p in self.cut(text):
@@ -237,10 +260,10 @@ class WordTokenizer(Vocabulary):
     def columns(self, text: str, want: tuple[str, ...]) -> list:
         """The wanted outputs of one text: ids, ids_text, decoded, n_tokens."""
         if want != self.wanted:  # the table holds what is wanted and nothing else
-            self.known, self.wanted = {}, want
-        parts = list(zip(*[self.describe(p, want) for p in self.cut(text)])) or [()] * len(want)
+            self.known, self.wanted = Known(self, want), want
+        found = list(map(self.known.__getitem__, self.cut(text)))
         join = {"n_tokens": sum, "ids_text": " ".join, "decoded": " ".join, "ids": lambda ids: np.frombuffer(b"".join(ids), np.int32)}
-        return [join[w](part) for w, part in zip(want, parts)]
+        return [join[w](map(itemgetter(i), found)) for i, w in enumerate(want)]
 
 
 @functools.lru_cache(maxsize=4)

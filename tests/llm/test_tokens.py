@@ -67,3 +67,13 @@ def test_query_digests(spark):
         ids = lib.encode(text[r.doc_id] or "", add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_short_words_merge_as_long_ones_do(monkeypatch):
+    """The scan for short words and the tree give the same ids."""
+    rng, own = random.Random(5), bpe.WordTokenizer(WORD)
+    words = ["".join(rng.choice("aabeinorst'éΣ中🙂0") for _ in range(rng.randrange(1, bpe.SHORT + 8))) for _ in range(2000)]
+    scanned = [own.merge_text(w) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 1)
+    assert [own.merge_text(w) for w in words] == scanned
+    assert bpe.merge_short([1] * 5, {1 << 20 | 1: 0, 2 << 20 | 1: 1}, [2, 3]) == [2, 3]
