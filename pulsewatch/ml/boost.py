@@ -5,9 +5,9 @@ bins once and stored as bytes, spread over tasks, and a barrier stage grows
 many trees: at each level every task adds up gradients and hessians per (node,
 feature, bin) of its own rows, the tasks exchange these histograms
 (``allGather``; their size depends on bins and nodes, not on rows), and each
-task finds the same splits from the same sums.  Up to ``ROWS_PER_TASK`` rows the
-stage is one task and exchanges nothing.  Several targets are boosted
-side by side and share the exchanges.
+task finds the same splits from the same sums.  Several targets are boosted
+side by side and share the exchanges.  Up to ``ROWS_PER_TASK`` rows there is
+nothing to exchange and each target is grown in a task of its own.
 
 A stage grows ``rounds`` trees and writes them; the next one starts from the
 written trees.  An executor that is lost costs the rounds of one stage.
@@ -38,7 +38,8 @@ from pyspark.sql import types as T
 from ..session import scratch_path, ship_code
 
 MAX_BINS = 256
-ROWS_PER_TASK = 1 << 20
+ROWS_PER_TASK = 1 << 22
+BLOCK = 1 << 15            # rows added up at once: their cells stay in the processor's cache
 TREES = "target int, tree int, node int, feature int, cut int, gain double, hess double, value double"
 
 
@@ -95,7 +96,8 @@ def best_splits(g: np.ndarray, h: np.ndarray, s: Settings) -> tuple[np.ndarray,
     gain = np.where((hl >= s.min_child_weight) & (hr >= s.min_child_weight), gain, -np.inf)
     gain[:, :, -1] = -np.inf
     flat = gain.reshape(len(gain), -1)
-    at = flat.argmax(axis=1)
+    top = flat.max(axis=1, keepdims=True)
+    at = (flat >= top - 1e-9 * np.abs(top)).argmax(axis=1)   # the first of equals, whatever the order of the sums
     nodes, bins = np.arange(len(g)), g.shape[2]
     f, cut = at // bins, at % bins
     return flat[nodes, at], f, cut, gl[nodes, f, cut], hl[nodes, f, cut]
@@ -127,79 +129,124 @@ def walk(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.
     return node
 
 
+def leaves(x: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(leaf, its rows) of one tree: rows are dealt out column by column, which
+    for many rows takes a fraction of the time of ``walk``."""
+    todo = [(0, np.arange(len(x)))]
+    while todo:
+        n, rows = todo.pop()
+        if feature[n] < 0 or not len(rows):
+            yield n, rows
+            continue
+        right = x[:, feature[n]].take(rows) > cut[n]
+        todo += [(2 * n + 1, rows.compress(~right)), (2 * n + 2, rows.compress(right))]
+
+
 class Grower:
-    """Grows one target's tree level by level on this task's rows."""
+    """Grows one target's tree level by level on this task's rows.
+
+    ``x`` is read by column.  Rows are kept by node; of two siblings only the one
+    with the smaller hessian (over all tasks) is added up, the other's histogram is
+    their parent's less that."""
 
     def __init__(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, features: np.ndarray, bins: int, s: Settings):
-        self.x, self.g, self.h, self.taken, self.features, self.bins, self.s = x, g, h, rows, features, bins, s
-        self.tree, self.node = Tree(s.max_depth), np.zeros(len(x), np.int64)
+        self.x, self.g, self.h, self.features, self.bins, self.s = x, g, h, features, bins, s
+        self.tree, self.rows, self.opened = Tree(s.max_depth), {0: np.flatnonzero(rows)}, []
         self.tree.used[0] = True
-        self.active, self.sums = np.array([0]), None
-
-    def histogram(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The non-empty cells of this task: place, G, H."""
-        place = np.full(len(self.tree.used), -1)
-        place[self.active] = np.arange(len(self.active))
-        rows = self.taken & (place[self.node] >= 0)
-        cells = ((place[self.node[rows]][:, None] * len(self.features) + np.arange(len(self.features))) * self.bins + self.x[rows][:, self.features]).ravel()
-        k, size = len(self.features), len(self.active) * len(self.features) * self.bins
-        g, h = np.bincount(cells, np.repeat(self.g[rows], k), size), np.bincount(cells, np.repeat(self.h[rows], k), size)
-        full = np.flatnonzero(h)
-        return full.astype("<i4"), g[full].astype("<f4"), h[full].astype("<f4")
+        self.active = np.array([0])
+        # per active node: its place among the counted ones, whether it is counted itself, its parent's place in ``sums``
+        self.counted, self.place, self.itself, self.parent, self.sums = [0], np.array([0]), np.array([True]), np.array([0]), None
+
+    def cells(self) -> int:
+        return len(self.counted) * len(self.features) * self.bins
+
+    def histogram(self) -> tuple[np.ndarray, np.ndarray]:
+        """G and H of this task by (feature, counted node, bin)."""
+        for n in self.opened:
+            rows = self.rows.pop(n)
+            right = self.x[:, self.tree.feature[n]].take(rows) > self.tree.cut[n]
+            self.rows[2 * n + 1], self.rows[2 * n + 2] = rows.compress(~right), rows.compress(right)
+        out = np.zeros((2, len(self.features), len(self.counted), self.bins))
+        for i, n in enumerate(self.counted):
+            for at in range(0, len(self.rows[n]), BLOCK):
+                rows = self.rows[n][at:at + BLOCK]
+                g, h = self.g.take(rows), self.h.take(rows)
+                for j, f in enumerate(self.features):
+                    cell = self.x[:, f].take(rows).astype(np.intp)
+                    out[0, j, i] += np.bincount(cell, g, self.bins)
+                    out[1, j, i] += np.bincount(cell, h, self.bins)
+        return out[0].ravel(), out[1].ravel()
 
     def split(self, parts: list[tuple]) -> None:
         """Take the histograms of all tasks and open the next level."""
-        shape = (len(self.active), len(self.features), self.bins)
-        at = np.concatenate([p[0] for p in parts])
-        g, h = [np.bincount(at, np.concatenate([p[i] for p in parts]).astype(float), shape[0] * shape[1] * shape[2]).reshape(shape) for i in (1, 2)]
+        shape = (len(self.features), len(self.counted), self.bins)
+        g, h = [sum(p[i] for p in parts).reshape(shape).transpose(1, 0, 2)[self.place] for i in (0, 1)]
+        other = np.flatnonzero(~self.itself)
+        for now, before in zip((g, h), self.sums or ()):
+            now[other] = before[self.parent[other]] - now[other]
         gain, f, cut, gl, hl = best_splits(g, h, self.s)
         ga, ha = g[:, 0].sum(axis=1), h[:, 0].sum(axis=1)
         t, s, following = self.tree, self.s, []
+        self.sums, self.counted, self.opened = (g, h), [], []
         for i, n in enumerate(self.active):
             if n == 0:
                 t.hess[0], t.value[0] = ha[i], -s.rate * ga[i] / (ha[i] + s.l2)
             if not gain[i] > max(s.gamma, 1e-6):
                 continue
             t.feature[n], t.cut[n], t.gain[n] = self.features[f[i]], cut[i], gain[i]
-            for child, gs, hs in ((2 * n + 1, gl[i], hl[i]), (2 * n + 2, ga[i] - gl[i], ha[i] - hl[i])):
+            children = ((2 * n + 1, gl[i], hl[i]), (2 * n + 2, ga[i] - gl[i], ha[i] - hl[i]))
+            lighter = min(children, key=lambda c: c[2])[0]
+            for child, gs, hs in children:
                 t.used[child], t.hess[child], t.value[child] = True, hs, -s.rate * gs / (hs + s.l2)
                 if hs >= 2 * s.min_child_weight:
-                    following.append(child)
-        f = t.feature[self.node]
-        inside = f >= 0
-        self.node = np.where(inside, 2 * self.node + 1 + (self.x[np.arange(len(f)), np.maximum(f, 0)] > t.cut[self.node]), self.node)
-        self.active = np.array(following, np.int64)
+                    following.append((child, len(self.counted), child == lighter, i))
+            if following and following[-1][3] == i:
+                self.counted.append(lighter)
+                self.opened.append(n)
+        self.active, self.place, self.itself, self.parent = [np.array(c, kind) for c, kind in
+                                                             zip(zip(*following) if following else [()] * 4, (np.int64, np.int64, bool, np.int64))]
 
 
 def _packed(parts: list[tuple]) -> str:
-    return base64.b64encode(b"".join(np.array([len(p[0])], "<i4").tobytes() + b"".join(a.tobytes() for a in p) for p in parts)).decode()
+    """The cells that are not empty: how many, place, G, H."""
+    out = []
+    for g, h in parts:
+        full = np.flatnonzero(h)
+        out += [np.array([len(full)], "<i4"), full.astype("<i4"), g[full].astype("<f8"), h[full].astype("<f8")]
+    return base64.b64encode(b"".join(a.tobytes() for a in out)).decode()
 
 
-def _unpacked(text: str, n: int) -> list[tuple]:
+def _unpacked(text: str, sizes: list[int]) -> list[tuple]:
     raw, at, out = base64.b64decode(text), 0, []
-    for _ in range(n):
-        m = int(np.frombuffer(raw, "<i4", 1, at)[0])
-        out.append(tuple(np.frombuffer(raw, kind, m, at + 4 + 4 * m * i) for i, kind in enumerate(("<i4", "<f4", "<f4"))))
-        at += 4 + 12 * m
+    for size in sizes:
+        m, g, h = int(np.frombuffer(raw, "<i4", 1, at)[0]), np.zeros(size), np.zeros(size)
+        full = np.frombuffer(raw, "<i4", m, at + 4)
+        g[full], h[full] = np.frombuffer(raw, "<f8", 2 * m, at + 4 + 4 * m).reshape(2, m)
+        out.append((g, h))
+        at += 4 + 20 * m
     return out
 
 
-def _grow(x: np.ndarray, ys: np.ndarray, w: np.ndarray, ids: np.ndarray, margins: np.ndarray, first: int, last: int, bins: int, s: Settings, gather) -> Iterator[tuple]:
-    """Trees ``first`` to ``last`` - 1 of every target, as node rows."""
+def _grow(x: np.ndarray, ys: np.ndarray, w: np.ndarray, ids: np.ndarray, margins: np.ndarray, first: int, last: int, bins: int, s: Settings, gather,
+          targets: list[int] | None = None) -> Iterator[tuple]:
+    """Trees ``first`` to ``last`` - 1 of every target, as node rows; ``targets``
+    are the numbers of the columns of ``ys`` and ``margins``."""
+    numbers = list(range(ys.shape[1])) if targets is None else targets
     for t in range(first, last):
         growers = []
-        for k in range(ys.shape[1]):
-            g, h = gradients(margins[:, k], ys[:, k], w, s.logistic)
+        for i, k in enumerate(numbers):
+            g, h = gradients(margins[:, i], ys[:, i], w, s.logistic)
             growers.append(Grower(x, g, h, sampled(ids, t, k, s), chosen_features(x.shape[1], t, k, s), bins, s))
         for _ in range(s.max_depth):
             going = [a for a in growers if len(a.active)]
             if not going:
                 break
-            told = gather([a.histogram() for a in going])
+            told = gather([a.histogram() for a in going], [a.cells() for a in going])
             for i, a in enumerate(going):
                 a.split([p[i] for p in told])
-        for k, a in enumerate(growers):
-            margins[:, k] += a.tree.value[a.node]
+        for i, (k, a) in enumerate(zip(numbers, growers)):
+            for n, rows in leaves(x, a.tree.feature, a.tree.cut):
+                margins[rows, i] += a.tree.value[n]
             yield from a.tree.rows(k, t)
 
 
@@ -278,7 +325,8 @@ def scaler_for(cols: list[str]) -> Pipeline:
 def tasks_for(spark: SparkSession, rows: int) -> int:
     """Tasks of a barrier stage, which all run at once: one per
     ``ROWS_PER_TASK`` rows.  Spark answers an ``allGather`` about a second after
-    it is complete, so a task gets enough rows to be worth that."""
+    it is complete, and a level of 2^20 rows takes about a tenth of that, so a
+    task gets enough rows to be worth it (about 100 bytes each, as arrays)."""
     return max(1, min(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK)))
 
 
@@ -316,7 +364,11 @@ def fit(train: DataFrame, cols: list[str], targets: list[str], key: list[str], s
     folder = scratch_path(spark, f"boost-{uuid.uuid4().hex}")
     stored = "x binary, y array<double>, w double, id long"
     rows.mapInPandas(to_bytes, stored).withColumn("task", F.pmod(F.col("id"), F.lit(n_tasks))).write.parquet(f"{folder}/rows")
-    binned = spark.read.schema(f"{stored}, task long").parquet(f"{folder}/rows").repartition(n_tasks, "task").drop("task")
+    binned = spark.read.schema(f"{stored}, task long").parquet(f"{folder}/rows")
+    alone = n_tasks == 1                                     # nothing to exchange: a task a target
+    if alone:
+        binned = binned.select("x", F.posexplode("y").alias("task", "_y"), "w", "id").select("x", F.array("_y").alias("y"), "w", "id", "task")
+    binned = binned.repartitionById(len(targets) if alone else n_tasks, F.col("task").cast("int"))
 
     grown = pd.DataFrame({c.split()[0]: [] for c in TREES.split(", ")})
     for first in range(0, settings.n_trees, rounds):
@@ -324,28 +376,36 @@ def fit(train: DataFrame, cols: list[str], targets: list[str], key: list[str], s
         so_far = spark.sparkContext.broadcast(grown)
 
         def boost(batches: Iterator[pd.DataFrame], first=first, last=last, so_far=so_far):
-            pdf = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"x": [], "y": [], "w": [], "id": []})])
-            x = np.frombuffer(b"".join(pdf["x"]), np.uint8).reshape(len(pdf), len(cols))
-            ys = np.stack(pdf["y"].to_numpy()) if len(pdf) else np.zeros((0, len(targets)))
-            margins = np.tile(np.array(base), (len(pdf), 1))
-            size = (1 << (settings.max_depth + 1)) - 1
-            for (k, _), t in so_far.value.groupby(["target", "tree"], sort=True):
-                feature, cut, value = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size)
-                at = t["node"].to_numpy(int)
-                feature[at], cut[at], value[at] = t["feature"], t["cut"], t["value"]
-                margins[:, int(k)] += value[walk(x, feature, cut, settings.max_depth)]
-            ctx = BarrierTaskContext.get()
-
-            def gather(parts: list[tuple]) -> list[list[tuple]]:
-                if n_tasks == 1:
-                    return [parts]
-                return [_unpacked(m, len(parts)) for m in ctx.allGather(_packed(parts))]
-
-            made = list(_grow(x, ys, pdf["w"].to_numpy(float), pdf["id"].to_numpy(np.int64), margins, first, last, bins, settings, gather))
-            if ctx.partitionId() == 0:
-                yield pd.DataFrame(made, columns=[c.split()[0] for c in TREES.split(", ")])
-
-        binned.mapInPandas(boost, TREES, barrier=True).write.parquet(f"{folder}/trees-{first}")
+            read: dict[int, list[tuple]] = {}                # Python objects for a batch at a time only
+            for pdf in batches:
+                for k, rows in pdf.groupby("task" if alone else np.zeros(len(pdf), int)):
+                    read.setdefault(int(k), []).append((np.frombuffer(b"".join(rows["x"]), np.uint8).reshape(len(rows), len(cols)),
+                                                        np.stack(rows["y"].to_numpy()), rows["w"].to_numpy(float), rows["id"].to_numpy(np.int64)))
+            if not alone and not read:                       # a task without rows still takes part
+                read[0] = [(np.zeros((0, len(cols)), np.uint8), np.zeros((0, len(targets))), np.zeros(0), np.zeros(0, np.int64))]
+            ctx = BarrierTaskContext.get() if not alone else None
+
+            def gather(parts: list[tuple], sizes: list[int]) -> list[list[tuple]]:
+                return [parts] if alone else [_unpacked(m, sizes) for m in ctx.allGather(_packed(parts))]
+
+            for k in list(read):
+                x, ys, w, ids = [np.concatenate(c) for c in zip(*read.pop(k))]
+                x, mine = np.asfortranarray(x), [k] if alone else list(range(len(targets)))
+                margins = np.tile(np.array(base)[mine], (len(x), 1))
+                size = (1 << (settings.max_depth + 1)) - 1
+                for (target, _), t in so_far.value.groupby(["target", "tree"], sort=True):
+                    if target not in mine:
+                        continue
+                    feature, cut, value = np.full(size, -1, np.int32), np.zeros(size, np.int32), np.zeros(size)
+                    at = t["node"].to_numpy(int)
+                    feature[at], cut[at], value[at] = t["feature"], t["cut"], t["value"]
+                    for n, rows in leaves(x, feature, cut):
+                        margins[rows, mine.index(int(target))] += value[n]
+                made = list(_grow(x, ys, w, ids, margins, first, last, bins, settings, gather, mine))
+                if alone or ctx.partitionId() == 0:
+                    yield pd.DataFrame(made, columns=[c.split()[0] for c in TREES.split(", ")])
+
+        binned.mapInPandas(boost, TREES, barrier=not alone).write.parquet(f"{folder}/trees-{first}")
         grown = pd.concat([grown, spark.read.schema(TREES).parquet(f"{folder}/trees-{first}").toPandas()]) if len(grown) else \
             spark.read.schema(TREES).parquet(f"{folder}/trees-{first}").toPandas()
     return Boosted(scaler, list(cols), cuts, base, settings, grown.sort_values(["target", "tree", "node"]).reset_index(drop=True), list(targets))

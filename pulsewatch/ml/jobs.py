@@ -274,5 +274,8 @@ def _score_alerts(spark: SparkSession, contexts: DataFrame | None, store: str |
     value: Column = F.struct("service_id", "triggering_metric", "priority")
     if meta is None:
         return ML.prediction_rows(H.heuristic_priority(at), "alerts", S.HEURISTIC_MODEL_VERSION, value)
+    # contexts are few bytes and a shuffle leaves them in a task or two; in ranges of time all
+    # tasks walk the forest, and each writes the files of its own dates
+    at = at.repartitionByRange(spark.sparkContext.defaultParallelism, "generated_at", "service_id")
     scored = ML.score_priority(load_model(store, "alerts", meta["model_version"]), at).withColumn("priority", F.col("predicted_priority"))
     return ML.prediction_rows(scored, "alerts", meta["model_version"], value, confidence=F.round("confidence", 4))

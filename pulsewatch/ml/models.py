@@ -28,17 +28,20 @@ from . import iforest as IF
 FEATURES = list(S.FEATURE_COLUMNS)
 
 
-ROWS_PER_PARTITION = 50_000
+ROWS_PER_PARTITION = 20_000
 
 
 def split_rows(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """G9 chronological split, materialised: (train, test, train rows).  The
-    partitions follow the rows, so that small tables are not all scheduling."""
+    partitions follow the rows: small tables are not all scheduling, and rows that
+    a shuffle packed into a few tasks by their bytes are spread for the fit."""
     whole = cut_lineage(df)
     parts = max(1, -(-whole.count() // ROWS_PER_PARTITION))
     train, test = FE.chrono_split(whole)
     if parts < whole.rdd.getNumPartitions():
         train, test = train.coalesce(parts), test.coalesce(parts)
+    elif parts > whole.rdd.getNumPartitions():
+        train, test = train.repartition(parts), test.repartition(parts)
     train, test = cut_lineage(train), cut_lineage(test)
     return train, test, train.count()
 
@@ -115,7 +118,8 @@ def fit_anomaly(features: DataFrame, n_trees: int = 200, max_samples: int = 256
     df = QY.drop_incomplete(features, FEATURES)
     scaler = BO.scaler_for(FEATURES).fit(df)
     z = cut_lineage(_standardised(scaler, df))
-    forest = IF.fit(z, ZCOLS, ["service_id", "window_start"], n_trees=n_trees, max_samples=max_samples)
+    # trees x nodes rows, grown once for scoring and for the store
+    forest = cut_lineage(IF.fit(z, ZCOLS, ["service_id", "window_start"], n_trees=n_trees, max_samples=max_samples))
     return scaler, forest, z
 
 
@@ -192,7 +196,8 @@ def train_priority(alerts: DataFrame, n_trees: int = 200, max_depth: int = 12, s
     cls = train.groupBy("priority").agg(F.count(F.lit(1)).alias("_nc"))
     k = cls.count()
     tot = train.count()
-    train = train.join(cls, "priority").withColumn("_w", F.lit(float(tot)) / (F.lit(float(k)) * F.col("_nc")))
+    train = train.join(F.broadcast(cls), "priority").withColumn(  # a row a class; the rows stay spread
+        "_w", F.lit(float(tot)) / (F.lit(float(k)) * F.col("_nc")))
     idx = StringIndexer(inputCol="priority", outputCol="label", stringOrderType="alphabetAsc",
                         handleInvalid="keep")
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="_w", numTrees=n_trees,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -27,10 +28,16 @@ from .dashboards import _episodes_sql
 from .features import FAILURE_SQL, FEATURES_SQL, HORIZONS, LAGS, MIN_ROWS, ROLLING, SIZE
 from .registry import plan
 
+_hourly: dict[tuple[str, str], DataFrame] = {}
+
+
 def hourly(spark, sf_dir):
     """The metric rows, materialised: training and scoring read them many times,
-    the raw logs are read for them once."""
-    return cut_lineage(metrics_of(spark, sf_dir, SIZE))
+    the raw logs are read for them once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _hourly:
+        _hourly[key] = cut_lineage(metrics_of(spark, sf_dir, SIZE))
+    return _hourly[key]
 
 
 def features_of(m):
@@ -220,7 +227,7 @@ def score_models(spark, sf_dir):
     store = trained(spark, sf_dir, *MJ.MODULES)
     m = hourly(spark, sf_dir)
     f = features_of(m)
-    contexts = AL.label_priority(AL.alert_frequency(AL.alert_candidates(m, FX.services(spark))))
+    contexts = cut_lineage(AL.label_priority(AL.alert_frequency(AL.alert_candidates(m, FX.services(spark)))))
     out = scratch_path(spark, f"predictions-{uuid.uuid4().hex}")
     for module in ("health", *MJ.MODULES):
         IO.write_predictions(MJ.score(spark, module, m, store, f, SIZE, MIN_ROWS, contexts=contexts), out)

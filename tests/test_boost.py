@@ -36,6 +36,33 @@ def test_root_split_is_the_best_of_all():
     assert grower.tree.value[1] == pytest.approx(-0.3 * g[left].sum() / (h[left].sum() + 1), rel=1e-4)
 
 
+def test_siblings_share_one_count():
+    """A level adds up one child of each pair; the splits are those of adding up both."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, (900, 3))
+    y = (x[:, 0] > 60) * 1.0 + (x[:, 1] > 150) * 2 + rng.normal(0, 0.2, 900)
+    s = BO.Settings(1, 2, 0.3, min_child_weight=5)
+    g, h = BO.gradients(np.zeros(900), y, np.ones(900), False)
+    a = BO.Grower(x, g, h, np.ones(900, bool), np.arange(3), 256, s)
+    a.split([a.histogram()])
+    told = a.histogram()
+    assert len(a.active) == 2 and told[0].size == a.cells() == 3 * 256
+    a.split([told])
+    right = x[:, a.tree.feature[0]] > a.tree.cut[0]
+    for node, rows in ((1, ~right), (2, right)):
+        gain, f, cut = plain_best(x[rows], g[rows], h[rows], s)
+        assert (a.tree.feature[node], a.tree.cut[node]) == (f, cut) and a.tree.gain[node] == pytest.approx(gain)
+
+
+def test_leaves_are_those_of_a_walk():
+    rng = np.random.default_rng(6)
+    x, feature, cut = rng.integers(0, 256, (500, 3)), np.array([1, 0, -1, -1, 2, -1, -1] + [-1] * 8), rng.integers(60, 200, 15)
+    got = np.full(500, -1)
+    for n, rows in BO.leaves(x, feature, cut):
+        got[rows] = n
+    assert (got == BO.walk(x, feature, cut, 3)).all()
+
+
 def test_gamma_and_child_weight_stop_splits():
     x, y = np.arange(40).reshape(-1, 1) % 20, np.r_[np.zeros(20), np.ones(20) * 0.1]
     g, h = BO.gradients(np.zeros(40), y, np.ones(40), False)
@@ -73,6 +100,18 @@ def test_spread_over_tasks_and_stages_is_the_same_model(spark, rows):
         assert p == pytest.approx(q, abs=1e-4)
 
 
+def test_targets_without_exchange_are_grown_in_tasks_of_their_own(spark, rows, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    grow = BO._grow
+
+    def counted(x, ys, *rest):
+        seen.add(ys.shape[1] * 1000 + 1)
+        yield from grow(x, ys, *rest)
+    monkeypatch.setattr(BO, "_grow", counted)
+    BO.fit(rows, ["a", "b", "c"], ["y", "z"], ["id"], BO.Settings(2, 2, 0.3), weight="w")
+    assert seen.value == 2002                                # two calls of one target each
+
+
 def test_learns_stores_and_loads(spark, rows, tmp_path):
     model = BO.fit(rows, ["a", "b", "c"], ["y"], ["id"], BO.Settings(80, 3, 0.2))
     r = model.transform(rows).agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)).alias("e"), F.stddev("y").alias("s")).first()

@@ -87,6 +87,18 @@ def test_training_reads_what_it_is_given_once(spark, tmp_path):
     assert seen.value == marks_seen.value == m.count()
 
 
+def test_hourly_rows_are_made_once_and_alerts_scored_by_all_tasks(spark, tmp_path):
+    from pulsewatch.plans import models as PM
+    m = PM.hourly(spark, SF_MED)
+    assert PM.hourly(spark, SF_MED) is m
+    lab = cut_lineage(AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED))))
+    MJ.train(spark, m, str(tmp_path / "store"), modules=["alerts"], days=None, window_size="1h", params={"alerts": {"n_trees": 2, "max_depth": 2}})
+    rows = MJ.score(spark, "alerts", m, str(tmp_path / "store"), contexts=lab.coalesce(1))
+    spread = rows.groupBy(F.spark_partition_id().alias("task"), F.to_date("generated_at").alias("date")).count().collect()
+    tasks, dates = {r.task for r in spread}, {r.date for r in spread}
+    assert len(tasks) > 1 and len(spread) < len(dates) + len(tasks) and sum(r["count"] for r in spread) == lab.count()
+
+
 def test_priority_scoring(spark):
     lab = AL.label_priority(AL.alert_frequency(candidates(spark, SF_MED)))
     model, _ = ML.train_priority(lab, n_trees=10, max_depth=5)
