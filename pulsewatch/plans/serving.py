@@ -10,14 +10,14 @@ from .. import schemas as S
 from ..ml import heuristics as H
 from ..ml import models as ML
 from ..operators import views as V
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import io as IO
 from ..streaming import jobs as J
 from . import sqlparts as Q
 from .alerting import LIFECYCLE_SQL, lifecycle
 from .core import metrics_of
 from .registry import plan
-from .streams import BATCHES, _deliver, _source
+from .streams import BATCHES, _deliver, _parts, _source
 
 LATEST = """latest AS (SELECT * FROM metrics
            QUALIFY row_number() OVER (PARTITION BY service_id ORDER BY window_start DESC) = 1)"""
@@ -74,9 +74,9 @@ def latest_prediction_view(spark, sf_dir):
     out-of-order deliveries."""
     base = scratch_path(spark, f"stream-latest-{uuid.uuid4().hex}")
     rows = V.anomaly_predictions(metrics_of(spark, sf_dir, "1m"))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("service_id", "generated_at"), F.lit(BATCHES)))
+    rows = cut_lineage(rows.withColumn("batch", F.pmod(F.xxhash64("service_id", "generated_at"), F.lit(BATCHES))))
     stream = _source(rows, f"{base}/in")
-    _deliver(rows, "batch", f"{base}/in", lambda: J.start(stream, J.latest_sink(f"{base}/view"), f"{base}/_ckpt", trigger=None))
+    _deliver(_parts(rows), f"{base}/in", lambda: J.start(stream, J.latest_sink(f"{base}/view"), f"{base}/_ckpt", trigger=None))
     return J.read_latest(spark, f"{base}/view").select(
         "service_id", "module", "generated_at", F.get_json_object("value", "$.anomaly_score").cast("double").alias("anomaly_score"))
 

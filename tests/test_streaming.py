@@ -108,6 +108,21 @@ def test_latest_view_over_two_batches(spark, tmp_path):
     assert sorted((r.service_id, r.value) for r in J.read_latest(spark, path).collect()) == [("a", "z"), ("b", "y"), ("c", "w")]
 
 
+def test_latest_prediction_plan_stores_its_rows_once(spark, tmp_path, monkeypatch):
+    """The newest window of a service wins whichever delivery holds it; the windows are made once for all of them."""
+    from pulsewatch.plans import serving, streams
+    seen = []
+    monkeypatch.setattr(serving, "cut_lineage", lambda df: seen.append(cut_lineage(df)) or seen[-1], raising=False)
+    # latency falls with time, so the newest score is the smallest
+    spark.createDataFrame([(100 * u + k, DAY + dt.timedelta(minutes=k), u, "view", 10.0 * (12 - k) + u, "{}") for u in range(3) for k in range(12)],
+                          "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = serving.latest_prediction_view(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(f"svc-{u}", "anomaly", DAY + dt.timedelta(minutes=12), round((200 + 20 * u) / 5000, 6)) for u in range(3)]
+    assert len(seen) == 1 and seen[0].count() == 36
+    last = seen[0].groupBy("service_id").agg(F.max_by("batch", "generated_at").alias("b")).collect()
+    assert any(r.b < streams.BATCHES - 1 for r in last)
+
+
 def test_metrics_sink_feeds_the_partitioned_table(spark, tmp_path):
     from decimal import Decimal
     path = str(tmp_path / "metrics")
